@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from diffloom.llm import chat_format, quality_rules, url_filters, warc_archive
+from diffloom.llm import chat_format, lm_scoring, quality_rules, simhash, url_filters, warc_archive
 from diffloom.llm.common import table
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_rules.quality(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
