@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from diffloom.llm import chat_format, lm_scoring, quality_rules, simhash, url_filters, warc_archive
+from diffloom.llm import chat_format, decontam, html_text, lang_id, lm_scoring, quality_rules, simhash, url_filters, warc_archive
 from diffloom.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lang_id.predict(docs, lang_id.learn(docs))
+
+
 def op5_warc_archive(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return warc_archive.describe(warc_archive.read_records(spark, *warc_archive.write_archive(pages)))
@@ -35,6 +40,14 @@ def op6_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(planted)))
 
 
+def op7_html_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filters(spark, sf_dir):
     return url_filters.judge_urls(table(spark, sf_dir, "pages"))
 
