@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from diffloom.llm import chat_format, decontam, html_text, lang_id, lm_scoring, quality_rules, simhash, url_filters, warc_archive
+from diffloom.llm import chat_format, decontam, html_text, lang_id, lm_scoring, pieces, quality_rules, simhash, url_filters, warc_archive
 from diffloom.llm.common import table
 
 
@@ -44,6 +44,11 @@ def op7_html_text(spark, sf_dir):
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_pieces(spark, sf_dir):
+    found = pieces.encode_pieces(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", F.size("pieces").cast("long").alias("n_pieces"), F.hex(F.xxhash64("pieces")).alias("pieces_digest"), "lossless")
+
+
 def op9_decontamination(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,8 +57,14 @@ def op10_url_filters(spark, sf_dir):
     return url_filters.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {"pipeline": pipeline}
 
 
 def oracle_sql():
