@@ -342,8 +342,8 @@ _CALLS = """calls AS (SELECT change_id, CAST(row_number() OVER (PARTITION BY cha
   (SELECT l_orderkey AS change_id, l_linenumber AS c, CASE l_orderkey % 4 WHEN 0 THEN 'model-a' WHEN 1 THEN 'model-b' WHEN 2 THEN 'model-c' ELSE 'model-x' END AS model, CAST(max(l_shipdate) AS DATE) AS run_date,
    CAST(sum(l_quantity) * 100 AS BIGINT) AS tokens, CAST(sum(l_suppkey) AS BIGINT) AS output_tokens, CAST(sum(l_partkey) AS BIGINT) AS cache_read, CAST(min(l_partkey) AS BIGINT) AS cache_write, l_orderkey % 5 = 0 AS hit FROM lineitem GROUP BY l_orderkey, l_linenumber))"""
 _RATED = f"""prices(model, valid_from, valid_to, rate_in, rate_out) AS ({PRICES}), {_CALLS},
-rated AS (SELECT c.*, coalesce(p.rate_in, 10.0) AS rate_in, coalesce(p.rate_out, 50.0) AS rate_out FROM calls c LEFT JOIN prices p ON p.model = c.model AND c.run_date BETWEEN p.valid_from AND p.valid_to),
-costed AS (SELECT *, (tokens * rate_in + 2000 * rate_out) / 1e6 AS worst, (tokens * rate_in + cache_read * rate_in * 0.1 + cache_write * rate_in * 1.25 + output_tokens * rate_out) / 1e6 AS actual FROM rated),
+rated AS (SELECT c.*, CAST(coalesce(p.rate_in, 10.0) AS DOUBLE) AS rate_in, CAST(coalesce(p.rate_out, 50.0) AS DOUBLE) AS rate_out FROM calls c LEFT JOIN prices p ON p.model = c.model AND c.run_date BETWEEN p.valid_from AND p.valid_to),
+costed AS (SELECT *, (tokens * rate_in + 2000 * rate_out) / 1e6 AS worst, (tokens * rate_in + cache_read * rate_in * CAST(0.1 AS DOUBLE) + cache_write * rate_in * CAST(1.25 AS DOUBLE) + output_tokens * rate_out) / 1e6 AS actual FROM rated),
 spent AS (SELECT *, coalesce(sum(CASE WHEN hit THEN 0 ELSE actual END) OVER (PARTITION BY change_id ORDER BY call_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM costed),
 flagged AS (SELECT *, NOT hit AND tokens > 4500 AS over_tokens, NOT hit AND tokens <= 4500 AND spent + worst > 0.2 AS over_cost FROM spent)"""
 
@@ -356,9 +356,9 @@ def calls(spark, d) -> DataFrame:
     return c.withColumn("worst", cost.worst_cost(F.col("tokens"), F.lit(cost.SUMMARY_OUTPUT))).withColumn("actual", cost.usage_cost())
 
 
-@query("p11_worst_cost", f"WITH {_RATED} SELECT change_id, call_no, round(worst, 6) AS worst FROM costed")
+@query("p11_worst_cost", f"WITH {_RATED} SELECT change_id, call_no, round(worst, 9) AS worst FROM costed")
 def p11(spark, d):
-    return calls(spark, d).select("change_id", "call_no", F.round("worst", 6).alias("worst"))
+    return calls(spark, d).select("change_id", "call_no", F.round("worst", 9).alias("worst"))
 
 
 @query("p12_rates", f"WITH {_RATED} SELECT change_id, call_no, model, CAST(rate_in AS DOUBLE) AS rate_in, CAST(rate_out AS DOUBLE) AS rate_out FROM rated")
@@ -366,9 +366,9 @@ def p12(spark, d):
     return calls(spark, d).select("change_id", "call_no", "model", "rate_in", "rate_out")
 
 
-@query("p13_dry_run", f"WITH {_RATED} SELECT change_id, label, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(worst), 6) AS cost, count(*) AS calls FROM costed GROUP BY GROUPING SETS ((change_id, label), (change_id))")
+@query("p13_dry_run", f"WITH {_RATED} SELECT change_id, label, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(worst), 9) AS cost, count(*) AS calls FROM costed GROUP BY GROUPING SETS ((change_id, label), (change_id))")
 def p13(spark, d):
-    return cost.dry_run(calls(spark, d)).withColumn("cost", F.round("cost", 6))
+    return cost.dry_run(calls(spark, d)).withColumn("cost", F.round("cost", 9))
 
 
 @query("p14_uncached", "SELECT DISTINCT l_orderkey AS change_id FROM lineitem WHERE l_orderkey % 3 <> 0")
@@ -591,14 +591,14 @@ def o9(spark, d):
 # ---- outcome, usage, tuning
 
 
-@query("u1_usage_cost", f"WITH {_RATED} SELECT change_id, call_no, round(actual, 6) AS actual FROM costed")
+@query("u1_usage_cost", f"WITH {_RATED} SELECT change_id, call_no, round(actual, 9) AS actual FROM costed")
 def u1(spark, d):
-    return calls(spark, d).select("change_id", "call_no", F.round("actual", 6).alias("actual"))
+    return calls(spark, d).select("change_id", "call_no", F.round("actual", 9).alias("actual"))
 
 
-@query("u2_u3_budgets", f"WITH {_RATED} SELECT change_id, call_no, round(spent, 6) AS spent, over_tokens, over_cost, NOT (coalesce(bool_or(over_tokens OR over_cost) OVER (PARTITION BY change_id ORDER BY call_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) OR over_tokens OR over_cost) AS made FROM flagged")
+@query("u2_u3_budgets", f"WITH {_RATED} SELECT change_id, call_no, round(spent, 9) AS spent, over_tokens, over_cost, NOT (coalesce(bool_or(over_tokens OR over_cost) OVER (PARTITION BY change_id ORDER BY call_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) OR over_tokens OR over_cost) AS made FROM flagged")
 def u2(spark, d):
-    return cost.budgets(calls(spark, d), 4500, 0.2).select("change_id", "call_no", F.round("spent", 6).alias("spent"), "over_tokens", "over_cost", "made")
+    return cost.budgets(calls(spark, d), 4500, 0.2).select("change_id", "call_no", F.round("spent", 9).alias("spent"), "over_tokens", "over_cost", "made")
 
 
 @query("u4_outcomes", merged_sql("SELECT change_id, CASE WHEN change_id % 31 = 0 THEN CASE WHEN g THEN 4 ELSE 0 END WHEN change_id % 7 IN (2, 3, 4, 5) THEN 2 WHEN change_id % 37 = 0 THEN CASE WHEN g THEN 4 ELSE 0 END WHEN change_id % 9 = 0 THEN 2 WHEN g THEN 4 ELSE 0 END AS outcome, change_id % 31 <> 0 AS keep_model FROM (SELECT change_id, coalesce(bool_or(severity = 'high'), false) AS g FROM (SELECT DISTINCT change_id FROM files) LEFT JOIN merged USING (change_id) GROUP BY change_id)"))
@@ -612,9 +612,9 @@ def u4b(spark, d):
     return outcome.kept_model_findings(responses.model_findings(r.checked), r.outcomes).groupBy("change_id").agg(F.count("*").alias("n"))
 
 
-@query("u5_usage_totals", f"WITH {_RATED} SELECT change_id, label, CAST(sum(tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, round(sum(actual), 4) AS cost FROM costed GROUP BY ROLLUP (change_id, label)")
+@query("u5_usage_totals", f"WITH {_RATED} SELECT change_id, label, CAST(sum(tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, round(sum(actual), 9) AS cost FROM costed GROUP BY ROLLUP (change_id, label)")
 def u5(spark, d):
-    return cost.usage_totals(calls(spark, d)).withColumn("cost", F.round("cost", 4))
+    return cost.usage_totals(calls(spark, d)).withColumn("cost", F.round("cost", 9))
 
 
 @query("u6_tuning", merged_sql("SELECT rule_id, source, confidence, count(*) AS n FROM merged GROUP BY ALL"))
