@@ -22,6 +22,8 @@ BITS = 18
 #: The most labelled rows that the model is fitted on (those with the smallest hash of their id).
 SAMPLE = 3000
 THRESHOLD = 0.5
+#: Texts of the sample whose n-grams are worked on at a time.
+PART = 100
 SYMBOLS = b"#*$%&|<>"
 LINE_MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
@@ -106,22 +108,27 @@ def fit(texts: list[str | None], good: np.ndarray, rounds: int = 60, bits: int =
     if not len(texts) or good[~held].min(initial=1) == good[~held].max(initial=0) or held.sum() < 2:
         rate = (good.sum() + 1) / (len(good) + 2) if len(good) else 0.99
         return Model(np.zeros((3, 1 << bits), np.float32), float(np.log(rate / (1 - rate))))
-    train = features([t for t, h in zip(texts, held, strict=True) if not h], bits)
+    own = [t for t, h in zip(texts, held, strict=True) if not h]
+    parts = [(slice(i, i + PART), features(own[i : i + PART], bits)) for i in range(0, len(own), PART)]
     y = good[~held].astype(np.float64)
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) / len(y)
     model = Model(np.zeros((3, 1 << bits), np.float32), 0.0)
     memory, bias_memory = np.full_like(model.weights, 1e-12), 1e-12
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(model.margins(train), -40, 40)))
-        g = (p - y) * balance
-        for k, (slots, at) in enumerate(train):
-            n = np.diff(at)
-            d = np.bincount(slots, weights=np.repeat(model.scale * g / np.maximum(1, n), n), minlength=1 << bits) + 1e-7 * model.weights[k]
-            memory[k] += d * d
-            model.weights[k] -= 0.1 * d / np.sqrt(memory[k])
-        bias_memory += g.sum() ** 2
-        model.bias -= 0.1 * g.sum() / bias_memory**0.5
-    m = model.margins(features([t for t, h in zip(texts, held, strict=True) if h], bits))
+        slope, lean = 1e-7 * model.weights.astype(np.float64), 0.0
+        for rows, kinds in parts:
+            p = 1 / (1 + np.exp(-np.clip(model.margins(kinds), -40, 40)))
+            g = (p - y[rows]) * balance[rows]
+            lean += g.sum()
+            for k, (slots, at) in enumerate(kinds):
+                n = np.diff(at)
+                slope[k] += np.bincount(slots, weights=np.repeat(model.scale * g / np.maximum(1, n), n), minlength=1 << bits)
+        memory += slope * slope
+        model.weights -= 0.1 * slope / np.sqrt(memory)
+        bias_memory += lean**2
+        model.bias -= 0.1 * lean / bias_memory**0.5
+    last = [t for t, h in zip(texts, held, strict=True) if h]
+    m = np.concatenate([model.margins(features(last[i : i + PART], bits)) for i in range(0, len(last), PART)])
     z = good[held]
     pos, neg = z.sum(), len(z) - z.sum()
     t = np.where(z > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
@@ -142,9 +149,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     document labelled twice counts as its lowest label; a sample with one class gives a constant verdict."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = F.broadcast(chosen)  # `sample` rows of two numbers at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).toPandas().sort_values("id")
-    order = np.argsort([xxhash.xxh32_intdigest(str(i)) for i in rows["id"]], kind="stable")
-    return fit([rows["text"].iloc[i] for i in order], rows["quality"].to_numpy(np.int64)[order] if len(rows) else np.zeros(0, np.int64))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen.withColumn("id", F.col("id").cast("string")), "id")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("quality").cast("long").alias("quality"))
+
+    def run(batches):
+        got = [(r["id"], r["text"], r["quality"]) for b in batches for r in b.to_pylist()]
+        got.sort(key=lambda r: (xxhash.xxh32_intdigest(r[0]), r[0]))
+        m = fit([t for _, t, _ in got], np.array([q for _, _, q in got], np.int64))
+        yield pa.RecordBatch.from_pydict({"weights": [m.weights.tobytes()], "numbers": [[m.bias, m.slope, m.shift]]}, schema=pa.schema([("weights", pa.binary()), ("numbers", pa.list_(pa.float64()))]))
+
+    # `sample` rows at most go to one task, which gives back the weights: their number is fixed
+    row = rows.repartition(1).mapInArrow(run, "weights binary, numbers array<double>").first()
+    return Model(np.frombuffer(row.weights, np.float32).reshape(3, -1), *row.numbers) if row else fit([], np.zeros(0, np.int64))
 
 
 def judge(model: Model, threshold: float):
