@@ -52,8 +52,10 @@ class Vocabulary:
             if model.is_byte(i):
                 self.byte[int(names[i][3:5], 16)] = i
         self.score = np.array([model.get_score(i) for i in range(n)])
-        low = min((model.get_score(i) for i in pieces.values()), default=0.0)
+        # byte pieces and the runs of spaces that the model's maker added count as the rarest learnt piece
+        low = min((x for i in pieces.values() if (x := model.get_score(i)) > -1e8), default=0.0)
         self.score[self.byte] = low
+        self.score = np.maximum(self.score, low)
         prefixes = {p[:k] for p in pieces for k in range(len(p))}
         number = {p: i for i, p in enumerate(sorted(prefixes))}  # the empty prefix is 0
         for p in sorted(pieces):
