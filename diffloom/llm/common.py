@@ -58,7 +58,7 @@ def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def text_slices(column, budget: int = 4 << 20):
+def text_slices(column, budget: int = 1 << 20):
     """(start, texts) pieces of an Arrow string column with about `budget` characters each; a longer text stands alone."""
     part, size, start = [], 0, 0
     for i in range(len(column)):

@@ -240,7 +240,7 @@ def encode_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             keys = ["" if k is None else str(k) for k in batch.column("doc_id").to_pylist()]
             ids, many, same, size = [], [], [], []
-            for start, texts in text_slices(batch.column("text"), 2 << 20):
+            for start, texts in text_slices(batch.column("text"), 1 << 20):
                 got, n = encode(keys[start : start + len(texts)], texts, vocab, sharpness)
                 ids.append(got)
                 many.append(n)

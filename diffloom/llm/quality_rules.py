@@ -53,7 +53,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         v = self[word] = xxhash.xxh32_intdigest(word)
         return v
@@ -68,9 +68,9 @@ def features(texts: list[str | None], bits: int = BITS):
     split = [b.split() for b in blobs]
     shift = np.uint32(32 - bits)
     gap = b"\0\0\0"
-    data = np.frombuffer(gap.join(blobs) + gap + gap, np.uint8).astype(np.uint32)
+    data = np.frombuffer(gap + gap.join(blobs) + gap, np.uint8).astype(np.uint32)
     size = [len(b) + 3 for b in blobs]
-    gram = data[:-3] | (data[1:-2] << 8) | (data[2:-1] << 16) | (data[3:] << 24)  # the gap keeps texts apart
+    gram = data[:-3] | (data[1:-2] << 8) | (data[2:-1] << 16) | (data[3:] << 24)  # each gram ends at its place, so the gaps keep texts apart
     chars = (gram * np.uint32(2654435761)) >> shift
     n = [len(x) for x in split]
     h = np.fromiter((_seen[x] for s in split for x in s), np.uint32, sum(n))
