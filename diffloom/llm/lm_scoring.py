@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from diffloom.llm.common import SEED, lower_words, offsets, saved
 
 #: Tokens of a chunk; a longer text is a chunk of its own.
-CHUNK = 3_000_000
+CHUNK = 1_750_000
 #: Characters of input for each hash range.
 SLICE_CHARS = 16_000_000
 #: K, the weight of the unigrams within a history.
@@ -44,7 +44,7 @@ def is_held_out(doc_id) -> bool:
 
 def _pack(a: np.ndarray) -> bytes:
     """Compressed with like bytes side by side."""
-    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes(), 1) if len(a) else b""
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes(), 3) if len(a) else b""
 
 
 def _unpack(data: bytes, dtype) -> np.ndarray:
