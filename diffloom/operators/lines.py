@@ -36,6 +36,10 @@ def _sections(changes: DataFrame) -> DataFrame:
 
 def split_files(changes: DataFrame) -> DataFrame:
     """diff_files: one row per file section with its paths and flags."""
+    return _described(changes).drop("section")
+
+
+def _described(changes: DataFrame) -> DataFrame:
     s = _sections(changes).withColumn("head", F.regexp_extract("section", r"(?s)^(.*?)(?:\n@@ -|\z)", 1))
     head = F.col("head")
     git = r"^diff --git (?:a/)?(.+?) (?:b/)?(\S+)\s*(?:\n|$)"
@@ -53,15 +57,17 @@ def split_files(changes: DataFrame) -> DataFrame:
         F.coalesce(added, F.lit(False)).alias("is_added_file"),
         F.coalesce(removed, F.lit(False)).alias("is_removed_file"),
         head.rlike(r"(?m)^rename (from|to) ").alias("is_rename"),
+        "section",
     )
 
 
-def _hunks(changes: DataFrame) -> DataFrame:
+def _hunks(changes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     parts = F.split("section", r"\n(?=@@ -\d)")
-    h = _sections(changes).select("change_id", "file_no", F.posexplode(parts).alias("n", "hunk")).where("n > 0")
+    s = _described(changes) if carry else _sections(changes)
+    h = s.select("change_id", "file_no", *carry, F.posexplode(parts).alias("n", "hunk")).where("n > 0")
     part = lambda i: F.regexp_extract("hunk", HUNK, i)
     length = lambda i: F.when(part(i) == "", 1).otherwise(F.try_to_number(part(i), F.lit("9999999999")).cast("int"))
-    return h.select("change_id", "file_no", (F.col("n") - 1).alias("hunk_no"), part(1).cast("int").alias("source_start"), length(2).alias("source_length"), part(3).cast("int").alias("target_start"), length(4).alias("target_length"), F.regexp_replace(part(5), r"\r$", "").alias("section_header"), "hunk")
+    return h.select("change_id", "file_no", (F.col("n") - 1).alias("hunk_no"), part(1).cast("int").alias("source_start"), length(2).alias("source_length"), part(3).cast("int").alias("target_start"), length(4).alias("target_length"), F.regexp_replace(part(5), r"\r$", "").alias("section_header"), *carry, "hunk")
 
 
 def split_hunks(changes: DataFrame) -> DataFrame:
@@ -69,10 +75,15 @@ def split_hunks(changes: DataFrame) -> DataFrame:
     return _hunks(changes).drop("hunk")
 
 
-def _body(changes: DataFrame) -> DataFrame:
+#: What located lines carry of their file, and of their hunk's header.
+FILE_COLUMNS = ("path", "is_binary")
+HUNK_COLUMNS = ("source_start", "source_length", "target_start", "target_length")
+
+
+def _body(changes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """All lines below hunk headers with running counts of what the hunk has had before them."""
-    h = _hunks(changes).drop("section_header")
-    rows = h.select("change_id", "file_no", "hunk_no", "source_start", "source_length", "target_start", "target_length", F.posexplode(F.split("hunk", "\n")).alias("line_idx", "raw")).where("line_idx > 0")
+    h = _hunks(changes, carry)
+    rows = h.select("change_id", "file_no", "hunk_no", *HUNK_COLUMNS, *carry, F.posexplode(F.split("hunk", "\n")).alias("line_idx", "raw")).where("line_idx > 0")
     mark = F.substring("raw", 1, 1)
     kind = F.when(mark == "+", "added").when(mark == "-", "removed").when((mark == " ") | F.col("raw").isin("", "\r"), "context").when(mark == "\\", "marker").otherwise("bad")
     rows = rows.withColumn("kind", kind).withColumn("content", F.regexp_replace(F.when(F.col("raw") == "", "").otherwise(F.expr("substring(raw, 2)")), r"\r$", ""))
@@ -81,13 +92,14 @@ def _body(changes: DataFrame) -> DataFrame:
     return rows.withColumn("olds", F.sum(old).over(w)).withColumn("news", F.sum(new).over(w)).withColumn("open", (F.col("olds") - old < F.col("source_length")) | (F.col("news") - new < F.col("target_length")))
 
 
-def number_lines(changes: DataFrame) -> DataFrame:
+def number_lines(changes: DataFrame, located: bool = False) -> DataFrame:
     """diff_lines: every line of every hunk, numbered after and before the change.
 
     Text after a hunk has reached its declared lengths is dropped, and so are `\\ No newline` markers. line_idx counts
-    the hunk's lines from 0.
+    the hunk's lines from 0. located: the lines carry FILE_COLUMNS and HUNK_COLUMNS too, so that a scan needs no join
+    with files that come out of the same texts.
     """
-    b = _body(changes).where(F.col("open") & F.col("kind").isin("added", "removed", "context"))
+    b = _body(changes, FILE_COLUMNS if located else ()).where(F.col("open") & F.col("kind").isin("added", "removed", "context"))
     return b.select(
         "change_id",
         "file_no",
@@ -97,9 +109,15 @@ def number_lines(changes: DataFrame) -> DataFrame:
         "content",
         F.when(F.col("kind") != "removed", F.col("target_start") - 1 + F.col("news")).cast("int").alias("line_no"),
         F.when(F.col("kind") != "added", F.col("source_start") - 1 + F.col("olds")).cast("int").alias("source_line_no"),
+        *(FILE_COLUMNS + HUNK_COLUMNS if located else ()),
     )
 
 
+def located(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """lines with their file's path and is_binary, joined on if they don't carry them."""
+    return lines if "path" in lines.columns else lines.join(files.select("change_id", "file_no", *FILE_COLUMNS), ["change_id", "file_no"])
+
+
 def parse_status(changes: DataFrame) -> DataFrame:
     """change_id, status: ok, empty (blank text) or parse_error.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.functions.text import strip
+from diffloom.operators.lines import located
 
 #: The kinds of placeholder.
 PLACEHOLDER = r"\[MASKED_[A-Z_]*\]"
@@ -63,21 +64,38 @@ def path_signal(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)tests?/|(^|/)fixtures/|(^|/)test_[^/]*$|(^|/)conftest\.py$|_test\.[^/.]+$"), "test").otherwise("src")
 
 
-def secret_findings(masked: DataFrame, files: DataFrame) -> DataFrame:
-    """One hardcoded_secrets finding for each masked added line (M4, R14): severity by path, confidence by detector."""
-    added = masked.where("masked AND kind = 'added'").join(files.where("NOT is_binary").select("change_id", "file_no", "path"), ["change_id", "file_no"])
+def secret_evidence() -> Column:
+    """What a masked line shows: the variable, the placeholder, the masked text."""
     kind = F.regexp_extract("content", r"\[(MASKED_[A-Z_]*)\]", 1)
     name = F.regexp_extract("content", r"([A-Za-z_][A-Za-z0-9_.]*)['\"]?\s*[:=]", 1)
+    return F.concat(F.lit("Secret value "), F.when(name != "", F.concat(F.lit("in `"), name, F.lit("` "))).otherwise(""), F.lit("replaced by ["), kind, F.lit("]: `"), strip(F.col("content")), F.lit("`"))
+
+
+SECRET_RISK = "A credential in source code is readable by everyone with access to the repository and its history."
+SECRET_RECOMMENDATION = "Rotate the credential and load it from a secret store."
+
+
+def secret_severity() -> Column:
+    return F.when(path_signal(F.col("path")) == "test", "low").otherwise("high")
+
+
+def secret_confidence() -> Column:
+    return F.when(F.regexp_extract("content", r"\[(MASKED_[A-Z_]*)\]", 1) == "MASKED_KEY", "medium").otherwise("high")
+
+
+def secret_findings(masked: DataFrame, files: DataFrame) -> DataFrame:
+    """One hardcoded_secrets finding for each masked added line (M4, R14): severity by path, confidence by detector."""
+    added = located(masked.where("masked AND kind = 'added'"), files).where("NOT is_binary")
     return added.select(
         "change_id",
         F.col("path").alias("file"),
         F.col("line_no").alias("line"),
         F.lit("hardcoded_secrets").alias("category"),
-        F.when(path_signal(F.col("path")) == "test", "low").otherwise("high").alias("severity"),
-        F.when(kind == "MASKED_KEY", "medium").otherwise("high").alias("confidence"),
-        F.concat(F.lit("Secret value "), F.when(name != "", F.concat(F.lit("in `"), name, F.lit("` "))).otherwise(""), F.lit("replaced by ["), kind, F.lit("]: `"), strip(F.col("content")), F.lit("`")).alias("evidence"),
-        F.lit("A credential in source code is readable by everyone with access to the repository and its history.").alias("risk"),
-        F.lit("Rotate the credential and load it from a secret store.").alias("recommendation"),
+        secret_severity().alias("severity"),
+        secret_confidence().alias("confidence"),
+        secret_evidence().alias("evidence"),
+        F.lit(SECRET_RISK).alias("risk"),
+        F.lit(SECRET_RECOMMENDATION).alias("recommendation"),
         F.lit("deterministic").alias("source"),
         F.lit("secrets.detect_secrets").alias("rule_id"),
         F.struct(F.lit(0).alias("stage"), "file_no", "hunk_no", "line_idx", F.lit(0).alias("rule")).alias("seq"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from diffloom.functions.text import json_list, tokens
@@ -33,13 +34,25 @@ def _rendered(kind: Column, line_no: Column, content: Column) -> Column:
     return F.when(kind == "added", F.concat(F.lit("+ "), number, F.lit(" | "), content)).when(kind == "removed", F.concat(F.lit("-        | "), content)).otherwise(F.concat(F.lit("         | "), content))
 
 
+def _hunk_head() -> Column:
+    return F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in ("@@ -", F.col("source_start").cast("string"), ",", F.col("source_length").cast("string"), " +", F.col("target_start").cast("string"), ",", F.col("target_length").cast("string"), " @@")])
+
+
 def hunk_texts(filtered: DataFrame, hunks: DataFrame, lines: DataFrame) -> DataFrame:
     """change_id, file_no, path, hunk_no, citable (sorted line numbers), text of each hunk to review."""
     keep = filtered.where("exclusion_reason IS NULL").select("change_id", "file_no", "path")
     body = lines.join(keep.select("change_id", "file_no"), ["change_id", "file_no"]).groupBy("change_id", "file_no", "hunk_no").agg(F.array_sort(F.collect_list(F.struct("line_idx", _rendered(F.col("kind"), F.col("line_no"), F.col("content")).alias("t"), F.when(F.col("kind") == "added", F.col("line_no")).alias("n")))).alias("l"))
-    head = F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in ("@@ -", F.col("source_start").cast("string"), ",", F.col("source_length").cast("string"), " +", F.col("target_start").cast("string"), ",", F.col("target_length").cast("string"), " @@")])
     rows = keep.join(hunks, ["change_id", "file_no"]).join(body, ["change_id", "file_no", "hunk_no"], "left")
-    return rows.select("change_id", "file_no", "path", "hunk_no", F.coalesce(F.filter("l.n", lambda n: n.isNotNull()), F.array().cast("array<int>")).alias("citable"), F.concat_ws("\n", head, F.array_join("l.t", "\n")).alias("text"))
+    return rows.select("change_id", "file_no", "path", "hunk_no", F.coalesce(F.filter("l.n", lambda n: n.isNotNull()), F.array().cast("array<int>")).alias("citable"), F.concat_ws("\n", _hunk_head(), F.array_join("l.t", "\n")).alias("text"))
+
+
+def located_hunk_texts(located: DataFrame) -> DataFrame:
+    """hunk_texts from located lines alone: one grouping by hunk, then a window over the file's hunks for its added lines."""
+    g = located.where("NOT is_binary").groupBy("change_id", "file_no", "path", "hunk_no", "source_start", "source_length", "target_start", "target_length").agg(
+        F.array_sort(F.collect_list(F.struct("line_idx", _rendered(F.col("kind"), F.col("line_no"), F.col("content")).alias("t"), F.when(F.col("kind") == "added", F.col("line_no")).alias("n")))).alias("l"))
+    g = g.withColumn("citable", F.filter("l.n", lambda n: n.isNotNull())).withColumn("_added", F.max(F.size("citable")).over(W.partitionBy("change_id", "file_no")))
+    keep = (F.col("_added") > 0) & ~is_manifest(F.col("path")) & ~F.col("path").rlike(GENERATED)
+    return g.where(keep).select("change_id", "file_no", "path", "hunk_no", "citable", F.concat_ws("\n", _hunk_head(), F.array_join("l.t", "\n")).alias("text"))
 
 
 def block_text(path: Column, citable: Column, hunks: Column) -> Column:

@@ -128,7 +128,7 @@ def d3(spark, d):
 
 @query("d4_d5_number_lines", over("SELECT change_id, file_no, hunk_no, line_idx, kind, content, line_no, source_line_no FROM lines"))
 def d5(spark, d):
-    return scan(spark, d).lines
+    return lines.number_lines(corpus.changes(spark, d))
 
 
 @query("d6_trailing_text", over("SELECT change_id, count(line_idx) AS n_lines FROM lines WHERE change_id % 13 = 3 GROUP BY change_id"))
@@ -245,7 +245,7 @@ def r13(spark, d):
 @query("r15_scan", over("SELECT rule_id, severity, confidence, count(*) AS n FROM found WHERE stage = 1 GROUP BY ALL"))
 def r15(spark, d):
     s = scan(spark, d)
-    return rules.scan(s.masked, s.files).groupBy("rule_id", "severity", "confidence").agg(F.count("*").alias("n"))
+    return s.found.where("seq.stage = 1").groupBy("rule_id", "severity", "confidence").agg(F.count("*").alias("n"))
 
 
 @query("r16_suppressions", over("SELECT * FROM suppressed"))

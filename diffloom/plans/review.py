@@ -29,7 +29,7 @@ class Scan:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return lines.number_lines(self.changes)
+        return lines.number_lines(self.changes, located=True)
 
     @cached_property
     def masked(self) -> DataFrame:
@@ -43,10 +43,14 @@ class Scan:
     def hits(self) -> DataFrame:
         return rules.line_hits(self.masked, self.files, self.rule_list)
 
+    @cached_property
+    def on_lines(self) -> DataFrame:
+        return rules.scan_lines(self.masked, self.files, self.rule_list)
+
     @cached_property
     def found(self) -> DataFrame:
-        """Masker's and rules' findings (V9)."""
-        return self.secrets.unionByName(rules.scan(self.masked, self.files, self.rule_list))
+        """Masker's and rules' findings (V9): one pass over the lines, one over the files."""
+        return self.on_lines.drop("tier").unionByName(rules.manifest_changes(self.files))
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -54,7 +58,7 @@ class Scan:
 
     @cached_property
     def suppressed(self) -> DataFrame:
-        return rules.suppressions(self.hits, self.secrets)
+        return rules.suppressed_lines(self.on_lines)
 
     @cached_property
     def added(self) -> DataFrame:
@@ -94,7 +98,7 @@ class Requests:
 
     @cached_property
     def hunk_texts(self) -> DataFrame:
-        return packing.hunk_texts(self.scan.filtered, self.scan.hunks, self.scan.masked)
+        return packing.located_hunk_texts(self.scan.masked)
 
     @cached_property
     def blocks(self) -> DataFrame:
