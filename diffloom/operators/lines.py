@@ -134,7 +134,7 @@ def parse_status(changes: DataFrame) -> DataFrame:
 
 def added_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct change_id, path, line_no of added lines; of a path that a change has twice the first file counts."""
-    return lines.where("kind = 'added'").join(first_file(files).select("change_id", "file_no", "path"), ["change_id", "file_no"]).select("change_id", "path", "line_no").distinct()
+    return lines.where("kind = 'added'").select("change_id", "file_no", "line_no").join(first_file(files).select("change_id", "file_no", "path"), ["change_id", "file_no"]).select("change_id", "path", "line_no").distinct()
 
 
 def has_added_lines(lines: DataFrame) -> DataFrame:
