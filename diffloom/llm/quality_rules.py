@@ -21,7 +21,8 @@ from diffloom.llm.common import SPACES, offsets, segment_sums, text_slices, word
 BITS = 18
 #: The most labelled rows that the model is fitted on (those with the smallest hash of their id).
 SAMPLE = 3000
-THRESHOLD = 0.5
+#: Below even odds: the classes are uneven, and a lost good document costs more than a kept bad one.
+THRESHOLD = 0.3
 #: Texts of the sample whose n-grams are worked on at a time.
 PART = 100
 SYMBOLS = b"#*$%&|<>"
