@@ -35,6 +35,7 @@ SLICE_CHARS = 16_000_000
 PRIOR = 60.0
 #: Stand-ins for the begin and end of a text (no word holds these bytes).
 BEGIN, END = b"\r", b"\n"
+_MARKS = np.array([xxhash.xxh64_intdigest(w, SEED) for w in (BEGIN, END)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,7 +109,7 @@ def _chunks(batches, n_slices: int, id_type: pa.DataType):
         chunk = f"{part}-{seq}"
         seq += 1
         null = [None] * 5
-        yield [chunk, -1, None, None, None, ids, held, sizes, _pack(stream), _pack(hashes)]
+        yield [chunk, -1, None, None, None, ids, held, sizes, _pack(stream), _pack(np.diff(hashes[2:], prepend=np.uint64(0)))]
         cuts = _slices(hashes[2:], n_slices) + 2
         for s in range(n_slices):
             where = np.r_[np.arange(2) if s == 0 else [], np.arange(cuts[s], cuts[s + 1])].astype(int)
@@ -246,7 +247,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         got = sorted(zip(found.column("kind").to_pylist(), found.column("slice").to_pylist(), range(found.num_rows), strict=True))
         counts = {k: np.concatenate([_unpack(found.column("totals")[i].as_py(), np.int64) for q, _, i in got if q == k]) for k in ("word", "pair")}
         sizes = np.array(body.column("sizes")[0].as_py(), np.int64)
-        stream, hashes = _unpack(body.column("stream")[0].as_py(), np.int32), _unpack(body.column("vocabulary")[0].as_py(), np.uint64)
+        stream, steps = _unpack(body.column("stream")[0].as_py(), np.int32), _unpack(body.column("vocabulary")[0].as_py(), np.uint64)
+        hashes = np.r_[_MARKS, np.cumsum(steps, dtype=np.uint64)]
         at = offsets(sizes)
         _, pair, code = _pairs(stream, at, hashes)
         model = Automaton(counts["word"], counts["pair"], code % len(hashes), code // len(hashes), n, v, prior)
