@@ -65,7 +65,7 @@ def s2(spark, d):
     return c.select("change_id", "decodable").join(lines.parse_status(c), "change_id")
 
 
-@query("s3_read_responses", "SELECT 'review-' || l_orderkey AS label, CASE WHEN l_orderkey % 7 IN (2) THEN 'no json' ELSE 'json' END AS kind FROM lineitem WHERE l_orderkey % 97 = 1 GROUP BY l_orderkey")
+@query("s3_read_responses", "SELECT 'review-' || l_orderkey AS label, CASE WHEN l_orderkey % 7 = 2 OR l_orderkey % 31 = 0 THEN 'no json' ELSE 'json' END AS kind FROM lineitem WHERE l_orderkey % 97 = 1 GROUP BY l_orderkey")
 def s3(spark, d):
     """Recorded responses are small files: one for each of some labels, written by Spark and read by label."""
     a = answers(spark, d).where("change_id % 97 = 1 AND call = 'review'")
