@@ -69,7 +69,7 @@ def test_article_text():
     assert html_text.page_text(PAGE) == ("Title & more One bold two three é four five six", "")
 
 
-@pytest.mark.parametrize(("source", "want"), [(None, ("", "")), ("", ("", "")), ("<p>a<p>b", ("", "a b")), ("<article>", ("", "")), ("<main>x</main><article>y", ("x y", "")), ("<div role=main>q</div>z", ("q", "")), ("a < b &lt;i&gt; <p", ("", "a < b <i>")), ("<nav><p>x</nav>y", ("", "y")), ("<script>never closed", ("", "")), ("<article>a<i>b</i></b>c</article>", ("abc", ""))])
+@pytest.mark.parametrize(("source", "want"), [(None, ("", "")), ("", ("", "")), ("<p>a<p>b", ("", "a b")), ("<article>", ("", "")), ("<main>x</main><article>y", ("x y", "")), ("<div role=main>q</div>z", ("q", "")), ("a < b &lt;i&gt; <p", ("", "a < b <i>")), ("<nav><p>x</nav>y", ("", "y")), ("<script>never closed", ("", "")), ("<article>a<i>b</i></b>c</article>", ("abc", "")), ("<div id=site-header>h</div>x", ("", "x")), ('<div class="post comments-open"><article>a<article class="comment">no</article>b</article></div>', ("a b", ""))])
 def test_small_pages(source, want):
     assert html_text.page_text(source) == want
 
