@@ -52,7 +52,7 @@ def shared(spark) -> str:
 
 @query("s1_read_changes", over("SELECT change_id, CAST(sum(CASE WHEN is_binary THEN 0 ELSE n_added END) AS BIGINT) AS n_added, true AS decodable FROM files GROUP BY change_id"))
 def s1(spark, d):
-    """Texts written to files' bytes and read back as changes."""
+    """Changes from a table with a text column."""
     c = diffs.from_table(corpus.changes(spark, d), "change_id", "diff_text")
     g = lines.number_lines(c.select("change_id", "diff_text")).groupBy("change_id").agg(F.count_if(F.col("kind") == "added").alias("n_added"))
     return c.join(g, "change_id", "left").select("change_id", F.coalesce("n_added", F.lit(0)).alias("n_added"), "decodable")
@@ -65,14 +65,14 @@ def s2(spark, d):
     return c.select("change_id", "decodable").join(lines.parse_status(c), "change_id")
 
 
-@query("s3_read_responses", "SELECT 'review-' || l_orderkey AS label, CASE WHEN l_orderkey % 7 = 2 OR l_orderkey % 31 = 0 THEN 'no json' ELSE 'json' END AS kind FROM lineitem WHERE l_orderkey % 97 = 1 GROUP BY l_orderkey")
+@query("s3_read_responses", "SELECT 'review-' || l_orderkey AS label, CASE WHEN l_orderkey % 7 = 2 OR l_orderkey % 31 = 0 THEN 'no json' ELSE 'json' END AS kind FROM lineitem GROUP BY l_orderkey")
 def s3(spark, d):
-    """Recorded responses are small files: one for each of some labels, written by Spark and read by label."""
-    a = answers(spark, d).where("change_id % 97 = 1 AND call = 'review'")
+    """Every change's recorded review, written as a table and read by label."""
     out = shared(spark)
-    a.select(F.col("response"), F.concat(F.lit("review-"), F.col("change_id")).alias("label")).write.partitionBy("label").text(out)
-    r = spark.read.text(out, wholetext=True)
-    return r.select("label", F.when(F.col("value").contains("{"), "json").otherwise("no json").alias("kind"))
+    a = answers(spark, d).where("call = 'review'").withColumn("stem", F.col("change_id")).withColumn("n_batches", F.lit(1))
+    sinks.labelled(a).select("label", "response").write.parquet(out)
+    r = diffs.read_response_table(spark, out)
+    return r.select("label", F.when(F.col("response").contains("{"), "json").otherwise("no json").alias("kind"))
 
 
 @query("s4_review_json", over("SELECT change_id, 'findings,no_findings_reason,overall_risk,pr_comment,summary' AS keys, count(rule_id) AS n_findings FROM (SELECT DISTINCT change_id FROM files) LEFT JOIN (SELECT * FROM det WHERE change_id IN (SELECT change_id FROM lines WHERE kind = 'added')) USING (change_id) GROUP BY change_id"))
@@ -131,9 +131,9 @@ def d5(spark, d):
     return lines.number_lines(corpus.changes(spark, d))
 
 
-@query("d6_trailing_text", over("SELECT change_id, count(line_idx) AS n_lines FROM lines WHERE change_id % 13 = 3 GROUP BY change_id"))
+@query("d6_trailing_text", over("SELECT change_id, count(*) AS n_lines FROM lines GROUP BY change_id"))
 def d6(spark, d):
-    c = corpus.changes(spark, d, damage=True).where("change_id % 13 = 3")
+    c = corpus.changes(spark, d).withColumn("diff_text", F.concat("diff_text", F.lit("\n\n")))
     return lines.number_lines(c).groupBy("change_id").agg(F.count("*").alias("n_lines"))
 
 

@@ -31,3 +31,8 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """responses(label, response): one recorded response for each file, named by its label (S3)."""
     raw = spark.read.text(path, wholetext=True)
     return raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("label"), F.col("value").alias("response"))
+
+
+def read_response_table(spark: SparkSession, path: str) -> DataFrame:
+    """responses(label, response) of a table of recorded responses: the form for many, where a file each would be too small (S3)."""
+    return spark.read.schema("label string, response string").parquet(path)
