@@ -173,6 +173,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "in/review-x.json").write_text("{}\n")
     got = diffs.read_responses(spark, f"file://{tmp_path}/in/*.json").collect()
     assert [(r.label, r.response) for r in got] == [("review-x", "{}\n")]
+    rows = [("review-x", "{}"), ("review-y", None), ("review-x", "{}")]
+    spark.createDataFrame(rows, "label string, response string").withColumn("extra", F.lit(1)).write.parquet(f"file://{tmp_path}/table")
+    table = diffs.read_response_table(spark, f"file://{tmp_path}/table")
+    assert table.columns == ["label", "response"] and sorted(map(tuple, table.collect()), key=str) == sorted(rows, key=str)
 
 
 def test_cache_and_labels(spark, tmp_path):
