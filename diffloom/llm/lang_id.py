@@ -5,8 +5,9 @@ bit i. The AND of a trigram's slots is the mask of the languages whose filter ho
 found for each language, less the false positives that the filter's fill leads one to expect, and the largest count
 decides.
 
-A trigram belongs to a language's filter if its share of the language's trigrams is MIN_RATE or more, so a filter
-holds 1 / MIN_RATE trigrams at most, whatever the corpus.
+A trigram belongs to a language's filter if its share of the language's trigrams, one sighting left out, is MIN_RATE or
+more, so a filter holds 1 / MIN_RATE trigrams at most, whatever the corpus. The sighting left out tells nothing in a large
+corpus; in a language value of a single document it keeps most of the text's rare trigrams from passing for common ones.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from diffloom.llm.common import offsets, text_slices
 
 MIN_RATE = 1e-4
 HASHES = 3
-#: The pipeline keeps documents whose language has this share of all corrected hits, and hits for this share of the trigrams.
-MIN_SCORE, MIN_HITS = 0.3, 0.2
+#: The pipeline keeps documents whose language has hits for this share of the trigrams. The score is no measure of that: it
+#: is a share of all languages' hits and sinks with each language, so it only tells languages apart.
+MIN_HITS = 0.2
 
 
 @cache
@@ -135,7 +137,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    members = counts.join(total, "lang").where(F.col("n") >= F.col("total") * min_rate).select("lang", "gram", "total").collect()
+    members = counts.join(total, "lang").where(F.col("n") - 1 >= F.col("total") * min_rate).select("lang", "gram", "total").collect()
     size = {r.lang: r.total for r in members}
     languages = sorted(size)
     return build([(r.lang, r.gram) for r in members], languages, max(range(len(languages)), key=lambda i: size[languages[i]], default=0))
@@ -165,16 +167,16 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, hit_rate double")
 
 
-def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", min_score: float = MIN_SCORE, min_hits: float = MIN_HITS) -> DataFrame:
-    """docs without the rows whose text is in no learnt language; all columns stay."""
+def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", min_hits: float = MIN_HITS) -> DataFrame:
+    """docs without the rows whose text is in no learnt language, however many languages are learnt; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
         for batch in batches:
             keep: list[bool] = []
             for _, texts in text_slices(batch.column(text_col)):
-                names, score, rate = shared.value.decide(texts)
-                keep += [x != "und" and s >= min_score and r >= min_hits for x, s, r in zip(names, score, rate, strict=True)]
+                names, _, rate = shared.value.decide(texts)
+                keep += [x != "und" and r >= min_hits for x, r in zip(names, rate, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

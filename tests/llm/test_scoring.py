@@ -107,3 +107,21 @@ def test_nothing_learnt(spark):
     f = lang_id.learn(df)
     assert [r.lang_pred for r in lang_id.predict(df, f).collect()] == ["und"]
     assert lang_id.predict(df.limit(0), f).count() == 0
+
+
+def test_known_texts_stay_with_twelve_languages_and_stray_labels(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    shared = [word() for _ in range(60)]  # words that all languages have
+    pools = [shared + [word() for _ in range(60)] for _ in range(12)]
+    text = lambda k, n=120: " ".join(rng.choices(pools[k], k=n))
+    rows = [(i, text(i % 12), f"l{i % 12:02d}") for i in range(480)]
+    ids = [i for i in range(1000, 1040) if not lang_id.is_held_out(i)][:6]
+    rows += [(i, text(0, 400), f"stray{n}") for n, i in enumerate(ids)]  # six labels of one text each, all in language 0
+    rows += [(2000, "\u4e00\u4e8c\u4e09" * 40, None)]  # in no language
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    f = lang_id.learn(df)
+    assert {r.doc_id for r in lang_id.keep_known(df, f).collect()} == {i for i, _, _ in rows} - {2000}
+    held = [r for r in lang_id.predict(df, f).collect() if r.held_out and r.doc_id < 480]
+    assert min(r.score for r in held) < 0.3
+    assert all(r.lang_pred == f"l{r.doc_id % 12:02d}" for r in held)
