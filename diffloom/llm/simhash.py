@@ -282,9 +282,133 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "node").select("doc_id", "fp", "n_shingles", "component_id")
 
 
-#: The pipeline's near copies: five-word shingles, 128 bits. At a similarity of 0.8 about 19 bits differ (a seventh); 26
-#: take in nearly all such pairs, while unrelated texts differ in 64 bits, with a standard deviation of 6.
-COPIES = {"shingle": 5, "width": 16, "radius": 26, "min_ratio": 0.8}
+#: The pipeline's near copies: a similarity of SIMILAR or more between the sets of five-word shingles. Fingerprints of the
+#: sets (128 bits) only find candidates: at 0.8 about 19 bits differ, with a standard deviation of 4, and unrelated texts
+#: differ in 64, with one of 6, so RADIUS leaves 3 deviations below and 5 above.
+SIMILAR, SHINGLE, RADIUS = 0.8, 5, 32
+#: Shingles of the sets that one block of a group holds.
+BLOCK_SHINGLES = 1 << 21
+
+
+def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> list[tuple[bytes, bytes, np.ndarray]]:
+    """(node: fingerprint of the set and its size; signature of the set; the sorted XXH3-128 hashes) of each text."""
+    out = []
+    for t in texts:
+        w = lower_words(t)
+        grams = {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+        raw = b"".join(sorted(xxhash.xxh3_128_digest(g, SEED) for g in grams))
+        h = np.frombuffer(raw, np.uint8).reshape(-1, 16)
+        ones = np.zeros(128, np.int64)
+        for a in range(0, len(h), 4096):
+            ones += np.unpackbits(h[a : a + 4096], axis=1).sum(0, dtype=np.int64)
+        fp = np.packbits(2 * ones > len(h)).tobytes()
+        out.append((fp + len(h).to_bytes(8, "big"), xxhash.xxh3_128_digest(raw, SEED), np.ascontiguousarray(h[:, :8]).view(np.uint64)[:, 0]))
+    return out
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str, sets: bool = False) -> DataFrame:
+    """doc_id, node, sig (and the set's hashes in bytes) of each row of docs."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            start = 0
+            for _, texts in text_slices(batch.column("text"), 1 << 20):
+                found = shingle_sets(texts)
+                columns = [batch.column("doc_id").slice(start, len(texts)), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())]
+                if sets:
+                    columns.append(pa.array([x[2].tobytes() for x in found], pa.binary()))
+                start += len(texts)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "sig", "hashes"][: len(columns)])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, sig binary" + (", hashes binary" if sets else ""))
+
+
+def exact_links(sigs: list[bytes], sets: list[np.ndarray], own: list[int], similar: float = SIMILAR):
+    """Spanning forest (u, v) of the pairs of sets with that Jaccard similarity at least; own: block of each set (pairs across two blocks, or all in one)."""
+    n = np.array([len(x) for x in sets], np.int64)
+    own_ = np.array(own)
+    at, flat = np.zeros(len(sets) + 1, np.int64), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    np.cumsum(n, out=at[1:])
+    values, flat = np.unique(flat, return_inverse=True)
+    mark, root = np.zeros(len(values), bool), np.arange(len(sets))
+    cross = len(set(own)) > 1
+    for q in np.flatnonzero(own_ == own_.min()) if cross else range(1, len(sets)):
+        others = np.flatnonzero(own_ != own_[q]) if cross else np.arange(q)
+        others = others[np.minimum(n[others], n[q]) >= similar * np.maximum(n[others], n[q])]
+        mine = flat[at[q] : at[q + 1]]
+        mark[mine] = True
+        while True:
+            others = others[root[others] != root[q]]
+            if not len(others):
+                break
+            # one of each component at a time: its others need no look once that one is linked
+            _, first = np.unique(root[others], return_index=True)
+            ask, others = others[first], np.delete(others, first)
+            for a in range(0, len(ask), 256):
+                part = ask[a : a + 256]
+                hit = np.array([np.count_nonzero(mark[flat[at[j] : at[j + 1]]]) for j in part], np.int64)
+                for j in part[hit >= similar * (n[part] + n[q] - hit) - 1e-9]:
+                    if root[j] != root[q]:
+                        yield sigs[max(q, j)], sigs[min(q, j)]
+                        x, y = root[j], root[q]
+                        root[root == max(x, y)] = min(x, y)
+        mark[mine] = False
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, component_id (smallest id reachable through links) of each row of docs.
+
+    Two rows link if the sets of their shingles have a Jaccard similarity of SIMILAR or more. Groups of near fingerprints are
+    candidates; within a group, sets are compared in pairs of blocks, so that no task holds a whole hot group.
+    """
+    signed = saved(_signed(docs, id_col, text_col), "signatures")
+    keys = saved(signed.groupBy("node", "sig").agg(F.min("doc_id").alias("least")), "sets")
+    stars = components(links(keys.select("node").distinct(), 16, RADIUS, SIMILAR))
+    member = stars.select(F.col("u").alias("node"), F.col("v").alias("near")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("near")).distinct())
+    keys = keys.join(member, "node", "left").withColumn("near", F.coalesce("near", "node"))
+    size = F.conv(F.hex(F.substring("node", 17, 8)), 16, 10).cast("long")
+    groups = keys.groupBy("near").agg(F.count("*").alias("n"), F.ceil(F.sum(size) / block).cast("int").alias("blocks")).where("n > 1")
+    asked = saved(keys.join(groups, "near").select("sig", "near", F.greatest("blocks", F.lit(1)).alias("blocks"), "least"), "asked")
+    named = asked.where("least IS NOT NULL").select(F.col("least").alias("_asked")).distinct()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(named, texts["doc_id"] == named["_asked"], "left_semi").unionByName(texts.where("doc_id IS NULL"))
+    held = _signed(texts, "doc_id", "text", True).dropDuplicates(["sig"]).join(asked.select("sig", "near", "blocks"), "sig")
+    held = held.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("near", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sig", "hashes")
+    # in a pair of two blocks each asks only the other; a block's own pairs are those of (own, own)
+    held = held.repartition("near", "lo", "hi").sortWithinPartitions("near", "lo", "hi", "sig")
+
+    def check(batches):
+        at, sigs, sets, own = None, [], [], []
+        us, vs = [], []
+
+        def close():
+            if len(sigs) > 1 and (at[1] == at[2] or len(set(own)) > 1):
+                for u, v in exact_links(sigs, sets, own):
+                    us.append(u)
+                    vs.append(v)
+
+        for batch in batches:
+            for near, lo, hi, o, sig, hashes in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if at != (near, lo, hi):
+                    close()
+                    at, sigs, sets, own = (near, lo, hi), [], [], []
+                sigs.append(sig)
+                sets.append(np.frombuffer(hashes, np.uint64))
+                own.append(o)
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+                us, vs = [], []
+        close()
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+
+    stars = components(held.mapInArrow(check, "u binary, v binary"))
+    member = stars.select(F.col("u").alias("sig"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("sig"), F.col("v").alias("root")).distinct())
+    rooted = keys.select("sig", "least").join(member, "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+    tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return signed.join(rooted.join(tops, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,5 +416,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A document is an id: its repeated rows stay or go together, and rows with a null id stay.
     """
-    gone = near_duplicates(docs, id_col, text_col, **COPIES).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = similar_groups(docs, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -123,3 +123,43 @@ def test_simhash_tie_is_no_bit():
     f, n = simhash.simhash(["a b c d"], 3, 8)
     h = [xxhash.xxh64_intdigest(x, 42) for x in (b"a b c", b"b c d")]
     assert int.from_bytes(f[0].tobytes(), "big") == h[0] & h[1] and n[0] == 2 and isinstance(f, np.ndarray)
+
+
+def plain_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("block", [300, 1 << 21])
+def test_near_copies_have_exact_similarity(spark, block):
+    rng = random.Random(12)
+    texts = []
+    for k in range(24):
+        w = prose(rng, "aa", 150).split()
+        texts.append(" ".join(w))
+        for _ in range(3):  # edits of one word each change five shingles: similarities around 0.8, in chains too
+            x = w[:]
+            for i in rng.sample(range(10, 140), rng.randint(1, 5)):
+                x[i] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(x))
+            if k % 3 == 0:
+                w = x
+    w = texts[0].split()
+    texts += [texts[0] + " " + " ".join([" ".join(w[:60])] * 9)]  # the same set but for the seams, far more shingles
+    rng.shuffle(texts)
+    sets = [plain_set(t) for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = plain_components(sets, near)
+    assert sum(near(a, b) for a in sets for b in sets if a is not b) > 40
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, list(enumerate(texts))), block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_one_of_each_keeps_texts_below_the_similarity(spark):
+    rng = random.Random(13)
+    w = prose(rng, "aa", 200).split()
+    other = [f"x{i}" if i % 25 == 12 else x for i, x in enumerate(w)]  # 8 edits: similarity about 0.66
+    again = w + w[:60] * 9
+    assert len(plain_set(" ".join(w)) & plain_set(" ".join(other))) < 0.7 * len(plain_set(" ".join(w)) | plain_set(" ".join(other)))
+    rows = [(1, " ".join(w)), (2, " ".join(other)), (3, " ".join(again))]
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == [1, 2]
