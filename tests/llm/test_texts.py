@@ -74,6 +74,25 @@ def test_small_pages(source, want):
     assert html_text.page_text(source) == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ('<div class="layout sidebar-right"><article>a b</article><div class="left-sidebar">no</div></div>', "a b"),
+    ('<form id="aspnetForm"><nav>no</nav><article>a</article><input><p>no</p></form>', "a"),
+    ('<div class="widget">no<div><main>a<div class="ad">no</div> b</main></div>no</div>', "a b"),
+    ('<main><form><article>a</article></form></main>', "a"),
+    ('<article>a<section id="related-work">b</section><section id="social-impact">c</section><div class="search-results">d</div></article>', "a b c d"),
+    ('<article>a<div class="related-posts">no</div><div class="cookieBar">no</div><div id="ad-1">no</div></article>', "a"),
+    ('<article>a</article><div class="sidebar"><article>no</article></div>', "a"),
+    ('<main>a<section class="comments"><article>no</article></section></main>', "a"),
+    ('<aside><article>no</article></aside><article>a</article>', "a"),
+])
+def test_wrappers_and_whole_names(source, want):
+    assert html_text.page_text(source) == (want, "")
+
+
+def test_a_wrapped_teaser_is_not_the_page():
+    assert html_text.page_text('<div><p>the text of the page</p></div><div class="sidebar"><article>no</article></div>') == ("", "the text of the page")
+
+
 def test_suffix_array_removes_a_hosts_repeated_runs(spark):
     rng = random.Random(1)
     boiler = " ".join(f"menu{i}" for i in range(12))
