@@ -110,6 +110,20 @@ def test_suffix_array_removes_a_hosts_repeated_runs(spark):
         assert text == {**want, 7: "", 8: "", 9: boiler}[i] and n == len(text)
 
 
+def test_copies_and_shared_passages_of_loose_pages_stay(spark):
+    rng = random.Random(2)
+    boiler, quote = (" ".join(f"{x}{i}" for i in range(12)) for x in ("menu", "quote"))
+    own = [prose(rng, "aa", 20) for _ in range(40)]
+    rows = [(i, f"http://h.com/{i}", f"<div>{boiler}</div><p>{t}</p>" + (f"<p>{quote}</p>" if i < 3 else "")) for i, t in enumerate(own)]
+    want = {i: f"{t} {quote}" if i < 3 else t for i, t in enumerate(own)}
+    copy = prose(rng, "bb", 30)
+    rows += [(100, "http://c.com/a", f"<p>{copy}</p>"), (101, "http://c.com/a?print=1", f"<p>{copy}</p>"), (102, None, f"<p>{copy}</p>"), (103, "bad", f"<p>{copy}</p>")]
+    rows += [(104, "http://h.com/menu", f"<div>{boiler}</div>"), (105, "http://h.com/cut", f"<p>{boiler} and more</p>")]
+    want |= dict.fromkeys((100, 101, 102, 103), copy) | {104: boiler, 105: f"{boiler} and more"}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == want
+
+
 def np_lit(x):
     from pyspark.sql import functions as F
 
