@@ -1,9 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignments score them.
+"""Benchmark decontamination: gapped word pairs find passages, Smith-Waterman alignments score them.
 
-Words are lower-cased (A-Z) and freed of ASCII punctuation. Every run of SEED_WORDS words of a benchmark item is a
-seed; of those an item keeps the rare ones (in MAX_ITEMS items at most), or all if it has no rare one. Documents are scanned once
-against a bit table of a fixed size; passages around its hits are joined with the seeds on their hash, and each pair
-of passage and item is aligned (match 2, mismatch and gap -1). The score is the alignment's share of the full one.
+Words are lower-cased (A-Z) and freed of ASCII punctuation. Each pair of words of a benchmark item that are neighbours or
+have one word between them is a seed; all seeds are kept, common ones too. Documents are scanned once against a bit table of a
+fixed size, then against the seeds' items. A window of a document with enough seeds of an item is aligned with it (match 2,
+mismatch and gap -1). The score is the alignment's share of the full one.
+
+No alignment that scores half of an item of n >= SHORT words is lost. Let it match m words and pay C for what lies between:
+2 m - C >= n, so C <= 2 m - n <= m. Two matched words in turn with more than one word between them, on either side,
+cost 2 or more; so at most C / 2 of the m - 1 steps from match to match do, and n / 2 - 1 steps or more are seeds on both
+sides, one at least. The alignment covers m + C <= 3 m - n <= 2 n words of the document.
 """
 
 from __future__ import annotations
@@ -13,14 +18,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-SEED_WORDS = 4
-MAX_ITEMS = 3
+#: Items of fewer words match as a whole only: half of such an item is a word or two, which any text may hold.
+SHORT = 4
 THRESHOLD = 0.5
 TABLE_BITS = 22
+#: Benchmark words that one scan of the documents holds; a larger benchmark takes several.
+SCAN_WORDS = 500_000
+#: Pairs of a hit and an item that are looked at together.
+TOGETHER = 2_000_000
 _CLEAN = bytes.maketrans(bytes(range(65, 91)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 32)
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 class _Hashes(dict):
@@ -38,16 +46,16 @@ def clean_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_CLEAN).split() if text else []
 
 
-def seeds(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each run of SEED_WORDS words."""
-    n = len(words) - SEED_WORDS + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(n, np.uint64)
-    for k, f in enumerate(_FACTORS):
-        out += (h[k : k + n] ^ (h[k : k + n] >> np.uint64(31))) * f
-    return out ^ (out >> np.uint64(33))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
+
+
+def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the pairs of words at distance 1 and 2, one hash whatever the distance; where they start)."""
+    g = h ^ (h >> np.uint64(31))
+    pairs = [g[:-k] * _FACTORS[0] + g[k:] * _FACTORS[1] for k in (1, 2)]
+    out = np.concatenate(pairs)
+    return out ^ (out >> np.uint64(33)), np.concatenate([np.arange(len(p)) for p in pairs])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> int:
@@ -62,81 +70,140 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
-def item_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, item (cleaned words), n_words, seed: one row for each kept seed of an item."""
-    rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    kind = rows.schema["item_id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            ids, texts, n, s = [], [], [], []
-            for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                w = clean_words(t)
-                for x in set(seeds(w).astype(np.int64).tolist()):
-                    ids.append(i)
-                    texts.append(b" ".join(w))
-                    n.append(len(w))
-                    s.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("item_id").type), pa.array(texts, pa.binary()), pa.array(n, pa.int32()), pa.array(s, pa.int64())], names=["item_id", "item", "n_words", "seed"])
-
-    every = rows.mapInArrow(run, f"item_id {kind}, item binary, n_words int, seed long")
-    often = every.groupBy("seed").agg(F.count("*").alias("items"))
-    marked = every.join(often, "seed").withColumn("least", F.min("items").over(W.partitionBy("item_id", "item")))
-    return marked.where((F.col("items") <= MAX_ITEMS) | (F.col("least") > MAX_ITEMS)).select("item_id", "item", "n_words", "seed")
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score, n_seeds of each document and item whose best alignment scores `threshold` or more.
-
-    Null and empty texts and items match nothing, nor do items under SEED_WORDS words. Repeated rows of a document give
-    one row, as do passages that repeat within it; a null id is one document; extra columns are ignored; an empty
-    table on either side gives no rows. Whole texts are scanned; a passage is as long as its chain of hits.
+class Index:
+    """The seeds of some items: a bit table of a fixed size before the sorted seeds and the items that hold each."""
+
+    def __init__(self, items: list[bytes]):
+        self.items = [x.split() for x in items]
+        self.n = np.array([len(x) for x in self.items], np.int64)
+        self.need = np.maximum(1, -(-self.n // 2) - 1)
+        self.whole = {tuple(x): k for k, x in enumerate(self.items) if len(x) < SHORT}
+        seed, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, x in enumerate(self.items):
+            if len(x) >= SHORT:
+                seed.append(np.unique(seeds(word_hashes(x))[0]))
+                item.append(np.full(len(seed[-1]), k))
+        seed, item = np.concatenate(seed), np.concatenate(item)
+        order = np.argsort(seed, kind="stable")
+        self.seed, first = np.unique(seed[order], return_index=True)
+        self.item, self.at = item[order], np.r_[first, len(order)]
+        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.table[(self.seed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+        self.firsts = {x[0] for x in self.whole}
+
+    def short(self, words: list[bytes]):
+        """Items under SHORT words that stand in the text as a whole."""
+        for i in [i for i, w in enumerate(words) if w in self.firsts] if self.firsts else ():
+            for n in range(1, SHORT):
+                k = self.whole.get(tuple(words[i : i + n])) if i + n <= len(words) else None
+                if k is not None:
+                    yield k
+
+    def windows(self, h: np.ndarray):
+        """(item, first word, end, seeds found) of each passage whose windows hold enough seeds of the item."""
+        if len(h) < 2 or not len(self.seed):
+            return
+        s, where = seeds(h)
+        hit = np.flatnonzero(self.table[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.seed, s[hit]), len(self.seed) - 1)
+        good = self.seed[at] == s[hit]
+        hit, at = hit[good], at[good]
+        if not len(hit):
+            return
+        where = where[hit]
+        many = self.at[at + 1] - self.at[at]
+        lap = 2 * int(self.n.max()) + 3
+        if many.sum() > TOGETHER and len(h) > 4 * lap:  # halves overlap by more words than an alignment covers
+            mid = len(h) // 2
+            yield from self.windows(h[: mid + lap])
+            yield from ((k, lo + mid - lap, hi + mid - lap, n) for k, lo, hi, n in self.windows(h[mid - lap :]))
+            return
+        flat = np.repeat(self.at[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        item, where, seed = self.item[flat], np.repeat(where, many), np.repeat(at, many)
+        order = np.lexsort((where, item))
+        item, where, seed = item[order], where[order], seed[order]
+        new = np.r_[True, (item[1:] != item[:-1]) | (where[1:] != where[:-1])]
+        # the need counts starts of seeds, not the two seeds that may start at a word
+        i, w, need = item[new], where[new], self.need[item[new]]
+        end = np.arange(len(i)) + need - 1
+        ok = end < len(i)
+        end = np.where(ok, end, 0)
+        ok &= (i[end] == i) & (w[end] - w < 2 * self.n[i])
+        full = np.flatnonzero(ok)
+        if not len(full):
+            return
+        n = self.n[i[full]]
+        cut = np.flatnonzero((i[full][1:] != i[full][:-1]) | (w[full][1:] - w[full][:-1] > 2 * n[1:])) + 1
+        for run in np.split(full, cut):
+            k = int(i[run[0]])
+            lo, hi = max(0, int(w[run[0]]) - 2 * int(self.n[k])), int(w[end[run[-1]]]) + 2 * int(self.n[k]) + 3
+            own = slice(*np.searchsorted(item, [k, k + 1]))
+            found = np.unique(seed[own][(where[own] >= lo) & (where[own] < hi)])
+            yield k, lo, hi, len(found)
+
+    def find(self, text: str | None) -> dict[int, tuple[float, int]]:
+        """score and number of seeds of each item that the text may hold."""
+        words, out = clean_words(text), {}
+        for k in self.short(words):
+            out[k] = 1.0, 1
+        h = word_hashes(words)
+        for k, lo, hi, n_seeds in self.windows(h):
+            score = align(word_hashes(self.items[k]), h[lo:hi]) / (2 * self.n[k])
+            old = out.get(k, (0.0, 0))
+            out[k] = max(old[0], float(score)), max(old[1], n_seeds)
+        return out
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, scan_words: int = SCAN_WORDS) -> DataFrame:
+    """doc_id, item_id, score, n_seeds of each document and item whose best alignment scores `threshold` (0.5 at least) or more.
+
+    Items under SHORT words match where all their words stand in turn. Null and empty texts and items match nothing. Repeated
+    rows of a document give one row, as do passages that repeat within it; a null id is one document; extra columns are
+    ignored; an empty table on either side gives no rows. Whole texts are scanned.
     """
     spark = docs.sparkSession
-    own = item_seeds(benchmark)
-    shift = 64 - TABLE_BITS
-    facts = own.agg(F.max("n_words").alias("n"), F.collect_set(F.shiftrightunsigned("seed", shift).cast("int")).alias("slots")).first()
-    table = np.zeros(1 << TABLE_BITS, bool)  # 2**TABLE_BITS slots, however many seeds there are
-    table[facts.slots or []] = True
-    margin = int(facts.n or 0)
-    shared = spark.sparkContext.broadcast(np.packbits(table))
+    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    kind, id_kind = docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def scan(batches):
-        known = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            ids, passages, found = [], [], []
-            for i, text in enumerate(batch.column("text")):
-                w = clean_words(text.as_py())
-                s = seeds(w)
-                hit = np.flatnonzero(known[(s >> np.uint64(shift)).astype(np.int64)])
-                if not len(hit):
-                    continue
-                for run in np.split(hit, np.flatnonzero(np.diff(hit) > margin) + 1):
-                    ids.append(i)
-                    passages.append(b" ".join(w[max(0, run[0] - margin) : run[-1] + SEED_WORDS + margin]))
-                    found.append(np.unique(s[run].astype(np.int64)).tolist())
-            if ids:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids)), pa.array(passages, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "passage", "seeds"])
-
-    hits = rows.mapInArrow(scan, f"doc_id {kind}, passage binary, seeds array<long>")
-    pairs = hits.withColumn("seed", F.explode("seeds")).drop("seeds").join(own, "seed").groupBy("doc_id", "passage", "item_id", "item").agg(F.count("*").alias("n_seeds"))
-    id_kind = own.schema["item_id"].dataType.simpleString()
-
-    def score(batches):
-        for batch in batches:
-            out, memo = [], {}
-            for p, t in zip(batch.column("passage").to_pylist(), batch.column("item").to_pylist(), strict=True):
-                if (p, t) not in memo:
-                    number: dict[bytes, int] = {}
-                    a, b = (np.array([number.setdefault(x, len(number)) for x in y.split()], np.int64) for y in (t, p))
-                    memo[p, t] = align(a, b) / (2 * len(a))
-                out.append(memo[p, t])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), batch.column("n_seeds"), pa.array(out, pa.float64())], names=["doc_id", "item_id", "n_seeds", "score"])
-
-    scored = pairs.mapInArrow(score, f"doc_id {kind}, item_id {id_kind}, n_seeds long, score double")
-    return scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))
+
+    def scan(shared):
+        def run(batches):
+            index, ids = shared.value
+            for batch in batches:
+                at, item, scores, n = [], [], [], []
+                for i, text in enumerate(batch.column("text")):
+                    for k, (score, n_seeds) in index.find(text.as_py()).items():
+                        if score >= threshold:
+                            for own in ids[k]:
+                                at.append(i)
+                                item.append(own)
+                                scores.append(score)
+                                n.append(n_seeds)
+                if at:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(item, id_type), pa.array(n, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "n_seeds", "score"])
+
+        return run
+
+    id_type = items.select("item_id").limit(0).toArrow().schema.field(0).type
+    schema = f"doc_id {kind}, item_id {id_kind}, n_seeds long, score double"
+
+    def one_scan(part: dict[bytes, list]) -> DataFrame:
+        shared = spark.sparkContext.broadcast((Index(list(part)), list(part.values())))
+        return rows.mapInArrow(scan(shared), schema)
+
+    found, part, size = None, {}, 0
+    for r in items.toLocalIterator():
+        words = clean_words(r.text)
+        if not words:
+            continue
+        part.setdefault(b" ".join(words), []).append(r.item_id)
+        size += len(words)
+        if size >= scan_words:
+            found = one_scan(part) if found is None else found.unionByName(one_scan(part))
+            part, size = {}, 0
+    if part or found is None:
+        found = one_scan(part) if found is None else found.unionByName(one_scan(part))
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

@@ -102,6 +102,56 @@ def test_matches(spark):
     assert decontam.matches(df, b.limit(0)).count() == 0 and decontam.matches(df.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("scan_words", [60, 2_000_000])
+def test_matches_equal_brute_force_alignment(spark, scan_words):
+    rng = random.Random(14)
+    vocab = [f"w{i}" for i in range(400)]
+    bench = [(i, " ".join(rng.choices(vocab, k=rng.randint(4, 30)))) for i in range(12)]
+    template = rng.choices(vocab, k=20)
+    for i in range(5):  # templated items that differ in one word
+        template[9] = f"own{i}"
+        bench.append((100 + i, " ".join(template)))
+    bench += [(200, "two words"), (201, "ab"), (202, "one two three")]
+
+    def edited(words, every, how):
+        out = []
+        for i, w in enumerate(words):
+            out += [w] if i % every != every - 1 else [] if how == "drop" else ["zz"] if how == "change" else [w, "zz"]
+        return out
+
+    rows = []
+    for _, t in bench[:17]:
+        for every, how in ((1000, "drop"), (4, "change"), (3, "change"), (4, "drop"), (2, "insert"), (1, "insert"), (2, "change")):
+            rows.append((len(rows), " ".join([*rng.choices(vocab, k=15), *edited(t.split(), every, how), *rng.choices(vocab, k=15)])))
+    template[9] = "elsewhere"
+    rows += [(900, " ".join(template)), (901, "Two, words!"), (902, "two other words"), (903, "x ab"), (904, "abc"), (905, "one two"), (906, "so one two three")]
+    items = {i: t.split() for i, t in bench}
+    want = set()
+    for d, t in rows:
+        w = decontam.clean_words(t)
+        for i, x in items.items():
+            x = [y.encode() for y in x]
+            if len(x) < 4:
+                hit = any(w[k : k + len(x)] == x for k in range(len(w)))
+            else:
+                hit = plain_align(x, w) >= len(x)
+            if hit:
+                want.add((d, i))
+    assert {(900, 100 + i) for i in range(5)} | {(901, 200), (903, 201), (906, 202)} <= want and len(want) > 100
+    got = decontam.matches(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), scan_words=scan_words).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
+def test_halves_of_a_long_text_lose_no_item(monkeypatch):
+    rng = random.Random(15)
+    items = [[b"i%d_%d" % (k, i) for i in range(12)] for k in range(5)]
+    text = b" ".join(x for _ in range(30) for k in range(5) for x in [b"x%d" % rng.randrange(99)] * rng.randint(0, 40) + items[k]).decode().replace("_", "q")
+    index = decontam.Index([b" ".join(x).replace(b"_", b"q") for x in items])
+    whole = {k: score for k, (score, _) in index.find(text).items()}
+    monkeypatch.setattr(decontam, "TOGETHER", 3)
+    assert {k: score for k, (score, _) in index.find(text).items()} == whole == dict.fromkeys(range(5), 1.0)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
