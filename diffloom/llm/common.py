@@ -18,23 +18,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only where the session names none and all run on this machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="diffloom-")
         sc.setCheckpointDir(found)
     return found
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage with files that outlive any executor."""
+    """Write df to the shared folder and read it back: cuts the lineage with files that outlive any executor.
+
+    The files go with the session (`forget`), or when the caller of a query has written its result.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the files that `saved` has written so far; call it once the results that read them are stored. Returns their number."""
+    n = len(_written)
+    for path in _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.clear()
+    return n
+
+
+def column_unlike(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8 (bytes.split() splits on exactly these six bytes)."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -14,7 +14,7 @@ def op1_lm_scoring(spark, sf_dir):
 
 def op2_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_quality_rules(spark, sf_dir):

@@ -56,48 +56,54 @@ def test_near_duplicates_match_brute_force(spark):
         if i is not None:
             least[c] = min(least.get(c, i), i)
     want = sorted((str(i), f"{p:016x}", str(least.get(c))) for (i, _), p, c in zip(rows, prints, comp, strict=True))
-    assert sorted((str(r.doc_id), bytes(r.fp).hex(), str(r.component_id)) for r in got) == want
-
-
-def nodes_of(spark, points, width):
-    return spark.createDataFrame([(bytearray(p.to_bytes(width, "big") + n.to_bytes(8, "big")),) for p, n in points], "node binary")
+    assert sorted((str(r.doc_id), f"{r.fp % (1 << 64):016x}", str(r.component_id)) for r in got) == want
 
 
+@pytest.mark.parametrize("levels", [4, 8, 16])
 @pytest.mark.parametrize("block", [4, 8192])
-def test_links_of_near_fingerprints(spark, block):
+def test_links_of_near_fingerprints(spark, block, levels):
     rng = random.Random(7)
     points = set()
     for _ in range(40):
         p = rng.getrandbits(64)
         for _ in range(rng.randint(1, 8)):  # chains: each step flips up to three bits
-            points.add((p, 0))
+            points.add(p)
             for _ in range(rng.randint(1, 3)):
                 p ^= 1 << rng.randrange(64)
-    points = sorted(points)
-    stars = simhash.components(simhash.links(nodes_of(spark, points, 8), 8, 2, block=block)).collect()
-    label = {bytes(r.u): bytes(r.v) for r in stars}
-    names = [p.to_bytes(8, "big") + n.to_bytes(8, "big") for p, n in points]
-    want = plain_components(points, lambda a, b: (a[0] ^ b[0]).bit_count() <= 2)
-    assert [label.get(x, x) for x in names] == [names[c] for c in want]
-
-
-def test_links_with_sizes(spark):
-    rng = random.Random(8)
-    points = []
-    for _ in range(15):
-        p, n = rng.getrandbits(128), rng.choice([1, 4, 5, 79, 80, 99, 100, 101, 124, 125, 126])
-        for _ in range(4):
-            points.append((p, n))
-            q = p
-            for _ in range(rng.choice([5, 20, 26, 27, 40])):
-                q ^= 1 << rng.randrange(128)
-            p, n = q, max(1, n + rng.choice([-20, -1, 0, 1, 20, 25]))
-    points = sorted(set(points))
-    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= 26 and min(a[1], b[1]) >= 0.8 * max(a[1], b[1])
-    stars = simhash.components(simhash.links(nodes_of(spark, points, 16), 16, 26, 0.8, block=5)).collect()
-    label = {bytes(r.u): bytes(r.v) for r in stars}
-    names = [p.to_bytes(16, "big") + n.to_bytes(8, "big") for p, n in points]
-    assert [label.get(x, x) for x in names] == [names[c] for c in plain_components(points, near)]
+    points = sorted(p - (1 << 64) if p >> 63 else p for p in points)
+    nodes = spark.createDataFrame([(p,) for p in points], "fp long")
+    label = {r.u: r.v for r in simhash.components(simhash.links(nodes, 2, levels, block)).collect()}
+    want = plain_components(points, lambda a, b: ((a ^ b) % (1 << 64)).bit_count() <= 2)
+    assert [label.get(p, p) for p in points] == [points[c] for c in want]
+
+
+@pytest.mark.parametrize("levels", [4, 8])
+def test_every_close_pair_meets_in_a_shard(levels):
+    rng = random.Random(3)
+    for _ in range(300):
+        p = rng.getrandbits(64)
+        q = p
+        for _ in range(rng.randint(0, 2)):
+            q ^= 1 << rng.randrange(64)
+        home, visits = simhash._cells(np.array([p, q], np.uint64), 2, levels)
+        asked = {(int(i), int(c)) for rows, cells in visits for i, c in zip(rows, cells, strict=True)}
+        assert (0, int(home[1])) in asked or (1, int(home[0])) in asked
+
+
+def test_two_similar_sets_share_a_prefix_and_a_close_fingerprint():
+    rng, worst = np.random.default_rng(5), 0
+    common = rng.integers(0, 6, 1 << simhash.SLOT_BITS).astype(np.int8)
+    for _ in range(400):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        cut = int(rng.integers(0, n // 5 + 1))
+        b = np.unique(np.r_[a[rng.permutation(len(a))[cut:]], rng.integers(0, 1 << 63, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)])
+        shared = len(np.intersect1d(a, b))
+        if 5 * shared >= 4 * (len(a) + len(b) - shared):
+            assert len(np.intersect1d(simhash.prefix(a, common), simhash.prefix(b, common)))
+            x, y = simhash.wide_prints([a, b])
+            worst = max(worst, int(np.bitwise_count(x ^ y).sum()))
+    assert worst <= simhash.RADIUS
 
 
 def test_components_of_a_path_and_a_star(spark):
@@ -120,9 +126,9 @@ def test_one_of_each(spark):
 
 
 def test_simhash_tie_is_no_bit():
-    f, n = simhash.simhash(["a b c d"], 3, 8)
+    f, n = simhash.simhash(["a b c d"], 3)
     h = [xxhash.xxh64_intdigest(x, 42) for x in (b"a b c", b"b c d")]
-    assert int.from_bytes(f[0].tobytes(), "big") == h[0] & h[1] and n[0] == 2 and isinstance(f, np.ndarray)
+    assert int(f[0]) == h[0] & h[1] and n[0] == 2 and isinstance(f, np.ndarray)
 
 
 def plain_set(text):
@@ -130,8 +136,8 @@ def plain_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("block", [300, 1 << 21])
-def test_near_copies_have_exact_similarity(spark, block):
+@pytest.mark.parametrize(("block", "shingles"), [(3, 300), (8192, 1 << 21)])
+def test_near_copies_have_exact_similarity(spark, block, shingles):
     rng = random.Random(12)
     texts = []
     for k in range(24):
@@ -151,7 +157,7 @@ def test_near_copies_have_exact_similarity(spark, block):
     near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     want = plain_components(sets, near)
     assert sum(near(a, b) for a in sets for b in sets if a is not b) > 40
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, list(enumerate(texts))), block=block).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, list(enumerate(texts))), block=block, block_shingles=shingles).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
