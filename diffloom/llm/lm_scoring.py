@@ -1,41 +1,44 @@
-"""Language-model scoring with a weighted backoff automaton over bigrams.
-
-Model: p(w) = (c(w)+1) / (N+V+1), the last share for words never seen; p(w|h) = (c(hw) + K p(w)) / (c(h)+K), Dirichlet
-smoothing, which sums to one for every history. As an automaton: each seen word (and the begin of a text) is a
-state; a seen pair hw is an arc from h to w with weight log10 p(w|h); the failure arc of h leads to the root with
-weight log10(K / (c(h)+K)); the root has an arc for every word, to that word's state or, for an unseen word, back
-to itself. One pass from left to right carries the state and adds up the weights.
-
-No node holds the whole model. Texts are gathered into chunks; a chunk asks for the counts of its own distinct words
-and pairs, in slices by hash range; each slice is summed over all chunks, and the chunk gets the totals back and builds the
-part of the automaton that its texts can reach. Words are counted as strings; pairs by 64-bit hashes of the two words.
+"""Language-model scoring with a weighted backoff automaton over n-grams (trigrams by default).
+
+Model: p(w) = (c(w)+1) / (N+V+1), the last share for words never seen; p(w|h) = (c(hw) + K p(w|h')) / (c(h)+K), where h' is h without
+its first word: Dirichlet smoothing, which sums to one for every history. As an automaton: each seen history of up to
+ORDER - 1 words (the begin of a text counts as a word) is a state; a seen n-gram hw is an arc from h with weight log10 p(w|h);
+the failure arc of h leads to h' with weight log10(K / (c(h)+K)), and so on down to the root, which has an arc for every word. After
+an arc the state is the longest seen history that ends in the word. One pass from left to right carries the state and adds up
+the weights.
+
+No node holds the whole model. Texts are gathered into chunks; a chunk asks for the counts of its own distinct words and
+n-grams, in slices by hash range; each slice is summed over all chunks, and the chunk gets the totals back and builds the part of
+the automaton that its texts can reach. Words are counted as strings; n-grams by hashes of HASH_BITS more bits than the number of tokens
+has, so that an n-gram shares its count with another one with a probability of 2^-HASH_BITS.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from collections import defaultdict
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.llm.common import SEED, lower_words, offsets, saved
 
+ORDER = 3
 #: Tokens of a chunk; a longer text is a chunk of its own.
-CHUNK = 1_750_000
+CHUNK = 1_500_000
 #: Characters of input for each hash range.
 SLICE_CHARS = 16_000_000
-#: K, the weight of the unigrams within a history.
+#: K, the weight of the shorter history within a history.
 PRIOR = 60.0
+HASH_BITS = 24
 #: Stand-ins for the begin and end of a text (no word holds these bytes).
 BEGIN, END = b"\r", b"\n"
-_MARKS = np.array([xxhash.xxh64_intdigest(w, SEED) for w in (BEGIN, END)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,87 +59,78 @@ def _unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
-def _pairs(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray):
-    """Pair of each token with the one before (BEGIN for the first): (hash of each distinct pair, sorted; its codes'
-    places; the place of each token's pair)."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[at[:-1]] = 0
-    code = before.astype(np.int64) * len(hashes) + ids
-    distinct, place = np.unique(code, return_inverse=True)
-    h, w = hashes[distinct // len(hashes)], hashes[distinct % len(hashes)]
-    key = (h * _MIX) ^ (w + (h << np.uint64(29)))
-    key ^= key >> np.uint64(32)
-    key *= _MIX
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return key[order], rank[place], distinct[order]
-
-
-def _slices(keys: np.ndarray, n: int) -> np.ndarray:
-    """Bounds of n equal ranges in sorted 64-bit keys."""
-    edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64) if n > 1 else np.zeros(0, np.uint64)
+class Grams:
+    """The distinct n-grams of some texts, for n from 2 to `order`.
+
+    keys: their hashes (of `bits` bits), sorted. place[n][t]: which distinct n-gram ends at token t (-1: the text begins later than
+    that). at[n]: the key of each; last[n], rest[n], history[n]: its last word, its place among the (n-1)-grams without
+    its first word, and among those without its last.
+    """
+
+    def __init__(self, stream: np.ndarray, at: np.ndarray, hashes: np.ndarray, order: int, bits: int):
+        v = len(hashes)
+        first = np.zeros(len(stream), bool)
+        first[at[:-1]] = True
+        self.place, self.last, self.rest, self.history = {1: stream}, {}, {}, {}
+        own, every = {1: hashes}, []
+        before = np.empty(len(stream), np.int64)
+        for k in range(2, order + 1):
+            before[1:] = self.place[k - 1][:-1]
+            before[first] = 0 if k == 2 else -1  # the word before a text's first is BEGIN, word 0
+            ok = np.flatnonzero(before >= 0)
+            distinct, where, back = np.unique(before[ok] * v + stream[ok], return_index=True, return_inverse=True)
+            place = np.full(len(stream), -1, np.int64)
+            place[ok] = back
+            self.place[k], self.last[k], self.history[k] = place, distinct % v, distinct // v
+            self.rest[k] = self.place[k - 1][ok[where]]
+            h = own[k - 1][self.history[k]]
+            key = (h * _MIX) ^ (hashes[self.last[k]] + (h << np.uint64(29)))
+            own[k] = (key ^ (key >> np.uint64(32))) * _MIX
+            every.append(own[k] ^ (own[k] >> np.uint64(29)))
+        self.keys, inverse = np.unique(np.concatenate(every) >> np.uint64(64 - bits), return_inverse=True)
+        cut = offsets([len(x) for x in every])
+        self.at = {k: inverse[cut[k - 2] : cut[k - 1]] for k in range(2, order + 1)}
+
+    def counts(self, tokens: np.ndarray) -> np.ndarray:
+        """How often each key ends at one of the tokens (a mask)."""
+        out = np.zeros(len(self.keys), np.int64)
+        for k, at in self.at.items():
+            own = self.place[k][tokens]
+            out += np.bincount(at[own[own >= 0]], minlength=len(out))
+        return out.astype(np.int32)
+
+
+def _ranges(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bounds of n equal ranges in sorted keys of so many bits."""
+    edges = np.array([(i << bits) // n for i in range(1, n)], np.uint64) if n > 1 else np.zeros(0, np.uint64)
     return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
-BODY = "ids array<{}>, held array<boolean>, sizes array<int>, stream binary, vocabulary binary"
+BODY = "chunk string, ids array<{}>, held array<boolean>, sizes array<int>, stream binary, words binary"
 
 
-def _chunks(batches, n_slices: int, id_type: pa.DataType):
-    """One body row for each chunk and up to 2 * n_slices rows of what it asks for."""
+def _chunks(batches, id_type: pa.DataType):
+    """A row for each chunk: its rows' ids, their tokens as numbers, and the words by number (0 and 1: BEGIN and END; then by hash)."""
     part, seq = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
     ids, held, sizes, toks = [], [], [], []
-    known: defaultdict = defaultdict(count().__next__)
-    known[BEGIN], known[END]
-
-    def flush():
-        nonlocal seq, ids, held, sizes, toks, known
-        stream = np.concatenate(toks)
-        vocabulary = np.array(list(known), object)
-        hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in known], np.uint64)
-        # BEGIN and END stay first, so that their ids are fixed
-        order = np.r_[0, 1, 2 + np.argsort(hashes[2:], kind="stable")]
+    fresh = lambda: defaultdict(count(2).__next__, {BEGIN: 0, END: 1})
+    known, total = fresh(), 0
+    schema = pa.schema([("chunk", pa.string()), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("stream", pa.binary()), ("words", pa.binary())])
+
+    def row():
+        words = list(known)
+        order = np.r_[0, 1, 2 + np.argsort(_hashes(words)[2:], kind="stable")]
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        stream, hashes, vocabulary = rank[stream], hashes[order], vocabulary[order]
-        at = offsets(sizes)
-        trains = ~np.repeat(np.array(held), sizes)
-        uni = np.bincount(stream[trains], minlength=len(hashes)).astype(np.int32)
-        uni[0] = len(held) - sum(held)
-        keys, place, _ = _pairs(stream, at, hashes)
-        bi = np.bincount(place[trains], minlength=len(keys)).astype(np.int32)
-        chunk = f"{part}-{seq}"
-        seq += 1
-        null = [None] * 5
-        yield [chunk, -1, None, None, None, ids, held, sizes, _pack(stream), _pack(np.diff(hashes[2:], prepend=np.uint64(0)))]
-        cuts = _slices(hashes[2:], n_slices) + 2
-        for s in range(n_slices):
-            where = np.r_[np.arange(2) if s == 0 else [], np.arange(cuts[s], cuts[s + 1])].astype(int)
-            if len(where):
-                yield [chunk, s, "word", zstandard.compress(b" ".join(vocabulary[where]), 1), _pack(uni[where]), *null]
-        cuts = _slices(keys, n_slices)
-        for s in range(n_slices):
-            a, b = cuts[s], cuts[s + 1]
-            if a < b:
-                yield [chunk, s, "pair", _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(bi[a:b]), *null]
-        ids, held, sizes, toks = [], [], [], []
-        known = defaultdict(count().__next__)
-        known[BEGIN], known[END]
-
-    schema = pa.schema([("chunk", pa.string()), ("slice", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("stream", pa.binary()), ("vocabulary", pa.binary())])
-
-    def rows():
-        for row in flush():
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-
-    total = 0
+        values = [f"{part}-{seq}", ids, held, sizes, _pack(rank[np.concatenate(toks)]), zstandard.compress(b" ".join(words[i] for i in order), 3)]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             w = lower_words(text.as_py())
             if ids and total + len(w) > CHUNK:
-                yield from rows()
-                total = 0
+                yield row()
+                seq, total, ids, held, sizes, toks, known = seq + 1, 0, [], [], [], [], fresh()
             ids.append(doc_id)
             held.append(is_held_out(doc_id))
             sizes.append(len(w) + 1)
@@ -144,37 +138,72 @@ def _chunks(batches, n_slices: int, id_type: pa.DataType):
             toks.append(np.ones(1, np.int32))
             total += len(w) + 1
     if ids:
-        yield from rows()
-
-
-def _total(group: pa.Table) -> pa.Table:
-    """Totals of one slice and kind over all chunks, given back to each chunk in its own order; and one row of sums."""
-    chunk, sl, kind = group.column("chunk").to_pylist(), group.column("slice")[0].as_py(), group.column("kind")[0].as_py()
-    counts = [_unpack(c.as_py(), np.int32).astype(np.int64) for c in group.column("counts")]
-    tokens = types = 0
-    if kind == "word":
-        seen: defaultdict = defaultdict(count().__next__)
-        place = []
-        for k, c in zip(group.column("keys"), counts, strict=True):
-            w = zstandard.decompress(k.as_py()).split(b" ")
-            place.append(np.fromiter(map(seen.__getitem__, w), np.int64, len(c)))
-        total = np.bincount(np.concatenate(place), weights=np.concatenate(counts), minlength=len(seen)).astype(np.int64)
-        own = total.copy()
-        if BEGIN in seen:
-            own[seen[BEGIN]] = 0
-        tokens, types = int(own.sum()), int((own > 0).sum())
-    else:
-        keys = [np.cumsum(_unpack(k.as_py(), np.uint64), dtype=np.uint64) for k in group.column("keys")]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
-        at = offsets([len(k) for k in keys])
-        place = [inverse[at[i] : at[i + 1]] for i in range(len(keys))]
-    n = len(chunk)
+        yield row()
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+
+
+class Body:
+    """A chunk as read back."""
+
+    def __init__(self, stream: bytes, sizes, held, words: bytes):
+        self.stream, self.sizes = _unpack(stream, np.int32), np.array(sizes, np.int64)
+        self.words = zstandard.decompress(words).split(b" ")
+        self.hashes, self.at = _hashes(self.words), offsets(self.sizes)
+        self.held = np.array(held, bool)
+        self.trains = ~np.repeat(self.held, self.sizes)
+
+    def word_counts(self) -> np.ndarray:
+        """BEGIN's count is the number of texts."""
+        n = np.bincount(self.stream[self.trains], minlength=len(self.words)).astype(np.int32)
+        n[0] = np.count_nonzero(~self.held)
+        return n
+
+    def grams(self, order: int, bits: int) -> Grams:
+        return Grams(self.stream.astype(np.int64), self.at, self.hashes, order, bits)
+
+
+def _bodies(batches):
+    for batch in batches:
+        for chunk, sizes, held, stream, words in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "held", "stream", "words")), strict=True):
+            yield chunk, Body(stream, sizes, held, words)
+
+
+ASKED = "chunk string, slice int, keys binary, counts binary"
+TOTALS = "chunk string, slice int, totals binary, tokens long, types long"
+
+
+def _asked(chunk: str, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "slice", "keys", "counts"])
+
+
+def _ask_words(batches, n_slices: int):
+    for chunk, body in _bodies(batches):
+        n, cuts = body.word_counts(), _ranges(body.hashes[2:], n_slices, 64) + 2
+        cuts[0] = 0  # BEGIN and END go with the first slice
+        rows = [(s, b" ".join(body.words[a:b]), n[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        yield _asked(chunk, [(s, zstandard.compress(k, 1), _pack(c)) for s, k, c in rows])
+
+
+def _ask_grams(batches, n_slices: int, order: int, bits: int):
+    for chunk, body in _bodies(batches):
+        grams = body.grams(order, bits)
+        n, cuts = grams.counts(body.trains), _ranges(grams.keys, n_slices, bits)
+        for lo in range(0, n_slices, 64):
+            spans = [(s, cuts[s], cuts[s + 1]) for s in range(lo, min(lo + 64, n_slices)) if cuts[s] < cuts[s + 1]]
+            if spans:
+                yield _asked(chunk, [(s, _pack(np.diff(grams.keys[a:b], prepend=np.uint64(0))), _pack(n[a:b])) for s, a, b in spans])
+
+
+def _answered(group: pa.Table, place: list[np.ndarray], total: np.ndarray, tokens: int, types: int) -> pa.Table:
+    """The totals of a slice, given to each chunk in its own order, and one row of sums."""
+    n = group.num_rows
     return pa.table(
         {
-            "chunk": pa.array([*chunk, None], pa.string()),
-            "slice": pa.array([sl] * (n + 1), pa.int32()),
-            "kind": pa.array([kind] * (n + 1), pa.string()),
+            "chunk": pa.array([*group.column("chunk").to_pylist(), None], pa.string()),
+            "slice": pa.array([group.column("slice")[0].as_py()] * (n + 1), pa.int32()),
             "totals": pa.array([*(_pack(total[p]) for p in place), None], pa.binary()),
             "tokens": pa.array([*[0] * n, tokens], pa.int64()),
             "types": pa.array([*[0] * n, types], pa.int64()),
@@ -182,46 +211,87 @@ def _total(group: pa.Table) -> pa.Table:
     )
 
 
+def _total_words(group: pa.Table) -> pa.Table:
+    counts = [_unpack(c.as_py(), np.int32) for c in group.column("counts")]
+    seen: defaultdict = defaultdict(count().__next__)
+    place = [np.fromiter(map(seen.__getitem__, zstandard.decompress(k.as_py()).split(b" ")), np.int64, len(c)) for k, c in zip(group.column("keys"), counts, strict=True)]
+    total = np.bincount(np.concatenate(place), weights=np.concatenate(counts), minlength=len(seen)).astype(np.int64)
+    own = total.copy()
+    if BEGIN in seen:
+        own[seen[BEGIN]] = 0
+    return _answered(group, place, total, int(own.sum()), int((own > 0).sum()))
+
+
+def _total_grams(group: pa.Table) -> pa.Table:
+    keys = [np.cumsum(_unpack(k.as_py(), np.uint64), dtype=np.uint64) for k in group.column("keys")]
+    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([_unpack(c.as_py(), np.int32) for c in group.column("counts")]), minlength=len(every)).astype(np.int64)
+    at = offsets([len(k) for k in keys])
+    return _answered(group, [inverse[at[i] : at[i + 1]] for i in range(len(keys))], total, 0, 0)
+
+
 class Automaton:
-    """The part of the model that a chunk reaches. States are the chunk's words; -1 is the root."""
+    """The part of the model that a chunk reaches. States: -1 is the root, then the words, then the longer histories, level by level."""
 
-    def __init__(self, word: np.ndarray, arc: np.ndarray, pair_word: np.ndarray, pair_history: np.ndarray, n: int, v: int, prior: float = PRIOR):
+    def __init__(self, grams: Grams, word: np.ndarray, found: np.ndarray, n: int, v: int, order: int = ORDER, prior: float = PRIOR):
+        self.order = order
         self.root = np.log10((word + 1) / (n + v + 1))  # its arcs: the base model
-        p = 10.0 ** self.root
-        h = np.maximum(word, 0)
-        self.failure = np.log10(prior / (h + prior))
-        self.has = arc > 0
-        self.arc = np.log10((arc + prior * p[pair_word]) / (h[pair_history] + prior))
-        self.next = np.where(word > 0, np.arange(len(word)), -1)
-
-    def traverse(self, stream: np.ndarray, pair: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text: all texts take a step at a time, each with its own state."""
+        seen = {1: word, **{k: found[grams.at[k]] for k in grams.at}}
+        p = {1: 10.0**self.root}
+        self.arc, self.has, self.failure = {}, {}, {}
+        for k in range(2, order + 1):
+            history = seen[k - 1][grams.history[k]]
+            p[k] = (seen[k] + prior * p[k - 1][grams.rest[k]]) / (history + prior)
+            self.arc[k], self.has[k] = np.log10(p[k]), np.r_[seen[k] > 0, False]  # the last one: place -1
+            self.failure[k - 1] = np.log10(prior / (seen[k - 1] + prior))
+        self.known, self.grams = word > 0, grams
+
+    def traverse(self, stream: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log10 probability of each text: all texts take a step at a time, each with its own state (words of its history, which)."""
         order = np.argsort(-sizes, kind="stable")
-        at = offsets(sizes)[:-1][order]
-        size = sizes[order]
+        at, size = offsets(sizes)[:-1][order], sizes[order]
         steps = int(size[0]) if len(size) else 0
         live = np.searchsorted(-size, -np.arange(steps), side="left")
-        state = np.full(len(size), 0 if self.next[0] == 0 else -1)
+        length = np.full(len(size), int(self.known[0]))  # BEGIN, if any text was learnt from
+        state = np.zeros(len(size), np.int64)
         score = np.zeros(len(size))
+        place, rest = self.grams.place, self.grams.rest
         for t in range(steps):
-            n = live[t]
-            w, a = stream[at[:n] + t], pair[at[:n] + t]
-            s = state[:n]
-            direct = self.has[a] & (s >= 0)
-            fall = np.where(s >= 0, self.failure[s], 0.0) + self.root[w]
-            score[:n] += np.where(direct, self.arc[a], fall)
-            state[:n] = self.next[w]
+            m = live[t]
+            token, w = at[:m] + t, stream[at[:m] + t]
+            n, s, gain = length[:m].copy(), state[:m].copy(), np.zeros(m)
+            open_ = np.ones(m, bool)
+            for k in range(self.order, 1, -1):  # down the failure arcs, until a state has an arc for the word
+                on = np.flatnonzero(open_ & (n == k - 1))
+                g = place[k][token[on]]
+                hit = self.has[k][g]
+                gain[on] += np.where(hit, self.arc[k][g], self.failure[k - 1][s[on]])
+                open_[on[hit]] = False
+                down = on[~hit]
+                n[down] = k - 2
+                if k > 2:
+                    s[down] = rest[k - 1][s[down]]
+            gain[open_] += self.root[w[open_]]
+            score[:m] += gain
+            # the longest seen history that ends in the word
+            length[:m] = self.known[w]
+            state[:m] = w
+            for k in range(2, self.order):
+                g = place[k][token]
+                up = np.flatnonzero((g >= 0) & self.has[k][g])
+                length[up], state[up] = k, g[up]
         out = np.empty(len(size))
         out[order] = score
         return out
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
     Learns from the rows whose crc32(id as text) mod 7 is not 2 (a null id counts as the empty text). Null and empty
-    texts hold the end token alone; repeated rows are counted and scored each on its own; extra columns are ignored; no row
-    in, no row out; with nothing to learn from, N and V are 0 and every token has probability one.
+    texts hold the end token alone; a very long text is a chunk of its own, scored whole; repeated rows are counted and scored each on its
+    own; extra columns are ignored; no row in, no row out; with nothing to learn from, N and V are 0 and every token has
+    probability one.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -230,30 +300,32 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     arrow = to_arrow_type(kind)
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // SLICE_CHARS)
-    schema = f"chunk string, slice int, kind string, keys binary, counts binary, {BODY.format(kind.simpleString())}"
-    work = saved(rows.mapInArrow(lambda b: _chunks(b, n_slices, arrow), schema), "lm-chunks")
-    asked = work.where("slice >= 0").select("chunk", "slice", "kind", "keys", "counts")
-    answers = saved(asked.groupBy("slice", "kind").applyInArrow(_total, "chunk string, slice int, kind string, totals binary, tokens long, types long"), "lm-totals")
-    sums = answers.where("chunk IS NULL").agg(F.sum("tokens"), F.sum("types")).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_slices = max(least, chars * (order - 1) // SLICE_CHARS)
+    bits = min(64, chars.bit_length() + HASH_BITS)
+    bodies = saved(rows.mapInArrow(lambda b: _chunks(b, arrow), BODY.format(kind.simpleString())), "lm-chunks")
+    n_chunks = max(least, bodies.count())
+    word_slices = max(least, n_slices // 8)
+    asked = bodies.mapInArrow(lambda b: _ask_words(b, word_slices), ASKED).repartition(word_slices, "slice")
+    words = saved(asked.groupBy("slice").applyInArrow(_total_words, TOTALS), "lm-words")
+    sums = words.where("chunk IS NULL").agg(F.sum("tokens"), F.sum("types")).first()
     n, v = sums[0] or 0, sums[1] or 0
-    bodies = work.where("slice = -1").select("chunk", "ids", "held", "sizes", "stream", "vocabulary")
-    found = answers.where("chunk IS NOT NULL").select("chunk", "slice", "kind", "totals")
+    asked = bodies.mapInArrow(lambda b: _ask_grams(b, n_slices, order, bits), ASKED).repartition(n_slices, "slice")
+    grams = asked.groupBy("slice").applyInArrow(_total_grams, TOTALS)
+    found = words.withColumn("kind", F.lit("word")).unionByName(grams.withColumn("kind", F.lit("gram"))).where("chunk IS NOT NULL").select("chunk", "kind", "slice", "totals")
     out = pa.schema([("doc_id", arrow), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(body: pa.Table, found: pa.Table) -> pa.Table:
         if not body.num_rows:
             return out.empty_table()
         got = sorted(zip(found.column("kind").to_pylist(), found.column("slice").to_pylist(), range(found.num_rows), strict=True))
-        counts = {k: np.concatenate([_unpack(found.column("totals")[i].as_py(), np.int64) for q, _, i in got if q == k]) for k in ("word", "pair")}
-        sizes = np.array(body.column("sizes")[0].as_py(), np.int64)
-        stream, steps = _unpack(body.column("stream")[0].as_py(), np.int32), _unpack(body.column("vocabulary")[0].as_py(), np.uint64)
-        hashes = np.r_[_MARKS, np.cumsum(steps, dtype=np.uint64)]
-        at = offsets(sizes)
-        _, pair, code = _pairs(stream, at, hashes)
-        model = Automaton(counts["word"], counts["pair"], code % len(hashes), code // len(hashes), n, v, prior)
-        known = np.add.reduceat((counts["word"] > 0)[stream].astype(np.int64), at[:-1])
-        base = np.add.reduceat(model.root[stream], at[:-1])
-        return pa.table([body.column("ids")[0].values, body.column("held")[0].values, pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(model.traverse(stream, pair, sizes))], schema=out)
-
-    return bodies.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        counts = {k: np.concatenate([np.zeros(0, np.int64), *(_unpack(found.column("totals")[i].as_py(), np.int64) for q, _, i in got if q == k)]) for k in ("word", "gram")}
+        held = body.column("held")[0]
+        own = Body(body.column("stream")[0].as_py(), body.column("sizes")[0].as_py(), held.as_py(), body.column("words")[0].as_py())
+        model = Automaton(own.grams(order, bits), counts["word"], counts["gram"], n, v, order, prior)
+        known = np.add.reduceat((counts["word"] > 0)[own.stream].astype(np.int64), own.at[:-1])
+        base = np.add.reduceat(model.root[own.stream], own.at[:-1])
+        return pa.table([body.column("ids")[0].values, held.values, pa.array(own.sizes), pa.array(known), pa.array(np.full(len(own.sizes), n)), pa.array(base), pa.array(model.traverse(own.stream, own.sizes))], schema=out)
+
+    left, right = bodies.repartition(n_chunks, "chunk"), found.repartition(n_chunks, "chunk")
+    return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(score, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -18,38 +18,45 @@ def toks(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), "\n"]
 
 
-def plain_model(rows, prior=lm_scoring.PRIOR):
+def plain_model(rows, order, prior=lm_scoring.PRIOR):
     train = [t for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
-    uni, pair, hist = Counter(), Counter(), Counter()
+    grams, uni = Counter(), Counter()
     for t in train:
         w = toks(t)
         uni.update(w)
-        pair.update(zip(["\r", *w[:-1]], w, strict=True))
-        hist.update(["\r", *w])
+        grams["\r",] += 1
+        w = ["\r", *w]
+        grams.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1) if k > 1 or i)
     n, v = sum(uni.values()), len(uni)
-    base = lambda w: (uni[w] + 1) / (n + v + 1)
 
-    def prob(h, w):
-        return (pair[h, w] + prior * base(w)) / (hist[h] + prior) if hist[h] else base(w)
+    def prob(h, w):  # h: the words before, as many as there are
+        if not h:
+            return (uni[w] + 1) / (n + v + 1)
+        return (grams[*h, w] + prior * prob(h[1:], w)) / (grams[h] + prior)
 
-    return uni, n, base, prob
+    return uni, n, prob
 
 
-def test_scores_match_a_plain_model(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_match_a_plain_model(spark, order):
     rng = random.Random(3)
-    rows = [(i, prose(rng, "aa", rng.randint(0, 60))) for i in range(80)] + ODD + [(950, "x " * 5000)]
-    uni, n, base, prob = plain_model(rows)
-    got = lm_scoring.lm_scores(frame(spark, rows).repartition(5)).collect()
+    rows = [(i, prose(rng, "aa", rng.randint(0, 60))) for i in range(60)] + ODD + [(950, "x " * 5000)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]  # texts that occur twice have long histories
+    uni, n, prob = plain_model(rows, order)
+    got = lm_scoring.lm_scores(frame(spark, rows).repartition(5), order=order).collect()
     assert len(got) == len(rows)
     want = {}
     for i, t in rows:
         w = toks(t)
-        want.setdefault(i, []).append((len(w), sum(uni[x] > 0 for x in w), sum(math.log10(base(x)) for x in w), sum(math.log10(prob(h, x)) for h, x in zip(["\r", *w[:-1]], w, strict=True))))
+        before = ["\r", *w]
+        score = sum(math.log10(prob(tuple(before[max(0, j - order + 2) : j + 1]), x)) for j, x in enumerate(w))
+        want.setdefault(i, []).append((len(w), sum(uni[x] > 0 for x in w), sum(math.log10(prob((), x)) for x in w), score))
     for r in got:
         assert r.train_tokens == n and r.held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 7 == 2)
         assert any(r.n_tokens == a and r.n_known == b and r.base_score == pytest.approx(c, rel=1e-9) and r.score == pytest.approx(d, rel=1e-9) for a, b, c, d in want[r.doc_id])
-    for h in ("\r", "the", "nowhere"):
-        assert sum(prob(h, w) for w in [*uni, "never seen"]) == pytest.approx(1.0)
+    two = tuple(toks(rows[0][1])[:2])
+    for h in (("\r",), ("the",), ("nowhere",), two, ("\r", two[0])):
+        assert sum(prob(h[-(order - 1) :], w) for w in [*uni, "never seen"]) == pytest.approx(1.0)
 
 
 def test_scores_of_an_empty_table(spark):
@@ -58,7 +65,7 @@ def test_scores_of_an_empty_table(spark):
 
 def test_slices_cover_all_keys():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
-    cuts = lm_scoring._slices(keys, 7)
+    cuts = lm_scoring._ranges(keys, 7, 64)
     assert cuts[0] == 0 and cuts[-1] == 1000 and (np.diff(cuts) > 50).all()
 
 
