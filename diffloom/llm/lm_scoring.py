@@ -31,12 +31,14 @@ from diffloom.llm.common import SEED, lower_words, offsets, saved
 
 ORDER = 3
 #: Tokens of a chunk; a longer text is a chunk of its own.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 #: Characters of input for each hash range.
 SLICE_CHARS = 16_000_000
 #: K, the weight of the shorter history within a history.
 PRIOR = 60.0
-HASH_BITS = 24
+HASH_BITS = 20
+#: Tokens that a text is walked by at a time; short, so that many stretches step together.
+STRETCH = 256
 #: Stand-ins for the begin and end of a text (no word holds these bytes).
 BEGIN, END = b"\r", b"\n"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -73,21 +75,23 @@ class Grams:
         first[at[:-1]] = True
         self.place, self.last, self.rest, self.history = {1: stream}, {}, {}, {}
         own, every = {1: hashes}, []
-        before = np.empty(len(stream), np.int64)
         for k in range(2, order + 1):
+            before = np.empty(len(stream), np.int64)
             before[1:] = self.place[k - 1][:-1]
             before[first] = 0 if k == 2 else -1  # the word before a text's first is BEGIN, word 0
-            ok = np.flatnonzero(before >= 0)
+            ok = np.flatnonzero(before >= 0).astype(np.int32)
             distinct, where, back = np.unique(before[ok] * v + stream[ok], return_index=True, return_inverse=True)
-            place = np.full(len(stream), -1, np.int64)
+            place = np.full(len(stream), -1, np.int32)
             place[ok] = back
-            self.place[k], self.last[k], self.history[k] = place, distinct % v, distinct // v
+            self.place[k], self.last[k], self.history[k] = place, (distinct % v).astype(np.int32), (distinct // v).astype(np.int32)
             self.rest[k] = self.place[k - 1][ok[where]]
+            del before, distinct, where, back
             h = own[k - 1][self.history[k]]
             key = (h * _MIX) ^ (hashes[self.last[k]] + (h << np.uint64(29)))
             own[k] = (key ^ (key >> np.uint64(32))) * _MIX
             every.append(own[k] ^ (own[k] >> np.uint64(29)))
         self.keys, inverse = np.unique(np.concatenate(every) >> np.uint64(64 - bits), return_inverse=True)
+        inverse = inverse.astype(np.int32)
         cut = offsets([len(x) for x in every])
         self.at = {k: inverse[cut[k - 2] : cut[k - 1]] for k in range(2, order + 1)}
 
@@ -162,7 +166,7 @@ class Body:
         return n
 
     def grams(self, order: int, bits: int) -> Grams:
-        return Grams(self.stream.astype(np.int64), self.at, self.hashes, order, bits)
+        return Grams(self.stream, self.at, self.hashes, order, bits)
 
 
 def _bodies(batches):
@@ -246,43 +250,55 @@ class Automaton:
             self.failure[k - 1] = np.log10(prior / (seen[k - 1] + prior))
         self.known, self.grams = word > 0, grams
 
+    def _after(self, token: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, place) of the longest seen history that ends in each token: the state that an arc, or the root's, leads to."""
+        length, state = self.known[w].astype(np.int64), w.astype(np.int64)
+        for k in range(2, self.order):
+            g = self.grams.place[k][token]
+            up = self.has[k][g]
+            length[up], state[up] = k, g[up]
+        return length, state
+
     def traverse(self, stream: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text: all texts take a step at a time, each with its own state (words of its history, which)."""
-        order = np.argsort(-sizes, kind="stable")
-        at, size = offsets(sizes)[:-1][order], sizes[order]
+        """Log10 probability of each text: all texts take a step at a time, each with its own state (words of its history, which).
+
+        A text of more than STRETCH tokens is walked in stretches, each from the state that the one before it ends in.
+        """
+        upto = offsets(sizes)
+        stretches = -(-sizes // STRETCH)
+        first = offsets(stretches)
+        at = np.repeat(upto[:-1], stretches) + STRETCH * (np.arange(first[-1]) - np.repeat(first[:-1], stretches))
+        length, state = self._after(at - 1, stream[at - 1])
+        length[first[:-1]], state[first[:-1]] = int(self.known[0]), 0  # BEGIN, if any text was learnt from
+        size = np.minimum(STRETCH, np.repeat(upto[1:], stretches) - at)
+        order = np.argsort(-size, kind="stable")
+        at, size, length, state = at[order], size[order], length[order], state[order]
         steps = int(size[0]) if len(size) else 0
         live = np.searchsorted(-size, -np.arange(steps), side="left")
-        length = np.full(len(size), int(self.known[0]))  # BEGIN, if any text was learnt from
-        state = np.zeros(len(size), np.int64)
         score = np.zeros(len(size))
         place, rest = self.grams.place, self.grams.rest
         for t in range(steps):
             m = live[t]
-            token, w = at[:m] + t, stream[at[:m] + t]
+            token = at[:m] + t
+            w = stream[token]
             n, s, gain = length[:m].copy(), state[:m].copy(), np.zeros(m)
-            open_ = np.ones(m, bool)
+            on = np.arange(m)
             for k in range(self.order, 1, -1):  # down the failure arcs, until a state has an arc for the word
-                on = np.flatnonzero(open_ & (n == k - 1))
-                g = place[k][token[on]]
+                here = on[n[on] == k - 1]
+                g = place[k][token[here]]
                 hit = self.has[k][g]
-                gain[on] += np.where(hit, self.arc[k][g], self.failure[k - 1][s[on]])
-                open_[on[hit]] = False
-                down = on[~hit]
-                n[down] = k - 2
+                gain[here] += np.where(hit, self.arc[k][g], self.failure[k - 1][s[here]])
+                n[here] = np.where(hit, -1, k - 2)
                 if k > 2:
+                    down = here[~hit]
                     s[down] = rest[k - 1][s[down]]
-            gain[open_] += self.root[w[open_]]
+            here = np.flatnonzero(n == 0)
+            gain[here] += self.root[w[here]]
             score[:m] += gain
-            # the longest seen history that ends in the word
-            length[:m] = self.known[w]
-            state[:m] = w
-            for k in range(2, self.order):
-                g = place[k][token]
-                up = np.flatnonzero((g >= 0) & self.has[k][g])
-                length[up], state[up] = k, g[up]
+            length[:m], state[:m] = self._after(token, w)
         out = np.empty(len(size))
         out[order] = score
-        return out
+        return np.add.reduceat(out, first[:-1]) if len(sizes) else out
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR) -> DataFrame:
@@ -302,9 +318,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_slices = max(least, chars * (order - 1) // SLICE_CHARS)
-    bits = min(64, chars.bit_length() + HASH_BITS)
     bodies = saved(rows.mapInArrow(lambda b: _chunks(b, arrow), BODY.format(kind.simpleString())), "lm-chunks")
-    n_chunks = max(least, bodies.count())
+    made = bodies.agg(F.count("*"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    n_chunks, bits = max(least, made[0]), min(64, (made[1] or 0).bit_length() + HASH_BITS)
     word_slices = max(least, n_slices // 8)
     asked = bodies.mapInArrow(lambda b: _ask_words(b, word_slices), ASKED).repartition(word_slices, "slice")
     words = saved(asked.groupBy("slice").applyInArrow(_total_words, TOTALS), "lm-words")

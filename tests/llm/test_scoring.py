@@ -38,7 +38,8 @@ def plain_model(rows, order, prior=lm_scoring.PRIOR):
 
 
 @pytest.mark.parametrize("order", [2, 3, 4])
-def test_scores_match_a_plain_model(spark, order):
+def test_scores_match_a_plain_model(spark, order):  # the text of 5000 tokens is walked in many stretches
+    assert lm_scoring.STRETCH < 1000
     rng = random.Random(3)
     rows = [(i, prose(rng, "aa", rng.randint(0, 60))) for i in range(60)] + ODD + [(950, "x " * 5000)]
     rows += [(1000 + i, rows[i][1]) for i in range(20)]  # texts that occur twice have long histories
