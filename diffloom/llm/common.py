@@ -32,11 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage with files that outlive any executor.
 
-    The files go with the session (`forget`), or when the caller of a query has written its result.
+    The files go when the session's JVM ends, or with `forget`, once the results that read them are stored.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _files(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,12 +45,15 @@ def saved(df: DataFrame, what: str) -> DataFrame:
 _written: list[str] = []
 
 
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def forget(spark: SparkSession) -> int:
-    """Delete the files that `saved` has written so far; call it once the results that read them are stored. Returns their number."""
+    """Delete the files that `saved` has written so far; call it once the results that read them are stored. Their number."""
     n = len(_written)
     for path in _written:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
     _written.clear()
     return n
 

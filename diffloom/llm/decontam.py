@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from diffloom.llm.common import column_unlike, saved, text_slices
+
 #: Items of fewer words match as a whole only: half of such an item is a word or two, which any text may hold.
 SHORT = 4
 THRESHOLD = 0.5
@@ -58,15 +60,38 @@ def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out ^ (out >> np.uint64(33)), np.concatenate([np.arange(len(p)) for p in pairs])
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> int:
-    """Best local alignment (Smith-Waterman; match 2, mismatch and gap -1), a row of cells at a time."""
-    at = np.arange(len(passage) + 1)
-    row, best = np.zeros(len(passage) + 1, np.int64), 0
-    for w in item:
-        new = np.zeros_like(row)
-        new[1:] = np.maximum(0, np.maximum(row[:-1] + np.where(passage == w, 2, -1), row[1:] - 1))
-        row = np.maximum.accumulate(new + at) - at
-        best = max(best, int(row.max()))
+#: Cells of the matrices of one step of `align`.
+CELLS = 1 << 19
+
+
+def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Best local alignment (Smith-Waterman; match 2, mismatch and gap -1) of each item with its passage.
+
+    Pairs of like sizes move together, a row of cells at a time. What fills the shorter ones matches nothing, so it adds nothing.
+    """
+    best = np.zeros(len(pairs), np.int64)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    while order:
+        most, wide = 0, 1
+        while most < len(order) and (most + 1) * max(wide, len(pairs[order[most]][1]) + 1) <= max(CELLS, wide):
+            wide = max(wide, len(pairs[order[most]][1]) + 1)
+            most += 1
+        part, order = order[: max(1, most)], order[max(1, most) :]
+        deep, wide = max(len(pairs[i][0]) for i in part), max(len(pairs[i][1]) for i in part)
+        item, passage = np.zeros((len(part), deep), np.uint64), np.zeros((len(part), wide), np.uint64)
+        for k, i in enumerate(part):
+            item[k, : len(pairs[i][0])], passage[k, : len(pairs[i][1])] = pairs[i]
+        long = np.array([[len(pairs[i][0]), len(pairs[i][1])] for i in part])
+        inside = np.arange(wide) < long[:, 1:]
+        at = np.arange(wide + 1, dtype=np.int32)
+        row, top = np.zeros((len(part), wide + 1), np.int32), np.zeros(len(part), np.int32)
+        for j in range(deep):
+            new = np.zeros_like(row)
+            same = (passage == item[:, j, None]) & inside & (j < long[:, :1])
+            new[:, 1:] = np.maximum(0, np.maximum(row[:, :-1] + np.where(same, np.int32(2), np.int32(-1)), row[:, 1:] - 1))
+            row = np.maximum.accumulate(new + at, axis=1) - at
+            top = np.maximum(top, row.max(1))
+        best[part] = top
     return best
 
 
@@ -75,6 +100,7 @@ class Index:
 
     def __init__(self, items: list[bytes]):
         self.items = [x.split() for x in items]
+        self.hashes = [word_hashes(x) for x in self.items]
         self.n = np.array([len(x) for x in self.items], np.int64)
         self.need = np.maximum(1, -(-self.n // 2) - 1)
         self.whole = {tuple(x): k for k, x in enumerate(self.items) if len(x) < SHORT}
@@ -141,17 +167,19 @@ class Index:
             found = np.unique(seed[own][(where[own] >= lo) & (where[own] < hi)])
             yield k, lo, hi, len(found)
 
-    def find(self, text: str | None) -> dict[int, tuple[float, int]]:
-        """score and number of seeds of each item that the text may hold."""
-        words, out = clean_words(text), {}
-        for k in self.short(words):
-            out[k] = 1.0, 1
-        h = word_hashes(words)
-        for k, lo, hi, n_seeds in self.windows(h):
-            score = align(word_hashes(self.items[k]), h[lo:hi]) / (2 * self.n[k])
-            old = out.get(k, (0.0, 0))
-            out[k] = max(old[0], float(score)), max(old[1], n_seeds)
-        return out
+    def find(self, texts: list[str | None]):
+        """(text, item, score, seeds) of all items that the texts may hold."""
+        known, at, pairs = [], [], []
+        for i, text in enumerate(texts):
+            words = clean_words(text)
+            known += ((i, k, 1.0, 1) for k in self.short(words))
+            h = word_hashes(words)
+            for k, lo, hi, n_seeds in self.windows(h):
+                at.append((i, k, n_seeds))
+                pairs.append((self.hashes[k], h[lo:hi]))
+        yield from known
+        for (i, k, n_seeds), score in zip(at, align(pairs).tolist(), strict=True):
+            yield i, k, score / (2 * int(self.n[k])), n_seeds
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, scan_words: int = SCAN_WORDS) -> DataFrame:
@@ -171,11 +199,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             index, ids = shared.value
             for batch in batches:
                 at, item, scores, n = [], [], [], []
-                for i, text in enumerate(batch.column("text")):
-                    for k, (score, n_seeds) in index.find(text.as_py()).items():
+                for start, texts in text_slices(batch.column("text")):
+                    for i, k, score, n_seeds in index.find(texts):
                         if score >= threshold:
                             for own in ids[k]:
-                                at.append(i)
+                                at.append(start + i)
                                 item.append(own)
                                 scores.append(score)
                                 n.append(n_seeds)
@@ -191,24 +219,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         shared = spark.sparkContext.broadcast((Index(list(part)), list(part.values())))
         return rows.mapInArrow(scan(shared), schema)
 
-    found, part, size = None, {}, 0
-    for r in items.toLocalIterator():
-        words = clean_words(r.text)
-        if not words:
-            continue
-        part.setdefault(b" ".join(words), []).append(r.item_id)
-        size += len(words)
-        if size >= scan_words:
+    # a benchmark of more words takes several scans; each holds about scan_words of them, by their hash
+    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    n_parts = 1 + size // scan_words
+    found = None
+    for k in range(n_parts):
+        part: dict[bytes, list] = {}
+        for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n_parts)) == k).collect():
+            words = clean_words(r.text)
+            if words:
+                part.setdefault(b" ".join(words), []).append(r.item_id)
+        if part or found is None:
             found = one_scan(part) if found is None else found.unionByName(one_scan(part))
-            part, size = {}, 0
-    if part or found is None:
-        found = one_scan(part) if found is None else found.unionByName(one_scan(part))
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows whose text holds a benchmark item; all columns stay. Rows are told apart by their text, so
-    null and repeated ids do no harm."""
-    keyed = docs.withColumn("_text_key", F.sha2(F.col(text_col).cast("binary"), 256))
-    gone = matches(keyed, benchmark, "_text_key", text_col).select(F.col("doc_id").alias("_gone")).distinct()
-    return keyed.join(gone, keyed["_text_key"] == gone["_gone"], "left_anti").drop("_text_key")
+    null and repeated ids do no harm; null and empty texts stay; very long texts are scanned whole; an empty table stays empty."""
+    key, gone = column_unlike(docs, "text_key"), column_unlike(docs, "gone")
+    keyed = docs.withColumn(key, F.sha2(F.col(text_col).cast("binary"), 256))
+    found = saved(matches(keyed, benchmark, key, text_col).select(F.col("doc_id").alias(gone)).distinct(), "contaminated")
+    return keyed.join(found, keyed[key] == found[gone], "left_anti").drop(key)

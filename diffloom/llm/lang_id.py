@@ -28,6 +28,8 @@ HASHES = 3
 #: The pipeline keeps documents whose language has hits for this share of the trigrams. The score is no measure of that: it
 #: is a share of all languages' hits and sinks with each language, so it only tells languages apart.
 MIN_HITS = 0.2
+#: More values of lang than this are no languages: `learn` raises, since the filters of all go to every task.
+MOST_LANGUAGES = 1024
 
 
 @cache
@@ -113,9 +115,13 @@ def build(grams: list[tuple[str, int]], languages: list[str], common: int = 0) -
     return Filters(languages, bits, table, np.minimum(fill**HASHES, 0.99), common)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_rate: float = MIN_RATE) -> Filters:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_rate: float = MIN_RATE, most_languages: int = MOST_LANGUAGES) -> Filters:
     """Filters from all rows with text, language and a training id. Trigrams are counted over the whole corpus; only those
-    over min_rate, 1 / min_rate for each language at most, come to the driver."""
+    over min_rate, 1 / min_rate for each language at most, come to the driver, for most_languages languages at most (more raise).
+
+    Rows with a null text or language teach nothing; very long texts are counted whole, repeated rows each on its own; a null id counts
+    as the empty text; extra columns are ignored; an empty table teaches nothing.
+    """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) != 2))
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
@@ -137,6 +143,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    if len(total.limit(most_languages + 1).select("lang").collect()) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     members = counts.join(total, "lang").where(F.col("n") - 1 >= F.col("total") * min_rate).select("lang", "gram", "total").collect()
     size = {r.lang: r.total for r in members}
     languages = sorted(size)
@@ -168,7 +176,11 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
 
 
 def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", min_hits: float = MIN_HITS) -> DataFrame:
-    """docs without the rows whose text is in no learnt language, however many languages are learnt; all columns stay."""
+    """docs without the rows whose text is in no learnt language, however many languages are learnt; all columns stay.
+
+    Null texts and texts without a letter go; very long texts are judged by all of their trigrams; repeated rows are judged alike; no row
+    in, no row out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):

@@ -4,14 +4,14 @@ A canonical URL is host + path: the host is what stands after the first `://` up
 lower-cased, the path what follows up to `?`, `#` or the end. Null, or no `://`: both are empty. Since a host holds
 no `/`, the first `/` ends it.
 
-Globs are anchored at both ends: `*` stands for any characters, `+` for any without `/` (it stays inside the host),
-anything else for itself. A host rule (host, path) becomes the two globs `host path *` and `+.host path *`.
+Globs are anchored at both ends: `*` stands for any characters, `+` for any without `/` (it stays inside the host), `\\x` for the
+character x, anything else for itself. A host rule (host, path) becomes the two globs `host path *` and `+.host path *`, its own
+characters standing for themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +27,37 @@ HOST_RULES = (
     ("block", "net", "/fr/"),
 )
 #: The rules that decide where no host rule fits: globs over the canonical URL. Any hit blocks.
-BLOCK_GLOBS = ("+casino+/*", "+cheap-pills+*", "+.xxx/*", "+porn+/*", "*/wp-login.php*", "*/viagra*", "*/track/*/click*")
-
-
-@dataclass(frozen=True)
-class Glob:
-    text: str
-    rule: int
-    size: int
+BLOCK_GLOBS = (
+    # addresses that are no public site's: user names, ports, bare numbers, encoded names, internal names
+    "+@+*", "+:*", "10.*", "127.*", "192.168.*", "169.254.*", "localhost*", "+.local/*", "+.internal/*", "+xn--*",
+    # paths that are written to slip past filters
+    "*/../*", "*/./*", "*//*", "*%2e%2e*", "*%2f*", "*%2F*", "*%25*", "*%00*", "*\\*", "*\\+*", "*;jsessionid=*",
+    # pages that hold no text of their own: logins, carts, searches, feeds, calendars, previews, trackers
+    "*/login*", "*/signin*", "*/logout*", "*/register*", "*/wp-login.php*", "*/wp-admin/*", "*/xmlrpc.php*", "*/cgi-bin/*", "*/cart*", "*/checkout*", "*/search/*", "*/feed/", "*/rss*", "*/calendar/*", "*/print/*", "*/embed/*", "*/share/*", "*/track/*/click*",
+    "ads.+*", "+.ads.+*", "adserver.+*", "+.doubleclick.*", "click.+*", "redirect.+*", "+/out/*http*", "*/goto/*",
+    # files that are no pages
+    "*.exe", "*.zip", "*.gz", "*.tar", "*.apk", "*.dmg", "*.iso", "*.jpg", "*.jpeg", "*.png", "*.gif", "*.svg", "*.mp3", "*.mp4", "*.avi", "*.css", "*.js", "*.json", "*.xml",
+    # trades that live on copied or made-up text
+    "+casino*", "+poker*", "+free-bets*", "+cheap-pills*", "+porn*", "+.xxx/*", "*/viagra*", "*/essay-writing*", "*/payday-loan*",
+)
+
+
+def literal(text: str) -> str:
+    """A glob that stands for the text itself."""
+    return "".join("\\" + c if c in "*+\\" else c for c in text)
+
+
+def symbols(glob: str):
+    """The glob's characters; gaps are None (any) and False (any without a slash)."""
+    escaped = False
+    for c in glob:
+        if escaped or c not in "*+\\":
+            escaped = False
+            yield c
+        elif c == "\\":
+            escaped = True
+        else:
+            yield None if c == "*" else False
 
 
 class ShiftAnd:
@@ -47,12 +70,11 @@ class ShiftAnd:
         start, final, entry, keep, bit = [], [], [], [], 0
         for g in globs:
             start.append(bit)
-            for b in g.encode():
-                if b == 0x2A:
-                    keep.append((bit, True))
-                elif b == 0x2B:
-                    keep.append((bit, False))
-                else:
+            for c in symbols(g):
+                if not c:
+                    keep.append((bit, c is None))
+                    continue
+                for b in c.encode():
                     bit += 1
                     entry.append((bit, b))
             final.append(bit)
@@ -118,11 +140,11 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", hos
 
     The longest fitting host rule decides; where none fits, the verdict is block if any glob hits, else allow.
     Null and malformed urls have an empty host and path, fit no rule and are allowed; repeated rows are judged alike,
-    each on its own; other columns are ignored; no row in, no row out. The automaton has a fixed size, so it
-    is sent along with the code and nothing is shuffled.
+    each on its own, null ids too; very long urls are read whole, a byte of all URLs of a batch at a time; other columns are ignored; no row
+    in, no row out. The automaton has a fixed size, so it is sent along with the code and nothing is shuffled.
     """
     rules = sorted(host_rules, key=lambda r: -len(r[1] + r[2]))
-    texts = [g for _, host, path in rules for g in (f"{host}{path}*", f"+.{host}{path}*")] + list(globs)
+    texts = [g for _, host, path in rules for g in (f"{literal(host + path)}*", f"+.{literal(host + path)}*")] + list(globs)
     k = 2 * len(rules)
     spec = df.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     id_type = spec.schema["page_id"].dataType.simpleString()
@@ -148,7 +170,7 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", hos
 
 def like(glob: str) -> str:
     """The glob as a regular expression, for the SQL check."""
-    return "^" + "".join({"*": "(?s:.*)", "+": "[^/]*"}.get(c, "\\" + c if not c.isalnum() else c) for c in glob) + "$"
+    return "^" + "".join({None: "(?s:.*)", False: "[^/]*"}[c] if not c else "\\" + c if not c.isalnum() else c for c in symbols(glob)) + "$"
 
 
 def sql(host_rules=HOST_RULES, globs=BLOCK_GLOBS) -> str:

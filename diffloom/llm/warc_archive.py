@@ -1,8 +1,8 @@
 """Content-addressed WARC archive.
 
 Payload bytes are stored once in a table keyed by their SHA-256 and length; record headers are stored apart, byte
-for byte; a record is put together again by a join on the digest and checked against it. Equal digests count as
-equal payloads only if the stored payload has the same length and digest when it is read back.
+for byte; a record (header, body, two line ends; a revisit has no body) is put together again by a join on the digest. Each stored
+payload is checked once against its digest and length before the join; what a record says is read from its bytes alone.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Null html is an empty payload, a null url an empty target, line ends in urls become %0A. Payloads under
     MIN_DEDUP_BYTES are always responses. Repeated rows of the page that owns a payload are responses too. Rows of
     a null page_id own a payload only if all rows with it have none; extra columns are ignored; no row in gives an
-    empty archive. Equal payloads meet in partial aggregates on the map side, so a hot payload moves once per task.
+    empty archive. Very long payloads are single values. Equal payloads meet in partial aggregates on the map side, so a hot
+    payload moves once per task.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
@@ -62,33 +63,46 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def read_records(spark: SparkSession, payloads: str, headers: str) -> DataFrame:
-    """header, payload, digest of every record; raises if a stored payload doesn't have its digest."""
+    """record: the bytes of every record, as they stand in a WARC file; raises if a stored payload doesn't have its digest.
+
+    One row per header, repeated ones too; empty payloads give records with an empty body.
+    """
     store = spark.table(payloads)
     sound = (F.sha2("payload", 256) == F.col("digest")) & (F.octet_length("payload") == F.col("bytes"))
-    store = store.select("digest", "payload", F.when(~sound, F.raise_error(F.concat(F.lit("bad payload "), F.col("digest")))).alias("bad"))
-    return spark.read.parquet(headers).join(store, "digest").where(F.col("bad").isNull()).select("digest", "header", "payload")
-
-
-def record_bytes(records: DataFrame) -> DataFrame:
-    """Whole WARC records, as they stand in a file: revisits have no body."""
-    body = F.when(F.col("header").cast("string").contains("WARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
-    return records.select(F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    store = store.select("digest", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("bad payload "), F.col("digest"))).cast("binary")).alias("payload"))
+    revisit = F.col("header").cast("string").contains("\r\nWARC-Type: revisit\r\n")
+    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
+    # a revisit's payload has to be there too: the record is null-free only if it is
+    return spark.read.parquet(headers).join(store, "digest").where(F.col("payload").isNotNull()).select(F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def describe(records: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """The digest columns, from headers as read back and the payloads that they lead to."""
-    text = F.col("header").cast("string")
-    field = lambda name, pattern: F.regexp_extract(text, f"\\r\\n{name}: {pattern}\\r\\n", 1)
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read from the records' bytes: a response's from its body, a
+    revisit's from its header. id_type: the type of the page ids (a string id may hold anything but `>` and line ends).
+    """
+    head = F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1)
+    field = lambda name, pattern: F.regexp_extract("head", f"\\r\\n{name}: {pattern}(?:\\r\\n|\\z)", 1)
     number = lambda c: F.when(c != "", F.when(c != "null", c)).cast(id_type)
-    return records.select(
+    parts = records.select("record", head.alias("head"))
+    parts = parts.withColumn("length", field("Content-Length", "(\\d+)").cast("int")).withColumn("record_type", field("WARC-Type", "(\\w+)"))
+    parts = parts.withColumn("body", F.substring(F.col("record"), F.octet_length("head") + 5, F.col("length")))
+    revisit = F.col("record_type") == "revisit"
+    return parts.select(
         number(field("WARC-Record-ID", "<urn:page:([^>]*)>")).alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"),
-        field("WARC-Type", "(\\w+)").alias("record_type"),
+        F.when(revisit, field("WARC-Payload-Bytes", "(\\d+)").cast("long")).otherwise(F.octet_length("body").cast("long")).alias("payload_bytes"),
+        F.when(revisit, field("WARC-Payload-Digest", "sha256:(\\w+)")).otherwise(F.sha2("body", 256)).alias("payload_digest"),
+        "record_type",
         number(field("WARC-Refers-To", "<urn:page:([^>]*)>")).alias("refers_to"),
     )
 
 
+def drop_archive(spark: SparkSession, payloads: str, headers: str) -> None:
+    """Delete an archive's table and folder."""
+    spark.sql(f"DROP TABLE IF EXISTS {payloads}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(headers)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),

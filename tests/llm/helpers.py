@@ -17,7 +17,7 @@ ODD = [(901, None), (902, ""), (903, " \n\t\x0b\x0c\r "), (904, "word"), (905, "
 def frame(spark, rows, name="doc_id"):
     """With columns whose names the operators use inside."""
     df = spark.createDataFrame(rows, f"{name} long, text string")
-    for c in ("id", "node", "chunk", "cell", "u", "v", "passage", "seed", "kept", "score", "_text_key2", "page", "n"):
+    for c in ("id", "node", "chunk", "cell", "u", "v", "passage", "seed", "kept", "score", "text_key", "_text_key", "gone", "_gone", "fp", "sig", "keys", "least", "near", "page", "n"):
         df = df.withColumn(c, df[name].cast("string"))
     return df
 

@@ -84,6 +84,13 @@ def test_small_pages(source, want):
     ('<article>a</article><div class="sidebar"><article>no</article></div>', "a"),
     ('<main>a<section class="comments"><article>no</article></section></main>', "a"),
     ('<aside><article>no</article></aside><article>a</article>', "a"),
+    # tags whose start ends what is open
+    ('<article><p class="ad">x<p>Main text here</article>', "Main text here"),
+    ('<article><ul><li class="share">s<li>kept item</ul></article>', "kept item"),
+    ('<article><p class="ad">x<div>kept</div>too</article>', "kept too"),
+    ('<article><dl><dt class="ad">x<dd>kept</dl><table><tr class="ad"><td>x<tr><td>a<td>b</table></article>', "kept a b"),
+    ('<article><p class="social-history">a</p><h2 class="related-work">b</h2></article>', "a b"),
+    ('<article><ul><li>a<ul><li class="ad">x</ul>b<li>c</ul></article>', "a b c"),
 ])
 def test_wrappers_and_whole_names(source, want):
     assert html_text.page_text(source) == (want, "")
@@ -138,7 +145,7 @@ def plain_judge(url):
     return host, path, best and best[1], best[2] if best else "block" if hits else "allow", hits
 
 
-URLS = ["http://WWW.Example.com/en/x", "http://example.com/en/x", "https://a.net/es/?q", "net/es/", None, "", "http://x.com", "http://evil.org/.com/", "http://my-casino-hall.org/a", "http://cheap-pills.org", "http://a.b.xxx/", "http://q.org/a/viagra/b#viagra", "http://q.org/track/1/click2", "://net/fr/", "http://net/fr?x", "http://é.org/casino/"]
+URLS = ["http://WWW.Example.com/en/x", "http://example.com/en/x", "https://a.net/es/?q", "net/es/", None, "", "http://x.com", "http://evil.org/.com/", "http://my-casino-hall.org/a", "http://cheap-pills.org", "http://a.b.xxx/", "http://q.org/a/viagra/b#viagra", "http://q.org/track/1/click2", "://net/fr/", "http://net/fr?x", "http://é.org/casino/", "ftp://user@host.org/a", "http://host.org:8080/", "http://host.org/a/../b", "http://host.org/a%2fb", "http://host.org/a+b\\c", "http://10.0.0.1/", "http://long.org/" + "a/" * 20_000 + "x.zip", "http://host.org/a/../b"]
 
 
 def test_urls(spark):
@@ -148,8 +155,15 @@ def test_urls(spark):
     assert url_filters.judge_urls(df.limit(0)).count() == 0
 
 
+def test_a_rules_own_characters_are_no_wildcards(spark):
+    df = spark.createDataFrame([(1, "http://x.org/c++/a"), (2, "http://x.org/cZZ/a"), (None, "http://x.org/a*b"), (3, "http://x.org/aZb"), (3, "http://x.org/aZb")], "page_id long, url string")
+    rules = (("block", "org", "/c++/"), ("block", "org", "/a*b"))
+    got = sorted((str(r.page_id), r.rule, r.verdict) for r in url_filters.judge_urls(df, host_rules=rules, globs=()).collect())
+    assert got == [("1", "org/c++/", "block"), ("2", None, "allow"), ("3", None, "allow"), ("3", None, "allow"), ("None", "org/a*b", "block")]
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet="ab/*+", min_size=1, max_size=6), min_size=1, max_size=25), st.lists(st.text(alphabet="ab/", max_size=12), min_size=1, max_size=5))
+@given(st.lists(st.text(alphabet="ab/*+\\\\", min_size=1, max_size=6), min_size=1, max_size=25), st.lists(st.text(alphabet="ab/", max_size=12), min_size=1, max_size=5))
 def test_shift_and_matches_regular_expressions(globs, urls):
     got = url_filters.ShiftAnd(globs).run([u.encode() for u in urls])
     want = [[bool(re.match(url_filters.like(g), u)) for g in globs] for u in urls]
