@@ -278,6 +278,7 @@ SIMILAR, SHINGLE, RADIUS = (4, 5), 5, 72
 BLOCK_SHINGLES = 1 << 19
 #: Slots of the table that tells common shingles from rare ones.
 SLOT_BITS = 16
+PRINT = ["f0", "f1", "f2", "f3"]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -359,41 +360,38 @@ def _slot_classes(rows: DataFrame) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, sig (of the text's set), n (its size), keys (its prefix) of each row."""
+    """doc_id, sig (of the text's set), n (its size), f0 to f3 (its fingerprint), keys (its prefix) of each row."""
     shared = rows.sparkSession.sparkContext.broadcast(common)  # 2^SLOT_BITS bytes
 
     def run(batches):
         for batch in batches:
             for start, texts in text_slices(batch.column("text"), 1 << 20):
                 sets = shingle_sets(texts)
-                keys = [prefix(s, shared.value) for s in sets]
+                keys, f = [prefix(s, shared.value) for s in sets], wide_prints(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, len(texts)),
                         pa.array([signature(s) for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
+                        *(pa.array(f[:, k]) for k in range(4)),
                         pa.ListArray.from_arrays(pa.array(offsets([len(k) for k in keys]).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))),
                     ],
-                    names=["doc_id", "sig", "n", "keys"],
+                    names=["doc_id", "sig", "n", *PRINT, "keys"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sig binary, n long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sig binary, n long, f0 long, f1 long, f2 long, f3 long, keys array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """sig, n, f0 to f3 (fingerprint) and hashes (all of the set, in bytes) of each row."""
+    """sig and hashes (all of the set, in bytes) of each row."""
 
     def run(batches):
         for batch in batches:
             for _, texts in text_slices(batch.column("text"), 1 << 20):
                 sets = shingle_sets(texts)
-                f = wide_prints(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(f[:, k]) for k in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["sig", "n", "f0", "f1", "f2", "f3", "hashes"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "hashes"])
 
-    return rows.select("text").mapInArrow(run, "sig binary, n long, f0 long, f1 long, f2 long, f3 long, hashes binary")
+    return rows.select("text").mapInArrow(run, "sig binary, hashes binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -502,7 +500,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = saved(_signed(texts, _slot_classes(texts)), "signatures")
-    sets = saved(signed.groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("keys").alias("keys")).withColumn("id", F.xxhash64("sig")), "sets")
+    sets = saved(signed.groupBy("sig").agg(F.min("doc_id").alias("least"), *(F.max(c).alias(c) for c in ("n", *PRINT, "keys"))).withColumn("id", F.xxhash64("sig")), "sets")
     keyed = sets.select(F.explode("keys").alias("key"), F.col("n").cast("int").alias("n"), "id").repartition("key").sortWithinPartitions("key", "n")
 
     def met(batches):
@@ -525,12 +523,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             last, was_near = [c[-1:] for c in own], bool(keep[-1])
 
     shards = saved(keyed.mapInArrow(met, "key long, n int, id long"), "shards")
-    wanted = saved(sets.join(shards.select("id").distinct(), "id", "left_semi").select("least").distinct(), "wanted")
-    some = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["least"]), "left_semi")
-    held = saved(_sets(some).dropDuplicates(["sig"]).withColumn("id", F.xxhash64("sig")), "held-sets")
-    prints = shards.join(held.select("id", "f0", "f1", "f2", "f3"), "id")
+    prints = shards.join(sets.select("id", *PRINT), "id")
     hot = saved(shards.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "hot-keys")
-    prints = _in_blocks(prints, "key", hot, "id").select("key", "lo", "hi", "own", "n", "id", "f0", "f1", "f2", "f3")
+    prints = _in_blocks(prints, "key", hot, "id").select("key", "lo", "hi", "own", "n", "id", *PRINT)
     prints = prints.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n")
 
     def near(batches):
@@ -542,8 +537,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     stars = components(prints.mapInArrow(near, "u long, v long"))
     member = saved(stars.select(F.col("u").alias("id"), F.col("v").alias("near")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("near")).distinct()), "members")
-    grouped = held.join(member, "id").select("near", "sig", "n", "hashes")
-    hot = saved(grouped.groupBy("near").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks")).where("blocks > 1"), "hot-groups")
+    member = saved(sets.join(member, "id").select("sig", "least", "n", "near"), "candidates")
+    # only the texts of candidates are read again, for all of their shingles
+    wanted = saved(member.select("least").distinct(), "wanted")
+    some = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["least"]), "left_semi")
+    held = saved(_sets(some), "held-sets").dropDuplicates(["sig"])
+    grouped = held.join(member, "sig").select("near", "sig", "n", "hashes")
+    hot = saved(member.groupBy("near").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks")).where("blocks > 1"), "hot-groups")
     grouped = _in_blocks(grouped, "near", hot, "sig").select("near", "lo", "hi", "own", "sig", "hashes")
     # in a pair of two blocks each asks only the other; a block's own pairs are those of (own, own)
     grouped = grouped.repartition("near", "lo", "hi").sortWithinPartitions("near", "lo", "hi", "sig")
