@@ -24,8 +24,8 @@ def with_rates(calls: DataFrame, prices: DataFrame) -> DataFrame:
     top = prices.agg(F.max_by(F.struct("rate_in", "rate_out"), F.struct("rate_out", "rate_in")).alias("top"))
     p = prices.select(F.col("model").alias("_m"), "valid_from", "valid_to", F.col("rate_in").alias("_i"), F.col("rate_out").alias("_o"))
     found = calls.join(p, (F.col("model") == F.col("_m")) & F.col("run_date").between(F.col("valid_from"), F.col("valid_to")), "left")
-    # one row of maxima: joined on a constant, so that no nested loop over rows arises
-    return found.withColumn("_k", F.lit(1)).join(top.withColumn("_k", F.lit(1)), "_k").withColumn("rate_in", F.coalesce("_i", "top.rate_in")).withColumn("rate_out", F.coalesce("_o", "top.rate_out")).drop("_k", "_m", "_i", "_o", "valid_from", "valid_to", "top")
+    priced = found.crossJoin(top)  # one row of maxima
+    return priced.withColumn("rate_in", F.coalesce("_i", "top.rate_in")).withColumn("rate_out", F.coalesce("_o", "top.rate_out")).drop("_m", "_i", "_o", "valid_from", "valid_to", "top")
 
 
 def worst_cost(input_tokens: Column, output_tokens: Column) -> Column:

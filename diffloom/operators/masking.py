@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.functions.text import strip
-from diffloom.operators.lines import located
 
 #: The kinds of placeholder.
 PLACEHOLDER = r"\[MASKED_[A-Z_]*\]"
@@ -35,7 +34,8 @@ def entropy(c: Column) -> Column:
 
 
 def _random(c: Column) -> Column:
-    return (c.rlike("^[0-9a-f]+$") & (entropy(c) >= HEX_BITS)) | (~c.rlike("^[0-9a-f]+$") & c.rlike("[0-9]") & (entropy(c) >= BASE64_BITS))
+    hexadecimal = c.rlike("^[0-9a-fA-F]+$")
+    return (hexadecimal & (entropy(c) >= HEX_BITS)) | (~hexadecimal & c.rlike("[0-9]") & (entropy(c) >= BASE64_BITS))
 
 
 #: No detector matches a text without one of these; most lines have none and are left alone after one look.
@@ -69,9 +69,10 @@ def mask(c: Column) -> Column:
 
 
 def mask_lines(lines: DataFrame) -> DataFrame:
-    """diff_lines with masked content; `masked` says whether it changed. Lines keep their numbers (M1)."""
-    typed = lines.withColumn("_t", _typed(F.col("content")))  # a step of its own, so that it is worked out once
-    return typed.withColumn("_m", _untyped(F.col("_t"))).drop("_t").withColumn("masked", F.col("_m") != F.col("content")).withColumn("content", F.col("_m")).drop("_m")
+    """diff_lines with masked content; `masked` says whether it changed, `typed` whether a named detector did it. Lines keep their
+    numbers (M1)."""
+    out = lines.withColumn("_t", _typed(F.col("content"))).withColumn("typed", F.col("_t") != F.col("content"))  # steps of their own, so that each is worked out once
+    return out.withColumn("_m", _untyped(F.col("_t"))).drop("_t").withColumn("masked", F.col("_m") != F.col("content")).withColumn("content", F.col("_m")).drop("_m")
 
 
 def path_signal(path: Column) -> Column:
@@ -80,8 +81,8 @@ def path_signal(path: Column) -> Column:
 
 
 def secret_evidence() -> Column:
-    """What a masked line shows: the variable, the placeholder, the masked text."""
-    kind = F.regexp_extract("content", r"\[(MASKED_[A-Z_]*)\]", 1)
+    """What a masked line shows: the variable, the kinds of its placeholders in order, the masked text."""
+    kind = F.array_join(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\[(MASKED_[A-Z_]*)\]"), F.lit(1))), ", ")
     name = F.regexp_extract("content", r"([A-Za-z_][A-Za-z0-9_.]*)['\"]?\s*[:=]", 1)
     return F.concat(F.lit("Secret value "), F.when(name != "", F.concat(F.lit("in `"), name, F.lit("` "))).otherwise(""), F.lit("replaced by ["), kind, F.lit("]: `"), strip(F.col("content")), F.lit("`"))
 
@@ -95,26 +96,8 @@ def secret_severity() -> Column:
 
 
 def secret_confidence() -> Column:
-    return F.when(F.regexp_extract("content", r"\[(MASKED_[A-Z_]*)\]", 1) == "MASKED_KEY", "medium").otherwise("high")
-
-
-def secret_findings(masked: DataFrame, files: DataFrame) -> DataFrame:
-    """One hardcoded_secrets finding for each masked added line (M4, R14): severity by path, confidence by detector."""
-    added = located(masked.where("masked AND kind = 'added'"), files).where("NOT is_binary")
-    return added.select(
-        "change_id",
-        F.col("path").alias("file"),
-        F.col("line_no").alias("line"),
-        F.lit("hardcoded_secrets").alias("category"),
-        secret_severity().alias("severity"),
-        secret_confidence().alias("confidence"),
-        secret_evidence().alias("evidence"),
-        F.lit(SECRET_RISK).alias("risk"),
-        F.lit(SECRET_RECOMMENDATION).alias("recommendation"),
-        F.lit("deterministic").alias("source"),
-        F.lit("secrets.detect_secrets").alias("rule_id"),
-        F.struct(F.lit(0).alias("stage"), "file_no", "hunk_no", "line_idx", F.lit(0).alias("rule")).alias("seq"),
-    )
+    """By detector (M4): high for a named one, medium where entropy alone speaks."""
+    return F.when(F.col("typed"), "high").otherwise("medium")
 
 
 def masked_line_count(masked: DataFrame) -> DataFrame:

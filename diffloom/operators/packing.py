@@ -23,7 +23,7 @@ def exclusions(files: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def exclusion_notes(filtered: DataFrame) -> DataFrame:
-    """change_id, n_excluded, note."""
+    """change_id, n_excluded, note (P2). Fixed value: the wording of the note."""
     g = filtered.where("exclusion_reason IS NOT NULL").groupBy("change_id").agg(F.count("*").alias("n_excluded"), F.array_sort(F.collect_set("exclusion_reason")).alias("reasons"))
     return g.select("change_id", "n_excluded", F.concat(F.col("n_excluded").cast("string"), F.lit(" files excluded from LLM review ("), F.array_join("reasons", ", "), F.lit(")")).alias("note"))
 

@@ -79,3 +79,13 @@ def model_findings(checked: DataFrame) -> DataFrame:
 
 def summaries(checked: DataFrame) -> DataFrame:
     return checked.where("valid AND call = 'summary'").select("change_id", *(F.expr(_text("doc", k)).alias(k) for k in SUMMARY_KEYS))
+
+
+def attached(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """requests with the response of their key; a request without one has a null response: its call failed.
+
+    Equal requests share a key and a response; of several responses to a key the least text counts.
+    """
+    columns = [c for c in answers.columns if c != "prompt_key"]
+    one = answers.groupBy("prompt_key").agg(F.min(F.struct("response", *(c for c in columns if c != "response"))).alias("a"))
+    return requests.join(one, "prompt_key", "left").select(*requests.columns, *(F.col(f"a.{c}").alias(c) for c in columns))

@@ -21,8 +21,8 @@ CONTENTS = (
     "  result = eval(expr)",
     "model.eval()",
     "subprocess.run(cmd, shell=True)",
-    'cursor.execute(f"SELECT * FROM t WHERE id = {uid}")',
-    'cursor.execute("SELECT * FROM t WHERE id = %s", (uid,))',
+    'db.execute(f"SELECT name FROM people WHERE age > {age}")',
+    'db.execute("SELECT name FROM people WHERE age > %s", (age,))',
     'logger.info("login", password, api_key)',
     'logger.info("user %s", uid)',
     "return redirect(target)",
@@ -37,7 +37,7 @@ CONTENTS = (
     'api_token = "ghp_abcdefghijklmnopqrstuvwxyz0123456789"',
     "return total  ",
     "",
-    'blob = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"',
+    'blob = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"',
     'next_url = request.args.get("next")',
     "print(session)",
     'key = "-----BEGIN RSA PRIVATE KEY-----"',
@@ -76,10 +76,10 @@ files AS (SELECT change_id, file_no, path, path = '{BINARY}' AS is_binary, path
   CAST(sum(CASE WHEN kind = 'added' THEN 1 ELSE 0 END) AS BIGINT) AS n_added FROM all_lines GROUP BY change_id, file_no, path)"""
 
 
-def changes(spark: SparkSession, sf_dir: str, damage: bool = False) -> DataFrame:
+def changes(spark: SparkSession, sf_dir: str, damage: bool | str = False) -> DataFrame:
     """changes(change_id, diff_text), rendered from the truth with built-in functions.
 
-    damage: some texts are blank, prose, cut short, or end in blank lines, for the parser's status.
+    damage: some texts are blank, prose, cut short, or end in blank lines, for the parser's status; "prose": only prose.
     """
     view = "diffloom_lineitem"
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView(view)
@@ -97,7 +97,9 @@ def changes(spark: SparkSession, sf_dir: str, damage: bool = False) -> DataFrame
     mode = F.when(F.col("is_added_file"), "new file mode 100644").when(F.col("is_removed_file"), "deleted file mode 100644").when(F.col("is_rename"), F.concat(F.lit("rename from old/"), p, F.lit("\nrename to "), p))
     rest = F.when(F.col("is_binary"), F.concat(F.lit("Binary files a/"), p, F.lit(" and b/"), p, F.lit(" differ"))).otherwise(F.concat_ws("\n", mode, F.concat(F.lit("--- "), old), F.concat(F.lit("+++ "), new), "hunks"))
     out = file.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("file_no", F.concat(git, F.lit("\n"), rest).alias("t")))).alias("f")).select("change_id", F.concat(F.array_join("f.t", "\n"), F.lit("\n")).alias("diff_text"))
-    if damage:
+    if damage == "prose":
+        out = out.withColumn("diff_text", F.when(F.col("change_id") % 13 == 1, "just some prose\n").otherwise(F.col("diff_text")))
+    elif damage:
         k = F.col("change_id")
         short = F.regexp_replace("diff_text", r"\n[^\n]*\n\z", "\n")
         out = out.withColumn("diff_text", F.when(k % 13 == 0, " \n\n").when(k % 13 == 1, "just some prose\n").when((k % 13 == 2) & ~F.col("diff_text").endswith(" differ\n"), short).when(k % 13 == 3, F.concat("diff_text", F.lit("\n\n"))).otherwise(F.col("diff_text")))
@@ -106,5 +108,5 @@ def changes(spark: SparkSession, sf_dir: str, damage: bool = False) -> DataFrame
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as added lines: a change for each document, its text split at line ends."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
-    return docs.select(F.col("doc_id").alias("change_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.posexplode(F.split("text", "\n")).alias("line_idx", "content"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")  # a null text is one empty line
+    return docs.select(F.col("doc_id").alias("change_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_idx", "content"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.functions.text import flatten, tokens
 from diffloom.operators import cost, lines, masking, merging, outcome, packing, reports, responses, rules
 from diffloom.plans import corpus
-from diffloom.plans.oracles import SIGNAL, masked_sql, over, random_sql
+from diffloom.plans.oracles import JSON, PUBLIC, SIGNAL, markdown_sql, masked_sql, over, random_sql, reviews_sql
 from diffloom.plans.review import Requests, Reviewed, Scan
 from diffloom.sources import diffs, sinks
+from diffloom.sources.shared import folder as shared
+from diffloom.sources.shared import stored
 from diffloom.streaming.arrivals import review_arrivals
 
 QUERIES: dict = {}
@@ -35,16 +35,9 @@ def scan(spark, sf_dir) -> Scan:
     return Scan(corpus.changes(spark, sf_dir))
 
 
-def shared(spark) -> str:
-    """A new folder that all executors share."""
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not top:
-        import tempfile
-
-        top = "file://" + tempfile.mkdtemp(prefix="diffloom-")
-        sc.setCheckpointDir(top)
-    return f"{top}/{uuid.uuid4().hex}"
+def whole(spark, sf_dir) -> Scan:
+    """The same with the tables that several steps read written once."""
+    return Scan(corpus.changes(spark, sf_dir), keep=stored)
 
 
 # ---- sources and sinks
@@ -75,26 +68,25 @@ def s3(spark, d):
     return r.select("label", F.when(F.col("response").contains("{"), "json").otherwise("no json").alias("kind"))
 
 
-@query("s4_review_json", over("SELECT change_id, 'findings,no_findings_reason,overall_risk,pr_comment,summary' AS keys, count(rule_id) AS n_findings FROM (SELECT DISTINCT change_id FROM files) LEFT JOIN (SELECT * FROM det WHERE change_id IN (SELECT change_id FROM lines WHERE kind = 'added')) USING (change_id) GROUP BY change_id"))
+@query("s4_review_json", over(f", {reviews_sql('det')} SELECT change_id, sha256({JSON}) AS json_sha256 FROM review"))
 def s4(spark, d):
-    j = reports.to_json(scan(spark, d).reviews())
-    return j.select("change_id", F.array_join(F.json_object_keys("json"), ",").alias("keys"), F.json_array_length(F.get_json_object("json", "$.findings")).cast("long").alias("n_findings"))
+    return reports.to_json(whole(spark, d).reviews()).select("change_id", F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
 
 
-@query("s5_both_artifacts", over("SELECT change_id, overall_risk, 1 AS has_json, 1 AS has_md FROM (SELECT change_id, CASE WHEN n_add = 0 THEN 'low' ELSE list_extract(['low', 'medium', 'high'], 1 + CAST(coalesce(m, 0) AS INT)) END AS overall_risk FROM (SELECT change_id, coalesce(sum(CASE WHEN is_binary THEN 0 ELSE n_added END), 0) AS n_add FROM files GROUP BY 1) LEFT JOIN (SELECT change_id, max(sr) AS m FROM det GROUP BY 1) USING (change_id))"))
+@query("s5_both_artifacts", over(f", {reviews_sql('det')}, {markdown_sql('det')} SELECT change_id, overall_risk, sha256({JSON}) AS json_sha256, sha256(md) AS md_sha256 FROM review JOIN pages USING (change_id)"))
 def s5(spark, d):
     out = shared(spark)
-    sinks.write_artifacts(scan(spark, d).artifacts(), out)
+    sinks.write_artifacts(whole(spark, d).artifacts(), out)
     r = spark.read.schema("change_id long, json string, md string, overall_risk string").parquet(out)
-    return r.select("change_id", "overall_risk", F.col("json").startswith('{"findings"').cast("int").alias("has_json"), F.col("md").startswith("# Security review").cast("int").alias("has_md"))
+    return r.select("change_id", "overall_risk", *(F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("json", "md")))
 
 
-@query("s6_stream_review", over("SELECT severity, count(*) AS n FROM det GROUP BY severity"))
+@query("s6_stream_review", over("SELECT change_id, file, line, category, severity, confidence, evidence, rule_id FROM det"))
 def s6(spark, d):
     source, target, state = shared(spark), shared(spark), shared(spark)
     corpus.changes(spark, d).write.parquet(source)
     review_arrivals(spark, source, target, state, lambda batch: Scan(batch).findings.select("change_id", *FOUND)).awaitTermination()
-    return spark.read.schema("change_id long, file string, line int, category string, severity string").parquet(target).groupBy("severity").agg(F.count("*").alias("n"))
+    return spark.read.schema("change_id long, file string, line int, category string, severity string, confidence string, evidence string, rule_id string").parquet(target).select("change_id", "file", "line", "category", "severity", "confidence", "evidence", "rule_id")
 
 
 @query("s7_record_labels", "SELECT l_orderkey AS change_id, b AS batch_no, 'review-' || l_orderkey || CASE WHEN l_orderkey % 3 > 0 THEN '-' || (b + 1) ELSE '' END AS label FROM (SELECT DISTINCT l_orderkey FROM lineitem), range(3) t(b) WHERE b <= l_orderkey % 3")
@@ -157,15 +149,15 @@ def d10(spark, d):
     return lines.first_file(scan(spark, d).files).select("change_id", "path", "file_no")
 
 
-@query("d1_plain_diffs", over("SELECT change_id, count(*) AS n_lines FROM lines WHERE change_id NOT IN (SELECT change_id FROM files WHERE is_binary) GROUP BY change_id"))
+@query("d1_plain_diffs", over("SELECT change_id, count(*) AS n_lines FROM lines GROUP BY change_id"))
 def d1_plain(spark, d):
-    c = corpus.changes(spark, d).where("NOT contains(diff_text, 'Binary files')").withColumn("diff_text", F.regexp_replace("diff_text", r"(?m)^(diff --git|new file|deleted file|rename).*\n", ""))
+    c = corpus.changes(spark, d).withColumn("diff_text", F.regexp_replace("diff_text", r"(?m)^(diff --git|new file|deleted file|rename).*\n", ""))
     return lines.number_lines(lines.with_git_headers(c)).groupBy("change_id").agg(F.count("*").alias("n_lines"))
 
 
 # ---- masking
 
-_DOCS = "docs AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_idx, parts[i] AS content, source || '/' || doc_id || '.txt' AS path FROM (SELECT *, string_split(text, chr(10)) AS parts FROM documents), range(1, 100000) t(i) WHERE i <= len(parts))"
+_DOCS = "docs AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_idx, parts[i] AS content, source || '/' || doc_id || '.txt' AS path FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) t(i))"
 
 
 @query("m1_mask_documents", f"WITH {_DOCS}, {masked_sql('docs', 'm')} SELECT doc_id AS change_id, line_idx, safe AS content FROM m WHERE safe <> content")
@@ -197,7 +189,7 @@ def _hits(table: str, rule: str | None = None) -> str:
 
 @query("m4_r14_secret_findings", _hits("secret_hits"))
 def m4(spark, d):
-    return scan(spark, d).secrets.select("change_id", *FOUND)
+    return scan(spark, d).of_rule("secrets.detect_secrets").select("change_id", *FOUND)
 
 
 @query("m5_masked_line_count", f"WITH {_DOCS}, {masked_sql('docs', 'm')} SELECT doc_id AS change_id, CAST(count_if(safe <> content) AS BIGINT) AS masked_lines FROM m GROUP BY doc_id")
@@ -216,9 +208,7 @@ def m6(spark, d):
 def _one_rule(name: str, rule_id: str, table: str = "line_hits") -> None:
     @query(name, _hits(table, rule_id))
     def run(spark, d, rule_id=rule_id):
-        s = scan(spark, d)
-        only = tuple(r for r in rules.RULES if r.rule_id == rule_id)
-        return rules.line_hits(s.masked, s.files, only).select("change_id", *FOUND)
+        return scan(spark, d).of_rule(rule_id).select("change_id", *FOUND)
 
 
 for _n, _r in (("r1_weak_hash", "crypto.weak_hash"), ("r2_weak_cipher", "crypto.weak_cipher"), ("r3_weak_random", "crypto.weak_random"), ("r4_hardcoded_iv", "crypto.hardcoded_iv"), ("r5_code_exec", "injection.code_exec"), ("r6_shell_true", "injection.shell_true"), ("r7_sql_string_build", "injection.sql_string_build"), ("r8_sensitive_log", "logging.sensitive_args"), ("r9_unsafe_redirect", "redirect.unsafe"), ("r10_injection_phrases", "prompt_injection.phrases")):
@@ -227,14 +217,14 @@ for _n, _r in (("r1_weak_hash", "crypto.weak_hash"), ("r2_weak_cipher", "crypto.
 
 @query("r11_removed_check", _hits("removed_hits"))
 def r11(spark, d):
-    s = scan(spark, d)
-    return rules.removed_checks(s.masked, s.files).select("change_id", *FOUND)
+    return scan(spark, d).of_rule("auth.removed_check").select("change_id", *FOUND)
 
 
 @query("r12_anchor", over("SELECT change_id, file_no, hunk_no, line_idx, anchor FROM scanned WHERE kind = 'removed'"))
 def r12(spark, d):
     s = scan(spark, d)
-    return rules.anchors(rules._scanned(s.masked, s.files)).where("kind = 'removed'").select("change_id", "file_no", "hunk_no", "line_idx", "anchor")
+    rows = s.masked.where(~F.col("is_binary") & ~rules.is_manifest(F.col("path")))
+    return rules.anchors(rows).where("kind = 'removed'").select("change_id", "file_no", "hunk_no", "line_idx", "anchor")
 
 
 @query("r13_manifests", _hits("manifest_hits"))
@@ -288,7 +278,7 @@ def p3(spark, d):
 
 
 def requests(spark, d) -> Requests:
-    return Requests(scan(spark, d), "Review the change for security flaws.", "model-b", "2026-06-01", prices(spark, d), LIMIT)
+    return Requests(whole(spark, d), "Review the change for security flaws.", "model-b", "2026-06-01", prices(spark, d), LIMIT)
 
 
 @query("p4_file_blocks", packing_sql("SELECT change_id, file_no, path, block AS text, tokens FROM whole"))
@@ -317,12 +307,17 @@ def p8(spark, d):
     return requests(spark, d).reviews.select("change_id", "batch_no", F.col("user").alias("user_text"))
 
 
-@query("p9_summary_requests", over("SELECT change_id, count(*) FILTER (reason IS NULL) AS n_reviewed, count(*) FILTER (reason IS NOT NULL) AS n_excluded, (SELECT count(*) FROM det WHERE det.change_id = shown.change_id) AS n_findings, array_to_string(list_sort(list(path || ' (' || reason || ')') FILTER (reason IS NOT NULL)), ',') AS excluded FROM shown GROUP BY change_id"))
+def summary_sql(findings: str) -> str:
+    """CTE sums(change_id, n_findings, n_reviewed, n_excluded, user_text) of summary requests."""
+    return f"""sums AS (SELECT change_id, coalesce(n, 0) AS n_findings, n_reviewed, n_excluded, to_json(struct_pack(files_excluded := coalesce(x, []), files_reviewed := coalesce(r, []), findings := coalesce(fs, []))) AS user_text
+      FROM (SELECT change_id, count(*) FILTER (reason IS NULL) AS n_reviewed, count(*) FILTER (reason IS NOT NULL) AS n_excluded, list_sort(list(path) FILTER (reason IS NULL)) AS r, list_sort(list(path || ' (' || reason || ')') FILTER (reason IS NOT NULL)) AS x FROM shown GROUP BY 1)
+      LEFT JOIN (SELECT change_id, count(*) AS n, list({PUBLIC} ORDER BY file, coalesce(line, -1), category) AS fs FROM {findings} GROUP BY 1) USING (change_id))"""
+
+
+@query("p9_summary_requests", over(f", {summary_sql('det')} SELECT change_id, sha256(user_text) AS user_sha256 FROM sums"))
 def p9(spark, d):
-    s = scan(spark, d)
-    r = packing.summary_requests(s.filtered, s.findings, "Sum up.")
-    doc = F.from_json("user", "files_excluded array<string>, files_reviewed array<string>, findings array<struct<file:string>>")
-    return r.withColumn("j", doc).select("change_id", F.size("j.files_reviewed").cast("long").alias("n_reviewed"), F.size("j.files_excluded").cast("long").alias("n_excluded"), F.size("j.findings").cast("long").alias("n_findings"), F.when(F.size("j.files_excluded") > 0, F.array_join("j.files_excluded", ",")).alias("excluded"))
+    s = whole(spark, d)
+    return packing.summary_requests(s.filtered, s.findings, "Sum up.").select("change_id", F.sha2(F.col("user").cast("binary"), 256).alias("user_sha256"))
 
 
 @query("p10_request_keys", packing_sql(f", {_REQ} SELECT change_id, batch_no, {_KEY} AS prompt_key FROM req").replace(" , own", ", own"))
@@ -434,9 +429,15 @@ def j5(spark, d):
     return responses.model_findings(responses.check(answers(spark, d))).select("change_id", "seq.pos", "file", "line", "category", "severity", "confidence", "risk")
 
 
-@query("j6_malformed_raw", f"WITH {_CHECKED} SELECT count(*) AS n FROM checked WHERE error IS NOT NULL AND NOT (call = 'review' AND change_id % 31 = 0) AND NOT (call = 'summary' AND change_id % 37 = 0)")
+_RAW = """CASE change_id % 7 WHEN 2 THEN 'I found nothing' WHEN 3 THEN ',"extra":1' WHEN 4 THEN 'hardcoded_secrets' WHEN 5 THEN '"line":1.5' END"""
+
+
+@query("j6_malformed_raw", f"WITH {_CHECKED} SELECT change_id, call, CASE WHEN call = 'summary' THEN '{{\"summary\":\"sum ' || change_id || '\",\"overall_risk\":\"grave\",\"pr_comment\":\"comment\"}}' ELSE {_RAW} END AS raw FROM checked WHERE error IS NOT NULL AND NOT (call = 'review' AND change_id % 31 = 0) AND NOT (call = 'summary' AND change_id % 37 = 0)")
 def j6(spark, d):
-    return responses.check(answers(spark, d)).where("NOT valid AND length(response) > 0").agg(F.count("*").alias("n"))
+    """The raw text of malformed responses; of a broken review the part that breaks it."""
+    r = responses.check(answers(spark, d)).where("NOT valid AND length(response) > 0")
+    part = F.regexp_extract("response", r'(I found nothing|,"extra":1|hardcoded_secrets|"line":1\.5)', 1)
+    return r.select("change_id", "call", F.when(F.col("call") == "summary", F.col("response")).otherwise(part).alias("raw"))
 
 
 # ---- validate, cap, merge
@@ -468,10 +469,12 @@ def v2(spark, d):
     return merging.mapped_lines(merging.known_files(_model(spark, d), s.files), s.added).select("change_id", "file", "seq.pos", "line", "unmapped")
 
 
-@query("v3_validation_stats", model_sql("SELECT change_id, count_if(u) AS unmappable_count, count_if(NOT u) AS hallucinated_file_count FROM (SELECT change_id, unmapped AS u, true AS k FROM mapped UNION ALL SELECT change_id, false, false FROM model WHERE file = 'nope.py') WHERE u OR NOT k GROUP BY change_id"))
+@query("v3_validation_stats", model_sql("SELECT change_id, count(u) AS unmappable_count, count(h) AS hallucinated_file_count, array_to_string(list_sort(list(u) FILTER (u IS NOT NULL)), ',') AS unmappable, array_to_string(list_sort(list(h) FILTER (h IS NOT NULL)), ',') AS hallucinated FROM (SELECT change_id, CASE WHEN unmapped THEN file || ':' || line END AS u, NULL AS h FROM mapped UNION ALL SELECT change_id, NULL, file FROM model WHERE file = 'nope.py') GROUP BY change_id HAVING count(u) + count(h) > 0"))
 def v3(spark, d):
     s = scan(spark, d)
-    return merging.validation_stats(_model(spark, d), s.files, s.added).where("unmappable_count + hallucinated_file_count > 0").select("change_id", "unmappable_count", "hallucinated_file_count")
+    r = merging.validation_stats(_model(spark, d), s.files, s.added).where("unmappable_count + hallucinated_file_count > 0")
+    lists = (F.when(F.size(c) > 0, F.array_join(c, ",")).alias(n) for c, n in (("unmappable_lines", "unmappable"), ("hallucinated_files", "hallucinated")))
+    return r.select("change_id", "unmappable_count", "hallucinated_file_count", *lists)
 
 
 _CAPPED = "list_extract(['low', 'medium', 'high'], 1 + least(list_position(['low', 'medium', 'high'], confidence) - 1, CASE WHEN change_id % 2 = 0 THEN 1 ELSE 2 END))"
@@ -497,16 +500,20 @@ _BEST = f"capped AS (SELECT * REPLACE (fixed AS line, {_CAPPED} AS confidence) F
 
 @query("v6_strongest_model", model_sql(f", {_BEST} SELECT change_id, file, line, category, severity, confidence FROM llm WHERE n = 1").replace(" , capped", ", capped"))
 def v6(spark, d):
-    return merging.strongest(reviewed(spark, d).model_findings).select("change_id", "file", "line", "category", "severity", "confidence")
+    return merging.strongest(merged(spark, d)[0]).select("change_id", "file", "line", "category", "severity", "confidence")
 
 
-def reviewed(spark, d) -> Reviewed:
-    return Reviewed(scan(spark, d), answers(spark, d), _packed(spark, d))
+def merged(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(the model's findings, both detectors' findings) of the answers, whatever became of their calls."""
+    s = whole(spark, d)
+    f = merging.mapped_lines(merging.known_files(_model(spark, d), s.files), s.added).drop("unmapped")
+    f = merging.capped(f, s.files.select("change_id", F.lit(0).alias("batch_no"), "path", (F.col("change_id") % 2 == 0).alias("capped")))
+    return f, merging.merge(s.found, f)
 
 
 _MERGED = f"""{_BEST}, merged AS (SELECT coalesce(d.change_id, m.change_id) AS change_id, coalesce(d.file, m.file) AS file, coalesce(d.line, m.line) AS line, coalesce(d.category, m.category) AS category,
   CASE WHEN m.file IS NULL THEN d.severity WHEN d.file IS NULL THEN m.severity WHEN list_position(['low', 'medium', 'high'], d.severity) >= list_position(['low', 'medium', 'high'], m.fs) THEN d.severity ELSE m.fs END AS severity,
-  CASE WHEN m.file IS NULL THEN d.confidence WHEN d.file IS NULL THEN m.confidence ELSE 'high' END AS confidence, coalesce(d.evidence, 'model saw it') AS evidence,
+  CASE WHEN m.file IS NULL THEN d.confidence WHEN d.file IS NULL THEN m.confidence ELSE 'high' END AS confidence, coalesce(d.evidence, 'model saw it') AS evidence, CASE WHEN m.file IS NULL THEN d.risk ELSE 'risk ' || m.category END AS risk, CASE WHEN m.file IS NULL THEN d.recommendation ELSE 'fix ' || m.fs END AS recommendation,
   CASE WHEN m.file IS NULL THEN 'deterministic' WHEN d.file IS NULL THEN 'llm' ELSE 'both' END AS source, d.rule_id FROM det d FULL JOIN (SELECT * FROM llm WHERE n = 1) m ON d.change_id = m.change_id AND d.file = m.file AND d.category = m.category AND d.line IS NOT DISTINCT FROM m.line)"""
 
 
@@ -516,13 +523,15 @@ def merged_sql(select: str) -> str:
 
 @query("v7_merge", merged_sql("SELECT * FROM merged"))
 def v7(spark, d):
-    return reviewed(spark, d).merged_all.select("change_id", *FOUND)
+    return merged(spark, d)[1].select("change_id", *FOUND, "risk", "recommendation")
 
 
 @query("v8_order", merged_sql("SELECT change_id, array_to_string(list(file || ':' || coalesce(line, -1) || ':' || category ORDER BY file, coalesce(line, -1), category), '|') AS keys FROM merged GROUP BY change_id"))
 def v8(spark, d):
-    f = merging.ordered(reviewed(spark, d).merged_all)
-    return f.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("file", F.coalesce("line", F.lit(-1)).alias("line"), "category"))).alias("k")).select("change_id", F.array_join(F.transform("k", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"), F.lit(":"), x["category"])), "|").alias("keys"))
+    """The keys of each change in the order of the sorted rows: their places are read off before they are grouped."""
+    f = merging.ordered(merged(spark, d)[1]).withColumn("place", F.monotonically_increasing_id())
+    key = F.concat("file", F.lit(":"), F.coalesce("line", F.lit(-1)).cast("string"), F.lit(":"), "category")
+    return f.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("place", key.alias("key")))).alias("k")).select("change_id", F.array_join("k.key", "|").alias("keys"))
 
 
 @query("v9_union", over("SELECT rule_id, count(*) AS n FROM found GROUP BY rule_id"))
@@ -544,21 +553,20 @@ def o1(spark, d):
     return reports.severity_counts(scan(spark, d).findings)
 
 
-_N = "(SELECT change_id, count(rule_id) AS n, count(DISTINCT file) AS k, max(sr) AS m FROM (SELECT DISTINCT change_id FROM files) LEFT JOIN det USING (change_id) GROUP BY 1)"
-_ANY = "(SELECT change_id, bool_or(kind = 'added') AS rev FROM lines GROUP BY 1)"
-_NOTE = "(SELECT change_id, count(*) || ' files excluded from LLM review (' || array_to_string(list_sort(list(DISTINCT reason)), ', ') || ')' AS note FROM shown WHERE reason IS NOT NULL GROUP BY 1)"
+@query("o3_o4_review", over(f", {reviews_sql('det')} SELECT change_id, summary, overall_risk, pr_comment, len(fs) AS n_findings, sha256(to_json(fs)) AS findings_sha256, no_findings_reason FROM review"))
+def o3(spark, d):
+    r = whole(spark, d).reviews()
+    one = F.transform("findings", lambda x: F.struct(*(x[k].alias(k) for k in sorted(reports.PUBLIC))))
+    return r.select("change_id", "summary", "overall_risk", "pr_comment", F.size("findings").cast("long").alias("n_findings"), F.sha2(F.to_json(one, {"ignoreNullFields": "false"}).cast("binary"), 256).alias("findings_sha256"), "no_findings_reason")
 
 
-@query("o3_o4_review", over(f"SELECT change_id, CASE WHEN coalesce(rev, false) THEN 'Deterministic review only (no model summary available). ' || n || ' finding(s) across ' || k || ' file(s).' || coalesce(' ' || note || '.', '') ELSE 'No reviewable changes in this diff.' END AS summary, CASE WHEN coalesce(rev, false) THEN list_extract(['low', 'medium', 'high'], CAST(coalesce(m, 0) AS INT) + 1) ELSE 'low' END AS overall_risk, CASE WHEN coalesce(rev, false) THEN CAST(n AS INT) ELSE 0 END AS n_findings, CASE WHEN NOT coalesce(rev, false) THEN 'The change adds no lines.' WHEN n = 0 THEN 'No deterministic security findings.' END AS no_findings_reason FROM {_N} LEFT JOIN {_ANY} USING (change_id) LEFT JOIN {_NOTE} USING (change_id)"))
-def o3(spark, d):
-    return scan(spark, d).reviews().select("change_id", "summary", "overall_risk", F.size("findings").alias("n_findings"), "no_findings_reason")
+_GOOD_SUMMARIES = f"(SELECT change_id, 'sum ' || change_id AS s, 'medium' AS r, 'comment' AS c FROM (SELECT DISTINCT l_orderkey AS change_id FROM lineitem) WHERE change_id % 9 <> 0 AND change_id % 37 <> 0) good"
 
 
-@query("o3_with_summary", over("SELECT change_id, CASE WHEN NOT coalesce(rev, false) THEN 'low' WHEN change_id % 9 = 0 OR change_id % 37 = 0 THEN list_extract(['low', 'medium', 'high'], CAST(coalesce(m, 0) AS INT) + 1) ELSE 'medium' END AS overall_risk, CASE WHEN coalesce(rev, false) AND change_id % 9 <> 0 AND change_id % 37 <> 0 THEN 'sum ' || change_id END AS summary " + f"FROM {_N} LEFT JOIN {_ANY} USING (change_id)"))
+@query("o3_with_summary", over(f", {reviews_sql('det', _GOOD_SUMMARIES)} SELECT change_id, overall_risk, summary, pr_comment, no_findings_reason FROM review"))
 def o3b(spark, d):
-    s = scan(spark, d)
-    r = s.reviews(summaries=responses.summaries(responses.check(answers(spark, d))))
-    return r.select("change_id", "overall_risk", F.when(F.col("summary").startswith("sum "), F.col("summary")).alias("summary"))
+    r = whole(spark, d).reviews(summaries=responses.summaries(responses.check(answers(spark, d))))
+    return r.select("change_id", "overall_risk", "summary", "pr_comment", "no_findings_reason")
 
 
 @query("o5_by_file", over("SELECT change_id, file, array_to_string(list(coalesce(line, -1) || ':' || category ORDER BY sr DESC, cr DESC, coalesce(line, -1), category), '|') AS listed FROM det GROUP BY change_id, file"))
@@ -571,16 +579,15 @@ def o6(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", flatten(F.col("text")).alias("flat"))
 
 
-@query("o7_markdown", over(f"SELECT change_id, CASE WHEN coalesce(rev, false) THEN n ELSE 0 END AS n_headings, CASE WHEN coalesce(rev, false) THEN k ELSE 0 END AS n_sections, coalesce(note, '') AS note FROM {_N} LEFT JOIN {_ANY} USING (change_id) LEFT JOIN {_NOTE} USING (change_id)"))
+@query("o7_markdown", over(f", {reviews_sql('det')}, {markdown_sql('det')} SELECT change_id, length(md) AS n_chars, sha256(md) AS md_sha256 FROM pages"))
 def o7(spark, d):
-    s = scan(spark, d)
-    m = reports.to_markdown(s.reviews(), s.findings, s.notes)
-    return m.select("change_id", F.regexp_count("md", F.lit("(?m)^### ")).cast("long").alias("n_headings"), F.regexp_count("md", F.lit("(?m)^## `")).cast("long").alias("n_sections"), F.regexp_extract("md", "(?m)^> (.*)$", 1).alias("note"))
+    s = whole(spark, d)
+    return reports.to_markdown(s.keep(s.reviews()), s.findings, s.notes).select("change_id", F.length("md").cast("long").alias("n_chars"), F.sha2(F.col("md").cast("binary"), 256).alias("md_sha256"))
 
 
-@query("o8_public", over("SELECT change_id, file, line, category, severity, confidence, evidence FROM det"))
+@query("o8_public", over("SELECT change_id, file, line, category, severity, confidence, evidence, risk, recommendation FROM det"))
 def o8(spark, d):
-    return reports.public(scan(spark, d).findings).drop("risk", "recommendation")
+    return reports.public(scan(spark, d).findings)
 
 
 @query("o9_gate", over("SELECT change_id, bool_or(severity = 'high') AS gated FROM det GROUP BY change_id"))
@@ -601,15 +608,104 @@ def u2(spark, d):
     return cost.budgets(calls(spark, d), 4500, 0.2).select("change_id", "call_no", F.round("spent", 9).alias("spent"), "over_tokens", "over_cost", "made")
 
 
-@query("u4_outcomes", merged_sql("SELECT change_id, CASE WHEN change_id % 31 = 0 THEN CASE WHEN g THEN 4 ELSE 0 END WHEN change_id % 7 IN (2, 3, 4, 5) THEN 2 WHEN change_id % 37 = 0 THEN CASE WHEN g THEN 4 ELSE 0 END WHEN change_id % 9 = 0 THEN 2 WHEN g THEN 4 ELSE 0 END AS outcome, change_id % 31 <> 0 AS keep_model FROM (SELECT change_id, coalesce(bool_or(severity = 'high'), false) AS g FROM (SELECT DISTINCT change_id FROM files) LEFT JOIN merged USING (change_id) GROUP BY change_id)"))
+#: Budgets of the run below: they stop some of its calls.
+CALL_TOKENS, RUN_COST = 220, 0.3
+SYSTEM = "Review the change for security flaws."
+
+
+def run(spark, d) -> Reviewed:
+    """A whole run over changes some of which are prose. Every response is a function of its request: of the first two digits of the key
+    for a review (some malformed, some missing), of the numbers of findings and files for a summary."""
+    s = Scan(corpus.changes(spark, d, damage="prose"), keep=stored)
+    requests = Requests(s, SYSTEM, "model-b", "2026-06-01", prices(spark, d), LIMIT)
+    k = F.conv(F.substring("prompt_key", 1, 2), 16, 10).cast("int")
+    usage = ("input_tokens", "output_tokens", "cache_read", "cache_write")
+    r = requests.reviews.join(requests.blocks.groupBy("change_id", "batch_no").agg(F.min("path").alias("path")), ["change_id", "batch_no"]).withColumn("k", k)
+    one = lambda file, line, cat, sev, conf: F.concat(F.lit('{"file":"'), file, F.lit('","line":'), line, F.lit(f',"category":"{cat}","severity":"{sev}","confidence":"{conf}","evidence":"model saw it","risk":"risk {cat}","recommendation":"fix {sev}"}}'))
+    first = one(F.col("path"), F.when(F.col("k") % 3 == 0, "null").when(F.col("k") % 3 == 1, "1").otherwise("999"), "crypto_misuse", "medium", "high")
+    file = F.when(F.col("k") % 5 == 0, "nope.py").otherwise(F.col("path"))
+    good = F.concat(F.lit('{"findings":['), F.concat_ws(",", first, one(file, F.lit("1"), "injection", "high", "low"), one(file, F.lit("1"), "injection", "medium", "medium")), F.lit("]}"))
+    text = F.when(F.col("k") < 12, "I found nothing").when(F.col("k") % 2 == 0, good).otherwise(F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+    given = r.where("k NOT BETWEEN 12 AND 23").select("prompt_key", text.alias("response"), F.col("tokens").alias(usage[0]), (100 * F.col("k")).cast("long").alias(usage[1]), *(F.lit(0).cast("long").alias(c) for c in usage[2:]))
+    reviews = Reviewed(requests, given, CALL_TOKENS, RUN_COST)
+    sums = requests.summaries(reviews.merged)
+    shape = F.from_json("user", "files_excluded array<string>, files_reviewed array<string>, findings array<struct<file:string>>")
+    sums = sums.withColumn("j", shape).withColumn("k", (F.size("j.findings") * 7 + F.size("j.files_reviewed") * 3 + F.size("j.files_excluded")) % 9)
+    text = F.concat(F.lit('{"summary":"sum '), F.col("k").cast("string"), F.lit('","overall_risk":"'), F.when(F.col("k") == 1, "grave").otherwise("medium"), F.lit('","pr_comment":"comment"}'))
+    said = sums.where("k <> 0").select("prompt_key", text.alias("response"), F.col("tokens").alias(usage[0]), *(F.lit(0).cast("long").alias(c) for c in usage[1:]))
+    done = Reviewed(requests, s.keep(given.unionByName(said)), CALL_TOKENS, RUN_COST)
+    done.merged = reviews.merged  # the summaries' responses change nothing before them
+    done.review_calls, done.review_failures = reviews.review_calls, reviews.review_failures
+    return done
+
+
+_HEX = "0123456789abcdef"
+_RUN_MODEL = ", ".join(
+    (
+        f"keyed AS (SELECT change_id, batch_no, {_KEY} AS prompt_key, CAST(ceil(length('{SYSTEM}') / 4.0) + ceil(length(user_text) / 4.0) AS BIGINT) AS tokens FROM req WHERE change_id % 13 <> 1)",
+        f"called AS (SELECT *, (strpos('{_HEX}', substr(prompt_key, 1, 1)) - 1) * 16 + strpos('{_HEX}', substr(prompt_key, 2, 1)) - 1 AS k FROM keyed)",
+        "costed AS (SELECT *, (tokens * 2.0 + 8000 * 10.0) / 1e6 AS worst, CASE WHEN k BETWEEN 12 AND 23 THEN 0 ELSE (tokens * 2.0 + 100 * k * 10.0) / 1e6 END AS actual FROM called)",
+        "run_spent AS (SELECT *, coalesce(sum(actual) OVER (PARTITION BY change_id ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM costed)",
+        f"run_results AS (SELECT *, CASE WHEN tokens > {CALL_TOKENS} OR spent + worst > {RUN_COST} THEN 'budget' WHEN k BETWEEN 12 AND 23 THEN 'api_error' WHEN k < 12 THEN 'malformed' ELSE 'ok' END AS result FROM run_spent)",
+        "review_failed AS (SELECT change_id, min_by(result, batch_no) AS result FROM run_results WHERE result <> 'ok' GROUP BY 1)",
+        "good_calls AS (SELECT c.change_id, c.batch_no, c.k, p.file FROM run_results c JOIN (SELECT change_id, batch_no, min(path) AS file FROM laid GROUP BY ALL) p USING (change_id, batch_no) WHERE c.k > 23 AND c.change_id NOT IN (SELECT change_id FROM review_failed))",
+        "model AS (SELECT change_id, batch_no, 0 AS pos, file, CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 999 END AS line, 'crypto_misuse' AS category, 'medium' AS severity, 'high' AS confidence FROM good_calls UNION ALL SELECT change_id, batch_no, p, CASE WHEN k % 5 = 0 THEN 'nope.py' ELSE file END, 1, 'injection', CASE p WHEN 1 THEN 'high' ELSE 'medium' END, CASE p WHEN 1 THEN 'low' ELSE 'medium' END FROM good_calls, (VALUES (1), (2)) t(p))",
+        _VALID,
+        "capped AS (SELECT m.* REPLACE (fixed AS line, CASE WHEN c.hit AND confidence = 'high' THEN 'medium' ELSE confidence END AS confidence) FROM mapped m LEFT JOIN (SELECT DISTINCT change_id, batch_no, path AS file, true AS hit FROM laid WHERE capped) c USING (change_id, batch_no, file))",
+        "llm AS (SELECT *, row_number() OVER (PARTITION BY change_id, file, line, category ORDER BY list_position(['low', 'medium', 'high'], confidence) DESC, batch_no, pos) AS n, first_value(severity) OVER (PARTITION BY change_id, file, line, category ORDER BY batch_no, pos) AS fs FROM capped)",
+        _MERGED[len(_BEST) + 2 :].replace("merged AS (", "merged_any AS ("),
+        "merged AS (SELECT * FROM merged_any WHERE change_id % 13 <> 1 AND change_id IN (SELECT change_id FROM lines WHERE kind = 'added'))",
+        summary_sql("merged"),
+        f"sum_calls AS (SELECT s.*, (n_findings * 7 + n_reviewed * 3 + n_excluded) % 9 AS k, CAST(ceil(length('{SYSTEM}') / 4.0) + ceil(length(user_text) / 4.0) AS BIGINT) AS tokens, t.spent FROM sums s JOIN (SELECT change_id, sum(actual) AS spent FROM costed GROUP BY 1) t USING (change_id) WHERE change_id NOT IN (SELECT change_id FROM review_failed))",
+        f"sum_results AS (SELECT *, CASE WHEN tokens > {CALL_TOKENS} OR spent + (tokens * 2.0 + 2000 * 10.0) / 1e6 > {RUN_COST} THEN 'budget' WHEN k = 0 THEN 'api_error' WHEN k = 1 THEN 'malformed' ELSE 'ok' END AS result FROM sum_calls)",
+        "failed AS (SELECT change_id, result, 'review' AS call FROM review_failed UNION ALL SELECT change_id, result, 'summary' FROM sum_results WHERE result <> 'ok')",
+        "ended AS (SELECT change_id, CASE WHEN change_id % 13 = 1 THEN 1 WHEN NOT coalesce(rev, false) THEN 0 WHEN result = 'malformed' THEN 2 WHEN result = 'budget' THEN 3 WHEN g THEN 4 ELSE 0 END AS outcome, NOT coalesce(rev AND result = 'api_error' AND call = 'review', false) AS keep_model FROM (SELECT DISTINCT change_id FROM files) LEFT JOIN (SELECT change_id, bool_or(kind = 'added') AS rev FROM lines GROUP BY 1) USING (change_id) LEFT JOIN failed USING (change_id) LEFT JOIN (SELECT change_id, bool_or(severity = 'high') AS g FROM merged GROUP BY 1) USING (change_id))",
+    )
+)
+
+
+def run_sql(select: str) -> str:
+    return packing_sql(f", {_REQ}, {_RUN_MODEL} {select}").replace(" , own", ", own")
+
+
+@query("u4_outcomes", run_sql("SELECT change_id, outcome, keep_model, outcome IN (0, 4) AS has_review FROM ended"))
 def u4(spark, d):
-    return reviewed(spark, d).outcomes.select("change_id", "outcome", "keep_model")
+    return run(spark, d).outcomes
 
 
-@query("u4_kept_model_findings", model_sql("SELECT change_id, count(*) AS n FROM model GROUP BY change_id"))
+@query("u4_kept_model_findings", run_sql("SELECT change_id, batch_no, pos, file FROM model"))
 def u4b(spark, d):
-    r = reviewed(spark, d)
-    return outcome.kept_model_findings(responses.model_findings(r.checked), r.outcomes).groupBy("change_id").agg(F.count("*").alias("n"))
+    r = run(spark, d)
+    return outcome.kept_model_findings(responses.model_findings(r.review_calls), r.review_failures).select("change_id", "seq.batch_no", "seq.pos", "file")
+
+
+@query("w3_calls", run_sql("SELECT change_id, 'review-' || batch_no AS label, tokens, round(worst, 9) AS worst, round(actual, 9) AS actual, round(spent, 9) AS spent, result FROM run_results"))
+def w3_calls(spark, d):
+    """The review calls: responses joined to requests by key, budgets, what became of each."""
+    r = run(spark, d)
+    return r._results(r.review_calls).select("change_id", "label", "tokens", *(F.round(c, 9).alias(c) for c in ("worst", "actual", "spent")), "result")
+
+
+@query("w3_findings", run_sql("SELECT m.* FROM merged m JOIN ended USING (change_id) WHERE outcome IN (0, 4)"))
+def w3_findings(spark, d):
+    """The findings of the reviews that are written, both detectors' merged."""
+    r = run(spark, d)
+    return r.merged.join(r.outcomes.where("has_review").select("change_id"), "change_id", "left_semi").select("change_id", *FOUND, "risk", "recommendation")
+
+
+_SAID = "(SELECT change_id, 'sum ' || k AS s, 'medium' AS r, 'comment' AS c FROM sum_results WHERE result = 'ok') said"
+
+
+@query("w3_reviews", run_sql(f", {reviews_sql('merged', _SAID)}, {markdown_sql('merged')} SELECT change_id, overall_risk, sha256({JSON}) AS json_sha256, sha256(md) AS md_sha256 FROM review JOIN pages USING (change_id) JOIN ended USING (change_id) WHERE outcome IN (0, 4)"))
+def w3_reviews(spark, d):
+    """JSON and Markdown of every change that ends with a review."""
+    return run(spark, d).artifacts().select("change_id", "overall_risk", *(F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("json", "md")))
+
+
+@query("w2_dry_run", run_sql(f", {summary_sql('det').replace('sums AS', 'rule_sums AS', 1)}, priced AS (SELECT change_id, 'review-' || batch_no AS label, tokens, worst FROM costed UNION ALL SELECT change_id, 'summary', t, (t * 2.0 + 2000 * 10.0) / 1e6 FROM (SELECT change_id, CAST(ceil(length('{SYSTEM}') / 4.0) + ceil(length(user_text) / 4.0) AS BIGINT) AS t FROM rule_sums WHERE change_id IN (SELECT change_id FROM costed))) SELECT change_id, label, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(worst), 9) AS cost, count(*) AS calls FROM priced GROUP BY GROUPING SETS ((change_id, label), (change_id))"))
+def w2_dry_run(spark, d):
+    """What the run's own requests would cost at worst, the summary call included."""
+    return run(spark, d).requests.dry_run.withColumn("cost", F.round("cost", 9))
 
 
 @query("u5_usage_totals", f"WITH {_RATED} SELECT change_id, label, CAST(sum(tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, round(sum(actual), 9) AS cost FROM costed GROUP BY ROLLUP (change_id, label)")
@@ -619,7 +715,7 @@ def u5(spark, d):
 
 @query("u6_tuning", merged_sql("SELECT rule_id, source, confidence, count(*) AS n FROM merged GROUP BY ALL"))
 def u6(spark, d):
-    return outcome.tuning(reviewed(spark, d).merged_all)
+    return outcome.tuning(merged(spark, d)[1])
 
 
 @query("u6_unmappable_share", model_sql("SELECT round(count_if(unmapped) / (SELECT count(*) FROM model), 9) AS unmappable_share FROM mapped"))

@@ -1,13 +1,15 @@
 """Packing, responses, validation, merging, outcome, rendering, sources and sinks on small cases."""
 
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from diffloom.operators import cost, lines, merging, outcome, packing, reports, responses
-from diffloom.plans.review import Scan
+from diffloom.plans.review import Requests, Reviewed, Scan, whole_run
 from diffloom.sources import diffs, sinks
+from diffloom.sources.shared import stored
 from diffloom.streaming.arrivals import review_arrivals
 from tests.test_lines import MULTI
 from tests.test_rules import diff, scan
@@ -124,11 +126,89 @@ def test_caps(spark):
 
 
 def test_outcomes(spark):
-    st = spark.createDataFrame([(i, "parse_error" if i == 0 else "ok") for i in range(7)], "change_id long, status string")
+    st = spark.createDataFrame([(i, "parse_error" if i == 0 else "ok") for i in range(9)], "change_id long, status string")
     calls = spark.createDataFrame([(1, 1, "review", "malformed"), (2, 1, "review", "ok"), (2, 2, "summary", "budget"), (3, 1, "review", "api_error"), (3, 2, "summary", "malformed"), (4, 1, "review", "ok"), (4, 2, "summary", "api_error"), (5, 1, "review", "ok")], "change_id long, call_no int, call string, result string")
-    gates = spark.createDataFrame([(4, True), (5, False)], "change_id long, gated boolean")
-    got = {r.change_id: (r.outcome, r.keep_model, r.has_review) for r in outcome.outcomes(st, calls, gates).collect()}
-    assert got == {0: (1, True, False), 1: (2, True, False), 2: (3, True, False), 3: (0, False, True), 4: (4, True, True), 5: (0, True, True), 6: (0, True, True)}
+    gates = spark.createDataFrame([(4, True), (5, False), (7, True), (8, True)], "change_id long, gated boolean")
+    reviewable = spark.createDataFrame([(i, i != 7) for i in range(8)], "change_id long, reviewable boolean")  # 8: no line at all
+    got = {r.change_id: (r.outcome, r.keep_model, r.has_review) for r in outcome.outcomes(st, reviewable, outcome.first_failures(calls), gates).collect()}
+    assert got == {0: (1, True, False), 1: (2, True, False), 2: (3, True, False), 3: (0, False, True), 4: (4, True, True), 5: (0, True, True), 6: (0, True, True), 7: (0, True, True), 8: (0, True, True)}
+
+
+PRICES = "model string, valid_from date, valid_to date, rate_in double, rate_out double"
+ANSWER = "prompt_key string, response string, input_tokens long, output_tokens long, cache_read long, cache_write long"
+
+
+def run_with(spark, changes, reviews, summary=None, **budgets):
+    """A whole run of one batch for each file; reviews: response by path (none: the call fails)."""
+    prices = spark.createDataFrame([("m", datetime.date(2000, 1, 1), datetime.date(2099, 1, 1), 2.0, 10.0)], PRICES)
+    requests = Requests(Scan(scan(spark, *changes).changes, keep=stored), "s", "m", "2026-01-01", prices, 20)
+    given = [(r.prompt_key, text, 10, 10, 0, 0) for r in requests.reviews.collect() for path, text in reviews.items() if f'path="{path}"' in r.user]
+    first = Reviewed(requests, spark.createDataFrame(given, ANSWER), **budgets)
+    if summary is not None:
+        given += [(r.prompt_key, summary, 10, 10, 0, 0) for r in requests.summaries(first.merged).collect()]
+    return Reviewed(requests, spark.createDataFrame(given, ANSWER), **budgets)
+
+
+def answer(file, line=1, severity="high"):
+    return json.dumps({"findings": [GOOD | {"file": file, "line": line, "severity": severity}]})
+
+
+TWO = diff("+first line", path="a.py") + diff("+second line", path="b.py")
+SUMMARY = json.dumps({"summary": "all told", "overall_risk": "medium", "pr_comment": "c"})
+
+
+def test_a_failed_review_call_discards_all_model_findings(spark):
+    r = run_with(spark, [TWO], {"a.py": answer("a.py")}, SUMMARY)
+    assert r.requests.reviews.count() == 2  # two batches, the second without a response
+    assert [tuple(x) for x in r.outcomes.collect()] == [(0, 0, False, True)]
+    assert r.merged.count() == 0 and r.summary_calls.count() == 0
+    assert [(x.overall_risk, x.summary.startswith(reports.RULES_ONLY), x.findings) for x in r.reviews.collect()] == [("low", True, [])]
+
+
+def test_a_run_with_all_responses(spark):
+    r = run_with(spark, [TWO], {"a.py": answer("a.py"), "b.py": answer("b.py", 7, "low")}, SUMMARY)
+    assert [tuple(x) for x in r.outcomes.collect()] == [(0, 4, True, True)]
+    assert sorted((x.file, x.line, x.severity) for x in r.merged.collect()) == [("a.py", 1, "high"), ("b.py", None, "low")]
+    assert [(x.summary, x.overall_risk, len(x.findings)) for x in r.reviews.collect()] == [("all told", "medium", 2)]
+    assert r.artifacts().count() == 1
+    failed = run_with(spark, [TWO], {"a.py": answer("a.py"), "b.py": answer("b.py", 7, "low")})  # the summary fails: findings stay
+    assert [tuple(x) for x in failed.outcomes.collect()] == [(0, 4, True, True)] and failed.merged.count() == 2
+    assert failed.reviews.first().summary.startswith(reports.RULES_ONLY)
+
+
+def test_malformed_responses_and_budgets_leave_no_review(spark):
+    for reviews, summary, budgets, want in (
+        ({"a.py": "no", "b.py": answer("b.py")}, SUMMARY, {}, 2),
+        ({"a.py": answer("a.py"), "b.py": answer("b.py")}, "no", {}, 2),
+        ({"a.py": answer("a.py"), "b.py": answer("b.py")}, SUMMARY, {"max_run_cost": 0.08012}, 3),  # the second call doesn't fit
+        ({"a.py": "no"}, SUMMARY, {"max_call_tokens": 5}, 3),  # the budget comes before the call
+    ):
+        r = run_with(spark, [TWO], reviews, summary, **budgets)
+        assert [(x.outcome, x.has_review) for x in r.outcomes.collect()] == [(want, False)]
+        assert r.reviews.count() == 0
+
+
+def test_changes_without_added_lines_end_well(spark):
+    r = run_with(spark, [diff("-@login_required"), "prose", diff("+eval(x)")], {}, SUMMARY)
+    assert {x.change_id: (x.outcome, x.has_review) for x in r.outcomes.collect()} == {0: (0, True), 1: (1, False), 2: (4, True)}
+    got = {x.change_id: (x.summary, x.overall_risk, len(x.findings)) for x in r.reviews.collect()}
+    assert got[0] == (reports.EMPTY_SUMMARY, "low", 0) and set(got) == {0, 2} and got[2][1:] == ("high", 1)
+
+
+def test_equal_requests_share_a_response(spark):
+    requests = spark.createDataFrame([(1, "k"), (2, "k"), (3, "l")], "change_id long, prompt_key string")
+    answers = spark.createDataFrame([("k", "b", 1, 1, 0, 0), ("k", "a", 2, 2, 0, 0)], ANSWER)
+    got = sorted((r.change_id, r.response, r.input_tokens) for r in responses.attached(requests, answers).collect())
+    assert got == [(1, "a", 2), (2, "a", 2), (3, None, None)]
+
+
+def test_a_whole_run_writes_its_tables_once(spark):
+    prices = spark.createDataFrame([("m", datetime.date(2000, 1, 1), datetime.date(2099, 1, 1), 2.0, 10.0)], PRICES)
+    changes = scan(spark, TWO, diff("+eval(x)")).changes
+    r = whole_run(changes, system="s", model="m", run_date="2026-01-01", prices=prices, answers=spark.createDataFrame([], ANSWER))
+    assert sorted((x.change_id, x.outcome) for x in r.outcomes.collect()) == [(0, 0), (1, 4)]
+    plan = r.artifacts()._jdf.queryExecution().optimizedPlan().toString()
+    assert "diff_text" not in plan  # all of it reads tables that were written
 
 
 def test_prices_and_budget(spark):
@@ -151,8 +231,8 @@ def test_markdown_and_json(spark):
     arts = {r.change_id: r for r in s.artifacts().collect()}
     md = arts[0].md
     assert md.startswith("# Security review\n\n**Overall risk: high** — 2 high across 1 file\n")
-    assert md.index("Line 2") < md.index("Line 1 ·") and "- **Evidence:** Query built" in md
-    assert "**No findings.** No deterministic security findings." in arts[1].md and "The change adds no lines." in arts[2].md
+    assert md.index("Line 2") < md.index("Line 1 ·") and "- **Evidence:** Statement put together" in md
+    assert f"**No findings.** {reports.NO_RULE_FINDINGS}" in arts[1].md and reports.EMPTY_REASON in arts[2].md
     doc = json.loads(arts[0].json)
     assert list(doc) == sorted(doc) and doc["no_findings_reason"] is None and "rule_id" not in doc["findings"][0]
 
