@@ -177,15 +177,11 @@ def test_a_run_with_all_responses(spark):
 
 
 def test_malformed_responses_and_budgets_leave_no_review(spark):
-    for reviews, summary, budgets, want in (
-        ({"a.py": "no", "b.py": answer("b.py")}, SUMMARY, {}, 2),
-        ({"a.py": answer("a.py"), "b.py": answer("b.py")}, "no", {}, 2),
-        ({"a.py": answer("a.py"), "b.py": answer("b.py")}, SUMMARY, {"max_run_cost": 0.08012}, 3),  # the second call doesn't fit
-        ({"a.py": "no"}, SUMMARY, {"max_call_tokens": 5}, 3),  # the budget comes before the call
-    ):
-        r = run_with(spark, [TWO], reviews, summary, **budgets)
-        assert [(x.outcome, x.has_review) for x in r.outcomes.collect()] == [(want, False)]
-        assert r.reviews.count() == 0
+    changes = [diff("+first line", path="a.py"), diff("+second line", path="b.py"), TWO.replace("a.py", "c.py").replace("b.py", "d.py")]
+    # a malformed review; a malformed summary; a second call that doesn't fit the run's budget beside the first one's cost
+    r = run_with(spark, changes, {"a.py": "no", **{f"{x}.py": answer(f"{x}.py") for x in "bcd"}}, "no", max_run_cost=0.08012)
+    assert {x.change_id: (x.outcome, x.has_review) for x in r.outcomes.collect()} == {0: (2, False), 1: (2, False), 2: (3, False)}
+    assert r.reviews.count() == 0
 
 
 def test_changes_without_added_lines_end_well(spark):
