@@ -513,7 +513,7 @@ def merged(spark, d) -> tuple[DataFrame, DataFrame]:
 
 _MERGED = f"""{_BEST}, merged AS (SELECT coalesce(d.change_id, m.change_id) AS change_id, coalesce(d.file, m.file) AS file, coalesce(d.line, m.line) AS line, coalesce(d.category, m.category) AS category,
   CASE WHEN m.file IS NULL THEN d.severity WHEN d.file IS NULL THEN m.severity WHEN list_position(['low', 'medium', 'high'], d.severity) >= list_position(['low', 'medium', 'high'], m.fs) THEN d.severity ELSE m.fs END AS severity,
-  CASE WHEN m.file IS NULL THEN d.confidence WHEN d.file IS NULL THEN m.confidence ELSE 'high' END AS confidence, coalesce(d.evidence, 'model saw it') AS evidence, CASE WHEN m.file IS NULL THEN d.risk ELSE 'risk ' || m.category END AS risk, CASE WHEN m.file IS NULL THEN d.recommendation ELSE 'fix ' || m.fs END AS recommendation,
+  CASE WHEN m.file IS NULL THEN d.confidence WHEN d.file IS NULL THEN m.confidence ELSE 'high' END AS confidence, coalesce(d.evidence, 'model saw it') AS evidence, CASE WHEN m.file IS NULL THEN d.risk ELSE 'risk ' || m.category END AS risk, CASE WHEN m.file IS NULL THEN d.recommendation WHEN d.file IS NULL THEN 'fix ' || m.severity ELSE 'fix ' || m.fs END AS recommendation,
   CASE WHEN m.file IS NULL THEN 'deterministic' WHEN d.file IS NULL THEN 'llm' ELSE 'both' END AS source, d.rule_id FROM det d FULL JOIN (SELECT * FROM llm WHERE n = 1) m ON d.change_id = m.change_id AND d.file = m.file AND d.category = m.category AND d.line IS NOT DISTINCT FROM m.line)"""
 
 
