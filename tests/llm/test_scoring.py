@@ -110,6 +110,28 @@ def test_language_accuracy_and_odd_rows(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= set(range(240))
 
 
+def test_decisions_match_exact_sets_of_trigrams(spark):
+    rng = random.Random(21)
+    langs = ["aa", "bb", "cc"]
+    rows = [(i, prose(rng, langs[i % 3], rng.choice([3, 20, 200])), langs[i % 3]) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        v = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+        return [a + b + c for a, b, c in zip(v, v[1:], v[2:], strict=False) if b != " " and (a != " " or c != " ")]
+
+    counts = {x: Counter(g for i, t, y in rows if x == y and zlib.crc32(str(i).encode()) % 4 != 2 for g in grams(t)) for x in langs}
+    members = {x: {g for g, n in c.items() if n - 1 >= sum(c.values()) * lang_id.MIN_RATE} for x, c in counts.items()}
+    got = {r.doc_id: r for r in lang_id.predict(df, lang_id.learn(df)).collect()}
+    for i, t, _ in rows:
+        found = {x: sum(g in members[x] for g in grams(t)) for x in langs}
+        best = max(langs, key=found.get)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i].lang_pred == best or found[best] - found[got[i].lang_pred] <= 1
+        assert got[i].score == pytest.approx(found[best] / sum(found.values()), abs=0.05)
+        assert got[i].hit_rate == pytest.approx(found[best] / len(grams(t)), abs=0.05)
+
+
 def test_nothing_learnt(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     f = lang_id.learn(df)
