@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from diffloom.llm import chat_format, decontam, html_text, lang_id, lm_scoring, pieces, quality_rules, simhash, url_filters, warc_archive
+from diffloom.llm import chat_format, decontam, html_text, lang_id, lm_scoring, merkle, pieces, quality_rules, simhash, url_filters, warc_archive
 from diffloom.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_url_filters(spark, sf_dir):
     return url_filters.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -68,4 +72,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_warc_archive": warc_archive.SQL, "op6_chat_format": chat_format.SQL, "op10_url_filters": url_filters.sql()}
+    return {"op5_warc_archive": warc_archive.SQL, "op6_chat_format": chat_format.SQL, "op10_url_filters": url_filters.sql(), "op13_merkle_manifest": merkle.SQL}
