@@ -7,6 +7,8 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 #: The white space that ends a word, and what is left of it is a word.
 SPACES = b" \t\n\r\x0b\x0c"
@@ -66,6 +68,21 @@ def column_unlike(df: DataFrame, name: str) -> str:
     return name
 
 
+def placed(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """rows(g, ...) with pos (from 0, by `order` within g), n (rows of g) and at (unlike for any two rows), without laying a group out in one task.
+
+    Rows are sorted over ranges and written with their places; the ranges' sizes, one row for each group and range, are summed up.
+    """
+    tie = rows.withColumn("_tie", F.monotonically_increasing_id())  # copies of a row may fill more than one range
+    by = ["g", *order, "_tie"]
+    laid = saved(tie.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie").withColumn("at", F.monotonically_increasing_id()), "laid-out").withColumn("range", F.shiftright("at", 33))
+    runs = laid.groupBy("g", "range").agg(F.min("at").alias("first"), F.count("*").alias("size"))
+    w = W.partitionBy("g")
+    before = F.coalesce(F.sum("size").over(w.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("g", "range", (before - F.col("first")).alias("shift"), F.sum("size").over(w).alias("n"))
+    return laid.join(runs, ["g", "range"]).withColumn("pos", F.col("at") + F.col("shift")).drop("range", "shift")
+
+
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8 (bytes.split() splits on exactly these six bytes)."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

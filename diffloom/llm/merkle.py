@@ -11,10 +11,9 @@ spread over its blocks like any other.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import saved
+from diffloom.llm.common import placed, saved
 
 #: Fixed values of the format: nodes of a run, hex digits of a digest.
 RUN, WIDTH = 3, 64
@@ -39,21 +38,6 @@ def leaf(values: dict[str, Column]) -> Column:
     return digest(*(field(values[k]) for k in FIELDS))
 
 
-def placed(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """rows(g, ...) with pos (from 0, by `order` within g) and n (rows of g), counted without laying a group out in one task.
-
-    Rows are sorted over ranges and written with their places; the ranges' sizes, one row for each group and range, are summed up.
-    """
-    tie = rows.withColumn("_tie", F.monotonically_increasing_id())  # copies of a row may fill more than one range
-    by = ["g", *order, "_tie"]
-    laid = saved(tie.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie").withColumn("at", F.monotonically_increasing_id()), "laid-out").withColumn("range", F.shiftright("at", 33))
-    runs = laid.groupBy("g", "range").agg(F.min("at").alias("first"), F.count("*").alias("size"))
-    w = W.partitionBy("g")
-    before = F.coalesce(F.sum("size").over(w.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select("g", "range", (before - F.col("first")).alias("shift"), F.sum("size").over(w).alias("n"))
-    return laid.join(runs, ["g", "range"]).withColumn("pos", F.col("at") + F.col("shift")).drop("at", "range", "shift")
-
-
 def _more(j: int) -> Column:
     """Whether the group of n nodes has several left on the j-th level above them."""
     return F.col("n") > RUN**j

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from diffloom.llm import chat_format, decontam, html_text, lang_id, lm_scoring, merkle, pieces, quality_rules, simhash, url_filters, warc_archive, whitening
+from diffloom.llm import chat_format, decontam, html_text, lang_id, lm_scoring, merkle, pieces, quality_rules, simhash, small_world, url_filters, warc_archive, whitening
 from diffloom.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_url_filters(spark, sf_dir):
     return url_filters.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_copies(spark, sf_dir):
+    return small_world.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_embedding_whitening(spark, sf_dir):
     """deviation as a long: a sum of squares beyond it stops the query, where the operator's decimal goes on."""
     rows = table(spark, sf_dir, "embeddings")
