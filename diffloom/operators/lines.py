@@ -7,9 +7,6 @@ that holds most lines of a table is still spread over its hunks.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,15 +38,17 @@ def split_files(changes: DataFrame) -> DataFrame:
 
 def _described(changes: DataFrame) -> DataFrame:
     s = _sections(changes).withColumn("head", F.regexp_extract("section", r"(?s)^(.*?)(?:\n@@ -|\z)", 1))
-    head = F.col("head")
+    return s.select("change_id", "file_no", *file_columns(F.col("head")), "section")
+
+
+def file_columns(head: Column) -> list[Column]:
+    """Paths and flags from a file's header lines."""
     git = r"^diff --git (?:a/)?(.+?) (?:b/)?(\S+)\s*(?:\n|$)"
     old = F.coalesce(_first(head, r"(?m)^--- ([^\t\n\r]+)"), _first(head, r"(?m)^rename from ([^\n\r]+)"), F.concat(F.lit("a/"), _first(head, git, 1)))
     new = F.coalesce(_first(head, r"(?m)^\+\+\+ ([^\t\n\r]+)"), _first(head, r"(?m)^rename to ([^\n\r]+)"), F.concat(F.lit("b/"), _first(head, git, 2)))
     removed = head.rlike(r"(?m)^deleted file mode ") | (new == "/dev/null")
     added = head.rlike(r"(?m)^new file mode ") | (old == "/dev/null")
-    return s.select(
-        "change_id",
-        "file_no",
+    return [
         F.when(new == "/dev/null", _bare(old)).otherwise(_bare(new)).alias("path"),
         _bare(old).alias("source_path"),
         _bare(new).alias("target_path"),
@@ -57,8 +56,24 @@ def _described(changes: DataFrame) -> DataFrame:
         F.coalesce(added, F.lit(False)).alias("is_added_file"),
         F.coalesce(removed, F.lit(False)).alias("is_removed_file"),
         head.rlike(r"(?m)^rename (from|to) ").alias("is_rename"),
-        "section",
-    )
+    ]
+
+
+def hunk_length(text: str, group: int) -> Column:
+    """A length of a hunk header; one that is not given is 1."""
+    n = F.regexp_extract(text, HUNK, group)
+    return F.when(n == "", 1).otherwise(F.try_to_number(n, F.lit("9999999999")).cast("int"))
+
+
+def line_kind(raw: Column) -> Column:
+    """added, removed, context, marker or bad, by the first character."""
+    mark = F.substring(raw, 1, 1)
+    return F.when(mark == "+", "added").when(mark == "-", "removed").when((mark == " ") | raw.isin("", "\r"), "context").when(mark == "\\", "marker").otherwise("bad")
+
+
+def line_content(raw: str) -> Column:
+    """A line without its prefix and a carriage return at its end."""
+    return F.regexp_replace(F.when(F.col(raw) == "", "").otherwise(F.expr(f"substring({raw}, 2)")), r"\r$", "")
 
 
 def _hunks(changes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -66,8 +81,7 @@ def _hunks(changes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     s = _described(changes) if carry else _sections(changes)
     h = s.select("change_id", "file_no", *carry, F.posexplode(parts).alias("n", "hunk")).where("n > 0")
     part = lambda i: F.regexp_extract("hunk", HUNK, i)
-    length = lambda i: F.when(part(i) == "", 1).otherwise(F.try_to_number(part(i), F.lit("9999999999")).cast("int"))
-    return h.select("change_id", "file_no", (F.col("n") - 1).alias("hunk_no"), part(1).cast("int").alias("source_start"), length(2).alias("source_length"), part(3).cast("int").alias("target_start"), length(4).alias("target_length"), F.regexp_replace(part(5), r"\r$", "").alias("section_header"), *carry, "hunk")
+    return h.select("change_id", "file_no", (F.col("n") - 1).alias("hunk_no"), part(1).cast("int").alias("source_start"), hunk_length("hunk", 2).alias("source_length"), part(3).cast("int").alias("target_start"), hunk_length("hunk", 4).alias("target_length"), F.regexp_replace(part(5), r"\r$", "").alias("section_header"), *carry, "hunk")
 
 
 def split_hunks(changes: DataFrame) -> DataFrame:
@@ -84,9 +98,7 @@ def _body(changes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """All lines below hunk headers with running counts of what the hunk has had before them."""
     h = _hunks(changes, carry)
     rows = h.select("change_id", "file_no", "hunk_no", *HUNK_COLUMNS, *carry, F.posexplode(F.split("hunk", "\n")).alias("line_idx", "raw")).where("line_idx > 0")
-    mark = F.substring("raw", 1, 1)
-    kind = F.when(mark == "+", "added").when(mark == "-", "removed").when((mark == " ") | F.col("raw").isin("", "\r"), "context").when(mark == "\\", "marker").otherwise("bad")
-    rows = rows.withColumn("kind", kind).withColumn("content", F.regexp_replace(F.when(F.col("raw") == "", "").otherwise(F.expr("substring(raw, 2)")), r"\r$", ""))
+    rows = rows.withColumn("kind", line_kind(F.col("raw"))).withColumn("content", line_content("raw"))
     w = W.partitionBy("change_id", "file_no", "hunk_no").orderBy("line_idx").rowsBetween(W.unboundedPreceding, 0)
     old, new = F.col("kind").isin("removed", "context").cast("int"), F.col("kind").isin("added", "context").cast("int")
     return rows.withColumn("olds", F.sum(old).over(w)).withColumn("news", F.sum(new).over(w)).withColumn("open", (F.col("olds") - old < F.col("source_length")) | (F.col("news") - new < F.col("target_length")))
@@ -118,18 +130,41 @@ def located(lines: DataFrame, files: DataFrame) -> DataFrame:
     return lines if "path" in lines.columns else lines.join(files.select("change_id", "file_no", *FILE_COLUMNS), ["change_id", "file_no"])
 
 
-def parse_status(changes: DataFrame) -> DataFrame:
-    """change_id, status: ok, empty (blank text) or parse_error.
+def _broken(hunk: Column) -> Column:
+    """Whether a hunk's text ends before or goes beyond its declared lengths, or has a line without a known prefix before that."""
+    rest = lambda i: F.when(F.regexp_extract(hunk, HUNK, i) == "", 1).otherwise(F.coalesce(F.try_to_number(F.regexp_extract(hunk, HUNK, i), F.lit("9999999999")).cast("int"), F.lit(-1)))
+    start = F.struct(rest(2).alias("old"), rest(4).alias("new"), F.lit(False).alias("bad"))
+
+    def read(s, raw):
+        kind = line_kind(raw)
+        left = F.struct((s["old"] - kind.isin("removed", "context").cast("int")).alias("old"), (s["new"] - kind.isin("added", "context").cast("int")).alias("new"), (s["bad"] | (kind == "bad")).alias("bad"))
+        return F.when((s["old"] > 0) | (s["new"] > 0), left).otherwise(s)
+
+    body = F.split(hunk, "\n")
+    return F.aggregate(F.slice(body, F.lit(2), F.size(body)), start, read, lambda s: s["bad"] | (s["old"] != 0) | (s["new"] != 0))
+
+
+def status(text: Column) -> Column:
+    """ok, empty (blank text) or parse_error (D7), a projection of the text.
 
     An error is text without a file section, a hunk that ends before or goes beyond its declared lengths, a line without
     a known prefix inside a hunk, or a null text.
     """
-    b = _body(changes).where("open").groupBy("change_id", "file_no", "hunk_no").agg(F.max("olds").alias("o"), F.max("news").alias("n"), F.first("source_length").alias("sl"), F.first("target_length").alias("tl"), F.bool_or(F.col("kind") == "bad").alias("bad"))
-    wrong = b.where("bad OR o <> sl OR n <> tl").select("change_id").distinct().withColumn("wrong", F.lit(True))
-    short = _hunks(changes).where("source_length + target_length > 0").select("change_id", "file_no", "hunk_no").join(b.select("change_id", "file_no", "hunk_no"), ["change_id", "file_no", "hunk_no"], "left_anti").select("change_id").distinct().withColumn("short", F.lit(True))
-    blank = ~F.col("diff_text").rlike(r"(?U)\S")
-    status = F.when(F.col("diff_text").isNull() | F.col("wrong") | F.col("short"), "parse_error").when(blank, "empty").when(~F.col("diff_text").rlike(r"(?m)^diff --git "), "parse_error").otherwise("ok")
-    return changes.join(wrong, "change_id", "left").join(short, "change_id", "left").select("change_id", status.alias("status"))
+    parts = F.split(F.concat(F.lit("\n"), F.regexp_replace(text, r"\n\z", "")), r"\n(?=diff --git )")
+    hunks = lambda section: F.slice(F.split(section, r"\n(?=@@ -\d)"), F.lit(2), F.size(F.split(section, r"\n(?=@@ -\d)")))
+    broken = F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda section: F.exists(hunks(section), _broken))
+    return F.when(text.isNull() | broken, "parse_error").when(~text.rlike(r"(?U)\S"), "empty").when(F.size(parts) < 2, "parse_error").otherwise("ok")
+
+
+def parse_status(changes: DataFrame) -> DataFrame:
+    """change_id, status."""
+    return changes.select("change_id", status(F.col("diff_text")).alias("status"))
+
+
+def sound(changes: DataFrame) -> DataFrame:
+    """The changes that can be read: all that comes after reading works on these, so that nothing of a text that was cut short is
+    scanned, sent or reviewed."""
+    return changes.where(status(F.col("diff_text")) == "ok")
 
 
 def added_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -146,39 +181,3 @@ def first_file(files: DataFrame) -> DataFrame:
     """The first file with each path of a change."""
     w = W.partitionBy("change_id", "path").orderBy("file_no")
     return files.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
-def with_git_headers(changes: DataFrame) -> DataFrame:
-    """Plain diffs (`---`, `+++` without `diff --git`) get the header lines that the splits above look for.
-
-    The reader has to count a hunk's lines, since a removed line `-- a/x` reads like a file header; it runs over Arrow batches.
-    """
-
-    @F.pandas_udf("string")
-    def fixed(texts: pd.Series) -> pd.Series:
-        head = re.compile(HUNK)
-
-        def one(text):
-            if text is None or "\n@@ -" not in f"\n{text}":
-                return text
-            out, old, new, git = [], 0, 0, False
-            lines = text.split("\n")
-            for i, line in enumerate(lines):
-                if old > 0 or new > 0:
-                    mark = line[:1]
-                    old -= mark in "- "
-                    new -= mark in "+ "
-                elif m := head.match(line):
-                    old, new = int(m[2] or 1), int(m[4] or 1)
-                elif line.startswith("diff --git "):
-                    git = True
-                elif line.startswith("--- ") and i + 1 < len(lines) and lines[i + 1].startswith("+++ "):
-                    if not git:
-                        out.append(f"diff --git {line[4:].split('\t')[0]} {lines[i + 1][4:].split('\t')[0]}")
-                    git = False
-                out.append(line)
-            return "\n".join(out)
-
-        return texts.map(one)
-
-    return changes.withColumn("diff_text", fixed("diff_text"))

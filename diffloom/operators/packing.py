@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from diffloom.functions.text import json_list, tokens
 from diffloom.operators.rules import is_manifest
+from diffloom.operators.scans import next_fit
+from diffloom.sources.shared import stored
 
 # Paths of generated and vendored files.
 GENERATED = r"(^|/)vendor/|(^|/)node_modules/|(^|/)dist/|(^|/)build/|\.min\.js$|\.generated\.[^/]+$|_pb2\.py$"
@@ -68,20 +70,78 @@ def file_blocks(hunk_rows: DataFrame) -> DataFrame:
 
 
 ASSIGNED = "change_id long, file_no int, hunk_no int, chunk_no int, batch_no int, capped boolean"
+#: Changes of more hunks than this are packed by `assign_large`, over many tasks.
+LARGE = 10_000
+_FILE, _HUNK = ["change_id", "file_no"], ["change_id", "file_no", "hunk_no"]
 
 
-def assign(hunk_rows: DataFrame, max_input_tokens: int = MAX_INPUT_TOKENS, change_type: str = "long") -> DataFrame:
+def hunk_sizes(hunk_rows: DataFrame) -> DataFrame:
+    """What packing needs of each hunk: chars of its text, number and digits of its cited lines, and those lines themselves only in files where
+    a line number may stand in two hunks (the hunks of a well-formed diff don't overlap, so hardly ever)."""
+    n = F.col("citable")
+    digits = F.aggregate(n, F.lit(0), lambda a, x: a + F.length(x.cast("string")))
+    s = hunk_rows.select("change_id", "path", "file_no", "hunk_no", F.length("text").alias("chars"), F.size(n).alias("n_cited"), digits.alias("digits"), F.array_min(n).alias("_lo"), F.array_max(n).alias("_hi"), n.alias("cited"))
+    before = F.max("_hi").over(W.partitionBy(*_FILE).orderBy("hunk_no").rowsBetween(W.unboundedPreceding, -1))
+    s = s.withColumn("_twice", F.max(F.coalesce(F.col("_lo") <= before, F.lit(False))).over(W.partitionBy(*_FILE)))
+    return s.withColumn("cited", F.when(F.col("_twice"), F.col("cited"))).drop("_lo", "_hi", "_twice")
+
+
+def _block_tokens(path: Column, body: Column, n_cited: Column, digits: Column) -> Column:
+    """Tokens of a block by its parts: chars of its hunks with a line end each, number and digits of its distinct cited lines."""
+    frame = len('<file path="">\ncitable_lines: []\n</file>')
+    return F.ceil((F.length(path) + body + digits + 2 * F.greatest(n_cited - 1, F.lit(0)) + frame) / 4).cast("long")
+
+
+def _block_sizes(sizes: DataFrame, by: list[str]) -> DataFrame:
+    """by, tokens of the block that the hunks with the same `by` make up; a line number counts once in it."""
+    whole = sizes.groupBy(*by).agg(F.sum(F.col("chars") + 1).alias("body"), F.sum("n_cited").alias("n"), F.sum("digits").alias("d"))
+    lines = sizes.where("cited IS NOT NULL").select(*by, F.explode("cited").alias("line")).distinct()
+    fewer = lines.groupBy(*by).agg(F.count("*").alias("n2"), F.sum(F.length(F.col("line").cast("string"))).alias("d2"))
+    both = whole.join(fewer, by, "left")
+    return both.select(*by, _block_tokens(F.col("path"), F.col("body"), F.coalesce("n2", "n"), F.coalesce("d2", "d")).alias("tokens"))
+
+
+def assign_large(sizes: DataFrame, max_input_tokens: int = MAX_INPUT_TOKENS) -> DataFrame:
+    """`assign` of hunk_sizes without an ordered fold: a change, or a file, of any number of hunks is packed over many tasks.
+
+    Sizes of files, next-fit over the hunks of oversized ones, sizes of the blocks, next-fit over a change's blocks.
+    """
+    sizes = stored(sizes)
+    file = [*_FILE, "path"]
+    over = stored(_block_sizes(sizes, file).where(F.col("tokens") > max_input_tokens).select(*_FILE))
+    own = sizes.join(over, _FILE, "left_semi").withColumn("tokens", _block_tokens(F.col("path"), F.col("chars") + 1, F.col("n_cited"), F.col("digits")))
+    chunks = next_fit(own.select(*_HUNK, "tokens"), _FILE, ["hunk_no"], "tokens", max_input_tokens).select(*_HUNK, F.col("group_no").alias("chunk"))
+    cut = stored(sizes.join(chunks, _HUNK, "left").select(*sizes.columns, F.coalesce("chunk", F.lit(0)).cast("int").alias("chunk_no"), F.col("chunk").isNotNull().alias("capped")))
+    blocks = _block_sizes(cut, [*file, "chunk_no"])
+    batches = next_fit(blocks, ["change_id"], ["path", "file_no", "chunk_no"], "tokens", max_input_tokens).select(*_FILE, "chunk_no", F.col("group_no").cast("int").alias("batch_no"))
+    return cut.join(batches, [*_FILE, "chunk_no"]).select(*_HUNK, "chunk_no", "batch_no", "capped")
+
+
+def assign(hunk_rows: DataFrame, max_input_tokens: int = MAX_INPUT_TOKENS, change_type: str = "long", large: int = LARGE) -> DataFrame:
     """Chunk and batch of each hunk: next-fit over whole files in path order, hunks of oversized files apart.
 
-    An ordered fold with resets, so a helper: rows come sorted within partitions by change, and the state (the open batch's
-    tokens) is carried across Arrow batches; only the sizes of one file's hunks are held.
+    Changes of up to `large` hunks are folded in order, many to a task; those beyond go through `assign_large`, with the same result.
     """
-    sizes = hunk_rows.select("change_id", "path", "file_no", "hunk_no", F.length("text").alias("chars"), "citable")
+    many = stored(hunk_rows.groupBy("change_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("change_id"))
+    sizes = hunk_sizes(hunk_rows)
+    if many.isEmpty():
+        return _folded(sizes, max_input_tokens, change_type)
+    few = _folded(sizes.join(many, "change_id", "left_anti"), max_input_tokens, change_type)
+    return few.unionByName(assign_large(sizes.join(many, "change_id", "left_semi"), max_input_tokens))
+
+
+def _folded(sizes: DataFrame, max_input_tokens: int, change_type: str) -> DataFrame:
+    """The ordered fold with resets: rows come sorted within partitions by change, and the state (the open batch's
+    tokens) is carried across Arrow batches; only the sizes of one file's hunks are held."""
     ordered = sizes.repartition("change_id").sortWithinPartitions("change_id", "path", "file_no", "hunk_no")
 
     def block(path, hunks):
-        cited = sorted({int(n) for _, _, c in hunks for n in c})
-        chars = len(f'<file path="{path}">\ncitable_lines: [{", ".join(map(str, cited))}]\n') + sum(n + 1 for _, n, _ in hunks) + len("</file>")
+        if any(h[4] is not None for h in hunks):
+            cited = {int(n) for h in hunks for n in h[4]}
+            n, digits = len(cited), sum(len(str(x)) for x in cited)
+        else:
+            n, digits = sum(h[2] for h in hunks), sum(h[3] for h in hunks)
+        chars = len(f'<file path="{path}">\ncitable_lines: []\n</file>') + digits + 2 * max(n - 1, 0) + sum(h[1] + 1 for h in hunks)
         return -(-chars // 4)
 
     def fold(frames):
@@ -96,7 +156,7 @@ def assign(hunk_rows: DataFrame, max_input_tokens: int = MAX_INPUT_TOKENS, chang
             elif open_tokens + t > max_input_tokens:
                 open_tokens, batch = 0, batch + 1
             open_tokens += t
-            out.extend((key[0], key[2], h, chunk, batch, capped) for h, _, _ in group)
+            out.extend((key[0], key[2], h[0], chunk, batch, capped) for h in group)
 
         def close():
             if not held:
@@ -123,7 +183,7 @@ def assign(hunk_rows: DataFrame, max_input_tokens: int = MAX_INPUT_TOKENS, chang
                     if row.change_id != change:
                         change, open_tokens = row.change_id, None
                     key, held = now, []
-                held.append((row.hunk_no, row.chars, row.citable))
+                held.append((row.hunk_no, row.chars, row.n_cited, row.digits, row.cited))
             if out:
                 yield pd.DataFrame(out, columns=["change_id", "file_no", "hunk_no", "chunk_no", "batch_no", "capped"])
                 out.clear()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.functions.text import flatten, tokens
-from diffloom.operators import cost, lines, masking, merging, outcome, packing, reports, responses, rules
+from diffloom.operators import cost, lines, longdiffs, masking, merging, outcome, packing, reports, responses, rules
 from diffloom.plans import corpus
 from diffloom.plans.oracles import JSON, PUBLIC, SIGNAL, markdown_sql, masked_sql, over, random_sql, reviews_sql
 from diffloom.plans.review import Requests, Reviewed, Scan
@@ -149,10 +149,40 @@ def d10(spark, d):
     return lines.first_file(scan(spark, d).files).select("change_id", "path", "file_no")
 
 
-@query("d1_plain_diffs", over("SELECT change_id, count(*) AS n_lines FROM lines GROUP BY change_id"))
+@query("d1_plain_diffs", over("SELECT change_id, file_no, hunk_no, line_idx, kind, content, line_no, source_line_no FROM (SELECT * REPLACE (CAST(dense_rank() OVER (PARTITION BY change_id ORDER BY file_no) - 1 AS INT) AS file_no) FROM lines)"))
 def d1_plain(spark, d):
-    c = corpus.changes(spark, d).withColumn("diff_text", F.regexp_replace("diff_text", r"(?m)^(diff --git|new file|deleted file|rename).*\n", ""))
-    return lines.number_lines(lines.with_git_headers(c)).groupBy("change_id").agg(F.count("*").alias("n_lines"))
+    """Diffs without `diff --git` lines, line by line; binary files have no lines there, so they count for no file."""
+    c = corpus.changes(spark, d).withColumn("diff_text", F.regexp_replace("diff_text", r"(?m)^(diff --git|new file|deleted file|rename|Binary files).*\n", ""))
+    return longdiffs.number_lines(longdiffs.marked(longdiffs.split_lines(c)))
+
+
+_DAMAGED = "(SELECT change_id, CASE WHEN change_id % 13 = 0 THEN 'empty' WHEN change_id % 13 = 1 OR (change_id % 13 = 2 AND NOT last_binary) THEN 'parse_error' ELSE 'ok' END AS status FROM (SELECT change_id, max_by(is_binary, file_no) AS last_binary FROM files GROUP BY change_id))"
+
+
+def long_rows(spark, d) -> DataFrame:
+    return longdiffs.marked(longdiffs.split_lines(corpus.changes(spark, d, damage=True)))
+
+
+@query("d4_d6_long_lines", over(f"SELECT change_id, file_no, hunk_no, line_idx, kind, content, line_no, source_line_no FROM lines JOIN {_DAMAGED} USING (change_id) WHERE status = 'ok'"))
+def d5_long(spark, d):
+    """Damaged texts line by line, as for diffs that are larger than a task: the lines of those that can be read."""
+    rows = long_rows(spark, d)
+    sound = longdiffs.parse_status(rows).where("status = 'ok'").select("change_id")
+    return longdiffs.number_lines(rows).join(sound, "change_id", "left_semi")
+
+
+@query("d1_d3_long_files", over(f"SELECT f.change_id, file_no, path, is_binary, is_added_file, is_removed_file, is_rename, coalesce(n_hunks, 0) AS n_hunks, coalesce(declared, 0) AS declared FROM files f JOIN {_DAMAGED} s ON s.change_id = f.change_id LEFT JOIN (SELECT change_id, file_no, count(DISTINCT hunk_no) AS n_hunks, CAST(count_if(kind <> 'added') + count_if(kind <> 'removed') AS BIGINT) AS declared FROM lines GROUP BY ALL) h USING (change_id, file_no) WHERE status = 'ok'"))
+def d3_long(spark, d):
+    rows = long_rows(spark, d)
+    sound = longdiffs.parse_status(rows).where("status = 'ok'").select("change_id")
+    h = longdiffs.hunks(rows).groupBy("change_id", "file_no").agg(F.count("*").alias("n_hunks"), F.sum(F.col("source_length") + F.col("target_length")).alias("declared"))
+    f = longdiffs.files(rows).join(sound, "change_id", "left_semi").join(h, ["change_id", "file_no"], "left")
+    return f.select("change_id", "file_no", "path", "is_binary", "is_added_file", "is_removed_file", "is_rename", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_hunks", "declared")))
+
+
+@query("d7_long_status", over(f"SELECT * FROM {_DAMAGED}"))
+def d7_long(spark, d):
+    return longdiffs.parse_status(long_rows(spark, d))
 
 
 # ---- masking
@@ -291,6 +321,12 @@ def p6(spark, d):
     return requests(spark, d).blocks.select("change_id", "batch_no", "path", "file_no", "chunk_no", "capped", "tokens")
 
 
+@query("p5_p6_pack_large", packing_sql("SELECT change_id, file_no, hunk_no, CAST(chunk_no AS INT) AS chunk_no, CAST(batch_no AS INT) AS batch_no, capped FROM pieces JOIN (SELECT change_id, file_no, chunk_no, batch_no FROM laid) USING (change_id, file_no, chunk_no)"))
+def p6_large(spark, d):
+    """Every change packed the way that large ones are: by prefix sums and doubled steps instead of a fold."""
+    return packing.assign(requests(spark, d).hunk_texts, LIMIT, large=0)
+
+
 @query("p7_batches", packing_sql("SELECT change_id, batch_no, CAST(sum(tokens) AS BIGINT) AS tokens, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths, string_agg(block, chr(10) || chr(10) ORDER BY ord) AS text FROM laid GROUP BY change_id, batch_no"))
 def p7(spark, d):
     return requests(spark, d).batches.withColumn("paths", F.array_join("paths", ","))

@@ -2,7 +2,8 @@
 
 import pytest
 
-from diffloom.operators import lines
+from diffloom.operators import lines, longdiffs
+from diffloom.sources import diffs
 
 MULTI = """diff --git a/app/handlers.py b/app/handlers.py
 --- a/app/handlers.py
@@ -76,12 +77,46 @@ def test_empty_context_line_and_trailing_blanks(spark):
     assert rows(lines.number_lines(changes(spark, EMPTY_CONTEXT)), "kind", "content", "line_no") == [("context", "x", 1), ("context", "", 2), ("added", "y", 3)]
 
 
+PLAIN = "\n".join(x for x in MULTI.split("\n") if not x.startswith(("diff ", "new file"))) + TRAP.split("\n", 1)[1]
+
+
 def test_plain_diffs(spark):
-    plain = "\n".join(x for x in MULTI.split("\n") if not x.startswith(("diff ", "new file"))) + TRAP.split("\n", 1)[1]
-    fixed = lines.with_git_headers(changes(spark, plain, MULTI, None))
-    assert lines.split_files(fixed).where("change_id = 0").count() == 3
-    assert lines.number_lines(fixed).where("change_id = 0").count() == 13
-    assert fixed.where("change_id = 1").first().diff_text == MULTI
+    rows_ = longdiffs.marked(longdiffs.split_lines(changes(spark, PLAIN, MULTI, None)))
+    assert [r.path for r in longdiffs.files(rows_).where("change_id = 0").orderBy("file_no").collect()] == ["app/handlers.py", "zzz.py", "a.sql"]
+    assert longdiffs.number_lines(rows_).where("change_id = 0").count() == 13
+    mixed = MULTI + TRAP.split("\n", 1)[1]  # a plain file below git's
+    got = longdiffs.files(longdiffs.marked(longdiffs.split_lines(changes(spark, mixed))))
+    assert [r.path for r in got.orderBy("file_no").collect()] == ["app/handlers.py", "zzz.py", "a.sql"]
+
+
+def test_line_by_line_as_in_one_text(spark):
+    """Every table of the splitting reader, from lines that are spread over ranges."""
+    texts = [MULTI, DELETED, RENAMED, BINARY, BAD_SHORT, TRAP, EMPTY_CONTEXT, "prose\n", " \n\n", MULTI.replace("\n third", "\nthird"), MULTI.replace("-1,3 +1,4", "-1,2 +1,9"), "@@ -1 +1 @@\n x\n" + MULTI]
+    big = "diff --git a/big.py b/big.py\n--- a/big.py\n+++ b/big.py\n" + "".join(f"@@ -{9 * h + 1},5 +{9 * h + 1},6 @@ part\n keep\n-gone\n+new {h}\n+more\n a\n-- b\n\n+c\n" for h in range(1500))
+    c = changes(spark, *texts, big)
+    rows_ = longdiffs.marked(longdiffs.split_lines(c).repartition(5))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    assert same(lines.split_files(c), longdiffs.files(rows_))
+    assert same(lines.split_hunks(c), longdiffs.hunks(rows_))
+    assert same(lines.number_lines(c), longdiffs.number_lines(rows_))
+    assert same(lines.number_lines(c, located=True), longdiffs.number_lines(rows_, longdiffs.files(rows_)))
+    assert same(lines.parse_status(c), longdiffs.parse_status(rows_))
+
+
+def test_files_read_in_blocks(spark, tmp_path):
+    big = "diff --git a/b b/b\n--- a/b\n+++ b/b\n@@ -1,0 +1,30000 @@\n" + "".join(f"+line {i}\r\n" for i in range(30000))
+    (tmp_path / "b.diff").write_bytes(big.encode())
+    (tmp_path / "m.x.diff").write_bytes(MULTI.encode())
+    (tmp_path / "bad.diff").write_bytes(MULTI.encode() + b"\xff\xfe\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        rows_ = longdiffs.marked(diffs.read_diff_lines(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert {r.change_id: r.status for r in longdiffs.parse_status(rows_).collect()} == {"b": "ok", "m.x": "ok", "bad": "parse_error"}
+    got = longdiffs.number_lines(rows_).where("change_id = 'b'").orderBy("line_idx").collect()
+    assert [(r.line_no, r.content) for r in got] == [(i + 1, f"line {i}") for i in range(30000)]
 
 
 def test_added_lines_take_the_first_file_of_a_path(spark):

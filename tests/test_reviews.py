@@ -2,11 +2,12 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from diffloom.operators import cost, lines, merging, outcome, packing, reports, responses
+from diffloom.operators import cost, lines, merging, outcome, packing, reports, responses, scans
 from diffloom.plans.review import Requests, Reviewed, Scan, whole_run
 from diffloom.sources import diffs, sinks
 from diffloom.sources.shared import stored
@@ -69,6 +70,42 @@ def test_pack_matches_a_plain_loop(spark, limit):
     assert all(r.text == packing_text(r.path, files[r.path]) and r.tokens == -(-len(r.text) // 4) for r in text)
 
 
+def test_large_changes_are_packed_as_the_fold_does(spark):
+    """Files and chunks that pass the limit, blocks beyond it alone, line numbers that stand in several hunks, several changes."""
+    rng = random.Random(8)
+    schema = "change_id long, file_no int, path string, hunk_no int, citable array<int>, text string"
+    rows = []
+    for change in (1, 2, 3):
+        for f in range(12):
+            path = f"f{rng.randint(0, 6)}.py"
+            for h in range(rng.choice([1, 2, 9, 60])):
+                start = rng.choice([h * 10, 5])  # the latter overlap
+                rows.append((change, f, path, h, list(range(start, start + rng.randint(0, 6))), "x" * rng.choice([0, 3, 40, 700])))
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    for limit in (60,):
+        small, large = packing.assign(df, limit), packing.assign_large(packing.hunk_sizes(df), limit)
+        assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    one = packing.assign(df, 150, large=200)
+    assert sorted(map(str, one.collect())) == sorted(map(str, packing.assign(df, 150).collect()))
+
+
+def test_next_fit_over_many_ranges(spark):
+    rng = random.Random(9)
+    sizes = {k: [rng.randint(1, 12) for _ in range(n)] for k, n in (("a", 5000), ("b", 1), ("c", 40))}
+    df = spark.createDataFrame([(k, i, s) for k, v in sizes.items() for i, s in enumerate(v)], "k string, i int, s int").repartition(4)
+    laid = scans.laid_out(df, ["k"], ["i"])
+    assert laid.where("k = 'a'").select("_range").distinct().count() > 1  # one key over several tasks
+    got = {(r.k, r.i): r.group_no for r in scans.next_fit(df, ["k"], ["i"], "s", 20).collect()}
+    for k, v in sizes.items():
+        group, used = 0, 0
+        for i, s in enumerate(v):
+            if used and used + s > 20:
+                group, used = group + 1, 0
+            used += s
+            assert got[k, i] == group
+    assert scans.next_fit(df.limit(0), ["k"], ["i"], "s", 20).count() == 0
+
+
 def test_block_text_and_exclusions(spark):
     s = scan(spark, MULTI + diff("+x", path="vendor/a.py") + diff("-x", path="gone.py") + diff("+x", path="poetry.lock"))
     assert {r.path: r.exclusion_reason for r in s.filtered.collect()} == {"app/handlers.py": None, "zzz.py": None, "vendor/a.py": "generated", "gone.py": "no added lines", "poetry.lock": "lockfiles"}
