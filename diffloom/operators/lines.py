@@ -130,6 +130,10 @@ def located(lines: DataFrame, files: DataFrame) -> DataFrame:
     return lines if "path" in lines.columns else lines.join(files.select("change_id", "file_no", *FILE_COLUMNS), ["change_id", "file_no"])
 
 
+def _after_first(parts: Column) -> Column:
+    return F.slice(parts, F.lit(2), F.lit(1 << 30))
+
+
 def _broken(hunk: Column) -> Column:
     """Whether a hunk's text ends before or goes beyond its declared lengths, or has a line without a known prefix before that."""
     rest = lambda i: F.when(F.regexp_extract(hunk, HUNK, i) == "", 1).otherwise(F.coalesce(F.try_to_number(F.regexp_extract(hunk, HUNK, i), F.lit("9999999999")).cast("int"), F.lit(-1)))
@@ -140,8 +144,7 @@ def _broken(hunk: Column) -> Column:
         left = F.struct((s["old"] - kind.isin("removed", "context").cast("int")).alias("old"), (s["new"] - kind.isin("added", "context").cast("int")).alias("new"), (s["bad"] | (kind == "bad")).alias("bad"))
         return F.when((s["old"] > 0) | (s["new"] > 0), left).otherwise(s)
 
-    body = F.split(hunk, "\n")
-    return F.aggregate(F.slice(body, F.lit(2), F.size(body)), start, read, lambda s: s["bad"] | (s["old"] != 0) | (s["new"] != 0))
+    return F.aggregate(_after_first(F.split(hunk, "\n")), start, read, lambda s: s["bad"] | (s["old"] != 0) | (s["new"] != 0))
 
 
 def status(text: Column) -> Column:
@@ -151,8 +154,7 @@ def status(text: Column) -> Column:
     a known prefix inside a hunk, or a null text.
     """
     parts = F.split(F.concat(F.lit("\n"), F.regexp_replace(text, r"\n\z", "")), r"\n(?=diff --git )")
-    hunks = lambda section: F.slice(F.split(section, r"\n(?=@@ -\d)"), F.lit(2), F.size(F.split(section, r"\n(?=@@ -\d)")))
-    broken = F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda section: F.exists(hunks(section), _broken))
+    broken = F.exists(_after_first(parts), lambda section: F.exists(_after_first(F.split(section, r"\n(?=@@ -\d)")), _broken))
     return F.when(text.isNull() | broken, "parse_error").when(~text.rlike(r"(?U)\S"), "empty").when(F.size(parts) < 2, "parse_error").otherwise("ok")
 
 

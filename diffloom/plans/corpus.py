@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diffloom.sources.diffs import decoded
+
 PATHS = ("src/app.py", "tests/test_app.py", "requirements.txt", "vendor/lib.py", "assets/logo.png", "web/dist/site.js", "src/db/users.py", "package-lock.json", "src/auth/session.py", "conftest.py", "requirements/base.txt", "src/gen_pb2.py", "src/views.py")
 BINARY = "assets/logo.png"
 CONTENTS = (
@@ -76,10 +78,16 @@ files AS (SELECT change_id, file_no, path, path = '{BINARY}' AS is_binary, path
   CAST(sum(CASE WHEN kind = 'added' THEN 1 ELSE 0 END) AS BIGINT) AS n_added FROM all_lines GROUP BY change_id, file_no, path)"""
 
 
-def changes(spark: SparkSession, sf_dir: str, damage: bool | str = False) -> DataFrame:
+#: CTE state(change_id, status) of damaged texts, from every_file.
+STATE = """
+state AS (SELECT change_id, CASE WHEN change_id % 13 = 0 THEN 'empty' WHEN change_id % 13 IN (1, 4) OR (change_id % 13 = 2 AND NOT last_binary) THEN 'parse_error' ELSE 'ok' END AS status
+  FROM (SELECT change_id, max_by(is_binary, file_no) AS last_binary FROM every_file GROUP BY change_id))"""
+
+
+def changes(spark: SparkSession, sf_dir: str, damage: bool = False) -> DataFrame:
     """changes(change_id, diff_text), rendered from the truth with built-in functions.
 
-    damage: some texts are blank, prose, cut short, or end in blank lines, for the parser's status; "prose": only prose.
+    damage: some texts are blank, prose, cut short, no UTF-8, or end in blank lines.
     """
     view = "diffloom_lineitem"
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView(view)
@@ -97,12 +105,12 @@ def changes(spark: SparkSession, sf_dir: str, damage: bool | str = False) -> Dat
     mode = F.when(F.col("is_added_file"), "new file mode 100644").when(F.col("is_removed_file"), "deleted file mode 100644").when(F.col("is_rename"), F.concat(F.lit("rename from old/"), p, F.lit("\nrename to "), p))
     rest = F.when(F.col("is_binary"), F.concat(F.lit("Binary files a/"), p, F.lit(" and b/"), p, F.lit(" differ"))).otherwise(F.concat_ws("\n", mode, F.concat(F.lit("--- "), old), F.concat(F.lit("+++ "), new), "hunks"))
     out = file.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("file_no", F.concat(git, F.lit("\n"), rest).alias("t")))).alias("f")).select("change_id", F.concat(F.array_join("f.t", "\n"), F.lit("\n")).alias("diff_text"))
-    if damage == "prose":
-        out = out.withColumn("diff_text", F.when(F.col("change_id") % 13 == 1, "just some prose\n").otherwise(F.col("diff_text")))
-    elif damage:
+    if damage:
         k = F.col("change_id")
         short = F.regexp_replace("diff_text", r"\n[^\n]*\n\z", "\n")
         out = out.withColumn("diff_text", F.when(k % 13 == 0, " \n\n").when(k % 13 == 1, "just some prose\n").when((k % 13 == 2) & ~F.col("diff_text").endswith(" differ\n"), short).when(k % 13 == 3, F.concat("diff_text", F.lit("\n\n"))).otherwise(F.col("diff_text")))
+        content = F.col("diff_text").cast("binary")
+        out = decoded(out.select("change_id", F.when(k % 13 == 4, F.concat(content, F.lit(b"\xff\xfe"))).otherwise(content).alias("content"))).select("change_id", "diff_text")
     return out
 
 

@@ -31,13 +31,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scan(spark, sf_dir) -> Scan:
-    return Scan(corpus.changes(spark, sf_dir))
+def scan(spark, sf_dir, damage: bool = False) -> Scan:
+    return Scan(corpus.changes(spark, sf_dir, damage))
 
 
-def whole(spark, sf_dir) -> Scan:
-    """The same with the tables that several steps read written once."""
-    return Scan(corpus.changes(spark, sf_dir), keep=stored)
+def whole(spark, sf_dir, damage: bool = False) -> Scan:
+    """The same with the tables that several steps read written once, the rendered texts too. damage: some texts can't be read."""
+    return Scan(stored(corpus.changes(spark, sf_dir, damage)), keep=stored)
 
 
 # ---- sources and sinks
@@ -68,15 +68,15 @@ def s3(spark, d):
     return r.select("label", F.when(F.col("response").contains("{"), "json").otherwise("no json").alias("kind"))
 
 
-@query("s4_review_json", over(f", {reviews_sql('det')} SELECT change_id, sha256({JSON}) AS json_sha256 FROM review"))
+@query("s4_review_json", over(f", {reviews_sql('det')} SELECT change_id, sha256({JSON}) AS json_sha256 FROM review", damaged=True))
 def s4(spark, d):
-    return reports.to_json(whole(spark, d).reviews()).select("change_id", F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
+    return reports.to_json(whole(spark, d, damage=True).reviews()).select("change_id", F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
 
 
-@query("s5_both_artifacts", over(f", {reviews_sql('det')}, {markdown_sql('det')} SELECT change_id, overall_risk, sha256({JSON}) AS json_sha256, sha256(md) AS md_sha256 FROM review JOIN pages USING (change_id)"))
+@query("s5_both_artifacts", over(f", {reviews_sql('det')}, {markdown_sql('det')} SELECT change_id, overall_risk, sha256({JSON}) AS json_sha256, sha256(md) AS md_sha256 FROM review JOIN pages USING (change_id)", damaged=True))
 def s5(spark, d):
     out = shared(spark)
-    sinks.write_artifacts(whole(spark, d).artifacts(), out)
+    sinks.write_artifacts(whole(spark, d, damage=True).artifacts(), out)
     r = spark.read.schema("change_id long, json string, md string, overall_risk string").parquet(out)
     return r.select("change_id", "overall_risk", *(F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("json", "md")))
 
@@ -129,7 +129,7 @@ def d6(spark, d):
     return lines.number_lines(c).groupBy("change_id").agg(F.count("*").alias("n_lines"))
 
 
-@query("d7_parse_status", over("SELECT change_id, CASE WHEN change_id % 13 = 0 THEN 'empty' WHEN change_id % 13 = 1 OR (change_id % 13 = 2 AND NOT last_binary) THEN 'parse_error' ELSE 'ok' END AS status FROM (SELECT change_id, max_by(is_binary, file_no) AS last_binary FROM files GROUP BY change_id)"))
+@query("d7_parse_status", over("SELECT * FROM state", damaged=True))
 def d7(spark, d):
     return lines.parse_status(corpus.changes(spark, d, damage=True))
 
@@ -156,14 +156,12 @@ def d1_plain(spark, d):
     return longdiffs.number_lines(longdiffs.marked(longdiffs.split_lines(c)))
 
 
-_DAMAGED = "(SELECT change_id, CASE WHEN change_id % 13 = 0 THEN 'empty' WHEN change_id % 13 = 1 OR (change_id % 13 = 2 AND NOT last_binary) THEN 'parse_error' ELSE 'ok' END AS status FROM (SELECT change_id, max_by(is_binary, file_no) AS last_binary FROM files GROUP BY change_id))"
-
 
 def long_rows(spark, d) -> DataFrame:
     return longdiffs.marked(longdiffs.split_lines(corpus.changes(spark, d, damage=True)))
 
 
-@query("d4_d6_long_lines", over(f"SELECT change_id, file_no, hunk_no, line_idx, kind, content, line_no, source_line_no FROM lines JOIN {_DAMAGED} USING (change_id) WHERE status = 'ok'"))
+@query("d4_d6_long_lines", over("SELECT change_id, file_no, hunk_no, line_idx, kind, content, line_no, source_line_no FROM lines", damaged=True))
 def d5_long(spark, d):
     """Damaged texts line by line, as for diffs that are larger than a task: the lines of those that can be read."""
     rows = long_rows(spark, d)
@@ -171,7 +169,7 @@ def d5_long(spark, d):
     return longdiffs.number_lines(rows).join(sound, "change_id", "left_semi")
 
 
-@query("d1_d3_long_files", over(f"SELECT f.change_id, file_no, path, is_binary, is_added_file, is_removed_file, is_rename, coalesce(n_hunks, 0) AS n_hunks, coalesce(declared, 0) AS declared FROM files f JOIN {_DAMAGED} s ON s.change_id = f.change_id LEFT JOIN (SELECT change_id, file_no, count(DISTINCT hunk_no) AS n_hunks, CAST(count_if(kind <> 'added') + count_if(kind <> 'removed') AS BIGINT) AS declared FROM lines GROUP BY ALL) h USING (change_id, file_no) WHERE status = 'ok'"))
+@query("d1_d3_long_files", over("SELECT f.change_id, file_no, path, is_binary, is_added_file, is_removed_file, is_rename, coalesce(n_hunks, 0) AS n_hunks, coalesce(declared, 0) AS declared FROM files f LEFT JOIN (SELECT change_id, file_no, count(DISTINCT hunk_no) AS n_hunks, CAST(count_if(kind <> 'added') + count_if(kind <> 'removed') AS BIGINT) AS declared FROM lines GROUP BY ALL) h USING (change_id, file_no)", damaged=True))
 def d3_long(spark, d):
     rows = long_rows(spark, d)
     sound = longdiffs.parse_status(rows).where("status = 'ok'").select("change_id")
@@ -180,7 +178,7 @@ def d3_long(spark, d):
     return f.select("change_id", "file_no", "path", "is_binary", "is_added_file", "is_removed_file", "is_rename", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_hunks", "declared")))
 
 
-@query("d7_long_status", over(f"SELECT * FROM {_DAMAGED}"))
+@query("d7_long_status", over("SELECT change_id, status FROM state JOIN (SELECT DISTINCT change_id FROM every_file) USING (change_id) WHERE change_id % 13 <> 4", damaged=True))
 def d7_long(spark, d):
     return longdiffs.parse_status(long_rows(spark, d))
 
@@ -289,7 +287,7 @@ laid AS (SELECT * FROM chunk JOIN packed USING (change_id, ord))"""
 
 
 def packing_sql(select: str) -> str:
-    return over("").rstrip().replace("WITH raw", "WITH RECURSIVE raw", 1).replace("WITH \nraw", "WITH RECURSIVE\nraw", 1) + f", {_HUNK}, {_FILE}, {_CHUNKS} {select}"
+    return over("", damaged=True).rstrip().replace("WITH raw", "WITH RECURSIVE raw", 1).replace("WITH \nraw", "WITH RECURSIVE\nraw", 1) + f", {_HUNK}, {_FILE}, {_CHUNKS} {select}"
 
 
 @query("p1_exclusions", over("SELECT change_id, file_no, path, reason AS exclusion_reason FROM shown"))
@@ -308,7 +306,7 @@ def p3(spark, d):
 
 
 def requests(spark, d) -> Requests:
-    return Requests(whole(spark, d), "Review the change for security flaws.", "model-b", "2026-06-01", prices(spark, d), LIMIT)
+    return Requests(whole(spark, d, damage=True), "Review the change for security flaws.", "model-b", "2026-06-01", prices(spark, d), LIMIT)
 
 
 @query("p4_file_blocks", packing_sql("SELECT change_id, file_no, path, block AS text, tokens FROM whole"))
@@ -350,9 +348,9 @@ def summary_sql(findings: str) -> str:
       LEFT JOIN (SELECT change_id, count(*) AS n, list({PUBLIC} ORDER BY file, coalesce(line, -1), category) AS fs FROM {findings} GROUP BY 1) USING (change_id))"""
 
 
-@query("p9_summary_requests", over(f", {summary_sql('det')} SELECT change_id, sha256(user_text) AS user_sha256 FROM sums"))
+@query("p9_summary_requests", over(f", {summary_sql('det')} SELECT change_id, sha256(user_text) AS user_sha256 FROM sums", damaged=True))
 def p9(spark, d):
-    s = whole(spark, d)
+    s = whole(spark, d, damage=True)
     return packing.summary_requests(s.filtered, s.findings, "Sum up.").select("change_id", F.sha2(F.col("user").cast("binary"), 256).alias("user_sha256"))
 
 
@@ -542,8 +540,9 @@ def v6(spark, d):
 def merged(spark, d) -> tuple[DataFrame, DataFrame]:
     """(the model's findings, both detectors' findings) of the answers, whatever became of their calls."""
     s = whole(spark, d)
-    f = merging.mapped_lines(merging.known_files(_model(spark, d), s.files), s.added).drop("unmapped")
+    f = merging.mapped_lines(merging.known_files(stored(_model(spark, d)), s.files), s.added).drop("unmapped")
     f = merging.capped(f, s.files.select("change_id", F.lit(0).alias("batch_no"), "path", (F.col("change_id") % 2 == 0).alias("capped")))
+    f = stored(f)
     return f, merging.merge(s.found, f)
 
 
@@ -584,14 +583,14 @@ def v10(spark, d):
 # ---- assemble and render
 
 
-@query("o1_o2_severity_counts", over("SELECT change_id, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, count(DISTINCT file) AS n_files, array_to_string(list_filter([CASE WHEN count_if(severity = 'high') > 0 THEN count_if(severity = 'high') || ' high' END, CASE WHEN count_if(severity = 'medium') > 0 THEN count_if(severity = 'medium') || ' medium' END, CASE WHEN count_if(severity = 'low') > 0 THEN count_if(severity = 'low') || ' low' END], lambda x: x IS NOT NULL), ' · ') AS counts FROM det GROUP BY change_id"))
+@query("o1_o2_severity_counts", over("SELECT change_id, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, count(DISTINCT file) AS n_files, array_to_string(list_filter([CASE WHEN count_if(severity = 'high') > 0 THEN count_if(severity = 'high') || ' high' END, CASE WHEN count_if(severity = 'medium') > 0 THEN count_if(severity = 'medium') || ' medium' END, CASE WHEN count_if(severity = 'low') > 0 THEN count_if(severity = 'low') || ' low' END], lambda x: x IS NOT NULL), ' · ') AS counts FROM det GROUP BY change_id", damaged=True))
 def o1(spark, d):
-    return reports.severity_counts(scan(spark, d).findings)
+    return reports.severity_counts(scan(spark, d, damage=True).findings)
 
 
-@query("o3_o4_review", over(f", {reviews_sql('det')} SELECT change_id, summary, overall_risk, pr_comment, len(fs) AS n_findings, sha256(to_json(fs)) AS findings_sha256, no_findings_reason FROM review"))
+@query("o3_o4_review", over(f", {reviews_sql('det')} SELECT change_id, summary, overall_risk, pr_comment, len(fs) AS n_findings, sha256(to_json(fs)) AS findings_sha256, no_findings_reason FROM review", damaged=True))
 def o3(spark, d):
-    r = whole(spark, d).reviews()
+    r = whole(spark, d, damage=True).reviews()
     one = F.transform("findings", lambda x: F.struct(*(x[k].alias(k) for k in sorted(reports.PUBLIC))))
     return r.select("change_id", "summary", "overall_risk", "pr_comment", F.size("findings").cast("long").alias("n_findings"), F.sha2(F.to_json(one, {"ignoreNullFields": "false"}).cast("binary"), 256).alias("findings_sha256"), "no_findings_reason")
 
@@ -599,9 +598,9 @@ def o3(spark, d):
 _GOOD_SUMMARIES = f"(SELECT change_id, 'sum ' || change_id AS s, 'medium' AS r, 'comment' AS c FROM (SELECT DISTINCT l_orderkey AS change_id FROM lineitem) WHERE change_id % 9 <> 0 AND change_id % 37 <> 0) good"
 
 
-@query("o3_with_summary", over(f", {reviews_sql('det', _GOOD_SUMMARIES)} SELECT change_id, overall_risk, summary, pr_comment, no_findings_reason FROM review"))
+@query("o3_with_summary", over(f", {reviews_sql('det', _GOOD_SUMMARIES)} SELECT change_id, overall_risk, summary, pr_comment, no_findings_reason FROM review", damaged=True))
 def o3b(spark, d):
-    r = whole(spark, d).reviews(summaries=responses.summaries(responses.check(answers(spark, d))))
+    r = whole(spark, d, damage=True).reviews(summaries=responses.summaries(responses.check(answers(spark, d))))
     return r.select("change_id", "overall_risk", "summary", "pr_comment", "no_findings_reason")
 
 
@@ -615,9 +614,9 @@ def o6(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", flatten(F.col("text")).alias("flat"))
 
 
-@query("o7_markdown", over(f", {reviews_sql('det')}, {markdown_sql('det')} SELECT change_id, length(md) AS n_chars, sha256(md) AS md_sha256 FROM pages"))
+@query("o7_markdown", over(f", {reviews_sql('det')}, {markdown_sql('det')} SELECT change_id, length(md) AS n_chars, sha256(md) AS md_sha256 FROM pages", damaged=True))
 def o7(spark, d):
-    s = whole(spark, d)
+    s = whole(spark, d, damage=True)
     return reports.to_markdown(s.keep(s.reviews()), s.findings, s.notes).select("change_id", F.length("md").cast("long").alias("n_chars"), F.sha2(F.col("md").cast("binary"), 256).alias("md_sha256"))
 
 
@@ -650,9 +649,9 @@ SYSTEM = "Review the change for security flaws."
 
 
 def run(spark, d) -> Reviewed:
-    """A whole run over changes some of which are prose. Every response is a function of its request: of the first two digits of the key
+    """A whole run over changes some of which can't be read. Every response is a function of its request: of the first two digits of the key
     for a review (some malformed, some missing), of the numbers of findings and files for a summary."""
-    s = Scan(corpus.changes(spark, d, damage="prose"), keep=stored)
+    s = whole(spark, d, damage=True)
     requests = Requests(s, SYSTEM, "model-b", "2026-06-01", prices(spark, d), LIMIT)
     k = F.conv(F.substring("prompt_key", 1, 2), 16, 10).cast("int")
     usage = ("input_tokens", "output_tokens", "cache_read", "cache_write")
@@ -678,7 +677,7 @@ def run(spark, d) -> Reviewed:
 _HEX = "0123456789abcdef"
 _RUN_MODEL = ", ".join(
     (
-        f"keyed AS (SELECT change_id, batch_no, {_KEY} AS prompt_key, CAST(ceil(length('{SYSTEM}') / 4.0) + ceil(length(user_text) / 4.0) AS BIGINT) AS tokens FROM req WHERE change_id % 13 <> 1)",
+        f"keyed AS (SELECT change_id, batch_no, {_KEY} AS prompt_key, CAST(ceil(length('{SYSTEM}') / 4.0) + ceil(length(user_text) / 4.0) AS BIGINT) AS tokens FROM req)",
         f"called AS (SELECT *, (strpos('{_HEX}', substr(prompt_key, 1, 1)) - 1) * 16 + strpos('{_HEX}', substr(prompt_key, 2, 1)) - 1 AS k FROM keyed)",
         "costed AS (SELECT *, (tokens * 2.0 + 8000 * 10.0) / 1e6 AS worst, CASE WHEN k BETWEEN 12 AND 23 THEN 0 ELSE (tokens * 2.0 + 100 * k * 10.0) / 1e6 END AS actual FROM called)",
         "run_spent AS (SELECT *, coalesce(sum(actual) OVER (PARTITION BY change_id ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM costed)",
@@ -690,12 +689,12 @@ _RUN_MODEL = ", ".join(
         "capped AS (SELECT m.* REPLACE (fixed AS line, CASE WHEN c.hit AND confidence = 'high' THEN 'medium' ELSE confidence END AS confidence) FROM mapped m LEFT JOIN (SELECT DISTINCT change_id, batch_no, path AS file, true AS hit FROM laid WHERE capped) c USING (change_id, batch_no, file))",
         "llm AS (SELECT *, row_number() OVER (PARTITION BY change_id, file, line, category ORDER BY list_position(['low', 'medium', 'high'], confidence) DESC, batch_no, pos) AS n, first_value(severity) OVER (PARTITION BY change_id, file, line, category ORDER BY batch_no, pos) AS fs FROM capped)",
         _MERGED[len(_BEST) + 2 :].replace("merged AS (", "merged_any AS ("),
-        "merged AS (SELECT * FROM merged_any WHERE change_id % 13 <> 1 AND change_id IN (SELECT change_id FROM lines WHERE kind = 'added'))",
+        "merged AS (SELECT * FROM merged_any WHERE change_id IN (SELECT change_id FROM lines WHERE kind = 'added'))",
         summary_sql("merged"),
         f"sum_calls AS (SELECT s.*, (n_findings * 7 + n_reviewed * 3 + n_excluded) % 9 AS k, CAST(ceil(length('{SYSTEM}') / 4.0) + ceil(length(user_text) / 4.0) AS BIGINT) AS tokens, t.spent FROM sums s JOIN (SELECT change_id, sum(actual) AS spent FROM costed GROUP BY 1) t USING (change_id) WHERE change_id NOT IN (SELECT change_id FROM review_failed))",
         f"sum_results AS (SELECT *, CASE WHEN tokens > {CALL_TOKENS} OR spent + (tokens * 2.0 + 2000 * 10.0) / 1e6 > {RUN_COST} THEN 'budget' WHEN k = 0 THEN 'api_error' WHEN k = 1 THEN 'malformed' ELSE 'ok' END AS result FROM sum_calls)",
         "failed AS (SELECT change_id, result, 'review' AS call FROM review_failed UNION ALL SELECT change_id, result, 'summary' FROM sum_results WHERE result <> 'ok')",
-        "ended AS (SELECT change_id, CASE WHEN change_id % 13 = 1 THEN 1 WHEN NOT coalesce(rev, false) THEN 0 WHEN result = 'malformed' THEN 2 WHEN result = 'budget' THEN 3 WHEN g THEN 4 ELSE 0 END AS outcome, NOT coalesce(rev AND result = 'api_error' AND call = 'review', false) AS keep_model FROM (SELECT DISTINCT change_id FROM files) LEFT JOIN (SELECT change_id, bool_or(kind = 'added') AS rev FROM lines GROUP BY 1) USING (change_id) LEFT JOIN failed USING (change_id) LEFT JOIN (SELECT change_id, bool_or(severity = 'high') AS g FROM merged GROUP BY 1) USING (change_id))",
+        "ended AS (SELECT change_id, CASE WHEN status = 'parse_error' THEN 1 WHEN NOT coalesce(rev, false) THEN 0 WHEN result = 'malformed' THEN 2 WHEN result = 'budget' THEN 3 WHEN g THEN 4 ELSE 0 END AS outcome, NOT coalesce(rev AND result = 'api_error' AND call = 'review', false) AS keep_model FROM state LEFT JOIN (SELECT change_id, bool_or(kind = 'added') AS rev FROM lines GROUP BY 1) USING (change_id) LEFT JOIN failed USING (change_id) LEFT JOIN (SELECT change_id, bool_or(severity = 'high') AS g FROM merged GROUP BY 1) USING (change_id))",
     )
 )
 

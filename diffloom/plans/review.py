@@ -19,6 +19,8 @@ from diffloom.sources.shared import stored
 class Scan:
     """Everything that rules alone say of a table of changes. Each member is a plan; nothing runs until it is asked for.
 
+    A change that can't be read (a parse error) ends before the scan: it has a status and nothing else, no finding, request or review.
+
     keep: what is done with the tables that several steps read (files, masked lines, findings). `stored` writes each of them
     once, so that the diff text is parsed once whatever is made of it; the default leaves all to one plan, for a
     single query.
@@ -28,17 +30,26 @@ class Scan:
     rule_list: tuple = rules.RULES
     keep: Callable[[DataFrame], DataFrame] = lambda df: df
 
+    @cached_property
+    def sound(self) -> DataFrame:
+        return lines.sound(self.changes)
+
+    @cached_property
+    def readable(self) -> DataFrame:
+        """change_id of each change that gets a review, an empty one if its text is blank."""
+        return self.statuses.where("status <> 'parse_error'").select("change_id")
+
     @cached_property
     def files(self) -> DataFrame:
-        return self.keep(lines.split_files(self.changes))
+        return self.keep(lines.split_files(self.sound))
 
     @cached_property
     def hunks(self) -> DataFrame:
-        return lines.split_hunks(self.changes)
+        return lines.split_hunks(self.sound)
 
     @cached_property
     def lines(self) -> DataFrame:
-        return lines.number_lines(self.changes, located=True)
+        return lines.number_lines(self.sound, located=True)
 
     @cached_property
     def masked(self) -> DataFrame:
@@ -46,7 +57,7 @@ class Scan:
 
     @cached_property
     def statuses(self) -> DataFrame:
-        return lines.parse_status(self.changes)
+        return self.keep(lines.parse_status(self.changes))
 
     @cached_property
     def on_lines(self) -> DataFrame:
@@ -71,7 +82,7 @@ class Scan:
 
     @cached_property
     def added(self) -> DataFrame:
-        return lines.added_lines(self.masked, self.files)
+        return self.keep(lines.added_lines(self.masked, self.files))
 
     @cached_property
     def filtered(self) -> DataFrame:
@@ -83,13 +94,13 @@ class Scan:
 
     @cached_property
     def reviewable(self) -> DataFrame:
-        return lines.has_added_lines(self.masked)
+        return self.keep(lines.has_added_lines(self.masked))
 
     def reviews(self, findings: DataFrame | None = None, summaries: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
-        """Reviews of changes (all if none are given), of rules' findings alone if none are given."""
+        """Reviews of changes (all that can be read if none are given), of rules' findings alone if none are given."""
         f = self.findings if findings is None else findings
         none = self.changes.sparkSession.createDataFrame([], f"change_id {self.changes.schema['change_id'].dataType.simpleString()}, summary string, overall_risk string, pr_comment string")
-        return reports.assemble(self.changes if changes is None else changes, f, none if summaries is None else summaries, self.notes, self.reviewable)
+        return reports.assemble(self.readable if changes is None else changes, f, none if summaries is None else summaries, self.notes, self.reviewable)
 
     def artifacts(self) -> DataFrame:
         return sinks.artifacts(self.keep(self.reviews()), self.findings, self.notes)
