@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from diffloom.plans import corpus
 from diffloom.plans.oracles import JSON, PUBLIC, SIGNAL, markdown_sql, masked_sql, over, random_sql, reviews_sql
 from diffloom.plans.review import Requests, Reviewed, Scan
 from diffloom.sources import diffs, sinks
+from diffloom.sources.cache import ResponseCache
 from diffloom.sources.shared import folder as shared
 from diffloom.sources.shared import stored
 from diffloom.streaming.arrivals import review_arrivals
@@ -96,13 +99,24 @@ def s7(spark, d):
     return sinks.labelled(r).select("change_id", "batch_no", "label")
 
 
-@query("s8_cache_put", "SELECT count(*) AS n, count(DISTINCT k) AS keys FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem)")
+def new_cache(spark) -> ResponseCache:
+    """A cache of its own for a query, gone with it."""
+    return ResponseCache(spark, f"diffloom_cache_{uuid.uuid4().hex}")
+
+
+@query("s8_cache_put", "SELECT sha256(CAST(k AS VARCHAR)) AS prompt_key, 'answer ' || k AS response FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem)")
 def s8(spark, d):
-    a = answers(spark, d).where("call = 'review'").select(F.col("change_id").cast("string").alias("prompt_key"), F.coalesce("response", F.lit("")).alias("response"))
-    out = shared(spark)
-    sinks.put_responses(spark, a.where("prompt_key % 2 = 0"), out)
-    sinks.put_responses(spark, a, out)
-    return spark.read.parquet(out).agg(F.count("*").alias("n"), F.count_distinct("prompt_key").alias("keys"))
+    """Three puts, the last of a batch that is there already: one response for each key, the first that came."""
+    o = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k"))
+    keyed = o.select(F.sha2(F.col("k").cast("string").cast("binary"), 256).alias("prompt_key"), "k")
+    cache = new_cache(spark)
+    cache.put(keyed.where("k % 2 = 0").select("prompt_key", F.concat(F.lit("answer "), F.col("k").cast("string")).alias("response")))
+    late = keyed.select("prompt_key", F.concat(F.when(F.col("k") % 2 == 0, "later ").otherwise("answer "), F.col("k").cast("string")).alias("response"))
+    cache.put(late)
+    cache.put(late)
+    rows = stored(spark.table(cache.name).select("prompt_key", "response"))
+    cache.drop()
+    return rows
 
 
 # ---- diff text to lines
@@ -400,16 +414,27 @@ def p13(spark, d):
     return cost.dry_run(calls(spark, d)).withColumn("cost", F.round("cost", 9))
 
 
+def _half_cached(spark, d) -> tuple[ResponseCache, DataFrame]:
+    r = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("change_id")).distinct().withColumn("prompt_key", F.sha2(F.col("change_id").cast("string"), 256))
+    cache = new_cache(spark)
+    cache.put(r.where("change_id % 3 = 0").select("prompt_key", F.lit("{}").alias("response")))
+    return cache, r
+
+
 @query("p14_uncached", "SELECT DISTINCT l_orderkey AS change_id FROM lineitem WHERE l_orderkey % 3 <> 0")
 def p14(spark, d):
-    r = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("change_id")).distinct().withColumn("prompt_key", F.sha2(F.col("change_id").cast("string"), 256))
-    return cost.uncached(r, r.where("change_id % 3 = 0").select("prompt_key")).select("change_id")
+    cache, r = _half_cached(spark, d)
+    rows = stored(cache.misses(r).select("change_id"))
+    cache.drop()
+    return rows
 
 
 @query("p14_cached", "SELECT DISTINCT l_orderkey AS change_id FROM lineitem WHERE l_orderkey % 3 = 0")
 def p14b(spark, d):
-    r = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("change_id")).distinct().withColumn("prompt_key", F.sha2(F.col("change_id").cast("string"), 256))
-    return cost.cached(r, r.where("change_id % 3 = 0").select("prompt_key")).select("change_id")
+    cache, r = _half_cached(spark, d)
+    rows = stored(cache.hits(r).select("change_id"))
+    cache.drop()
+    return rows
 
 
 # ---- responses
@@ -648,7 +673,7 @@ CALL_TOKENS, RUN_COST = 220, 0.3
 SYSTEM = "Review the change for security flaws."
 
 
-def run(spark, d) -> Reviewed:
+def run(spark, d, cache: ResponseCache | None = None) -> Reviewed:
     """A whole run over changes some of which can't be read. Every response is a function of its request: of the first two digits of the key
     for a review (some malformed, some missing), of the numbers of findings and files for a summary."""
     s = whole(spark, d, damage=True)
@@ -662,13 +687,13 @@ def run(spark, d) -> Reviewed:
     good = F.concat(F.lit('{"findings":['), F.concat_ws(",", first, one(file, F.lit("1"), "injection", "high", "low"), one(file, F.lit("1"), "injection", "medium", "medium")), F.lit("]}"))
     text = F.when(F.col("k") < 12, "I found nothing").when(F.col("k") % 2 == 0, good).otherwise(F.concat(F.lit("```json\n"), good, F.lit("\n```")))
     given = r.where("k NOT BETWEEN 12 AND 23").select("prompt_key", text.alias("response"), F.col("tokens").alias(usage[0]), (100 * F.col("k")).cast("long").alias(usage[1]), *(F.lit(0).cast("long").alias(c) for c in usage[2:]))
-    reviews = Reviewed(requests, given, CALL_TOKENS, RUN_COST)
+    reviews = Reviewed(requests, given, CALL_TOKENS, RUN_COST, cache)
     sums = requests.summaries(reviews.merged)
     shape = F.from_json("user", "files_excluded array<string>, files_reviewed array<string>, findings array<struct<file:string>>")
     sums = sums.withColumn("j", shape).withColumn("k", (F.size("j.findings") * 7 + F.size("j.files_reviewed") * 3 + F.size("j.files_excluded")) % 9)
     text = F.concat(F.lit('{"summary":"sum '), F.col("k").cast("string"), F.lit('","overall_risk":"'), F.when(F.col("k") == 1, "grave").otherwise("medium"), F.lit('","pr_comment":"comment"}'))
     said = sums.where("k <> 0").select("prompt_key", text.alias("response"), F.col("tokens").alias(usage[0]), *(F.lit(0).cast("long").alias(c) for c in usage[1:]))
-    done = Reviewed(requests, s.keep(given.unionByName(said)), CALL_TOKENS, RUN_COST)
+    done = Reviewed(requests, s.keep(given.unionByName(said)), CALL_TOKENS, RUN_COST, cache)
     done.merged = reviews.merged  # the summaries' responses change nothing before them
     done.review_calls, done.review_failures = reviews.review_calls, reviews.review_failures
     return done
@@ -721,6 +746,37 @@ def w3_calls(spark, d):
     return r._results(r.review_calls).select("change_id", "label", "tokens", *(F.round(c, 9).alias(c) for c in ("worst", "actual", "spent")), "result")
 
 
+_MADE = "first_fail AS (SELECT change_id, min(batch_no) AS b FROM run_results WHERE result <> 'ok' GROUP BY 1), made AS (SELECT r.* FROM run_results r LEFT JOIN first_fail f USING (change_id) WHERE result <> 'budget' AND (f.b IS NULL OR batch_no <= f.b))"
+_AGAIN = f"""{_MADE}, again AS (SELECT *, prompt_key IN (SELECT prompt_key FROM made WHERE k NOT BETWEEN 12 AND 23) AS hit FROM costed),
+  again_spent AS (SELECT *, coalesce(sum(CASE WHEN hit THEN 0 ELSE actual END) OVER (PARTITION BY change_id ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent2 FROM again)"""
+
+
+@query("w3_cached_calls", run_sql(f", {_AGAIN} SELECT change_id, 'review-' || batch_no AS label, hit, round(CASE WHEN hit THEN 0 ELSE actual END, 9) AS actual, round(spent2, 9) AS spent, CASE WHEN NOT hit AND (tokens > {CALL_TOKENS} OR spent2 + worst > {RUN_COST}) THEN 'budget' WHEN k BETWEEN 12 AND 23 THEN 'api_error' WHEN k < 12 THEN 'malformed' ELSE 'ok' END AS result FROM again_spent"))
+def w3_cached_calls(spark, d):
+    """The review calls of a second run, after the first has filled the cache: what was answered costs nothing and meets no budget."""
+    first = run(spark, d, new_cache(spark))
+    first.remember()
+    again = Reviewed(first.requests, first.answers, CALL_TOKENS, RUN_COST, first.cache)
+    rows = stored(again._results(again.review_calls).select("change_id", "label", "hit", *(F.round(c, 9).alias(c) for c in ("actual", "spent")), "result"))
+    first.cache.drop()
+    return rows
+
+
+_SENT = f"""{_MADE}, sum_made AS (SELECT s.change_id, 'summary' AS label, s.tokens, 0 AS out, s.tokens * 2.0 / 1e6 AS actual, s.k FROM sum_calls s JOIN sum_results r USING (change_id) WHERE r.result <> 'budget' AND s.k <> 0)"""
+
+
+@query("u5_run_usage", run_sql(f", {_SENT}, sent AS (SELECT change_id, 'review-' || batch_no AS label, tokens, 100 * k AS out, actual FROM made WHERE k NOT BETWEEN 12 AND 23 UNION ALL SELECT change_id, label, tokens, out, actual FROM sum_made) SELECT change_id, label, CAST(sum(tokens) AS BIGINT) AS input_tokens, CAST(sum(out) AS BIGINT) AS output_tokens, round(sum(actual), 9) AS cost FROM sent GROUP BY ROLLUP (change_id, label)"))
+def u5_run(spark, d):
+    """Tokens and cost of the calls that the run sent and that were answered."""
+    return run(spark, d).usage().select("change_id", "label", "input_tokens", "output_tokens", F.round("cost", 9).alias("cost"))
+
+
+@query("s7_run_labels", run_sql(f", {_SENT}, n AS (SELECT change_id, count(*) AS n FROM keyed GROUP BY 1) SELECT change_id, 'review-' || change_id || CASE WHEN n > 1 THEN '-' || (batch_no + 1) ELSE '' END AS label FROM made JOIN n USING (change_id) WHERE k NOT BETWEEN 12 AND 23 UNION ALL SELECT change_id, 'summary-' || change_id FROM sum_made"))
+def s7_run(spark, d):
+    """The labels that the run's responses are recorded under."""
+    return run(spark, d).recorded().select("change_id", "label")
+
+
 @query("w3_findings", run_sql("SELECT m.* FROM merged m JOIN ended USING (change_id) WHERE outcome IN (0, 4)"))
 def w3_findings(spark, d):
     """The findings of the reviews that are written, both detectors' merged."""

@@ -9,9 +9,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.functions.text import tokens
+from diffloom.functions.text import strip, tokens
 from diffloom.operators import cost, lines, masking, merging, outcome, packing, reports, responses, rules
 from diffloom.sources import sinks
+from diffloom.sources.cache import ResponseCache
 from diffloom.sources.shared import stored
 
 
@@ -164,29 +165,58 @@ class Reviewed:
     """Responses joined to the requests by key, checked, and merged with the scan's findings.
 
     answers(prompt_key, response, input_tokens, output_tokens, cache_read, cache_write): one table of recorded or cached responses; a
-    request without one has failed. max_call_tokens and max_run_cost are the budgets of a call and of a change's run. Each step's
-    table is written once, for the steps after it read it several times; give it a scan that keeps its own tables too.
+    request without one, or with a blank one, has failed. max_call_tokens and max_run_cost are the budgets of a call and of a change's run.
+    cache: requests that it has a response to are no calls: they cost nothing, are held against no budget, and need no
+    answer; `remember` adds the responses of the run's own calls. Each step's table is written once, for the steps after it
+    read it several times; give it a scan that keeps its own tables too.
     """
 
     requests: Requests
     answers: DataFrame
     max_call_tokens: int = packing.MAX_INPUT_TOKENS
     max_run_cost: float = 1.0
+    cache: ResponseCache | None = None
 
     @property
     def scan(self) -> Scan:
         return self.requests.scan
 
     def _called(self, requests: DataFrame) -> DataFrame:
-        """Each request with its checked response and its actual cost, which is 0 where no response came."""
-        got = self.requests.with_worst_cost(responses.check(responses.attached(requests, self.answers)))
-        return got.withColumn("actual", F.coalesce(cost.usage_cost(), F.lit(0.0))).withColumn("hit", F.lit(False))
+        """Each request with its checked response, whether the cache had it, and its actual cost, which is 0 where nothing was sent or came."""
+        had = self.cache.found(requests) if self.cache else requests.withColumn("cached", F.lit(None).cast("string"))
+        got = responses.attached(had, self.answers)
+        hit = F.col("cached").isNotNull()
+        got = got.withColumn("hit", hit).withColumn("response", F.coalesce("cached", F.when(F.col("response").rlike(r"(?U)\S"), F.col("response")))).drop("cached")
+        got = self.requests.with_worst_cost(responses.check(got))
+        return got.withColumn("actual", F.when(F.col("hit") | F.col("response").isNull(), 0.0).otherwise(F.coalesce(cost.usage_cost(), F.lit(0.0))))
 
     def _results(self, calls: DataFrame) -> DataFrame:
         c = cost.budgets(calls, self.max_call_tokens, self.max_run_cost)
         result = F.when(F.col("over_tokens") | F.col("over_cost"), "budget").when(F.col("response").isNull(), "api_error").when(F.col("valid"), "ok").otherwise("malformed")
         return c.withColumn("result", result)
 
+    @cached_property
+    def calls(self) -> DataFrame:
+        """Review and summary calls that the run came to, in order up to the first of a change that fails; a budget stops its call before it is
+        sent. Cached ones among them."""
+        both = self._results(self.review_calls.unionByName(self.summary_calls))
+        fails = both.where("result <> 'ok'").groupBy("change_id").agg(F.min("call_no").alias("_fails"))
+        return stored(both.join(fails, "change_id", "left").where("result <> 'budget' AND (_fails IS NULL OR call_no <= _fails)").drop("_fails"))
+
+    def usage(self) -> DataFrame:
+        """Tokens and cost of the calls that were sent and answered, per call, change and in all."""
+        return cost.usage_totals(self.calls.where("NOT hit AND response IS NOT NULL"))
+
+    def recorded(self) -> DataFrame:
+        """change_id, call, batch_no, label, response of every response that the run took up, the cached ones too."""
+        batches = self.requests.reviews.groupBy("change_id").agg(F.count("*").alias("n_batches"))
+        r = self.calls.where("response IS NOT NULL").join(batches, "change_id").withColumn("stem", F.col("change_id"))
+        return sinks.labelled(r).select("change_id", "call", "batch_no", "label", strip(F.col("response")).alias("response"))
+
+    def remember(self) -> DataFrame:
+        """Put the responses of the run's own calls into the cache (S8); what was new."""
+        return self.cache.put(self.calls.where("NOT hit").select("prompt_key", "response"))
+
     @cached_property
     def review_calls(self) -> DataFrame:
         """The review calls with their results, up to the first of a change that fails."""
@@ -243,5 +273,5 @@ class Reviewed:
 
 def whole_run(changes: DataFrame, **parameters) -> Reviewed:
     """W1, W2 and W3 over changes, every shared table written once. parameters: those of Requests, and answers and budgets."""
-    own = {k: parameters.pop(k) for k in ("answers", "max_call_tokens", "max_run_cost") if k in parameters}
+    own = {k: parameters.pop(k) for k in ("answers", "max_call_tokens", "max_run_cost", "cache") if k in parameters}
     return Reviewed(Requests(Scan(changes, keep=stored), **parameters), **own)

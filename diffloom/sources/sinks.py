@@ -1,8 +1,8 @@
-"""Sinks: reviews as JSON and Markdown, recorded and cached responses."""
+"""Sinks: reviews as JSON and Markdown, recorded responses."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.operators.reports import to_json, to_markdown
@@ -27,17 +27,3 @@ def labelled(responses: DataFrame) -> DataFrame:
     or summary-STEM (S7). responses: stem, call, batch_no, n_batches."""
     number = F.when((F.col("call") == "review") & (F.col("n_batches") > 1), F.concat(F.lit("-"), (F.col("batch_no") + 1).cast("string"))).otherwise("")
     return responses.withColumn("label", F.concat("call", F.lit("-"), F.col("stem").cast("string"), number))
-
-
-def put_responses(spark: SparkSession, responses: DataFrame, path: str) -> DataFrame:
-    """Append to the cache what it doesn't have, one response for each key (S8); returns what was added."""
-    fresh = responses.groupBy("prompt_key").agg(F.min("response").alias("response"))
-    try:
-        old = spark.read.parquet(path).select("prompt_key")
-    except Exception as e:  # the first put finds no cache
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    else:
-        fresh = fresh.join(old, "prompt_key", "left_anti")
-    fresh.write.mode("append").parquet(path)
-    return fresh

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from diffloom.operators import cost, lines, merging, outcome, packing, reports, responses, scans
 from diffloom.plans.review import Requests, Reviewed, Scan, whole_run
 from diffloom.sources import diffs, sinks
+from diffloom.sources.cache import ResponseCache
 from diffloom.sources.shared import stored
 from diffloom.streaming.arrivals import review_arrivals
 from tests.test_lines import MULTI
@@ -292,14 +293,52 @@ def test_sources(spark, tmp_path):
     assert table.columns == ["label", "response"] and sorted(map(tuple, table.collect()), key=str) == sorted(rows, key=str)
 
 
-def test_cache_and_labels(spark, tmp_path):
-    path = f"file://{tmp_path}/cache"
-    r = spark.createDataFrame([("k1", "a"), ("k1", "a"), ("k2", "b")], "prompt_key string, response string")
-    sinks.put_responses(spark, r, path)
-    sinks.put_responses(spark, r.unionByName(spark.createDataFrame([("k3", "c")], r.schema)), path)
-    assert sorted(x.prompt_key for x in spark.read.parquet(path).collect()) == ["k1", "k2", "k3"]
-    left = cost.uncached(spark.createDataFrame([("k1",), ("k9",)], "prompt_key string"), spark.read.parquet(path))
-    assert [x.prompt_key for x in left.collect()] == ["k9"]
+def test_cache(spark):
+    cache = ResponseCache(spark, "test_cache", digits=2, buckets=4)
+    r = spark.createDataFrame([("aa1", "b"), ("aa1", "a"), ("bb2", "c"), (None, "x"), ("cc3", None)], "prompt_key string, response string")
+    ask = spark.createDataFrame([("aa1",), ("ff9",)], "prompt_key string")
+    assert cache.misses(ask).count() == 2 and cache.found(ask).where("cached IS NULL").count() == 2  # there is none yet
+    assert {x.prompt_key for x in cache.put(r).collect()} == {"aa1", "bb2"}
+    assert cache.put(r).isEmpty()  # the same batch again
+    cache.put(spark.createDataFrame([("aa1", "late"), ("aa7", "d")], r.schema))
+    assert sorted(tuple(x) for x in spark.table(cache.name).select("prompt_key", "response").collect()) == [("aa1", "a"), ("aa7", "d"), ("bb2", "c")]
+    assert [x.prompt_key for x in cache.misses(ask).collect()] == ["ff9"] and [x.cached for x in cache.found(ask).where("prompt_key = 'aa1'").collect()] == ["a"]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("prompt_key")).unionByName(ask)
+        plan = cache.found(ask)._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1  # only the requests move
+        assert "prefix" in plan.split("PartitionFilters: ")[1].split("]")[0] and cache.found(many).count() == 1002
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    cache.drop()
+    assert not cache.exists()
+
+
+def test_second_run_is_served_by_the_cache(spark):
+    prices = spark.createDataFrame([("m", datetime.date(2000, 1, 1), datetime.date(2099, 1, 1), 2.0, 10.0)], "model string, valid_from date, valid_to date, rate_in double, rate_out double")
+    changes = spark.createDataFrame([(1, diff("+eval(x)")), (2, diff("+fine")), (3, diff("+eval(x)")), (4, "prose")], "change_id long, diff_text string")
+    cache = ResponseCache(spark, "test_run_cache")
+
+    def go(answers, cache=cache):
+        return whole_run(changes, answers=answers, cache=cache, system="s", model="m", run_date="2026-01-01", prices=prices)
+
+    schema = "prompt_key string, response string, input_tokens long, output_tokens long, cache_read long, cache_write long"
+    none = spark.createDataFrame([], schema)
+    asked = go(none).requests.reviews.select("prompt_key", "change_id").collect()
+    keys = {r.change_id: r.prompt_key for r in asked}
+    given = spark.createDataFrame([(keys[1], '{"findings": []}', 10, 5, 0, 0), (keys[2], " \n", 10, 5, 0, 0)], schema)
+    first = go(given)
+    assert {(r.change_id, r.label): r.result for r in first.calls.collect()} == {(1, "review-0"): "ok", (2, "review-0"): "api_error", (3, "review-0"): "ok", (1, "summary"): "api_error", (3, "summary"): "api_error"}
+    assert {(r.change_id, r.label) for r in first.usage().collect()} == {(1, "review-0"), (3, "review-0"), (1, None), (3, None), (None, None)}
+    assert sorted((r.label, r.response) for r in first.recorded().collect()) == [("review-1", '{"findings": []}'), ("review-3", '{"findings": []}')]
+    assert [r.prompt_key for r in first.remember().collect()] == [keys[1]] and first.remember().isEmpty()
+    again = go(none)
+    assert again.calls.where("call = 'review' AND hit AND actual = 0 AND result = 'ok'").count() == 2 and again.usage().where("label IS NOT NULL").isEmpty()
+    assert len(again.recorded().collect()) == 2
+    assert go(none, None).calls.where("hit OR response IS NOT NULL").isEmpty()  # no cache unless one is given
+    cache.drop()
 
 
 def test_stream(spark, tmp_path):
