@@ -44,15 +44,6 @@ def dry_run(calls: DataFrame) -> DataFrame:
     return g.where("change_id IS NOT NULL")
 
 
-def uncached(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Requests whose key has no response yet."""
-    return requests.join(cache.select("prompt_key").distinct(), "prompt_key", "left_anti")
-
-
-def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    return requests.join(cache.select("prompt_key").distinct(), "prompt_key", "left_semi")
-
-
 def budgets(calls: DataFrame, max_input_tokens: int, max_run_cost: float) -> DataFrame:
     """calls with `spent` (actual cost of the change's earlier calls), over_tokens (U3), over_cost.
 

@@ -16,7 +16,7 @@ from diffloom.sources import diffs, sinks
 from diffloom.sources.cache import ResponseCache
 from diffloom.sources.shared import folder as shared
 from diffloom.sources.shared import stored
-from diffloom.streaming.arrivals import review_arrivals
+from diffloom.streaming.arrivals import ReviewStream, review_arrivals
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -673,26 +673,35 @@ CALL_TOKENS, RUN_COST = 220, 0.3
 SYSTEM = "Review the change for security flaws."
 
 
-def run(spark, d, cache: ResponseCache | None = None) -> Reviewed:
-    """A whole run over changes some of which can't be read. Every response is a function of its request: of the first two digits of the key
-    for a review (some malformed, some missing), of the numbers of findings and files for a summary."""
-    s = whole(spark, d, damage=True)
-    requests = Requests(s, SYSTEM, "model-b", "2026-06-01", prices(spark, d), LIMIT)
-    k = F.conv(F.substring("prompt_key", 1, 2), 16, 10).cast("int")
-    usage = ("input_tokens", "output_tokens", "cache_read", "cache_write")
-    r = requests.reviews.join(requests.blocks.groupBy("change_id", "batch_no").agg(F.min("path").alias("path")), ["change_id", "batch_no"]).withColumn("k", k)
+def review_answers(requests: DataFrame) -> DataFrame:
+    """requests(prompt_key, path, ...) that are answered, with k and response: a function of the first two digits of the key."""
+    r = requests.withColumn("k", F.conv(F.substring("prompt_key", 1, 2), 16, 10).cast("int"))
     one = lambda file, line, cat, sev, conf: F.concat(F.lit('{"file":"'), file, F.lit('","line":'), line, F.lit(f',"category":"{cat}","severity":"{sev}","confidence":"{conf}","evidence":"model saw it","risk":"risk {cat}","recommendation":"fix {sev}"}}'))
     first = one(F.col("path"), F.when(F.col("k") % 3 == 0, "null").when(F.col("k") % 3 == 1, "1").otherwise("999"), "crypto_misuse", "medium", "high")
     file = F.when(F.col("k") % 5 == 0, "nope.py").otherwise(F.col("path"))
     good = F.concat(F.lit('{"findings":['), F.concat_ws(",", first, one(file, F.lit("1"), "injection", "high", "low"), one(file, F.lit("1"), "injection", "medium", "medium")), F.lit("]}"))
     text = F.when(F.col("k") < 12, "I found nothing").when(F.col("k") % 2 == 0, good).otherwise(F.concat(F.lit("```json\n"), good, F.lit("\n```")))
-    given = r.where("k NOT BETWEEN 12 AND 23").select("prompt_key", text.alias("response"), F.col("tokens").alias(usage[0]), (100 * F.col("k")).cast("long").alias(usage[1]), *(F.lit(0).cast("long").alias(c) for c in usage[2:]))
-    reviews = Reviewed(requests, given, CALL_TOKENS, RUN_COST, cache)
-    sums = requests.summaries(reviews.merged)
+    return r.where("k NOT BETWEEN 12 AND 23").withColumn("response", text)
+
+
+def summary_answers(requests: DataFrame) -> DataFrame:
+    """The same of summary requests: of the numbers of findings and files."""
     shape = F.from_json("user", "files_excluded array<string>, files_reviewed array<string>, findings array<struct<file:string>>")
-    sums = sums.withColumn("j", shape).withColumn("k", (F.size("j.findings") * 7 + F.size("j.files_reviewed") * 3 + F.size("j.files_excluded")) % 9)
+    s = requests.withColumn("j", shape).withColumn("k", (F.size("j.findings") * 7 + F.size("j.files_reviewed") * 3 + F.size("j.files_excluded")) % 9)
     text = F.concat(F.lit('{"summary":"sum '), F.col("k").cast("string"), F.lit('","overall_risk":"'), F.when(F.col("k") == 1, "grave").otherwise("medium"), F.lit('","pr_comment":"comment"}'))
-    said = sums.where("k <> 0").select("prompt_key", text.alias("response"), F.col("tokens").alias(usage[0]), *(F.lit(0).cast("long").alias(c) for c in usage[1:]))
+    return s.where("k <> 0").withColumn("response", text)
+
+
+def run(spark, d, cache: ResponseCache | None = None) -> Reviewed:
+    """A whole run over changes some of which can't be read. Every response is a function of its request: of the first two digits of the key
+    for a review (some malformed, some missing), of the numbers of findings and files for a summary."""
+    s = whole(spark, d, damage=True)
+    requests = Requests(s, SYSTEM, "model-b", "2026-06-01", prices(spark, d), LIMIT)
+    usage = ("input_tokens", "output_tokens", "cache_read", "cache_write")
+    r = requests.reviews.join(requests.blocks.groupBy("change_id", "batch_no").agg(F.min("path").alias("path")), ["change_id", "batch_no"])
+    given = review_answers(r).select("prompt_key", "response", F.col("tokens").alias(usage[0]), (100 * F.col("k")).cast("long").alias(usage[1]), *(F.lit(0).cast("long").alias(c) for c in usage[2:]))
+    reviews = Reviewed(requests, given, CALL_TOKENS, RUN_COST, cache)
+    said = summary_answers(requests.summaries(reviews.merged)).select("prompt_key", "response", F.col("tokens").alias(usage[0]), *(F.lit(0).cast("long").alias(c) for c in usage[1:]))
     done = Reviewed(requests, s.keep(given.unionByName(said)), CALL_TOKENS, RUN_COST, cache)
     done.merged = reviews.merged  # the summaries' responses change nothing before them
     done.review_calls, done.review_failures = reviews.review_calls, reviews.review_failures
@@ -777,6 +786,34 @@ def s7_run(spark, d):
     return run(spark, d).recorded().select("change_id", "label")
 
 
+_STREAMED = run_sql("SELECT 1").replace(f" OR spent + worst > {RUN_COST}", "").replace(f" OR spent + (tokens * 2.0 + 2000 * 10.0) / 1e6 > {RUN_COST}", "").removesuffix("SELECT 1")
+_WAITS = "(SELECT change_id FROM failed WHERE result = 'api_error')"
+_SAID = "(SELECT change_id, 'sum ' || k AS s, 'medium' AS r, 'comment' AS c FROM sum_results WHERE result = 'ok') said"
+
+
+@query("s6_stream_run", f"{_STREAMED}, {reviews_sql('merged', _SAID)}, {markdown_sql('merged')} SELECT change_id, overall_risk, sha256({JSON}) AS json_sha256, sha256(md) AS md_sha256 FROM review JOIN pages USING (change_id) JOIN ended USING (change_id) WHERE outcome IN (0, 4) AND change_id NOT IN {_WAITS}")
+def s6_run(spark, d):
+    """Changes arrive, their unanswered requests are written out; responses to those arrive, then responses to the summary requests that
+    are written out in turn. Cached responses cost nothing, so only a call's size is held against a budget."""
+    changes, answered, folder = shared(spark), shared(spark), shared(spark)
+    corpus.changes(spark, d, damage=True).write.parquet(changes)
+    parameters = {"system": SYSTEM, "model": "model-b", "run_date": "2026-06-01", "prices": prices(spark, d), "max_input_tokens": LIMIT, "max_call_tokens": CALL_TOKENS, "max_run_cost": RUN_COST}
+    stream = ReviewStream(spark, folder, new_cache(spark), parameters)
+    stream.changes(changes).awaitTermination()
+    for turn in ("reviews", "summaries"):
+        asked = stream.table("requests").where(F.col("label") == "summary" if turn == "summaries" else F.col("label") != "summary").dropDuplicates(["prompt_key"])
+        first_path = F.regexp_extract("user", '<file path="([^"]*)">', 1)
+        said = summary_answers(asked) if turn == "summaries" else review_answers(asked.withColumn("path", first_path))
+        said.select("prompt_key", "response").write.mode("append").parquet(answered)
+        stream.responses(answered).awaitTermination()
+        while turn == "reviews" and not (late := stored(review_answers(stream.table("requests").where("label <> 'summary'").withColumn("path", first_path)).select("prompt_key", "response").dropDuplicates(["prompt_key"]).join(spark.read.parquet(answered), "prompt_key", "left_anti"))).isEmpty():
+            late.write.mode("append").parquet(answered)  # a change asks for its next batch once the one before has come
+            stream.responses(answered).awaitTermination()
+    rows = stored(stream.table("reviews").select("change_id", "overall_risk", *(F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("json", "md"))))
+    stream.cache.drop()
+    return rows
+
+
 @query("w3_findings", run_sql("SELECT m.* FROM merged m JOIN ended USING (change_id) WHERE outcome IN (0, 4)"))
 def w3_findings(spark, d):
     """The findings of the reviews that are written, both detectors' merged."""
@@ -784,8 +821,6 @@ def w3_findings(spark, d):
     return r.merged.join(r.outcomes.where("has_review").select("change_id"), "change_id", "left_semi").select("change_id", *FOUND, "risk", "recommendation")
 
 
-_SAID = "(SELECT change_id, 'sum ' || k AS s, 'medium' AS r, 'comment' AS c FROM sum_results WHERE result = 'ok') said"
-
 
 @query("w3_reviews", run_sql(f", {reviews_sql('merged', _SAID)}, {markdown_sql('merged')} SELECT change_id, overall_risk, sha256({JSON}) AS json_sha256, sha256(md) AS md_sha256 FROM review JOIN pages USING (change_id) JOIN ended USING (change_id) WHERE outcome IN (0, 4)"))
 def w3_reviews(spark, d):

@@ -12,7 +12,7 @@ from diffloom.plans.review import Requests, Reviewed, Scan, whole_run
 from diffloom.sources import diffs, sinks
 from diffloom.sources.cache import ResponseCache
 from diffloom.sources.shared import stored
-from diffloom.streaming.arrivals import review_arrivals
+from diffloom.streaming.arrivals import ReviewStream, review_arrivals
 from tests.test_lines import MULTI
 from tests.test_rules import diff, scan
 
@@ -349,6 +349,47 @@ def test_stream(spark, tmp_path):
     assert [(r.change_id, r.rule_id) for r in spark.read.parquet(f"{base}/out").collect()] == [(1, "injection.code_exec")]
 
 
+def test_stream_of_a_whole_run_survives_being_cut_off(spark, tmp_path):
+    """Every batch is cut off before each of its writes in turn, and started again: each review is there once, as in one run."""
+    base = f"file://{tmp_path}"
+    prices = spark.createDataFrame([("m", datetime.date(2000, 1, 1), datetime.date(2099, 1, 1), 2.0, 10.0)], "model string, valid_from date, valid_to date, rate_in double, rate_out double")
+    spark.createDataFrame([(1, diff("+eval(x)")), (2, diff("+fine")), (3, diff("-gone")), (4, "prose")], "change_id long, diff_text string").write.parquet(f"{base}/changes")
+    parameters = {"system": "s", "model": "m", "run_date": "2026-01-01", "prices": prices}
+    cut = {("c0", "waiting"), ("c0", "outcomes"), ("r0", "cache"), ("r0", "reviews"), ("r1", "outcomes")}
+
+    def before(part, what):
+        if (part, what) in cut:
+            cut.discard((part, what))
+            raise RuntimeError("cut off")
+
+    cache = ResponseCache(spark, "test_stream_cache")
+    stream = ReviewStream(spark, f"{base}/out", cache, parameters, before=before)
+
+    def until_done(start):
+        for _ in range(4):
+            try:
+                return start().awaitTermination()
+            except Exception as e:
+                assert "cut off" in str(e)
+
+    until_done(lambda: stream.changes(f"{base}/changes"))
+    assert {r.change_id for r in stream.table("waiting").collect()} == {1, 2}
+    assert {r.change_id: (r.outcome, r.has_review) for r in stream.table("outcomes").collect()} == {3: (0, True), 4: (1, False)}
+    asked = {r.change_id: r.prompt_key for r in stream.table("requests").collect()}
+    spark.createDataFrame([(asked[1], '{"findings": []}')], "prompt_key string, response string").write.parquet(f"{base}/responses")
+    until_done(lambda: stream.responses(f"{base}/responses"))
+    sums = [r for r in stream.table("requests").collect() if r.label == "summary"]
+    assert [r.change_id for r in sums] == [1] and {r.change_id for r in stream.table("outcomes").collect()} == {3, 4}
+    spark.createDataFrame([(sums[0].prompt_key, '{"summary": "fine so far", "overall_risk": "low", "pr_comment": "c"}'), (asked[2], "no json")], "prompt_key string, response string").write.mode("append").parquet(f"{base}/responses")
+    until_done(lambda: stream.responses(f"{base}/responses"))
+    assert not cut
+    assert sorted((r.change_id, r.outcome, r.has_review) for r in stream.table("outcomes").collect()) == [(1, 4, True), (2, 2, False), (3, 0, True), (4, 1, False)]
+    assert sorted((r.change_id, "fine so far" in r.json) for r in stream.table("reviews").collect()) == [(1, True), (3, False)]
+    stream.catch_up("1")  # nobody waits
+    assert stream.table("reviews").count() == 2
+    cache.drop()
+
+
 def test_empty_tables(spark):
     s = scan(spark)
     none = Scan(spark.createDataFrame([], "change_id long, diff_text string"))
