@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from diffloom.functions.text import strip
@@ -11,17 +12,22 @@ from diffloom.functions.text import strip
 PLACEHOLDER = r"\[MASKED_[A-Z_]*\]"
 #: Bits a character from which a quoted literal counts as random.
 HEX_BITS, BASE64_BITS = 3.0, 4.5
-#: In order: what is matched, and what stands for it. None looks around, so other engines can run them too.
+#: In order: what is matched, and what stands for it.
 DETECTORS = (
     (r"\b(AKIA|ASIA)[A-Z0-9]{16}\b", "[MASKED_AWS_KEY]"),
     (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "[MASKED_PRIVATE_KEY]"),
-    (r"\b[a-z][a-z0-9+]*://[^\s:/@'\"]+:[^\s@'\"]+@[^\s'\"]+", "[MASKED_DB_URL]"),
+    (r"(?i)\b[a-z][a-z0-9+]*://[^\s:/@'\"]+:[^\s@'\"]+@[^\s'\"]+", "[MASKED_DB_URL]"),
     (r"\b(gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})", "[MASKED_TOKEN]"),
 )
-#: A quoted literal assigned to a name that says it is a secret: TOKEN if the name says token, else KEY.
-TOKEN_NAME = r"(?i)(\b[a-z0-9_]*token[a-z0-9_]*['\"]?\s*[:=]\s*['\"])[^'\"\[\]]{4,}(['\"])"
-KEY_NAME = r"(?i)(\b[a-z0-9_]*(?:password|passwd|secret|api_?key|access_?key|private_?key)[a-z0-9_]*['\"]?\s*[:=]\s*['\"])[^'\"\[\]]{4,}(['\"])"
+#: A literal, up to its own closing quote, with or without a prefix letter; not one that is a placeholder already.
+_VALUE = r"['\"]?\s*[:=]\s*[bfru]{0,2})(['\"])(?!\[MASKED_[A-Z_]*\]\2)(?:\\.|(?!\2)[^\\]){4,}\2"
+#: A literal assigned to a name that says it is a secret: TOKEN if the name says token, else KEY.
+TOKEN_NAME = r"(?i)(\b[a-z0-9_]*token[a-z0-9_]*" + _VALUE
+KEY_NAME = r"(?i)(\b(?:[a-z0-9_]*(?:password|passwd|passphrase|pwd|secret|key)[a-z0-9_]*|(?:[a-z0-9_]*_)?pass)" + _VALUE
 LITERAL = r"['\"]([A-Za-z0-9+/=_-]{20,})['\"]"
+#: The first and last line of a private key, and what a line between them looks like.
+KEY_BEGINS, KEY_ENDS = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+KEY_BODY = r"^\s*['\"]?(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{2,}={1,2}|Proc-Type: .*|DEK-Info: .*)(?:\\n)?['\"]?[,+\\]?\s*$"
 
 
 def entropy(c: Column) -> Column:
@@ -47,8 +53,8 @@ def _typed(c: Column) -> Column:
     out = c
     for pattern, to in DETECTORS:
         out = F.regexp_replace(out, pattern, to)
-    out = F.regexp_replace(out, TOKEN_NAME, "$1[MASKED_TOKEN]$2")
-    out = F.regexp_replace(out, KEY_NAME, "$1[MASKED_KEY]$2")
+    out = F.regexp_replace(out, TOKEN_NAME, "$1$2[MASKED_TOKEN]$2")
+    out = F.regexp_replace(out, KEY_NAME, "$1$2[MASKED_KEY]$2")
     return F.when(c.rlike(MAYBE), out).otherwise(c)
 
 
@@ -70,9 +76,25 @@ def mask(c: Column) -> Column:
 
 def mask_lines(lines: DataFrame) -> DataFrame:
     """diff_lines with masked content; `masked` says whether it changed, `typed` whether a named detector did it. Lines keep their
-    numbers (M1)."""
-    out = lines.withColumn("_t", _typed(F.col("content"))).withColumn("typed", F.col("_t") != F.col("content"))  # steps of their own, so that each is worked out once
-    return out.withColumn("_m", _untyped(F.col("_t"))).drop("_t").withColumn("masked", F.col("_m") != F.col("content")).withColumn("content", F.col("_m")).drop("_m")
+    numbers (M1).
+
+    The body of a private key is masked too, from its first line to its last as far as the hunk shows them; it belongs to the secret of its first
+    line, so `masked` stays false. Lines that are in no hunk stand for themselves.
+    """
+    out = lines
+    if "hunk_no" in lines.columns:
+        w = W.partitionBy("change_id", "file_no", "hunk_no").orderBy("line_idx")
+        marker = F.when(F.col("content").rlike(KEY_BEGINS), 1).when(F.col("content").rlike(KEY_ENDS), 0)
+        before = F.last(marker, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+        after = F.first(marker, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+        ends_next = F.lead(marker).over(w) == 0
+        body = ((before == 1) | (before.isNull() & (after == 0))) & marker.isNull() & (F.col("content").rlike(KEY_BODY) | F.coalesce(ends_next & F.col("content").rlike(r"^\s*['\"]?[A-Za-z0-9+/=]+"), F.lit(False)))
+        out = out.withColumn("_body", F.coalesce(body, F.lit(False)))
+    else:
+        out = out.withColumn("_body", F.lit(False))
+    out = out.withColumn("_t", _typed(F.col("content"))).withColumn("typed", F.col("_t") != F.col("content"))  # steps of their own, so that each is worked out once
+    out = out.withColumn("_m", _untyped(F.col("_t"))).withColumn("masked", ~F.col("_body") & (F.col("_m") != F.col("content"))).withColumn("typed", ~F.col("_body") & F.col("typed"))
+    return out.withColumn("content", F.when(F.col("_body"), "[MASKED_PRIVATE_KEY]").otherwise(F.col("_m"))).drop("_t", "_m", "_body")
 
 
 def path_signal(path: Column) -> Column:

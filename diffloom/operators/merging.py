@@ -23,12 +23,12 @@ def unknown_files(findings: DataFrame, files: DataFrame) -> DataFrame:
 def mapped_lines(findings: DataFrame, added: DataFrame) -> DataFrame:
     """Lines that the file didn't add become null; `unmapped` says which (V2). added: change_id, path, line_no.
 
-    The findings' (change, path) pairs, few against the lines, first cut the lines down by a semi join.
+    A line may be a long before; after it, it is a line that the file has. The findings' (change, path) pairs, few against the lines, first cut the lines down by a semi join.
     """
     wanted = findings.where("line IS NOT NULL").select("change_id", F.col("file").alias("path")).distinct()
     few = added.join(wanted, ["change_id", "path"], "left_semi").select("change_id", F.col("path").alias("file"), F.col("line_no").alias("line"), F.lit(True).alias("_hit"))
     joined = findings.join(few, ["change_id", "file", "line"], "left")
-    return joined.withColumn("unmapped", F.col("line").isNotNull() & F.col("_hit").isNull()).withColumn("line", F.when(F.col("_hit"), F.col("line"))).drop("_hit")
+    return joined.withColumn("unmapped", F.col("line").isNotNull() & F.col("_hit").isNull()).withColumn("line", F.when(F.col("_hit"), F.col("line")).cast("int")).drop("_hit")
 
 
 def validation_stats(findings: DataFrame, files: DataFrame, added: DataFrame) -> DataFrame:

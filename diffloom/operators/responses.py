@@ -36,19 +36,30 @@ def _text(value: str, key: str) -> str:
     return f"try_variant_get({value}, '$.{key}', 'string')"
 
 
+#: The line of a finding f as a whole number: integers, whole floats, booleans, and strings of either. Null if there is none or it is none.
+_KIND_OF_LINE = "coalesce(schema_of_variant(try_variant_get(f, '$.line', 'variant')), 'VOID')"
+_NUMBER = "try_variant_get(f, '$.line', 'double')"
+_WHOLE = r"rlike(try_variant_get(f, '$.line', 'string'), '^\\s*[+-]?[0-9]+([.]0+)?\\s*$')"
+_GOOD_LINE = f"({_KIND_OF_LINE} IN ('VOID', 'BIGINT', 'BOOLEAN') OR (({_KIND_OF_LINE} LIKE 'DECIMAL%' OR {_KIND_OF_LINE} IN ('DOUBLE', 'FLOAT')) AND (abs({_NUMBER}) >= 1e18 OR {_NUMBER} = floor({_NUMBER}))) OR ({_KIND_OF_LINE} = 'STRING' AND {_WHOLE}))"
+#: Beyond a long it is the largest or smallest one: no diff has such a line, whichever it is.
+_LINE = f"""CASE WHEN {_KIND_OF_LINE} = 'VOID' THEN CAST(NULL AS BIGINT) WHEN {_KIND_OF_LINE} = 'BOOLEAN' THEN CAST(try_variant_get(f, '$.line', 'boolean') AS BIGINT)
+  ELSE coalesce(try_cast(CASE WHEN {_KIND_OF_LINE} = 'STRING' THEN regexp_replace(trim(try_variant_get(f, '$.line', 'string')), '[.]0+$', '') END AS BIGINT), try_variant_get(f, '$.line', 'bigint'), CASE WHEN {_NUMBER} < 0 THEN -9223372036854775808L ELSE 9223372036854775807L END) END"""
+
+
 def decode(responses: DataFrame) -> DataFrame:
     """responses(call, response, ...) with `doc` (variant, null if it is no JSON object)."""
     text = strip_code_fence(strip(F.col("response")))
+    # of a repeated key the last one counts, as in most decoders; plans read the setting when they run, so it stays
+    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return responses.withColumn("_text", text).withColumn("doc", F.expr("try_parse_json(_text)")).withColumn("doc", F.expr("CASE WHEN schema_of_variant(doc) LIKE 'OBJECT<%' THEN doc END")).drop("_text")
 
 
 def check(responses: DataFrame) -> DataFrame:
     """decoded responses with `valid` and `error` (J3, J4, J6). One bad finding fails the response; the raw text stays.
 
-    Integers written as strings pass as lines; whole floats, booleans and repeated keys are malformed.
+    Lines may be whole floats, booleans, and strings of whole numbers; of repeated keys the last one counts.
     """
     f = "f"
-    line = f"coalesce({_kind(f, 'line')}, 'VOID')"
     good = " AND ".join(
         [
             f"coalesce(schema_of_variant(f) LIKE 'OBJECT<%', false)",
@@ -57,7 +68,7 @@ def check(responses: DataFrame) -> DataFrame:
             f"coalesce({_text(f, 'category')} IN ({_in(MODEL_CATEGORIES)}), false)",
             f"coalesce({_text(f, 'severity')} IN ({_in(RANKS)}), false)",
             f"coalesce({_text(f, 'confidence')} IN ({_in(RANKS)}), false)",
-            f"({line} IN ('VOID', 'BIGINT') OR ({line} = 'STRING' AND {_text(f, 'line')} RLIKE '^ *[+-]?[0-9]+ *$'))",
+            _GOOD_LINE,
         ]
     )
     kind = _kind("doc", "findings")
@@ -72,9 +83,10 @@ def check(responses: DataFrame) -> DataFrame:
 
 
 def model_findings(checked: DataFrame) -> DataFrame:
-    """One row for each finding of the valid review responses, in response order: seq = (batch_no, pos)."""
+    """One row for each finding of the valid review responses, in response order: seq = (batch_no, pos) (J5). line is a long here: one that no
+    file can have is still told apart from none (V2)."""
     rows = checked.where("valid AND call = 'review'").select("change_id", "batch_no", F.posexplode(F.expr("coalesce(try_variant_get(doc, '$.findings', 'array<variant>'), array())")).alias("pos", "f"))
-    return rows.select("change_id", *(F.expr(_text("f", k)).alias(k) for k in ("file",)), F.expr("try_variant_get(f, '$.line', 'int')").alias("line"), *(F.expr(_text("f", k)).alias(k) for k in TEXT_KEYS if k != "file"), F.lit("llm").alias("source"), F.struct("batch_no", "pos").alias("seq"))
+    return rows.select("change_id", *(F.expr(_text("f", k)).alias(k) for k in ("file",)), F.expr(_LINE).alias("line"), *(F.expr(_text("f", k)).alias(k) for k in TEXT_KEYS if k != "file"), F.lit("llm").alias("source"), F.struct("batch_no", "pos").alias("seq"))
 
 
 def summaries(checked: DataFrame) -> DataFrame:

@@ -45,6 +45,10 @@ CONTENTS = (
     'key = "-----BEGIN RSA PRIVATE KEY-----"',
     "password = DES.new(random.random())",
     "os.system(cmd + token)",
+    'signing_key = "abcdefgh12"',
+    "password = b'hunter2[x]'",
+    'dsn = "Postgres://a:b@h/x"',
+    """db_pass: "it's-a-secret-9\"""",
 )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from diffloom.functions.text import flatten, tokens
 from diffloom.operators import cost, lines, longdiffs, masking, merging, outcome, packing, reports, responses, rules
 from diffloom.plans import corpus
-from diffloom.plans.oracles import JSON, PUBLIC, SIGNAL, markdown_sql, masked_sql, over, random_sql, reviews_sql
+from diffloom.plans.oracles import JSON, MASKED_DOCS, PUBLIC, SIGNAL, markdown_sql, over, random_sql, reviews_sql
 from diffloom.plans.review import Requests, Reviewed, Scan
 from diffloom.sources import diffs, sinks
 from diffloom.sources.cache import ResponseCache
@@ -202,7 +202,7 @@ def d7_long(spark, d):
 _DOCS = "docs AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_idx, parts[i] AS content, source || '/' || doc_id || '.txt' AS path FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) t(i))"
 
 
-@query("m1_mask_documents", f"WITH {_DOCS}, {masked_sql('docs', 'm')} SELECT doc_id AS change_id, line_idx, safe AS content FROM m WHERE safe <> content")
+@query("m1_mask_documents", f"WITH {_DOCS}, {MASKED_DOCS} SELECT doc_id AS change_id, line_idx, safe AS content FROM m WHERE safe <> content")
 def m1(spark, d):
     m = masking.mask_lines(corpus.document_lines(spark, d))
     return m.where("masked").select("change_id", "line_idx", "content")
@@ -234,7 +234,7 @@ def m4(spark, d):
     return scan(spark, d).of_rule("secrets.detect_secrets").select("change_id", *FOUND)
 
 
-@query("m5_masked_line_count", f"WITH {_DOCS}, {masked_sql('docs', 'm')} SELECT doc_id AS change_id, CAST(count_if(safe <> content) AS BIGINT) AS masked_lines FROM m GROUP BY doc_id")
+@query("m5_masked_line_count", f"WITH {_DOCS}, {MASKED_DOCS} SELECT doc_id AS change_id, CAST(count_if(safe <> content) AS BIGINT) AS masked_lines FROM m GROUP BY doc_id")
 def m5(spark, d):
     return masking.masked_line_count(masking.mask_lines(corpus.document_lines(spark, d)))
 
@@ -446,8 +446,10 @@ def answers(spark, d) -> DataFrame:
     k = F.col("change_id") % 7
     path = F.element_at(F.array(*map(F.lit, corpus.PATHS)), ((F.col("change_id") * 5) % len(corpus.PATHS) + 1).cast("int"))
     one = lambda file, line, cat, sev, conf, more="": F.concat(F.lit('{"file":"'), file, F.lit('","line":'), line, F.lit(f',"category":"{cat}","severity":"'), F.lit(sev), F.lit(f'","confidence":"{conf}","evidence":"model saw it","risk":"risk {cat}","recommendation":"fix {sev}"{more}}}'))
-    first = one(path, F.when(F.col("change_id") % 2 == 0, "1").otherwise('"2"'), "crypto_misuse", "medium", "high")
-    second = one(F.when(F.col("change_id") % 5 == 0, "nope.py").otherwise(path), F.when(F.col("change_id") % 3 == 0, "null").otherwise("999"), "injection", "high", "low")
+    c = F.col("change_id")
+    line = F.when(c % 6 == 0, "1").when(c % 6 == 2, "1.0").when(c % 6 == 4, "1e0").when(c % 6 == 1, '"2"').when(c % 6 == 3, '7,"line":2').otherwise("2")
+    first = one(path, line, "crypto_misuse", "medium", "high")
+    second = one(F.when(c % 5 == 0, "nope.py").otherwise(path), F.when(c % 3 == 0, "null").when(c % 4 == 1, "99999999999").otherwise("999"), "injection", "high", "low")
     wrap = lambda *f: F.concat(F.lit('{"findings":['), F.concat_ws(",", *f), F.lit("]}"))
     good = wrap(first, second, second)
     review = (
@@ -468,7 +470,7 @@ def answers(spark, d) -> DataFrame:
 _ORDERS = "o AS (SELECT DISTINCT l_orderkey AS change_id FROM lineitem)"
 _CHECKED = f"{_ORDERS}, checked AS (SELECT change_id, 'review' AS call, CASE WHEN change_id % 31 = 0 THEN 'not a JSON object' ELSE CASE change_id % 7 WHEN 2 THEN 'not a JSON object' WHEN 3 THEN 'bad finding' WHEN 4 THEN 'bad finding' WHEN 5 THEN 'bad finding' END END AS error FROM o UNION ALL SELECT change_id, 'summary', CASE WHEN change_id % 37 = 0 THEN 'not a JSON object' WHEN change_id % 9 = 0 THEN 'bad risk' END FROM o)"
 _PATH = "CASE (change_id * 5) % " + str(len(corpus.PATHS)) + " " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(corpus.PATHS)) + " END"
-_SECOND = f"SELECT change_id, CASE WHEN change_id % 5 = 0 THEN 'nope.py' ELSE {_PATH} END AS file, CASE WHEN change_id % 3 = 0 THEN NULL ELSE 999 END AS line, 'injection' AS category, 'high' AS severity, 'low' AS confidence"
+_SECOND = f"SELECT change_id, CASE WHEN change_id % 5 = 0 THEN 'nope.py' ELSE {_PATH} END AS file, CASE WHEN change_id % 3 = 0 THEN NULL WHEN change_id % 4 = 1 THEN 99999999999 ELSE 999 END AS line, 'injection' AS category, 'high' AS severity, 'low' AS confidence"
 _GOOD = "change_id % 7 IN (0, 1) AND change_id % 31 <> 0"
 _MODEL = f"model AS (SELECT change_id, {_PATH} AS file, CASE WHEN change_id % 2 = 0 THEN 1 ELSE 2 END AS line, 'crypto_misuse' AS category, 'medium' AS severity, 'high' AS confidence, 0 AS pos FROM o WHERE {_GOOD} UNION ALL {_SECOND}, 1 FROM o WHERE {_GOOD} UNION ALL {_SECOND}, 2 FROM o WHERE {_GOOD})"
 
@@ -483,9 +485,9 @@ def j3(spark, d):
     return responses.check(answers(spark, d)).select("change_id", "call", "error", "valid")
 
 
-@query("j5_model_findings", f"WITH {_ORDERS}, {_MODEL} SELECT change_id, pos, file, line, category, severity, confidence, 'risk ' || category AS risk FROM model")
+@query("j5_model_findings", f"WITH {_ORDERS}, {_MODEL} SELECT change_id, pos, file, CAST(line AS VARCHAR) AS line, category, severity, confidence, 'risk ' || category AS risk FROM model")
 def j5(spark, d):
-    return responses.model_findings(responses.check(answers(spark, d))).select("change_id", "seq.pos", "file", "line", "category", "severity", "confidence", "risk")
+    return responses.model_findings(responses.check(answers(spark, d))).select("change_id", "seq.pos", "file", F.col("line").cast("string").alias("line"), "category", "severity", "confidence", "risk")
 
 
 _RAW = """CASE change_id % 7 WHEN 2 THEN 'I found nothing' WHEN 3 THEN ',"extra":1' WHEN 4 THEN 'hardcoded_secrets' WHEN 5 THEN '"line":1.5' END"""
@@ -786,18 +788,20 @@ def s7_run(spark, d):
     return run(spark, d).recorded().select("change_id", "label")
 
 
-_STREAMED = run_sql("SELECT 1").replace(f" OR spent + worst > {RUN_COST}", "").replace(f" OR spent + (tokens * 2.0 + 2000 * 10.0) / 1e6 > {RUN_COST}", "").removesuffix("SELECT 1")
+#: So large that every change of the corpus is one request, and a run takes three batches of the stream.
+STREAM_LIMIT = 8000
+_STREAMED = run_sql("SELECT 1").replace(f"> {LIMIT}", f"> {STREAM_LIMIT}").replace(f" OR spent + worst > {RUN_COST}", "").replace(f" OR spent + (tokens * 2.0 + 2000 * 10.0) / 1e6 > {RUN_COST}", "").removesuffix("SELECT 1")
 _WAITS = "(SELECT change_id FROM failed WHERE result = 'api_error')"
 _SAID = "(SELECT change_id, 'sum ' || k AS s, 'medium' AS r, 'comment' AS c FROM sum_results WHERE result = 'ok') said"
 
 
 @query("s6_stream_run", f"{_STREAMED}, {reviews_sql('merged', _SAID)}, {markdown_sql('merged')} SELECT change_id, overall_risk, sha256({JSON}) AS json_sha256, sha256(md) AS md_sha256 FROM review JOIN pages USING (change_id) JOIN ended USING (change_id) WHERE outcome IN (0, 4) AND change_id NOT IN {_WAITS}")
 def s6_run(spark, d):
-    """Changes arrive, their unanswered requests are written out; responses to those arrive, then responses to the summary requests that
+    """Changes arrive, and their unanswered requests are written out; responses to those arrive, then responses to the summary requests that
     are written out in turn. Cached responses cost nothing, so only a call's size is held against a budget."""
     changes, answered, folder = shared(spark), shared(spark), shared(spark)
     corpus.changes(spark, d, damage=True).write.parquet(changes)
-    parameters = {"system": SYSTEM, "model": "model-b", "run_date": "2026-06-01", "prices": prices(spark, d), "max_input_tokens": LIMIT, "max_call_tokens": CALL_TOKENS, "max_run_cost": RUN_COST}
+    parameters = {"system": SYSTEM, "model": "model-b", "run_date": "2026-06-01", "prices": prices(spark, d), "max_input_tokens": STREAM_LIMIT, "max_call_tokens": CALL_TOKENS, "max_run_cost": RUN_COST}
     stream = ReviewStream(spark, folder, new_cache(spark), parameters)
     stream.changes(changes).awaitTermination()
     for turn in ("reviews", "summaries"):
@@ -806,9 +810,6 @@ def s6_run(spark, d):
         said = summary_answers(asked) if turn == "summaries" else review_answers(asked.withColumn("path", first_path))
         said.select("prompt_key", "response").write.mode("append").parquet(answered)
         stream.responses(answered).awaitTermination()
-        while turn == "reviews" and not (late := stored(review_answers(stream.table("requests").where("label <> 'summary'").withColumn("path", first_path)).select("prompt_key", "response").dropDuplicates(["prompt_key"]).join(spark.read.parquet(answered), "prompt_key", "left_anti"))).isEmpty():
-            late.write.mode("append").parquet(answered)  # a change asks for its next batch once the one before has come
-            stream.responses(answered).awaitTermination()
     rows = stored(stream.table("reviews").select("change_id", "overall_risk", *(F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("json", "md"))))
     stream.cache.drop()
     return rows

@@ -117,8 +117,8 @@ def test_block_text_and_exclusions(spark):
 
 
 GOOD = {"file": "a.py", "line": 1, "category": "injection", "severity": "low", "confidence": "low", "evidence": "e", "risk": "r", "recommendation": "f"}
-BAD = ["", "no", "[1]", "null", '{"findings": 1}', json.dumps({"findings": [GOOD], "x": 1}), json.dumps({"findings": [GOOD | {"x": 1}]}), json.dumps({"findings": [{k: v for k, v in GOOD.items() if k != "risk"}]}), json.dumps({"findings": [GOOD | {"severity": "huge"}]}), json.dumps({"findings": [GOOD | {"category": "hardcoded_secrets"}]}), json.dumps({"findings": [GOOD | {"line": 1.5}]}), json.dumps({"findings": [GOOD | {"line": True}]}), json.dumps({"findings": [GOOD | {"evidence": 3}]}), '{"findings": [], "findings": []}', None]
-FINE = ["{}", json.dumps({"findings": []}), json.dumps({"findings": [GOOD]}), json.dumps({"findings": [GOOD | {"line": None}]}), json.dumps({"findings": [GOOD | {"line": "12"}]}), "```json\n" + json.dumps({"findings": [GOOD]}, indent=1) + "\n```", json.dumps({"findings": [{k: v for k, v in GOOD.items() if k != "line"}]})]
+BAD = ["", "no", "[1]", "null", '{"findings": 1}', json.dumps({"findings": [GOOD], "x": 1}), json.dumps({"findings": [GOOD | {"x": 1}]}), json.dumps({"findings": [{k: v for k, v in GOOD.items() if k != "risk"}]}), json.dumps({"findings": [GOOD | {"severity": "huge"}]}), json.dumps({"findings": [GOOD | {"category": "hardcoded_secrets"}]}), json.dumps({"findings": [GOOD | {"line": 1.5}]}), json.dumps({"findings": [GOOD | {"evidence": 3}]}), json.dumps({"findings": [GOOD | {"line": "1.5"}]}), '{"findings": [], "x": 1, "findings": []}', None]
+FINE = ["{}", json.dumps({"findings": []}), json.dumps({"findings": [GOOD]}), json.dumps({"findings": [GOOD | {"line": None}]}), json.dumps({"findings": [GOOD | {"line": "12"}]}), "```json\n" + json.dumps({"findings": [GOOD]}, indent=1) + "\n```", json.dumps({"findings": [{k: v for k, v in GOOD.items() if k != "line"}]}), json.dumps({"findings": [GOOD | {"line": True}]}), '{"findings": [], "findings": [' + json.dumps(GOOD) + "]}", *(json.dumps({"findings": [GOOD]}).replace('"line": 1', f'"line": {x}') for x in ("7.0", "1e2", '" 12.0 "', "99999999999", "1e30", '"-99999999999999999999"', '5, "line": 6'))]
 
 
 def test_review_contract(spark):
@@ -126,7 +126,7 @@ def test_review_contract(spark):
     checked = responses.check(df)
     assert {r.change_id for r in checked.where("valid").collect()} == set(range(len(BAD), len(BAD) + len(FINE)))
     lines_of = {r.change_id - len(BAD): r.line for r in responses.model_findings(checked).collect()}
-    assert lines_of == {2: 1, 3: None, 4: 12, 5: 1, 6: None}
+    assert lines_of == {2: 1, 3: None, 4: 12, 5: 1, 6: None, 7: 1, 8: 1, 9: 7, 10: 100, 11: 12, 12: 99999999999, 13: 2**63 - 1, 14: -(2**63), 15: 6}
 
 
 def test_summary_contract(spark):
