@@ -131,6 +131,33 @@ def test_copies_and_shared_passages_of_loose_pages_stay(spark):
     assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == want
 
 
+def test_parts_in_doubt_stay_unless_they_repeat(spark):
+    """Inside an article a name alone does not take text away; two distinct pages of the host with the same run do."""
+    probes = ['<div class="dialog">He said hello</div>', '<p class="alert">Warn</p>', '<h2 class="search">Search</h2>', '<section class="related">work of others</section>', '<table><tr><td class="item social">sharing costs</td></tr></table>', "<object>shown instead</object>"]
+    for p in probes:
+        assert html_text.page_text(f"<article><p>one</p>{p}<p>two</p></article>")[0] == " ".join(re.sub("<[^>]*>", " ", f"one {p} two").split())
+    boiler = " ".join(f"read{i}" for i in range(11))
+    page = lambda i, part: (i, f"http://h.com/{i}", f'<article><p>text {i}</p><section class="related"><p>{part}</p></section><p>end</p><div class="ads">ad</div></article>')
+    rows = [page(1, boiler), page(2, boiler + " more"), page(3, "a chapter on related work that stands on this one page"), page(4, "short"), page(5, "short")]
+    rows += [(6, "http://other.com/6", page(6, boiler)[2]), (7, "http://h.com/7", f"<article><p>{boiler}</p></article>"), (8, "http://h.com/8", "<p class='alert'>\x1e \x1f</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {1: "text 1 end", 2: f"text 2 {boiler} more end", 3: "text 3 a chapter on related work that stands on this one page end", 4: "text 4 short end", 5: "text 5 short end", 6: f"text 6 {boiler} end", 7: boiler, 8: ""}
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == want
+
+
+@pytest.mark.parametrize("depth", [1, 2, 8])
+def test_suffix_ranks_are_those_of_sorted_runs(spark, depth):
+    rng = random.Random(depth)
+    streams = {(h, f"{h}{k}"): [rng.choice("abc") for _ in range(rng.randint(1, 60))] for h in "xy" for k in range(4)}
+    rows = [(h, p, i, t) for (h, p), ts in streams.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "host string, page string, pos int, token string")
+    got = {(r.page, r.pos): r["rank"] for r in html_text.suffix_ranks(df, depth).collect()}
+    for host in "xy":
+        runs = {(p, i): tuple(ts[i : i + depth]) for (h, p), ts in streams.items() if h == host for i in range(len(ts) - depth + 1)}
+        order = {r: k + 1 for k, r in enumerate(sorted(set(runs.values())))}
+        assert {k: v for k, v in got.items() if k[0][0] == host} == {k: order[r] for k, r in runs.items()}
+
+
 def np_lit(x):
     from pyspark.sql import functions as F
 
