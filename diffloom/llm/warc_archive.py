@@ -8,6 +8,7 @@ payload is checked once against its digest and length before the join; what a re
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from diffloom.llm.common import shared_dir
 MIN_DEDUP_BYTES = 100
 
 
-def _header(kind: Column) -> Column:
+def _header(kind: Column, date: str) -> Column:
     """The header block of a WARC 1.1 record, up to and with the empty line."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[\\r\\n]", "%0A")
@@ -26,7 +27,8 @@ def _header(kind: Column) -> Column:
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", urn(F.coalesce(F.col("page_id").cast("string"), F.lit("null")))),
+        line("WARC-Record-ID", F.coalesce(urn(F.col("page_id")), F.lit("<urn:none>"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", clean(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(is_revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("owner"))))).otherwise(F.lit("")),
@@ -37,8 +39,8 @@ def _header(kind: Column) -> Column:
     )
 
 
-def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, str]:
-    """Write one record per row; returns the names of the table of payloads (bucketed by digest, each payload once) and
+def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> tuple[str, str]:
+    """Write one record per row, dated `date` (now, if none is given; UTC, as `2020-01-01T00:00:00Z`); returns the names of the table of payloads (bucketed by digest, each payload once) and
     the folder of headers.
 
     Null html is an empty payload, a null url an empty target, line ends in urls become %0A. Payloads under
@@ -56,14 +58,14 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     store.write.bucketBy(buckets, "digest").option("compression", "zstd").saveAsTable(name)
     owners = spark.table(name).select("digest", "owner")
     kind = F.when((F.col("bytes") < MIN_DEDUP_BYTES) | F.col("owner").isNull() | F.col("page_id").eqNullSafe(F.col("owner")), "response").otherwise("revisit")
-    heads = keyed.drop("payload").join(owners, "digest").select("digest", _header(kind).cast("binary").alias("header"))
+    heads = keyed.drop("payload").join(owners, "digest").select("digest", _header(kind, date or f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}").cast("binary").alias("header"))
     path = f"{shared_dir(spark)}/warc-headers-{uuid.uuid4().hex}"
     heads.write.option("compression", "zstd").parquet(path)
     return name, path
 
 
 def read_records(spark: SparkSession, payloads: str, headers: str) -> DataFrame:
-    """record: the bytes of every record, as they stand in a WARC file; raises if a stored payload doesn't have its digest.
+    """record: the bytes of every record, as they stand in a WARC file; raises if a stored payload doesn't have its digest, or is not there.
 
     One row per header, repeated ones too; empty payloads give records with an empty body.
     """
@@ -72,8 +74,10 @@ def read_records(spark: SparkSession, payloads: str, headers: str) -> DataFrame:
     store = store.select("digest", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("bad payload "), F.col("digest"))).cast("binary")).alias("payload"))
     revisit = F.col("header").cast("string").contains("\r\nWARC-Type: revisit\r\n")
     body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
-    # a revisit's payload has to be there too: the record is null-free only if it is
-    return spark.read.parquet(headers).join(store, "digest").where(F.col("payload").isNotNull()).select(F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    # a revisit's payload has to be there too
+    lost = F.raise_error(F.concat(F.lit("no payload "), F.col("digest"))).cast("binary")
+    body = F.when(F.col("payload").isNull(), lost).otherwise(body)
+    return spark.read.parquet(headers).join(store, "digest", "left").select(F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def describe(records: DataFrame, id_type: str = "bigint") -> DataFrame:
@@ -82,17 +86,17 @@ def describe(records: DataFrame, id_type: str = "bigint") -> DataFrame:
     """
     head = F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1)
     field = lambda name, pattern: F.regexp_extract("head", f"\\r\\n{name}: {pattern}(?:\\r\\n|\\z)", 1)
-    number = lambda c: F.when(c != "", F.when(c != "null", c)).cast(id_type)
+    page = lambda name: F.when(F.col("head").rlike(f"\\r\\n{name}: <urn:page:"), field(name, "<urn:page:([^>]*)>")).cast(id_type)
     parts = records.select("record", head.alias("head"))
     parts = parts.withColumn("length", field("Content-Length", "(\\d+)").cast("int")).withColumn("record_type", field("WARC-Type", "(\\w+)"))
     parts = parts.withColumn("body", F.substring(F.col("record"), F.octet_length("head") + 5, F.col("length")))
     revisit = F.col("record_type") == "revisit"
     return parts.select(
-        number(field("WARC-Record-ID", "<urn:page:([^>]*)>")).alias("page_id"),
+        page("WARC-Record-ID").alias("page_id"),
         F.when(revisit, field("WARC-Payload-Bytes", "(\\d+)").cast("long")).otherwise(F.octet_length("body").cast("long")).alias("payload_bytes"),
         F.when(revisit, field("WARC-Payload-Digest", "sha256:(\\w+)")).otherwise(F.sha2("body", 256)).alias("payload_digest"),
         "record_type",
-        number(field("WARC-Refers-To", "<urn:page:([^>]*)>")).alias("refers_to"),
+        page("WARC-Refers-To").alias("refers_to"),
     )
 
 

@@ -53,6 +53,18 @@ def test_archive_checks_payloads_and_bears_no_rows(spark):
     assert warc_archive.describe(warc_archive.read_records(spark, *warc_archive.write_archive(df.limit(0)))).count() == 0
 
 
+def test_archive_without_a_payload_raises_and_ids_may_be_odd(spark):
+    rows = [("", "u", BIG), ("null", "u", BIG), (None, "u", BIG), ("x?y", "u", "other")]
+    name, heads = warc_archive.write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"), date="2020-02-03T04:05:06Z")
+    records = warc_archive.read_records(spark, name, heads)
+    got = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc_archive.describe(records, "string").collect())
+    assert got == [("", "response", "None"), ("None", "revisit", ""), ("null", "revisit", ""), ("x?y", "response", "None")]
+    assert all(b"\r\nWARC-Date: 2020-02-03T04:05:06Z\r\n" in bytes(r.record) for r in records.collect())
+    spark.table(name).where("bytes < 100").write.saveAsTable(name + "_lost")
+    with pytest.raises(Exception, match="no payload"):
+        warc_archive.read_records(spark, name + "_lost", heads).collect()
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(4)
     texts = ["", "\\b<turn x>\\l\\", "</turn>\n<turn user>", "😀é\n", "plain", None]
