@@ -86,9 +86,12 @@ def mask_lines(lines: DataFrame) -> DataFrame:
         w = W.partitionBy("change_id", "file_no", "hunk_no").orderBy("line_idx")
         marker = F.when(F.col("content").rlike(KEY_BEGINS), 1).when(F.col("content").rlike(KEY_ENDS), 0)
         before = F.last(marker, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-        after = F.first(marker, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+        hunk = W.partitionBy("change_id", "file_no", "hunk_no")
+        first_end, first_begin = (F.min(F.when(marker == m, F.col("line_idx"))).over(hunk) for m in (0, 1))
+        # a hunk that begins within a key: its first marker is an end
+        tail = before.isNull() & (F.col("line_idx") < first_end) & F.coalesce(first_end < first_begin, F.lit(True))
         ends_next = F.lead(marker).over(w) == 0
-        body = ((before == 1) | (before.isNull() & (after == 0))) & marker.isNull() & (F.col("content").rlike(KEY_BODY) | F.coalesce(ends_next & F.col("content").rlike(r"^\s*['\"]?[A-Za-z0-9+/=]+"), F.lit(False)))
+        body = ((before == 1) | tail) & marker.isNull() & (F.col("content").rlike(KEY_BODY) | F.coalesce(ends_next & F.col("content").rlike(r"^\s*['\"]?[A-Za-z0-9+/=]+"), F.lit(False)))
         out = out.withColumn("_body", F.coalesce(body, F.lit(False)))
     else:
         out = out.withColumn("_body", F.lit(False))

@@ -29,7 +29,9 @@ def scanned(laid: DataFrame, keys: list[str], sums: dict[str, Column] | None = N
     """
     sums, last, following = sums or {}, last or {}, following or {}
     own = W.partitionBy("_range", *keys).orderBy("_at")
-    upto, after = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(1, W.unboundedFollowing)
+    upto = own.rowsBetween(W.unboundedPreceding, 0)
+    # what follows is what came before in falling order: a frame that ends at the last row would be worked out anew for every row
+    after = W.partitionBy("_range", *keys).orderBy(F.desc("_at")).rowsBetween(W.unboundedPreceding, -1)
     valued = laid
     for name, c in (sums | last | following).items():
         valued = valued.withColumn(f"_v_{name}", c)
@@ -39,13 +41,14 @@ def scanned(laid: DataFrame, keys: list[str], sums: dict[str, Column] | None = N
         *(F.min_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("_at"))).alias(f"_p_{n}") for n in following),
     )
     whole = W.partitionBy(*keys).orderBy("_range")
-    ahead, behind = whole.rowsBetween(W.unboundedPreceding, -1), whole.rowsBetween(1, W.unboundedFollowing)
+    ahead = whole.rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(
         *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
         F.col("_range").alias("_kr"),
         *(F.coalesce(F.sum(f"_p_{n}").over(ahead), F.lit(0)).alias(f"_o_{n}") for n in sums),
         *(F.last(f"_p_{n}", ignorenulls=True).over(ahead).alias(f"_o_{n}") for n in last),
-        *(F.first(f"_p_{n}", ignorenulls=True).over(behind).alias(f"_o_{n}") for n in following),
+        *(F.last(f"_p_{n}", ignorenulls=True).over(behind).alias(f"_o_{n}") for n in following),
     )
     out = valued
     for n in sums:
@@ -53,7 +56,7 @@ def scanned(laid: DataFrame, keys: list[str], sums: dict[str, Column] | None = N
     for n in last:
         out = out.withColumn(f"_w_{n}", F.last(f"_v_{n}", ignorenulls=True).over(upto))
     for n in following:
-        out = out.withColumn(f"_w_{n}", F.first(f"_v_{n}", ignorenulls=True).over(after))
+        out = out.withColumn(f"_w_{n}", F.last(f"_v_{n}", ignorenulls=True).over(after))
     on = out["_range"] == parts["_kr"]
     for i, k in enumerate(keys):
         on &= out[k].eqNullSafe(parts[f"_k{i}"])
