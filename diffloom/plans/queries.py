@@ -84,6 +84,26 @@ def s5(spark, d):
     return r.select("change_id", "overall_risk", *(F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("json", "md")))
 
 
+_FILES_OF = "len(list_distinct(list_transform(fs, lambda x: x.file)))"
+
+
+@query(
+    "s5_artifact_parts",
+    over(
+        f""", {reviews_sql('det')}, {markdown_sql('det')} SELECT change_id, 'json' AS kind, CAST(ceil((len(fs) + 2) / 3.0) AS BIGINT) AS n_parts, sha256({JSON}) AS sha256 FROM review
+        UNION ALL SELECT change_id, 'md', CAST(ceil((len(fs) + {_FILES_OF} + 2) / 3.0) AS BIGINT), sha256(md) FROM review JOIN pages USING (change_id)""",
+        damaged=True,
+    ),
+)
+def s5b(spark, d):
+    """Both artifacts in parts of three rows, written and read back; joined in order they are the whole texts."""
+    out = shared(spark)
+    sinks.write_parts(whole(spark, d, damage=True).artifact_parts(part_rows=3), out)
+    parts = spark.read.schema("change_id long, part_no long, text string, kind string").parquet(out)
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("part_no", "text")))["text"], "")
+    return parts.groupBy("change_id", "kind").agg(F.count("*").alias("n_parts"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+
+
 @query("s6_stream_review", over("SELECT change_id, file, line, category, severity, confidence, evidence, rule_id FROM det"))
 def s6(spark, d):
     source, target, state = shared(spark), shared(spark), shared(spark)

@@ -99,13 +99,21 @@ class Scan:
 
     def reviews(self, findings: DataFrame | None = None, summaries: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
         """Reviews of changes (all that can be read if none are given), of rules' findings alone if none are given."""
+        return reports.assemble(*self._reviewed(findings, summaries, changes))
+
+    def _reviewed(self, findings: DataFrame | None = None, summaries: DataFrame | None = None, changes: DataFrame | None = None) -> tuple[DataFrame, ...]:
         f = self.findings if findings is None else findings
         none = self.changes.sparkSession.createDataFrame([], f"change_id {self.changes.schema['change_id'].dataType.simpleString()}, summary string, overall_risk string, pr_comment string")
-        return reports.assemble(self.readable if changes is None else changes, f, none if summaries is None else summaries, self.notes, self.reviewable)
+        return self.readable if changes is None else changes, f, none if summaries is None else summaries, self.notes, self.reviewable
 
     def artifacts(self) -> DataFrame:
         return sinks.artifacts(self.keep(self.reviews()), self.findings, self.notes)
 
+    def artifact_parts(self, findings: DataFrame | None = None, summaries: DataFrame | None = None, changes: DataFrame | None = None, part_rows: int = reports.PART_ROWS) -> DataFrame:
+        """The texts of `artifacts` in ordered parts, for changes with more findings than a task holds."""
+        given = self._reviewed(self.keep(self.findings) if findings is None else findings, summaries, changes)
+        return reports.parts(self.keep(reports.heads(*given)), given[1], self.notes, part_rows)
+
 
 @dataclass
 class Requests:
@@ -263,13 +271,20 @@ class Reviewed:
     @cached_property
     def reviews(self) -> DataFrame:
         """Reviews of the changes that have one; a summary that failed is replaced by the rules' own text."""
+        return self.scan.reviews(*self._shown)
+
+    @cached_property
+    def _shown(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         shown = self.outcomes.where("has_review").select("change_id")
         good = responses.summaries(self.summary_calls).join(self.failures.select("change_id"), "change_id", "left_anti")
-        return self.scan.reviews(self.merged, good, shown)
+        return self.merged, good, shown
 
     def artifacts(self) -> DataFrame:
         return sinks.artifacts(stored(self.reviews), self.merged, self.scan.notes)
 
+    def artifact_parts(self, part_rows: int = reports.PART_ROWS) -> DataFrame:
+        return self.scan.artifact_parts(*self._shown, part_rows=part_rows)
+
 
 def whole_run(changes: DataFrame, **parameters) -> Reviewed:
     """W1, W2 and W3 over changes, every shared table written once. parameters: those of Requests, and answers and budgets."""

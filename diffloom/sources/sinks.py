@@ -18,6 +18,12 @@ def write_artifacts(arts: DataFrame, path: str) -> None:
     arts.write.mode("overwrite").partitionBy("overall_risk").parquet(path)
 
 
+def write_parts(parts: DataFrame, path: str) -> None:
+    """Artifacts in parts, a folder for each kind; files in order, and parts in order within each."""
+    by = ("kind", "change_id", "part_no")
+    parts.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
 def write_json_lines(reviews: DataFrame, path: str) -> None:
     to_json(reviews).select("json").write.mode("overwrite").text(path)
 

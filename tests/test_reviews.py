@@ -275,6 +275,28 @@ def test_markdown_and_json(spark):
     assert list(doc) == sorted(doc) and doc["no_findings_reason"] is None and "rule_id" not in doc["findings"][0]
 
 
+@pytest.mark.parametrize("part_rows", [2, 1000])
+def test_artifact_parts_join_to_the_whole(spark, tmp_path, part_rows):
+    rng = random.Random(3)
+    lots = [finding(f"f{rng.randrange(9)}.py", rng.choice([None, *range(1, 40)]), rng.choice(["injection", "auth_perms"]), rng.choice(["low", "medium", "high"]), rng.choice(["low", "high"]), f" a\n{i} \"x\"") for i in range(300)]
+    lots += lots[:3] + [finding(change=2), finding(change=4)]  # repeated findings; one in a change that adds no line
+    f = frame(spark, *lots)
+    changes = spark.createDataFrame([(i,) for i in range(1, 5)], "change_id long")
+    notes = spark.createDataFrame([(1, "2 files excluded"), (3, "1 files excluded")], "change_id long, note string")
+    adds = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False)], "change_id long, reviewable boolean")
+    sums = spark.createDataFrame([(2, " said ", "medium", "c\n")], "change_id long, summary string, overall_risk string, pr_comment string")
+    whole = reports.assemble(changes, f, sums, notes, adds)
+    parts = reports.parts(reports.heads(changes, f, sums, notes, adds), f, notes, part_rows)
+    sinks.write_parts(parts, str(tmp_path / "parts"))
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "parts")).orderBy("change_id", "kind", "part_no").collect():
+        got.setdefault((r.kind, r.change_id), []).append(r.text)
+    if part_rows == 2:
+        assert len(got["json", 1]) == 153 and len(got["md", 1]) == 157
+    joined = {k: "".join(v) for k, v in got.items()}
+    assert joined == {("json", r.change_id): r.json for r in reports.to_json(whole).collect()} | {("md", r.change_id): r.md for r in reports.to_markdown(whole, f, notes).collect()}
+
+
 def test_severity_counts_leave_out_zeros(spark):
     f = frame(spark, finding(severity="high"), finding(line=2, severity="high", file="b.py"), finding(line=3))
     r = reports.severity_counts(f).first()
