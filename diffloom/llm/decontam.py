@@ -1,63 +1,151 @@
-"""Benchmark decontamination: gapped word pairs find passages, Smith-Waterman alignments score them.
+"""Benchmark decontamination: rare seeds join passages of documents to benchmark items, Smith-Waterman alignments score them.
 
-Words are lower-cased (A-Z) and freed of ASCII punctuation. Each pair of words of a benchmark item that are neighbours or
-have one word between them is a seed; all seeds are kept, common ones too. Documents are scanned once against a bit table of a
-fixed size, then against the seeds' items. A window of a document with enough seeds of an item is aligned with it (match 2,
-mismatch and gap -1). The score is the alignment's share of the full one.
+Words are lower-cased (A-Z) and freed of ASCII punctuation. Each pair of words that are neighbours or have one word between
+them is a seed. One scan of the documents counts in how many texts each seed of the benchmark stands; of every item the rarest
+seeds are kept, so many that no alignment does without all of them (below). A second scan cuts out the passages around them; the
+passages are joined to the items by seed, and a passage that holds enough seeds of an item is aligned with it (match 2, mismatch and
+gap -1). The score is the alignment's share of the full one. Both scans look seeds up in a bit table of a fixed size first, so what is
+sent to the executors does not grow with the benchmark, nor does the number of scans.
 
-No alignment that scores half of an item of n >= SHORT words is lost. Let it match m words and pay C for what lies between:
+No alignment that scores half of an item of n >= 3 words is lost. Let it match m words and pay C for what lies between:
 2 m - C >= n, so C <= 2 m - n <= m. Two matched words in turn with more than one word between them, on either side,
 cost 2 or more; so at most C / 2 of the m - 1 steps from match to match do, and n / 2 - 1 steps or more are seeds on both
-sides, one at least. The alignment covers m + C <= 3 m - n <= 2 n words of the document.
+sides, one at least. They begin at as many of the item's n - 1 first words; of any n - (that many) of those, one is among them. The
+alignment covers m + C <= 3 m - n <= 2 n words of the document.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from diffloom.llm.common import column_unlike, saved, text_slices
 
-#: Items of fewer words match as a whole only: half of such an item is a word or two, which any text may hold.
-SHORT = 4
+#: Items of fewer words match as a whole only: half of such an item is one word, which any text may hold. With 1 all are aligned.
+WHOLE_BELOW = 3
 THRESHOLD = 0.5
-TABLE_BITS = 22
-#: Benchmark words that one scan of the documents holds; a larger benchmark takes several.
-SCAN_WORDS = 500_000
-#: Pairs of a hit and an item that are looked at together.
-TOGETHER = 2_000_000
-_CLEAN = bytes.maketrans(bytes(range(65, 91)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 32)
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: Bits of the table that seeds are looked up in before they are joined: 8 MB.
+TABLE_BITS = 26
+#: Words from the first to the last seed of a passage; a longer stretch is cut into passages that overlap.
+CORE = 512
+_CLEAN = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\r\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 37)
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_BASE = 0xD6E8FEB86659FD93
+_VALUES = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), np.uint64)
+#: Bytes of a text that are hashed at once.
+STRETCH = 1 << 18
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        v = self[word] = xxhash.xxh64_intdigest(word)
-        return v
+def clean_words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_CLEAN).split() if text else []
 
 
-_seen = _Hashes()
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-def clean_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_CLEAN).split() if text else []
+_POWERS = [_powers(_BASE, STRETCH), _powers(pow(_BASE, -1, 1 << 64), STRETCH)]
+
 
+def _stretch(data: bytes) -> np.ndarray:
+    """Hashes of the words of cleaned bytes: polynomials in the base, from differences of one running sum."""
+    a = np.frombuffer(data, np.uint8)
+    up, down = (x[: len(a)] if len(a) <= STRETCH else _powers(b, len(a)) for x, b in zip(_POWERS, (_BASE, pow(_BASE, -1, 1 << 64)), strict=True))
+    edge = np.flatnonzero(np.diff((a != 32).astype(np.int8), prepend=0, append=0))
+    start, end = edge[::2], edge[1::2]
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[a] * up, dtype=np.uint64)])
+    h = (upto[end] - upto[start]) * down[start]
+    h = (h ^ (h >> np.uint64(32))) * _FACTORS[2]
+    return h ^ (h >> np.uint64(29))
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the cleaned words of a whole text, a stretch that ends at a space at a time."""
+    data = text.encode("utf-8", "surrogatepass").translate(_CLEAN) if text else b""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        cut = at + STRETCH if len(data) - at > STRETCH else len(data)
+        end = data.rfind(b" ", at, cut) + 1 if cut < len(data) else cut
+        if not end:  # a word that is longer than a stretch
+            end = data.find(b" ", cut) + 1 or len(data)
+        out.append(_stretch(data[at:end]))
+        at = end
+    return np.concatenate(out)
 
-def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of the pairs of words at distance 1 and 2, one hash whatever the distance; where they start)."""
+
+def seeds(h: np.ndarray, ones: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the pairs of words at distance 1 and 2, one hash whatever the distance, and of single words if `ones`; where they start)."""
     g = h ^ (h >> np.uint64(31))
-    pairs = [g[:-k] * _FACTORS[0] + g[k:] * _FACTORS[1] for k in (1, 2)]
-    out = np.concatenate(pairs)
-    return out ^ (out >> np.uint64(33)), np.concatenate([np.arange(len(p)) for p in pairs])
+    out = [g[:-k] * _FACTORS[0] + g[k:] * _FACTORS[1] for k in (1, 2)] + ([g * _FACTORS[2]] if ones else [])
+    where = np.concatenate([np.arange(len(p)) for p in out])
+    out = np.concatenate(out)
+    return out ^ (out >> np.uint64(33)), where
+
+
+def need(n: int) -> int:
+    """Starts of seeds that an alignment of half an item of n words holds at least."""
+    return max(1, -(-n // 2) - 1)
+
+
+def item_seeds(x: np.ndarray, whole_below: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(seeds of an item, where they start, how many starts hold one of any match of it)."""
+    n = len(x)
+    if n < 3:
+        whole = n < whole_below
+        s, where = seeds(x, n == 1 or not whole)
+        keep = slice(0, 1) if whole else slice(n - 1, None)  # the pair or the word itself, or each word
+        return s[keep], where[keep], n
+    s, where = seeds(x, False)
+    return s, where, 1 if n < whole_below else n - need(n)
+
+
+def in_table(table: np.ndarray, s: np.ndarray) -> np.ndarray:
+    slot = s >> np.uint64(64 - TABLE_BITS)
+    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def passages(h: np.ndarray, table: np.ndarray, ones: bool, lap: int, core: int = CORE):
+    """(words, seeds) of each passage of a text: what lies within `lap` words of a seed in the table."""
+    s, where = seeds(h, ones)
+    hit = in_table(table, s)
+    s, where = s[hit], where[hit]
+    order = np.argsort(where, kind="stable")
+    s, where = s[order], where[order]
+    run = np.r_[0, np.cumsum(np.diff(where) > 2 * lap)] if len(where) else where
+    block = where // core
+    cut = np.flatnonzero((np.diff(run) != 0) | (np.diff(block) != 0)) + 1
+    for a, b in zip(np.r_[0, cut], np.r_[cut, len(where)], strict=True):
+        if b > a:
+            yield h[max(0, where[a] - lap) : where[b - 1] + lap], np.unique(s[a:b])
+
+
+def windows(x: np.ndarray, h: np.ndarray, whole_below: int):
+    """(words, seeds found) of each stretch of a passage that holds enough seeds of the item."""
+    n = len(x)
+    if n < max(3, whole_below):
+        yield h, 1
+        return
+    s, where = seeds(h, False)
+    hit = np.isin(s, seeds(x, False)[0])
+    s, at = s[hit], where[hit]
+    w = np.unique(at)
+    k = need(n)
+    full = np.flatnonzero(w[k - 1 :] - w[: len(w) - k + 1] < 2 * n) if len(w) >= k else w[:0]
+    for part in np.split(full, np.flatnonzero(np.diff(w[full]) > 2 * n) + 1) if len(full) else ():
+        lo, hi = max(0, w[part[0]] - 2 * n), w[part[-1] + k - 1] + 2 * n + 3
+        yield h[lo:hi], len(np.unique(s[(at >= lo) & (at < hi)]))
+
+
+def stands(x: np.ndarray, h: np.ndarray) -> bool:
+    """Whether all words of the item stand in turn."""
+    return len(h) >= len(x) and bool((np.lib.stride_tricks.sliding_window_view(h, len(x)) == x).all(1).any())
 
 
 #: Cells of the matrices of one step of `align`.
@@ -95,143 +183,119 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return best
 
 
-class Index:
-    """The seeds of some items: a bit table of a fixed size before the sorted seeds and the items that hold each."""
-
-    def __init__(self, items: list[bytes]):
-        self.items = [x.split() for x in items]
-        self.hashes = [word_hashes(x) for x in self.items]
-        self.n = np.array([len(x) for x in self.items], np.int64)
-        self.need = np.maximum(1, -(-self.n // 2) - 1)
-        self.whole = {tuple(x): k for k, x in enumerate(self.items) if len(x) < SHORT}
-        seed, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for k, x in enumerate(self.items):
-            if len(x) >= SHORT:
-                seed.append(np.unique(seeds(word_hashes(x))[0]))
-                item.append(np.full(len(seed[-1]), k))
-        seed, item = np.concatenate(seed), np.concatenate(item)
-        order = np.argsort(seed, kind="stable")
-        self.seed, first = np.unique(seed[order], return_index=True)
-        self.item, self.at = item[order], np.r_[first, len(order)]
-        self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[(self.seed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        self.firsts = {x[0] for x in self.whole}
-
-    def short(self, words: list[bytes]):
-        """Items under SHORT words that stand in the text as a whole."""
-        for i in [i for i, w in enumerate(words) if w in self.firsts] if self.firsts else ():
-            for n in range(1, SHORT):
-                k = self.whole.get(tuple(words[i : i + n])) if i + n <= len(words) else None
-                if k is not None:
-                    yield k
-
-    def windows(self, h: np.ndarray):
-        """(item, first word, end, seeds found) of each passage whose windows hold enough seeds of the item."""
-        if len(h) < 2 or not len(self.seed):
-            return
-        s, where = seeds(h)
-        hit = np.flatnonzero(self.table[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.seed, s[hit]), len(self.seed) - 1)
-        good = self.seed[at] == s[hit]
-        hit, at = hit[good], at[good]
-        if not len(hit):
-            return
-        where = where[hit]
-        many = self.at[at + 1] - self.at[at]
-        lap = 2 * int(self.n.max()) + 3
-        if many.sum() > TOGETHER and len(h) > 4 * lap:  # halves overlap by more words than an alignment covers
-            mid = len(h) // 2
-            yield from self.windows(h[: mid + lap])
-            yield from ((k, lo + mid - lap, hi + mid - lap, n) for k, lo, hi, n in self.windows(h[mid - lap :]))
-            return
-        flat = np.repeat(self.at[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        item, where, seed = self.item[flat], np.repeat(where, many), np.repeat(at, many)
-        order = np.lexsort((where, item))
-        item, where, seed = item[order], where[order], seed[order]
-        new = np.r_[True, (item[1:] != item[:-1]) | (where[1:] != where[:-1])]
-        # the need counts starts of seeds, not the two seeds that may start at a word
-        i, w, need = item[new], where[new], self.need[item[new]]
-        end = np.arange(len(i)) + need - 1
-        ok = end < len(i)
-        end = np.where(ok, end, 0)
-        ok &= (i[end] == i) & (w[end] - w < 2 * self.n[i])
-        full = np.flatnonzero(ok)
-        if not len(full):
-            return
-        n = self.n[i[full]]
-        cut = np.flatnonzero((i[full][1:] != i[full][:-1]) | (w[full][1:] - w[full][:-1] > 2 * n[1:])) + 1
-        for run in np.split(full, cut):
-            k = int(i[run[0]])
-            lo, hi = max(0, int(w[run[0]]) - 2 * int(self.n[k])), int(w[end[run[-1]]]) + 2 * int(self.n[k]) + 3
-            own = slice(*np.searchsorted(item, [k, k + 1]))
-            found = np.unique(seed[own][(where[own] >= lo) & (where[own] < hi)])
-            yield k, lo, hi, len(found)
-
-    def find(self, texts: list[str | None]):
-        """(text, item, score, seeds) of all items that the texts may hold."""
-        known, at, pairs = [], [], []
-        for i, text in enumerate(texts):
-            words = clean_words(text)
-            known += ((i, k, 1.0, 1) for k in self.short(words))
-            h = word_hashes(words)
-            for k, lo, hi, n_seeds in self.windows(h):
-                at.append((i, k, n_seeds))
-                pairs.append((self.hashes[k], h[lo:hi]))
-        yield from known
-        for (i, k, n_seeds), score in zip(at, align(pairs).tolist(), strict=True):
-            yield i, k, score / (2 * int(self.n[k])), n_seeds
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, scan_words: int = SCAN_WORDS) -> DataFrame:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.asarray(v.values).view(np.uint64) for v in column]
+
+
+def _key(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def _table(found: DataFrame) -> np.ndarray:
+    """The bits of the seeds; TABLE_BITS bound what comes to the driver, in words of 64."""
+    slot = F.shiftrightunsigned("seed", 64 - TABLE_BITS)
+    words = found.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(seed, {64 - TABLE_BITS}) & 63 AS INT))").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
+    table[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, whole_below: int = WHOLE_BELOW) -> DataFrame:
     """doc_id, item_id, score, n_seeds of each document and item whose best alignment scores `threshold` (0.5 at least) or more.
 
-    Items under SHORT words match where all their words stand in turn. Null and empty texts and items match nothing. Repeated
+    Items under `whole_below` words match where all their words stand in turn. Null and empty texts and items match nothing. Repeated
     rows of a document give one row, as do passages that repeat within it; a null id is one document; extra columns are
-    ignored; an empty table on either side gives no rows. Whole texts are scanned.
+    ignored; an empty table on either side gives no rows. Whole texts are scanned, very long ones in stretches and passages.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     kind, id_kind = docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def scan(shared):
-        def run(batches):
-            index, ids = shared.value
-            for batch in batches:
-                at, item, scores, n = [], [], [], []
-                for start, texts in text_slices(batch.column("text")):
-                    for i, k, score, n_seeds in index.find(texts):
-                        if score >= threshold:
-                            for own in ids[k]:
-                                at.append(start + i)
-                                item.append(own)
-                                scores.append(score)
-                                n.append(n_seeds)
+    def hashed(batches):
+        for batch in batches:
+            words = [word_hashes(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([_key(x) for x in words], pa.binary()), _lists(words)], names=["item_id", "item", "x"])
+
+    def spread(batches):
+        for batch in batches:
+            for item, x in zip(batch.column("item"), _arrays(batch.column("x")), strict=True):
+                s, where, k = item_seeds(x, whole_below)
+                yield pa.RecordBatch.from_pydict({"item": [item.as_py()] * len(s), "seed": s.view(np.int64), "start": where, "k": [k] * len(s)})
+
+    named = saved(items.mapInArrow(hashed, f"item_id {id_kind}, item binary, x array<long>").where("size(x) > 0"), "items")
+    known = named.select("item", "x").dropDuplicates(["item"])
+    all_seeds = saved(known.mapInArrow(spread, "item binary, seed long, start long, k long"), "item-seeds")
+    most, fewest = named.agg(F.max(F.size("x")), F.min(F.size("x"))).first()
+    ones, lap = (fewest or 3) == 1 or (fewest or 3) < 3 and whole_below < 3, 2 * (most or 0) + 3
+    shared = spark.sparkContext.broadcast(_table(all_seeds))
+
+    def count(batches):
+        for batch in batches:
+            for _, texts in text_slices(batch.column("text")):
+                held = [np.zeros(0, np.uint64)]
+                for t in texts:
+                    s = seeds(word_hashes(t), ones)[0]
+                    held.append(np.unique(s[in_table(shared.value, s)]))
+                s, n = np.unique(np.concatenate(held), return_counts=True)
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], names=["seed", "n"])
+
+    counts = rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    seen = all_seeds.join(counts, "seed", "left").groupBy("item", "start", "k").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.collect_set("seed").alias("seeds"))
+    rarest = seen.withColumn("at", F.row_number().over(W.partitionBy("item").orderBy("n", "start"))).where("at <= k")
+    rare = saved(rarest.select(F.explode("seeds").alias("seed"), "item").distinct(), "rare-seeds")
+    wanted = spark.sparkContext.broadcast(_table(rare))
+
+    def cut(batches):
+        for batch in batches:
+            for start, texts in text_slices(batch.column("text")):
+                at, words, held = [], [], []
+                for i, t in enumerate(texts):
+                    for h, s in passages(word_hashes(t), wanted.value, ones, lap):
+                        at.append(start + i)
+                        words.append(h)
+                        held.append(s)
                 if at:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(item, id_type), pa.array(n, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "n_seeds", "score"])
-
-        return run
-
-    id_type = items.select("item_id").limit(0).toArrow().schema.field(0).type
-    schema = f"doc_id {kind}, item_id {id_kind}, n_seeds long, score double"
-
-    def one_scan(part: dict[bytes, list]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((Index(list(part)), list(part.values())))
-        return rows.mapInArrow(scan(shared), schema)
-
-    # a benchmark of more words takes several scans; each holds about scan_words of them, by their hash
-    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n_parts = 1 + size // scan_words
-    found = None
-    for k in range(n_parts):
-        part: dict[bytes, list] = {}
-        for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n_parts)) == k).collect():
-            words = clean_words(r.text)
-            if words:
-                part.setdefault(b" ".join(words), []).append(r.item_id)
-        if part or found is None:
-            found = one_scan(part) if found is None else found.unionByName(one_scan(part))
-    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array([_key(h) for h in words], pa.binary()), _lists(words), _lists(held)], names=["doc_id", "passage", "h", "seeds"])
+
+    # equal passages, however many documents hold them, are joined and aligned once
+    found = saved(rows.mapInArrow(cut, f"doc_id {kind}, passage binary, h array<long>, seeds array<long>"), "passages")
+    # only distinct (passage, item) pairs move on
+    pairs = found.select("passage", F.explode("seeds").alias("seed")).distinct().join(rare, "seed").select("passage", "item").distinct()
+    texts = found.select("passage", "h").dropDuplicates(["passage"])
+
+    def score(batches):
+        for batch in batches:
+            xs, hs = _arrays(batch.column("x")), _arrays(batch.column("h"))
+            at, pairs, n_seeds, scores = [], [], [], []
+            for i, (x, h) in enumerate(zip(xs, hs, strict=True)):
+                if len(x) < whole_below:
+                    if stands(x, h):
+                        at.append(i)
+                        scores.append(1.0)
+                        n_seeds.append(1)
+            n_whole = len(at)
+            for i, (x, h) in enumerate(zip(xs, hs, strict=True)):
+                if len(x) >= whole_below:
+                    for part, n in windows(x, h, whole_below):
+                        at.append(i)
+                        pairs.append((x, part))
+                        n_seeds.append(n)
+            scores += [v / (2 * len(xs[i])) for i, v in zip(at[n_whole:], align(pairs).tolist(), strict=True)]
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("passage").take(take), batch.column("item").take(take), pa.array(n_seeds, pa.int64()), pa.array(scores, pa.float64())], names=["passage", "item", "n_seeds", "score"])
+
+    scored = pairs.join(texts, "passage").join(known, "item").select("passage", "item", "h", "x").mapInArrow(score, "passage binary, item binary, n_seeds long, score double").where(F.col("score") >= threshold)
+    named_docs = found.select("doc_id", "passage").distinct()
+    return scored.join(named_docs, "passage").join(named.select("item", "item_id"), "item").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

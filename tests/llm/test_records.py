@@ -126,8 +126,8 @@ def test_matches(spark):
     assert decontam.matches(df, b.limit(0)).count() == 0 and decontam.matches(df.limit(0), b).count() == 0
 
 
-@pytest.mark.parametrize("scan_words", [60, 2_000_000])
-def test_matches_equal_brute_force_alignment(spark, scan_words):
+@pytest.mark.parametrize("whole_below", [1, 3])
+def test_matches_equal_brute_force_alignment(spark, whole_below):
     rng = random.Random(14)
     vocab = [f"w{i}" for i in range(400)]
     bench = [(i, " ".join(rng.choices(vocab, k=rng.randint(4, 30)))) for i in range(12)]
@@ -148,33 +148,46 @@ def test_matches_equal_brute_force_alignment(spark, scan_words):
         for every, how in ((1000, "drop"), (4, "change"), (3, "change"), (4, "drop"), (2, "insert"), (1, "insert"), (2, "change")):
             rows.append((len(rows), " ".join([*rng.choices(vocab, k=15), *edited(t.split(), every, how), *rng.choices(vocab, k=15)])))
     template[9] = "elsewhere"
-    rows += [(900, " ".join(template)), (901, "Two, words!"), (902, "two other words"), (903, "x ab"), (904, "abc"), (905, "one two"), (906, "so one two three")]
+    rows += [(900, " ".join(template)), (901, "Two, words!"), (902, "two other words"), (903, "x ab"), (904, "abc"), (905, "one two"), (906, "so one two three"), (907, "zz one three"), (908, "three only")]
     items = {i: t.split() for i, t in bench}
     want = set()
     for d, t in rows:
         w = decontam.clean_words(t)
         for i, x in items.items():
             x = [y.encode() for y in x]
-            if len(x) < 4:
+            if len(x) < whole_below:
                 hit = any(w[k : k + len(x)] == x for k in range(len(w)))
             else:
                 hit = plain_align(x, w) >= len(x)
             if hit:
                 want.add((d, i))
     assert {(900, 100 + i) for i in range(5)} | {(901, 200), (903, 201), (906, 202)} <= want and len(want) > 100
-    got = decontam.matches(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), scan_words=scan_words).collect()
+    got = decontam.matches(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), whole_below=whole_below).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
-def test_halves_of_a_long_text_lose_no_item(monkeypatch):
+def test_passages_of_a_long_text_lose_no_item():
     rng = random.Random(15)
-    items = [[b"i%d_%d" % (k, i) for i in range(12)] for k in range(5)]
-    text = b" ".join(x for _ in range(30) for k in range(5) for x in [b"x%d" % rng.randrange(99)] * rng.randint(0, 40) + items[k]).decode().replace("_", "q")
-    index = decontam.Index([b" ".join(x).replace(b"_", b"q") for x in items])
-    best = lambda: {k: max(score for _, j, score, _ in index.find([text]) if j == k) for _, k, _, _ in index.find([text])}
-    whole = best()
-    monkeypatch.setattr(decontam, "TOGETHER", 3)
-    assert best() == whole == dict.fromkeys(range(5), 1.0)
+    items = [[f"i{k}q{i}" for i in range(12)] for k in range(5)]
+    text = " ".join(w for _ in range(30) for k in range(5) for w in [f"x{rng.randrange(99)}" for _ in range(rng.randint(0, 40))] + items[k])
+    hashes = [decontam.word_hashes(" ".join(x)) for x in items]
+    table = np.zeros(1 << (decontam.TABLE_BITS - 6), np.uint64)
+    for s in np.concatenate([decontam.seeds(x, False)[0] for x in hashes]):
+        slot = int(s) >> (64 - decontam.TABLE_BITS)
+        table[slot >> 6] |= np.uint64(1 << (slot & 63))
+    for core in (5, 64, 4096):
+        cut = list(decontam.passages(decontam.word_hashes(text), table, False, 27, core))
+        assert all(len(h) <= core + 54 for h, _ in cut) and all(sum(decontam.stands(x, h) for h, _ in cut) for x in hashes)
+
+
+def test_word_hashes_go_over_stretches(monkeypatch):
+    rng = random.Random(16)
+    words = ["".join(rng.choices("abcé", k=rng.randint(1, 12))) for _ in range(500)] + ["long" * 50, "a"]
+    text = "  ".join(words) + "\n"
+    whole = decontam.word_hashes(text)
+    assert len(set(whole.tolist())) == len(set(words)) and [decontam.word_hashes(w)[0] for w in words] == whole.tolist()
+    monkeypatch.setattr(decontam, "STRETCH", 64)
+    assert decontam.word_hashes(text).tolist() == whole.tolist() and not len(decontam.word_hashes(" ")) and not len(decontam.word_hashes(None))
 
 
 def test_pipeline(spark, tmp_path):
