@@ -255,7 +255,10 @@ def encode_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
 
 
 def decode_pieces(df: DataFrame, pieces_col: str = "pieces", model: str = MODEL) -> DataFrame:
-    """df with a column `decoded`; null pieces decode to null."""
+    """df with a column `decoded` in place of any of that name; null pieces decode to null, none to the empty text.
+
+    Repeated rows decode alike, very long ones whole; no row in, no row out.
+    """
     schema = T.StructType([*[f for f in df.schema.fields if f.name != "decoded"], T.StructField("decoded", T.StringType())])
 
     def run(batches):

@@ -198,7 +198,11 @@ def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that the rules reject; all columns stay."""
+    """docs without the rows that the rules reject; all columns stay, whatever their names.
+
+    Null and empty texts have no words and go; very long texts are counted and scored whole; repeated rows fare alike, null ids
+    too; no row in, no row out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
