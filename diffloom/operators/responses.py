@@ -46,12 +46,21 @@ _LINE = f"""CASE WHEN {_KIND_OF_LINE} = 'VOID' THEN CAST(NULL AS BIGINT) WHEN {_
   ELSE coalesce(try_cast(CASE WHEN {_KIND_OF_LINE} = 'STRING' THEN regexp_replace(trim(try_variant_get(f, '$.line', 'string')), '[.]0+$', '') END AS BIGINT), try_variant_get(f, '$.line', 'bigint'), CASE WHEN {_NUMBER} < 0 THEN -9223372036854775808L ELSE 9223372036854775807L END) END"""
 
 
+def _once(value: str, name: str, result: str) -> str:
+    """SQL of result, in which name stands for value. A filter on a column is pushed below the step that makes it and takes a copy of the
+    column's expression for each mention; a bound value is worked out once however often it is mentioned."""
+    return f"element_at(transform(array({value}), {name} -> {result}), 1)"
+
+
+_OBJECT = _once("try_parse_json(_text)", "v", "CASE WHEN schema_of_variant(v) LIKE 'OBJECT<%' THEN v END")
+
+
 def decode(responses: DataFrame) -> DataFrame:
     """responses(call, response, ...) with `doc` (variant, null if it is no JSON object)."""
     text = strip_code_fence(strip(F.col("response")))
     # of a repeated key the last one counts, as in most decoders; plans read the setting when they run, so it stays
     responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return responses.withColumn("_text", text).withColumn("doc", F.expr("try_parse_json(_text)")).withColumn("doc", F.expr("CASE WHEN schema_of_variant(doc) LIKE 'OBJECT<%' THEN doc END")).drop("_text")
+    return responses.withColumn("_text", text).withColumn("doc", F.expr(_OBJECT)).drop("_text")
 
 
 def check(responses: DataFrame) -> DataFrame:
@@ -78,8 +87,9 @@ def check(responses: DataFrame) -> DataFrame:
     summary = f"""CASE WHEN doc IS NULL THEN 'not a JSON object' WHEN NOT {_only('doc', SUMMARY_KEYS)} THEN 'unknown key'
         WHEN NOT ({' AND '.join(f"coalesce({_kind('doc', k)} = 'STRING', false)" for k in SUMMARY_KEYS)}) THEN 'bad or missing key'
         WHEN NOT coalesce({_text('doc', 'overall_risk')} IN ({_in(RANKS)}), false) THEN 'bad risk' END"""
-    checked = decode(responses).withColumn("error", F.when(F.col("call") == "summary", F.expr(summary)).otherwise(F.expr(review)))
-    return checked.withColumn("valid", F.col("error").isNull())
+    checked = _once("doc", "doc", f"named_struct('doc', doc, 'error', CASE WHEN call = 'summary' THEN {summary} ELSE {review} END)")
+    c = decode(responses).withColumn("_c", F.expr(checked))
+    return c.withColumn("doc", F.col("_c.doc")).withColumn("error", F.col("_c.error")).withColumn("valid", F.col("_c.error").isNull()).drop("_c")
 
 
 def model_findings(checked: DataFrame) -> DataFrame:

@@ -61,16 +61,6 @@ def s2(spark, d):
     return c.select("change_id", "decodable").join(lines.parse_status(c), "change_id")
 
 
-@query("s3_read_responses", "SELECT 'review-' || l_orderkey AS label, CASE WHEN l_orderkey % 7 = 2 OR l_orderkey % 31 = 0 THEN 'no json' ELSE 'json' END AS kind FROM lineitem GROUP BY l_orderkey")
-def s3(spark, d):
-    """Every change's recorded review, written as a table and read by label."""
-    out = shared(spark)
-    a = answers(spark, d).where("call = 'review'").withColumn("stem", F.col("change_id")).withColumn("n_batches", F.lit(1))
-    sinks.labelled(a).select("label", "response").write.parquet(out)
-    r = diffs.read_response_table(spark, out)
-    return r.select("label", F.when(F.col("response").contains("{"), "json").otherwise("no json").alias("kind"))
-
-
 @query("s4_review_json", over(f", {reviews_sql('det')} SELECT change_id, sha256({JSON}) AS json_sha256 FROM review", damaged=True))
 def s4(spark, d):
     return reports.to_json(whole(spark, d, damage=True).reviews()).select("change_id", F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
@@ -463,6 +453,7 @@ def p14b(spark, d):
 def answers(spark, d) -> DataFrame:
     """Responses derived from the orders: good, fenced and broken in seven ways; two findings in each good review."""
     o = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("change_id")).distinct()
+    o = o.repartition(spark.sparkContext.defaultParallelism, "change_id")  # ids are few bytes, but the responses made of them are not
     k = F.col("change_id") % 7
     path = F.element_at(F.array(*map(F.lit, corpus.PATHS)), ((F.col("change_id") * 5) % len(corpus.PATHS) + 1).cast("int"))
     one = lambda file, line, cat, sev, conf, more="": F.concat(F.lit('{"file":"'), file, F.lit('","line":'), line, F.lit(f',"category":"{cat}","severity":"'), F.lit(sev), F.lit(f'","confidence":"{conf}","evidence":"model saw it","risk":"risk {cat}","recommendation":"fix {sev}"{more}}}'))
@@ -491,10 +482,39 @@ _ORDERS = "o AS (SELECT DISTINCT l_orderkey AS change_id FROM lineitem)"
 _CHECKED = f"{_ORDERS}, checked AS (SELECT change_id, 'review' AS call, CASE WHEN change_id % 31 = 0 THEN 'not a JSON object' ELSE CASE change_id % 7 WHEN 2 THEN 'not a JSON object' WHEN 3 THEN 'bad finding' WHEN 4 THEN 'bad finding' WHEN 5 THEN 'bad finding' END END AS error FROM o UNION ALL SELECT change_id, 'summary', CASE WHEN change_id % 37 = 0 THEN 'not a JSON object' WHEN change_id % 9 = 0 THEN 'bad risk' END FROM o)"
 _PATH = "CASE (change_id * 5) % " + str(len(corpus.PATHS)) + " " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(corpus.PATHS)) + " END"
 _SECOND = f"SELECT change_id, CASE WHEN change_id % 5 = 0 THEN 'nope.py' ELSE {_PATH} END AS file, CASE WHEN change_id % 3 = 0 THEN NULL WHEN change_id % 4 = 1 THEN 99999999999 ELSE 999 END AS line, 'injection' AS category, 'high' AS severity, 'low' AS confidence"
+
+
+def _finding_sql(file: str, line: str, category: str, severity: str, confidence: str, more: str = "") -> str:
+    tail = f',"category":"{category}","severity":"{severity}","confidence":"{confidence}","evidence":"model saw it","risk":"risk {category}","recommendation":"fix {severity}"{more}}}'
+    return f"""'{{"file":"' || {file} || '","line":' || {line} || '{tail}'"""
+
+
+def _listed_sql(*findings: str) -> str:
+    return """'{"findings":[' || """ + " || ',' || ".join(findings) + " || ']}'"
+
+
+_FIRST_TEXT = _finding_sql(_PATH, """CASE change_id % 6 WHEN 0 THEN '1' WHEN 2 THEN '1.0' WHEN 4 THEN '1e0' WHEN 1 THEN '"2"' WHEN 3 THEN '7,"line":2' ELSE '2' END""", "crypto_misuse", "medium", "high")
+_SECOND_TEXT = _finding_sql(f"CASE WHEN change_id % 5 = 0 THEN 'nope.py' ELSE {_PATH} END", "CASE WHEN change_id % 3 = 0 THEN 'null' WHEN change_id % 4 = 1 THEN '99999999999' ELSE '999' END", "injection", "high", "low")
+_GOOD_TEXT = _listed_sql(_FIRST_TEXT, _SECOND_TEXT, _SECOND_TEXT)
+_EXTRA_TEXT = _listed_sql(_finding_sql(_PATH, "'1'", "injection", "high", "low", ',"extra":1'))
+_MASKER_TEXT = _listed_sql(_finding_sql(_PATH, "'1'", "hardcoded_secrets", "high", "low"))
+_HALF_TEXT = _listed_sql(_finding_sql(_PATH, "'1.5'", "injection", "high", "low"))
+#: The recorded response to a change's call, character by character; null where there is none.
+_REVIEW_TEXT = f"""CASE WHEN change_id % 31 = 0 THEN NULL ELSE CASE change_id % 7 WHEN 1 THEN '```json' || chr(10) || {_GOOD_TEXT} || chr(10) || '```' || chr(10) WHEN 2 THEN 'I found nothing'
+  WHEN 3 THEN {_EXTRA_TEXT} WHEN 4 THEN {_MASKER_TEXT} WHEN 5 THEN {_HALF_TEXT} WHEN 6 THEN '{{}}' ELSE {_GOOD_TEXT} END END"""
+_SUMMARY_TEXT = """CASE WHEN change_id % 37 <> 0 THEN '{"summary":"sum ' || change_id || '","overall_risk":"' || CASE WHEN change_id % 9 = 0 THEN 'grave' ELSE 'medium' END || '","pr_comment":"comment"}' END"""
 _GOOD = "change_id % 7 IN (0, 1) AND change_id % 31 <> 0"
 _MODEL = f"model AS (SELECT change_id, {_PATH} AS file, CASE WHEN change_id % 2 = 0 THEN 1 ELSE 2 END AS line, 'crypto_misuse' AS category, 'medium' AS severity, 'high' AS confidence, 0 AS pos FROM o WHERE {_GOOD} UNION ALL {_SECOND}, 1 FROM o WHERE {_GOOD} UNION ALL {_SECOND}, 2 FROM o WHERE {_GOOD})"
 
 
+@query("s3_read_responses", f"WITH {_ORDERS} SELECT 'review-' || change_id AS label, {_REVIEW_TEXT} AS response FROM o UNION ALL SELECT 'summary-' || change_id, {_SUMMARY_TEXT} FROM o")
+def s3(spark, d):
+    """Every change's recorded responses, written as a table and read by label."""
+    out = shared(spark)
+    sinks.labelled(answers(spark, d).withColumn("stem", F.col("change_id")).withColumn("n_batches", F.lit(1))).select("label", "response").write.parquet(out)
+    return diffs.read_response_table(spark, out)
+
+
 @query("j1_j2_decode", f"WITH {_ORDERS} SELECT change_id, NOT (change_id % 7 = 2 OR change_id % 31 = 0) AS is_object FROM o")
 def j2(spark, d):
     return responses.decode(answers(spark, d).where("call = 'review'")).select("change_id", F.col("doc").isNotNull().alias("is_object"))
@@ -510,15 +530,10 @@ def j5(spark, d):
     return responses.model_findings(responses.check(answers(spark, d))).select("change_id", "seq.pos", "file", F.col("line").cast("string").alias("line"), "category", "severity", "confidence", "risk")
 
 
-_RAW = """CASE change_id % 7 WHEN 2 THEN 'I found nothing' WHEN 3 THEN ',"extra":1' WHEN 4 THEN 'hardcoded_secrets' WHEN 5 THEN '"line":1.5' END"""
-
-
-@query("j6_malformed_raw", f"WITH {_CHECKED} SELECT change_id, call, CASE WHEN call = 'summary' THEN '{{\"summary\":\"sum ' || change_id || '\",\"overall_risk\":\"grave\",\"pr_comment\":\"comment\"}}' ELSE {_RAW} END AS raw FROM checked WHERE error IS NOT NULL AND NOT (call = 'review' AND change_id % 31 = 0) AND NOT (call = 'summary' AND change_id % 37 = 0)")
+@query("j6_malformed_raw", f"WITH {_CHECKED} SELECT change_id, call, error, CASE WHEN call = 'summary' THEN {_SUMMARY_TEXT} ELSE {_REVIEW_TEXT} END AS raw FROM checked WHERE error IS NOT NULL")
 def j6(spark, d):
-    """The raw text of malformed responses; of a broken review the part that breaks it."""
-    r = responses.check(answers(spark, d)).where("NOT valid AND length(response) > 0")
-    part = F.regexp_extract("response", r'(I found nothing|,"extra":1|hardcoded_secrets|"line":1\.5)', 1)
-    return r.select("change_id", "call", F.when(F.col("call") == "summary", F.col("response")).otherwise(part).alias("raw"))
+    """The raw text of every malformed response, missing ones too."""
+    return responses.check(answers(spark, d)).where("NOT valid").select("change_id", "call", "error", F.col("response").alias("raw"))
 
 
 # ---- validate, cap, merge
@@ -616,9 +631,9 @@ def v8(spark, d):
     return f.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("place", key.alias("key")))).alias("k")).select("change_id", F.array_join("k.key", "|").alias("keys"))
 
 
-@query("v9_union", over("SELECT rule_id, count(*) AS n FROM found GROUP BY rule_id"))
+@query("v9_union", _hits("found"))
 def v9(spark, d):
-    return scan(spark, d).found.groupBy("rule_id").agg(F.count("*").alias("n"))
+    return scan(spark, d).found.select("change_id", *FOUND)
 
 
 @query("v10_overall_risk", over("SELECT change_id, list_extract(['low', 'medium', 'high'], CAST(coalesce(max(sr), 0) AS INT) + 1) AS overall_risk FROM (SELECT DISTINCT change_id FROM files) LEFT JOIN det USING (change_id) GROUP BY change_id"))
