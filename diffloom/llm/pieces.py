@@ -28,6 +28,8 @@ from diffloom.llm.common import SEED, offsets, text_slices
 
 MODEL = os.environ.get("DIFFLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SHARPNESS = 1e-3
+#: Characters of the texts whose lattices are in memory at once; a longer text stands alone.
+SLICE = 1 << 18
 _MARK = "▁".encode()
 #: Stands for a literal U+2581 in a lattice; no UTF-8 text holds this byte.
 _LITERAL = b"\xfe"
@@ -239,17 +241,14 @@ def encode_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
         vocab = vocabulary(model)
         for batch in batches:
             keys = ["" if k is None else str(k) for k in batch.column("doc_id").to_pylist()]
-            ids, many, same, size = [], [], [], []
-            for start, texts in text_slices(batch.column("text"), 1 << 20):
-                got, n = encode(keys[start : start + len(texts)], texts, vocab, sharpness)
-                ids.append(got)
-                many.append(n)
-                size += [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-                at = offsets(n).tolist()
-                flat = got.tolist() if check else []
-                same += [decode(flat[at[i] : at[i + 1]], vocab) == (t or "") for i, t in enumerate(texts)] if check else [None] * len(texts)
-            pieces = pa.ListArray.from_arrays(pa.array(offsets(np.concatenate(many) if many else []), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pieces, pa.array(same, pa.bool_())], names=["doc_id", "n_bytes", "pieces", "lossless"])
+            for start, texts in text_slices(batch.column("text"), SLICE):
+                ids, many = encode(keys[start : start + len(texts)], texts, vocab, sharpness)
+                at = offsets(many).tolist()
+                flat = ids.tolist() if check else []
+                same = [decode(flat[at[i] : at[i + 1]], vocab) == (t or "") for i, t in enumerate(texts)] if check else [None] * len(texts)
+                size = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+                pieces = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), pa.array(size, pa.int64()), pieces, pa.array(same, pa.bool_())], names=["doc_id", "n_bytes", "pieces", "lossless"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, pieces array<int>, lossless boolean")
 
