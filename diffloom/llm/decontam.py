@@ -24,13 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import column_unlike, saved, text_slices
+from diffloom.llm.common import TABLE_BITS, bit_table, column_unlike, in_table, saved, text_slices, without  # noqa: F401
 
 #: Items of fewer words match as a whole only: half of such an item is one word, which any text may hold. With 1 all are aligned.
 WHOLE_BELOW = 3
 THRESHOLD = 0.5
-#: Bits of the table that seeds are looked up in before they are joined: 8 MB.
-TABLE_BITS = 26
 #: Words from the first to the last seed of a passage; a longer stretch is cut into passages that overlap.
 CORE = 512
 _CLEAN = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\r\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 37)
@@ -106,11 +104,6 @@ def item_seeds(x: np.ndarray, whole_below: int) -> tuple[np.ndarray, np.ndarray,
     return s, where, 1 if n < whole_below else n - need(n)
 
 
-def in_table(table: np.ndarray, s: np.ndarray) -> np.ndarray:
-    slot = s >> np.uint64(64 - TABLE_BITS)
-    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def passages(h: np.ndarray, table: np.ndarray, ones: bool, lap: int, core: int = CORE):
     """(words, seeds) of each passage of a text: what lies within `lap` words of a seed in the table."""
     s, where = seeds(h, ones)
@@ -197,16 +190,6 @@ def _key(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-def _table(found: DataFrame) -> np.ndarray:
-    """The bits of the seeds; TABLE_BITS bound what comes to the driver, in words of 64."""
-    slot = F.shiftrightunsigned("seed", 64 - TABLE_BITS)
-    words = found.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(seed, {64 - TABLE_BITS}) & 63 AS INT))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
-    table[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return table
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, whole_below: int = WHOLE_BELOW) -> DataFrame:
     """doc_id, item_id, score, n_seeds of each document and item whose best alignment scores `threshold` (0.5 at least) or more.
 
@@ -235,7 +218,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     all_seeds = saved(known.mapInArrow(spread, "item binary, seed long, start long, k long"), "item-seeds")
     most, fewest = named.agg(F.max(F.size("x")), F.min(F.size("x"))).first()
     ones, lap = (fewest or 3) == 1 or (fewest or 3) < 3 and whole_below < 3, 2 * (most or 0) + 3
-    shared = spark.sparkContext.broadcast(_table(all_seeds))
+    shared = spark.sparkContext.broadcast(bit_table(all_seeds))
 
     def count(batches):
         for batch in batches:
@@ -252,7 +235,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     seen = all_seeds.join(counts, "seed", "left").groupBy("item", "start", "k").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.collect_set("seed").alias("seeds"))
     rarest = seen.withColumn("at", F.row_number().over(W.partitionBy("item").orderBy("n", "start"))).where("at <= k")
     rare = saved(rarest.select(F.explode("seeds").alias("seed"), "item").distinct(), "rare-seeds")
-    wanted = spark.sparkContext.broadcast(_table(rare))
+    wanted = spark.sparkContext.broadcast(bit_table(rare))
 
     def cut(batches):
         for batch in batches:
@@ -301,7 +284,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows whose text holds a benchmark item; all columns stay. Rows are told apart by their text, so
     null and repeated ids do no harm; null and empty texts stay; very long texts are scanned whole; an empty table stays empty."""
-    key, gone = column_unlike(docs, "text_key"), column_unlike(docs, "gone")
+    key = column_unlike(docs, "text_key")
     keyed = docs.withColumn(key, F.sha2(F.col(text_col).cast("binary"), 256))
-    found = saved(matches(keyed, benchmark, key, text_col).select(F.col("doc_id").alias(gone)).distinct(), "contaminated")
-    return keyed.join(found, keyed[key] == found[gone], "left_anti").drop(key)
+    found = saved(matches(keyed, benchmark, key, text_col).select("doc_id").distinct(), "contaminated")
+    return without(keyed, key, found).drop(key)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from diffloom.llm import chat_format, decontam, warc_archive
+from diffloom.llm import chat_format, common, decontam, warc_archive
 from tests.llm.helpers import ODD, documents, frame, prose
 
 BIG = "<p>" + "é" * 80
@@ -190,6 +190,20 @@ def test_word_hashes_go_over_stretches(monkeypatch):
     assert decontam.word_hashes(text).tolist() == whole.tolist() and not len(decontam.word_hashes(" ")) and not len(decontam.word_hashes(None))
 
 
+def test_only_rows_that_may_go_are_shuffled(spark):
+    """Texts don't cross the joins that drop documents, however many go (those joins shuffled every text)."""
+    rows = [(i, f"text {i}") for i in range(2000)] + [(None, "no id"), (7, "again")]
+    docs = frame(spark, rows)
+    ids = common.saved(spark.createDataFrame([(i,) for i in range(0, 2000, 50)] + [(None,)], "id long"), "ids")
+    held = common.may_hold(ids)
+    some = docs.where(held(docs["doc_id"])).count()
+    assert 41 <= some < 60
+    got = common.without(docs, "doc_id", ids)
+    assert got.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted((str(i), t) for i, t in rows if i is None or i % 50)
+    assert common.without(docs, "doc_id", ids.limit(0)).count() == len(rows)
+    assert common.without(docs.limit(0), "doc_id", ids).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
