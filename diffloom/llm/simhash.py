@@ -8,11 +8,12 @@ table grows, so that a shard stays small. Inside a shard a further vantage point
 the slice within the bound, and the exact distance decides. A shard of more than BLOCK points is dealt into blocks that
 all its queries visit, so that no task holds a whole hot shard.
 
-`similar_groups` (sets of shingles, Jaccard similarity of 0.8 or more): at such a radius no vantage point of the fingerprints
-prunes anything, so shards are the sets that hold one of each other's rarest shingles. Two sets of that similarity share
-one of the first n - ceil(0.8 n) + 1 shingles of any common order, so no pair is lost. In a shard the vantage point is the empty
-set: points are sorted by their distance to it (their size), the bound on sizes ends a search, 256-bit fingerprints
-rule out the rest, and the shingles themselves decide every link.
+`similar_groups` (sets of shingles, Jaccard similarity of 0.8 or more): the same vantage-point shards search the sets' fingerprints and find
+what lies within their radius (`close_sets`). The radius that the similarity asks for is wider: there no vantage point of the fingerprints
+prunes anything, so what is left between those groups is found exactly by further shards, the sets that hold one of each other's rarest
+shingles. Two sets of that similarity share one of the first n - ceil(0.8 n) + 1 shingles of any common order, so no pair is lost. In such a
+shard the vantage point is the empty set: points are sorted by their distance to it (their size), the bound on sizes ends a search, sets that
+the fingerprints' shards have joined are not asked about again, 256-bit fingerprints rule out the rest. The shingles themselves decide every link.
 
 Equal fingerprints (or sets) are one node. A shard returns its links as a spanning forest, never all pairs; components come
 from alternating large and small stars over the joined forests.
@@ -274,6 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Near copies share SIMILAR or more of their five-word shingles (a fraction: numerator, denominator). The 256-bit fingerprints
 #: of two such sets differ in about 39 bits, with a standard deviation of 6; those of unrelated sets in 128, with one of 8.
 SIMILAR, SHINGLE, RADIUS = (4, 5), 5, 72
+#: Differing bits of the first 64 of them that the vantage-point shards search: what their bound prunes to small shards.
+CLOSE = 2
 #: Shingles of the sets that one block of a group holds.
 BLOCK_SHINGLES = 1 << 19
 #: Slots of the table that tells common shingles from rare ones.
@@ -419,13 +422,16 @@ def _whole_runs(batches, keys: int):
             rest = [c[cut:] for c in rest]
 
 
-def candidate_links(run: np.ndarray, own: np.ndarray, cross: np.ndarray, n: np.ndarray, fp: np.ndarray):
+def candidate_links(run: np.ndarray, own: np.ndarray, cross: np.ndarray, n: np.ndarray, fp: np.ndarray, hub: np.ndarray):
     """Places (i, j) of links that connect what fingerprints within RADIUS connect in each run; rows are sorted by run and n.
 
     Each lag compares all rows with the one so many places on; a row leaves when the size bound ends its search. cross: only
-    pairs of different `own` are asked.
+    pairs of different `own` are asked. Rows of one hub are linked already.
     """
-    root, us, vs = np.arange(len(run)), [], []
+    order = np.lexsort((hub, run))  # stable, so the first row of a hub is its root
+    starts = np.flatnonzero(np.r_[True, (run[order][1:] != run[order][:-1]) | (hub[order][1:] != hub[order][:-1])])
+    root, us, vs = np.empty(len(run), np.int64), [], []
+    root[order] = np.repeat(order[starts], np.diff(np.r_[starts, len(run)]))
     act, lag = np.arange(len(run)), 0
     while len(act):
         lag += 1
@@ -438,7 +444,7 @@ def candidate_links(run: np.ndarray, own: np.ndarray, cross: np.ndarray, n: np.n
             us.append(x)
             vs.append(x + lag)
             root = _join(root, x, x + lag)
-        if lag % 32 == 0:  # runs that are one component have no more to find
+        if lag % 32 == 1:  # runs that are one component have no more to find
             starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
             one = np.minimum.reduceat(root, starts) == np.maximum.reduceat(root, starts)
             act = act[~one[run[act] - run[0]]]
@@ -490,6 +496,16 @@ def _in_blocks(rows: DataFrame, key: str, blocks: DataFrame, by: str) -> DataFra
     return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
 
+def close_sets(sets: DataFrame, radius: int = CLOSE) -> DataFrame:
+    """id, hub (the smallest id of its group) of the sets(id, f0) whose first words vantage-point shards link: chains of distances of `radius` at most."""
+    nodes = saved(sets.select(F.col("f0").alias("fp")).distinct(), "nodes")
+    n = nodes.count()
+    found = components(links(nodes, radius, next(x for most, x in LEVELS if n <= most)))
+    named = saved(sets.join(found, sets["f0"] == found["u"], "left").select("id", F.coalesce("v", "f0").alias("fp")), "close")
+    hubs = named.groupBy("fp").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return saved(named.join(hubs, "fp").select("id", "hub"), "hubs")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, component_id (smallest id reachable through links) of each row of docs.
 
@@ -501,6 +517,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = saved(_signed(texts, _slot_classes(texts)), "signatures")
     sets = saved(signed.groupBy("sig").agg(F.min("doc_id").alias("least"), *(F.max(c).alias(c) for c in ("n", *PRINT, "keys"))).withColumn("id", F.xxhash64("sig")), "sets")
+    close = close_sets(sets.select("id", "f0"))
     keyed = sets.select(F.explode("keys").alias("key"), F.col("n").cast("int").alias("n"), "id").repartition("key").sortWithinPartitions("key", "n")
 
     def met(batches):
@@ -523,19 +540,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             last, was_near = [c[-1:] for c in own], bool(keep[-1])
 
     shards = saved(keyed.mapInArrow(met, "key long, n int, id long"), "shards")
-    prints = shards.join(sets.select("id", *PRINT), "id")
+    prints = shards.join(sets.select("id", *PRINT).join(close, "id", "left"), "id").withColumn("hub", F.coalesce("hub", "id"))
     hot = saved(shards.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "hot-keys")
-    prints = _in_blocks(prints, "key", hot, "id").select("key", "lo", "hi", "own", "n", "id", *PRINT)
+    prints = _in_blocks(prints, "key", hot, "id").select("key", "lo", "hi", "own", "n", "id", "hub", *PRINT)
     prints = prints.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n")
 
     def near(batches):
-        for run, (_, lo, hi, own, n, ids, *f) in _whole_runs(batches, 3):
-            u, v = candidate_links(run, own, lo != hi, n.astype(np.int64), np.stack(f, axis=1).view(np.uint64))
+        for run, (_, lo, hi, own, n, ids, hub, *f) in _whole_runs(batches, 3):
+            u, v = candidate_links(run, own, lo != hi, n.astype(np.int64), np.stack(f, axis=1).view(np.uint64), hub)
             if len(u):
                 pairs = np.unique(np.stack([ids[u], ids[v]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], schema=_EDGES)
 
-    stars = components(prints.mapInArrow(near, "u long, v long"))
+    stars = components(prints.mapInArrow(near, "u long, v long").unionByName(close.select(F.col("id").alias("u"), F.col("hub").alias("v"))))
     member = saved(stars.select(F.col("u").alias("id"), F.col("v").alias("near")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("near")).distinct()), "members")
     member = saved(sets.join(member, "id").select("sig", "least", "n", "near"), "candidates")
     # only the texts of candidates are read again, for all of their shingles
@@ -565,7 +582,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that are near copies of one with a smaller id; all columns stay.
 
-    A document is an id: its repeated rows stay or go together, and rows with a null id stay. Null, empty and very long texts as
+    Candidates come from vantage-point shards of the fingerprints and, beyond their radius, from shards of rare shingles (similar_groups). A document is an id: its repeated rows stay or go together, and rows with a null id stay. Null, empty and very long texts as
     in similar_groups; an empty table stays empty.
     """
     gone = column_unlike(docs, "gone")

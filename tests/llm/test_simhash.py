@@ -169,3 +169,29 @@ def test_one_of_each_keeps_texts_below_the_similarity(spark):
     assert len(plain_set(" ".join(w)) & plain_set(" ".join(other))) < 0.7 * len(plain_set(" ".join(w)) | plain_set(" ".join(other)))
     rows = [(1, " ".join(w)), (2, " ".join(other)), (3, " ".join(again))]
     assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == [1, 2]
+
+
+def test_near_copies_come_from_vantage_point_shards(spark, monkeypatch):
+    """What the shards of the fingerprints link is linked, and rare shingles are asked only about the rest."""
+    rng = random.Random(21)
+    texts = [prose(rng, "aa", 300) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(100 + i, t + " more") for i, t in enumerate(texts)]  # one shingle more: no or few bits
+    rows += [(200, " ".join(f"x{i}" if i % 60 == 30 else w for i, w in enumerate(texts[0].split())))]
+    sets = simhash.shingle_sets([t for _, t in rows])
+    first = [int(f[0]) for f in simhash.wide_prints(sets)]
+    want = plain_components(first, lambda a, b: (a ^ b).bit_count() <= simhash.CLOSE)
+    assert 1 < sum(want.count(c) > 1 for c in want) < len(rows)
+    frame_ = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(first)], "id long, f0 long")
+    got = {r.id: r.hub for r in simhash.close_sets(frame_).collect()}
+    assert got == {i: c for i, c in enumerate(want) if want.count(c) > 1}
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == list(range(12))
+    # what the shards have linked is not asked again
+    hub, fp = np.array([7, 7, 9]), np.array([[1, 0, 0, 0], [1, 0, 0, 1], [1, 0, 0, 2]], np.uint64)
+    u, v = simhash.candidate_links(np.zeros(3, np.int64), np.zeros(3, np.int64), np.zeros(3, bool), np.array([10, 10, 10]), fp, hub)
+    assert len(u) == 1 and 2 in (u[0], v[0])
+    asked = []
+    real = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: asked.append(1) or real(*a, **b))
+    simhash.one_of_each(frame(spark, rows))
+    assert asked
