@@ -145,6 +145,23 @@ def test_parts_in_doubt_stay_unless_they_repeat(spark):
     assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == want
 
 
+def test_named_parts_of_other_pages_count(spark):
+    """A menu that one page leaves unnamed is told by the pages that name it; article passages and parts of other hosts tell nothing."""
+    rng = random.Random(3)
+    menu, foot, quote = (" ".join(f"{x}{i}" for i in range(10)) for x in ("menu", "foot", "quote"))
+    own = {i: prose(rng, "aa", 20) for i in range(20)}
+    named = lambda i: f"<nav><ul><li>{menu}</li></ul></nav><article><p>{own[i]}</p><p>{quote}</p></article><footer>{foot}</footer>"
+    rows = [(i, f"http://h.com/{i}", named(i)) for i in range(3)]
+    rows += [(3, "http://h.com/3", f"<div>{menu}</div><p>{own[3]}</p><p>{quote}</p><div>{foot}</div>")]
+    rows += [(4, "http://other.com/4", f"<div>{menu}</div><p>{own[4]}</p>")]
+    rows += [(5, "http://h.com/5", f"<article><p>{own[5]}</p><div class='dialog'>{foot}</div></article>")]
+    # copies of one page are one page
+    rows += [(i, f"http://c.com/{i}", f"<nav>{menu}</nav><article>{own[6]}</article>") for i in (6, 7, 8)] + [(9, "http://c.com/9", f"<div>{menu}</div><p>{own[9]}</p>")]
+    want = {i: f"{own[i]} {quote}" for i in range(4)} | {4: f"{menu} {own[4]}", 5: own[5]} | dict.fromkeys((6, 7, 8), own[6]) | {9: f"{menu} {own[9]}"}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == {i: " ".join(t.split()) for i, t in want.items()}
+
+
 @pytest.mark.parametrize("depth", [1, 2, 8])
 def test_suffix_ranks_are_those_of_sorted_runs(spark, depth):
     rng = random.Random(depth)
