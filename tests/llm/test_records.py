@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,32 @@ def test_pipeline(spark, tmp_path):
     empty = spark.read.parquet(f"{base}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, base).count() == 0
+
+
+def test_pipeline_batches(spark, tmp_path):
+    import corpus_pipeline
+
+    base, key = f"file://{tmp_path}", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([(i, "word " * 20_000, "aa", "s", 100_000) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes], "n": [b.num_rows]})
+
+    was = spark.conf.getAll.get(key)
+    try:
+        for name, stage in corpus_pipeline.STAGES:  # each by itself, as they may run in sessions of their own
+            spark.conf.unset(key)
+            stage(spark, docs.limit(0), base)
+            got = docs.mapInArrow(sizes, "bytes long, n long").collect()
+            assert sum(r.n for r in got) == 40 and max(r.bytes for r in got) < (1 << 20) + 200_000, name
+        spark.conf.set(key, "300000")  # a bound of the session's own
+        stage(spark, docs.limit(0), base)
+        assert max(r.n for r in docs.mapInArrow(sizes, "bytes long, n long").collect()) < 6
+    finally:
+        spark.conf.unset(key)
+        if was:
+            spark.conf.set(key, was)
