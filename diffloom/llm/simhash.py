@@ -353,6 +353,7 @@ def _slot_classes(rows: DataFrame) -> np.ndarray:
             for _, texts in text_slices(batch.column("text")):
                 sets = shingle_sets(texts)
                 n += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(n))
+        _words.clear()  # the worker goes on to other stages
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["slot", "n"])
 
@@ -381,6 +382,7 @@ def _signed(rows: DataFrame, common: np.ndarray) -> DataFrame:
                     ],
                     names=["doc_id", "sig", "n", *PRINT, "keys"],
                 )
+        _words.clear()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sig binary, n long, f0 long, f1 long, f2 long, f3 long, keys array<long>")
 
@@ -393,6 +395,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             for _, texts in text_slices(batch.column("text"), 1 << 20):
                 sets = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "hashes"])
+        _words.clear()
 
     return rows.select("text").mapInArrow(run, "sig binary, hashes binary")
 

@@ -249,7 +249,7 @@ def test_pipeline_batches(spark, tmp_path):
             spark.conf.unset(key)
             stage(spark, docs.limit(0), base)
             got = docs.mapInArrow(sizes, "bytes long, n long").collect()
-            assert sum(r.n for r in got) == 40 and max(r.bytes for r in got) < (1 << 20) + 200_000, name
+            assert sum(r.n for r in got) == 40 and max(r.bytes for r in got) < (1 << 18) + 200_000, name
         spark.conf.set(key, "300000")  # a bound of the session's own
         stage(spark, docs.limit(0), base)
         assert max(r.n for r in docs.mapInArrow(sizes, "bytes long, n long").collect()) < 6
