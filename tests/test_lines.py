@@ -1,8 +1,10 @@
 """The parser on small, hand-counted diffs."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from diffloom.operators import lines, longdiffs
+from diffloom.operators import lines, longdiffs, scans
+from diffloom.plans import corpus
 from diffloom.sources import diffs
 
 MULTI = """diff --git a/app/handlers.py b/app/handlers.py
@@ -103,6 +105,50 @@ def test_line_by_line_as_in_one_text(spark):
     assert same(lines.parse_status(c), longdiffs.parse_status(rows_))
 
 
+@pytest.fixture
+def ranges(spark):
+    """Small tables keep their ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("large", [0, 9])
+def test_large_changes_over_ranges_as_small_ones_in_windows(spark, ranges, large):
+    """All changes over ranges, and those only that have ten lines or more."""
+    texts = [MULTI, DELETED, RENAMED, BINARY, BAD_SHORT, TRAP, EMPTY_CONTEXT, PLAIN, "prose\n", " \n\n", "@@ -1 +1 @@\n x\n" + MULTI]
+    rows_ = longdiffs.split_lines(changes(spark, *texts, None)).repartition(5)
+    assert sorted(map(str, longdiffs.marked(rows_, large).collect())) == sorted(map(str, longdiffs.marked(rows_).collect()))
+
+
+def dealt(df):
+    """How often a plan deals its rows."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lines_are_dealt_once_by_change(spark):
+    """All that is made of the lines of changes that fit in a task."""
+    rows_ = longdiffs.marked(longdiffs.split_lines(changes(spark, MULTI, BAD_SHORT)))
+    sound = longdiffs.parse_status(rows_).where("status = 'ok'").select("change_id")
+    assert dealt(longdiffs.number_lines(rows_)) == dealt(longdiffs.parse_status(rows_)) == dealt(longdiffs.files(rows_)) == 1
+    assert dealt(longdiffs.number_lines(rows_).join(sound.hint("merge"), "change_id", "left_semi")) == 2  # of one text: Spark runs it once
+
+
+def test_scans_in_a_chain_deal_rows_once(spark, ranges):
+    laid = scans.laid_out(spark.range(1000).selectExpr("id % 7 AS k", "id AS v"), ["k"], ["v"])
+    assert len({r._range for r in laid.select("_range").distinct().collect()}) > 1
+    one = scans.scanned(laid, ["k"], sums={"n": F.lit(1).cast("long")})
+    two = scans.scanned(one, ["k"], last={"tens": F.when(F.col("n") % 10 == 0, F.col("n"))}, following={"next": F.col("n")})
+    got = two.select("k", "v", "n", "tens", "next").collect()
+    assert all(r.n == r.v // 7 + 1 and r.tens == (r.n // 10 * 10 or None) and r.next == (r.n + 1 if r.v + 7 < 1000 else None) for r in got)
+    rows_ = [x for x in two._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
+    assert rows_ and all("BroadcastHashJoin" in x for x in rows_)
+
+
+def test_corpus_is_rendered_where_its_rows_are_dealt(spark):
+    assert dealt(corpus.changes(spark, "/root/testdata/sf0.001")) == dealt(lines.number_lines(corpus.changes(spark, "/root/testdata/sf0.001", damage=True))) == 1
+
+
 def test_files_read_in_blocks(spark, tmp_path):
     big = "diff --git a/b b/b\n--- a/b\n+++ b/b\n@@ -1,0 +1,30000 @@\n" + "".join(f"+line {i}\r\n" for i in range(30000))
     (tmp_path / "b.diff").write_bytes(big.encode())
