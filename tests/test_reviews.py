@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from diffloom.operators import cost, lines, merging, outcome, packing, reports, responses, scans
+from diffloom.plans import corpus, queries
 from diffloom.plans.review import Requests, Reviewed, Scan, whole_run
 from diffloom.sources import diffs, sinks
 from diffloom.sources.cache import ResponseCache
@@ -421,3 +422,36 @@ def test_empty_tables(spark):
     none = Scan(spark.createDataFrame([], "change_id long, diff_text string"))
     assert none.findings.count() == 0 and none.reviews().count() == 0 and none.artifacts().count() == 0
     assert s is not None
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_responses_are_checked_once_and_by_many_tasks(spark):
+    """No filter takes a copy of the check along, and the distinct ids' own exchange, which a few tasks would do for, isn't all there is."""
+    p = plan(queries._model(spark, SF))
+    assert p.count("parseJson") == 1 and "REPARTITION_BY_NUM" in p
+
+
+def test_lines_are_sought_without_masking(spark):
+    m, files, added = queries._sought(spark, SF)
+    assert "MASKED" not in plan(added) and all("lineitem" not in plan(x) for x in (m, files))
+    stats = plan(merging.validation_stats(m, files, added))
+    assert stats.count("lineitem.parquet") == 1
+
+
+def test_validation_stats_of_known_and_unknown_files(spark):
+    files = spark.createDataFrame([(1, 0, "a.py"), (1, 1, "a.py"), (2, 0, "b.py")], "change_id long, file_no int, path string")
+    added = spark.createDataFrame([(1, "a.py", 3)], "change_id long, path string, line_no int")
+    f = frame(spark, finding(line=3), finding(line=4), finding(line=None), finding("b.py", 3), finding("b.py", None), finding("b.py", 1, change=2))
+    got = {r.change_id: (r.unmappable_count, r.hallucinated_file_count, r.unmappable_lines, r.hallucinated_files) for r in merging.validation_stats(f, files, added).collect()}
+    assert got == {1: (1, 2, ["a.py:4"], ["b.py", "b.py"]), 2: (1, 0, ["b.py:1"], [])}
+
+
+def test_corpus_is_dealt_to_as_many_tasks_as_there_are(spark):
+    """Its rows are few bytes, the texts made of them are not: coalesced by bytes they would meet in a few tasks."""
+    assert "REPARTITION_BY_NUM" in plan(corpus.changes(spark, SF))
