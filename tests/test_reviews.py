@@ -455,3 +455,9 @@ def test_validation_stats_of_known_and_unknown_files(spark):
 def test_corpus_is_dealt_to_as_many_tasks_as_there_are(spark):
     """Its rows are few bytes, the texts made of them are not: coalesced by bytes they would meet in a few tasks."""
     assert "REPARTITION_BY_NUM" in plan(corpus.changes(spark, SF))
+
+
+def test_artifacts_read_findings_that_are_written_once(spark):
+    """Else every use of them, six in all, brings its own windows into the driver's plan."""
+    s = Scan(stored(corpus.changes(spark, SF)), keep=stored)
+    assert "Window" not in plan(s.findings) and plan(s.artifacts()).count("Window") == 0
