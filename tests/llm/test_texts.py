@@ -145,6 +145,20 @@ def test_parts_in_doubt_stay_unless_they_repeat(spark):
     assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == want
 
 
+def test_named_parts_of_pages_in_doubt_count_once_for_each_page(spark):
+    """A menu that pages in doubt name is told where a page leaves it unnamed; a part that only its own page's menu repeats stays."""
+    menu = "Home News Sport Culture Weather Travel Money Science Health"
+    alone = "one two three four five six seven eight nine ten"
+    own = ["".join(f"w{i}x{k} " for k in range(12)).strip() for i in range(5)]
+    weak = [f"chapter {i} says a{i} b{i} c{i} d{i} e{i} f{i} g{i}" for i in range(3)]
+    page = lambda nav, text, part: f'<nav>{nav}</nav><article><p>{text}</p><div class="related">{part}</div></article>'
+    rows = [(i, f"http://h.com/{i}", page(menu, own[i], weak[i])) for i in range(3)]
+    rows += [(3, "http://h.com/3", f"<div>{menu}</div><div>{own[3]}</div>"), (4, "http://other.com/4", page(alone, own[4], alone))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"{own[i]} {weak[i]}" for i in range(3)} | {3: own[3], 4: f"{own[4]} {alone}"}
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == want
+
+
 def test_named_parts_of_other_pages_count(spark):
     """A menu that one page leaves unnamed is told by the pages that name it; article passages and parts of other hosts tell nothing."""
     rng = random.Random(3)
